@@ -118,7 +118,8 @@ def lookup_signs(signs: DataFrame, vocab: DataFrame, fsw_col: str = "fsw",
     """Left lookup of each sign's key in the vocabulary: adds ``symbol``, ``key``, ``word``
     (canonical, or ``<unk>`` when no entry has the same symbol multiset)."""
     keyed = parse_sign_rows(signs, fsw_col)
-    lex = vocab.select(F.col("symbol").alias("key"), F.col("canonical").alias("_canon"))
+    lex = vocab.select(F.col("symbol").alias("key"), F.col("canonical").alias("_canon"),
+                       F.col("id").alias("entry_id"))
     lex = checked_broadcast(lex, broadcast_rows)
     out = keyed.join(lex, "key", "left")
     return out.withColumn("word", F.coalesce(F.col("_canon"), F.lit(UNKNOWN))).drop("_canon")

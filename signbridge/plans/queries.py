@@ -240,3 +240,169 @@ def q_train_plus_vocab(spark, sf_dir):
     seqs = _sentence_signs(spark, sf_dir)
     train = sentence_text(spark, sf_dir, signs).join(seqs, "sentence_id")
     return vc.union_with_vocabulary(train, corpus_view(spark, sf_dir))
+
+
+# ---- J5/W1/W2/W3/A9: retrieval --------------------------------------------------------------
+
+from ..operators import prompts as pr  # noqa: E402
+from ..operators import retrieval as rv  # noqa: E402
+
+# Orders hold at most 7 signs, so the reference threshold (more than 7 unknown units)
+# can never fire on these tables; the registered penalty query uses 1 to exercise it.
+PENALTY_QUERY_THRESHOLD = 1
+
+
+def _round6(c):
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def _emb(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+
+def _n_emb(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings").select(F.count(F.lit(1))).scalar()
+
+
+def _sentence_vectors(spark, sf_dir, decomposed=None):
+    d = decomposed if decomposed is not None else _decomposed(spark, sf_dir)
+    return d.join(_emb(spark, sf_dir).withColumnRenamed("vec_id", "sentence_id"), "sentence_id")
+
+
+def _vocab_vectors(spark, sf_dir, vocab):
+    v = vocab.withColumn("vec_id", F.pmod(F.col("id"), _n_emb(spark, sf_dir)))
+    return v.join(_emb(spark, sf_dir), "vec_id").drop("vec_id")
+
+
+def _queries_all(spark, sf_dir):
+    return _emb(spark, sf_dir).select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"))
+
+
+@register("cosine_topk_penalised", sq.with_(
+    sq.SIGNS, sq.CORPUS, sq.VOCAB, sq.UNITS, sq.DECOMPOSED, sq.SENT_VEC, sq.QVEC,
+    "cn as (" + sq.normalized("sent_vec", "sentence_id", "embedding",
+                              f", (length(word)-length(replace(word,'<unk>','')))/5 > {PENALTY_QUERY_THRESHOLD} pen")
+    + ")") + f"""
+, pairs as (select q.id q_id, c.id c_id, case when c.pen then 0.0 else {sq.dot('q.v', 'c.v')} end sim
+            from qn q, cn c)
+select q_id, c_id, round(sim, 6) + 0.0 sim, rank
+from (select *, row_number() over (partition by q_id order by sim desc, c_id) rank from pairs)
+where rank <= {rv.SENTENCE_EXAMPLES_T2S}
+""")
+def q_cosine_topk(spark, sf_dir):
+    out = rv.similar_sentences(_queries_all(spark, sf_dir), _sentence_vectors(spark, sf_dir),
+                               unk_threshold=PENALTY_QUERY_THRESHOLD)
+    return out.select("q_id", "c_id", _round6(F.col("sim")).alias("sim"), "rank")
+
+
+_W2_SQL = f"""
+cn as ({sq.normalized("vocab_vec", "id", "embedding", ", canonical_first2 canonical")}),
+pairs as (select q.id q_id, c.id c_id, c.canonical, {sq.dot('q.v', 'c.v')} sim from qn q, cn c),
+best as (select * from (select *, row_number() over (partition by q_id, canonical order by sim desc, c_id) r
+                        from pairs) where r = 1),
+w2 as (select q_id, c_id, canonical, sim,
+              row_number() over (partition by q_id order by sim desc, c_id) rank from best)"""
+
+
+@register("topk_distinct_canonical", sq.with_(sq.CORPUS, sq.VOCAB, sq.VOCAB_VEC, sq.QVEC) + "," + _W2_SQL + f"""
+select q_id, c_id, canonical, round(sim, 6) + 0.0 sim, rank from w2 where rank <= {rv.CANONICAL_LIST_SIZE}
+""")
+def q_topk_canonical(spark, sf_dir):
+    vocab = _vocab(spark, sf_dir)
+    out = rv.similar_canonicals(_queries_all(spark, sf_dir), _vocab_vectors(spark, sf_dir, vocab))
+    return out.select("q_id", "c_id", "canonical", _round6(F.col("sim")).alias("sim"), "rank")
+
+
+_W3_SQL = f"""
+uq as (select sentence_id, pos, word unit, coalesce(entry_id, k) % {sq.N_EMB} vec_id from units),
+cn as ({sq.normalized("vocab_vec", "id", "embedding", ", canonical_first2 canonical, fsw")}),
+qv as ({sq.normalized("(select * from embeddings where vec_id in (select vec_id from uq))", "vec_id", "embedding")}),
+near as (select * from (select q.id vec_id, c.id c_id, c.canonical, c.fsw, {sq.dot('q.v', 'c.v')} sim,
+                               row_number() over (partition by q.id order by {sq.dot('q.v', 'c.v')} desc, c.id) rank
+                        from qv q, cn c) where rank <= {rv.EXACT_TOP_K}),
+pick as (select * from (
+           select u.sentence_id, u.pos, u.unit, n.c_id entry_id, n.canonical, n.fsw,
+                  case when n.canonical = {sq.lower_strip('u.unit').replace('lower(u.unit)', 'u.unit')} then 1.0 else n.sim end score,
+                  n.canonical = {sq.lower_strip('u.unit').replace('lower(u.unit)', 'u.unit')} exact,
+                  row_number() over (partition by u.sentence_id, u.pos
+                     order by case when n.canonical = {sq.lower_strip('u.unit').replace('lower(u.unit)', 'u.unit')} then 0 else 1 end, n.rank) r
+           from uq u join near n using (vec_id)) where r = 1)"""
+
+
+def _grounded(spark, sf_dir):
+    vocab = _vocab(spark, sf_dir)
+    units = _units(spark, sf_dir, vocab)
+    u = units.select("sentence_id", "pos", F.col("word").alias("unit"),
+                     F.pmod(F.coalesce(F.col("entry_id"), F.col("k")), _n_emb(spark, sf_dir)).alias("vec_id"))
+    return rv.nearest_exact(u, _vocab_vectors(spark, sf_dir, vocab), vectors=_emb(spark, sf_dir))
+
+
+@register("nearest_exact_preferred", sq.with_(sq.SIGNS, sq.CORPUS, sq.VOCAB, sq.UNITS, sq.VOCAB_VEC, _W3_SQL) + """
+select sentence_id, pos, entry_id, canonical, round(score, 6) + 0.0 score, exact from pick
+""")
+def q_nearest_exact(spark, sf_dir):
+    g = _grounded(spark, sf_dir)
+    return g.select("sentence_id", "pos", "entry_id", "canonical", _round6(F.col("score")).alias("score"), "exact")
+
+
+@register("joint_confidence", sq.with_(sq.SIGNS, sq.CORPUS, sq.VOCAB, sq.UNITS, sq.VOCAB_VEC, _W3_SQL) + """
+select sentence_id, string_agg(fsw, ' ' order by pos) fsw_seq, string_agg(canonical, ' # ' order by pos) units,
+       case when product(score) < 0 then null else round_even(pow(product(score), 1.0 / count(*)), 3) end joint_prob,
+       product(score) < 0 undefined
+from pick group by sentence_id
+""")
+def q_joint_confidence(spark, sf_dir):
+    return rv.geometric_confidence(_grounded(spark, sf_dir), ["sentence_id"])
+
+
+# ---- F13/F14/P11/J7: few-shot prompt tables -------------------------------------------------
+
+_RULES_SQL = pr.RULES_T2S.replace("'", "''")
+
+
+@register("fewshot_messages", sq.with_(
+    sq.SIGNS, sq.CORPUS, sq.VOCAB, sq.UNITS, sq.DECOMPOSED, sq.SENT_VEC, sq.VOCAB_VEC, sq.QVEC) + f""",
+stext as (select s.sentence_id, string_agg(p.p_name,' ' order by s.pos) sentence
+          from signs s left join part p on p.p_partkey = s.k group by s.sentence_id),
+queries as (select sv.sentence_id q_id, st.sentence text from sent_vec sv join stext st using (sentence_id)),
+qs as ({sq.normalized("(select q_id, embedding from queries join embeddings on vec_id = q_id)", "q_id", "embedding")}),
+cs as ({sq.normalized("sent_vec", "sentence_id", "embedding",
+                      f", (length(word)-length(replace(word,'<unk>','')))/5 > {rv.UNK_PENALTY_THRESHOLD} pen")}),
+w1 as (select * from (select q.id q_id, c.id c_id,
+                             row_number() over (partition by q.id order by
+                               case when c.pen then 0.0 else {sq.dot('q.v', 'c.v')} end desc, c.id) rank
+                      from qs q, cs c) where rank <= {rv.SENTENCE_EXAMPLES_T2S}),
+ex as (select w1.q_id, w1.rank, st.sentence, d.word decomposition,
+              row_number() over (partition by w1.q_id order by w1.rank) j
+       from w1 join stext st on st.sentence_id = w1.c_id join decomposed d on d.sentence_id = w1.c_id
+       where coalesce(length(st.sentence),0) > 0 and coalesce(length(d.word),0) > 0),
+nex as (select q_id, count(*) n from ex group by q_id),
+cn as ({sq.normalized("vocab_vec", "id", "embedding", ", canonical_first2 canonical")}),
+pairs as (select q.id q_id, c.id c_id, c.canonical, {sq.dot('q.v', 'c.v')} sim from qs q, cn c),
+best as (select * from (select *, row_number() over (partition by q_id, canonical order by sim desc, c_id) r
+                        from pairs) where r = 1),
+w2 as (select q_id, canonical, row_number() over (partition by q_id order by sim desc, c_id) rank from best),
+cl as (select q_id, string_agg(canonical, ' # ' order by rank) cl from w2 where rank <= {rv.CANONICAL_LIST_SIZE}
+       group by q_id)
+select q_id, 0::BIGINT msg_pos, 'system' role,
+       replace('{_RULES_SQL}', '{{similar_canonical}}', coalesce(cl, '')) content
+from queries left join cl using (q_id)
+union all select q_id, 2*j-1, 'user', sentence from ex
+union all select q_id, 2*j, 'assistant', decomposition from ex
+union all select q_id, 2*coalesce(n,0)+1, 'user', '{pr.INSTRUCTION_T2S}' from queries left join nex using (q_id)
+union all select q_id, 2*coalesce(n,0)+2, 'user', text from queries left join nex using (q_id)
+""")
+def q_fewshot(spark, sf_dir):
+    signs = signs_view(spark, sf_dir)
+    vocab = _vocab(spark, sf_dir)
+    dec = _decomposed(spark, sf_dir, vc.lookup_signs(signs, vocab))
+    sv = _sentence_vectors(spark, sf_dir, dec)
+    stext = sentence_text(spark, sf_dir, signs)
+    queries = sv.join(stext, "sentence_id").select(
+        F.col("sentence_id").alias("q_id"), F.col("sentence").alias("text"), F.col("embedding").alias("q_vec"))
+    w1 = rv.similar_sentences(queries, sv)
+    examples = w1.join(stext.withColumnRenamed("sentence_id", "c_id"), "c_id") \
+        .join(dec.select(F.col("sentence_id").alias("c_id"), F.col("word").alias("decomposition")), "c_id")
+    canon = rv.similar_canonicals(queries, _vocab_vectors(spark, sf_dir, vocab))
+    prompts = pr.build_messages(queries, examples, canon)
+    return pr.explode_messages(prompts)

@@ -84,7 +84,7 @@ vocab as (select row_number() over (order by s.symbol)-1 id, s.symbol, c.canonic
 
 UNITS = f"""units as (
   select s.sentence_id, s.pos, s.k, s.fsw, {written('s.fsw')} symbol, {key('s.fsw')} key,
-         coalesce(v.canonical,'<unk>') word
+         coalesce(v.canonical,'<unk>') word, v.id entry_id
   from signs s left join vocab v on {key('s.fsw')} = v.symbol)"""
 
 DECOMPOSED = """decomposed as (
@@ -96,3 +96,25 @@ DECOMPOSED = """decomposed as (
 
 def with_(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
+
+
+def normalized(table: str, id_expr: str, vec: str, extra: str = "") -> str:
+    """Rows (id, v) with v the L2-normalised double vector (zero stays zero)."""
+    return (f"select {id_expr} id, list_transform(v0, lambda x: coalesce(x / nullif(nrm, 0), 0)) v{extra} "
+            f"from (select *, sqrt(list_sum(list_transform(v0, lambda y: y*y))) nrm "
+            f"from (select *, list_transform({vec}, lambda x: x::DOUBLE) v0 from {table}))")
+
+
+N_EMB = "(select count(*) from embeddings)"
+
+SENT_VEC = """sent_vec as (select d.sentence_id, d.word, e.embedding
+  from decomposed d join embeddings e on e.vec_id = d.sentence_id)"""
+
+VOCAB_VEC = f"""vocab_vec as (select v.*, e.embedding
+  from vocab v join embeddings e on e.vec_id = v.id % {N_EMB})"""
+
+QVEC = "qn as (" + normalized("embeddings", "vec_id", "embedding") + ")"
+
+
+def dot(a: str, b: str) -> str:
+    return f"round(list_dot_product({a}, {b}), 12)"
