@@ -406,3 +406,124 @@ def q_fewshot(spark, sf_dir):
     canon = rv.similar_canonicals(queries, _vocab_vectors(spark, sf_dir, vocab))
     prompts = pr.build_messages(queries, examples, canon)
     return pr.explode_messages(prompts)
+
+
+# ---- F10/A4/J3/J4/A5/A10/A11/F16: metrics ---------------------------------------------------
+
+from ..operators import indexing as ix  # noqa: E402
+from ..operators import metrics as mt  # noqa: E402
+from ..sources.tables import metric_pairs_view  # noqa: E402
+from . import metric_sql as ms  # noqa: E402
+
+_DOC_TOKENS = r"""d as (select doc_id, list_filter(regexp_split_to_array(text,'\s+'), lambda x: x<>'') t from documents),
+p as (select a.doc_id, list_distinct(a.t) pt, list_distinct(b.t) gt from d a join d b on b.doc_id = a.doc_id + 1),
+m as (select doc_id,
+             case when len(pt)=0 then 0.0 else len(list_intersect(pt,gt))::DOUBLE/len(pt) end "precision",
+             case when len(gt)=0 then 0.0 else len(list_intersect(pt,gt))::DOUBLE/len(gt) end recall from p),
+f as (select *, case when "precision"=0 or recall=0 then 0.0
+                     else 2*"precision"*recall/("precision"+recall) end f1 from m)"""
+
+
+def _consecutive_doc_metrics(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id", tx.whitespace_tokens("text").alias("t"))
+    pred = d.select("doc_id", F.col("t").alias("pred"))
+    gold = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("gold"))
+    return mt.with_set_metrics(mt.align_by_position(pred, gold, "doc_id"), "pred", "gold")
+
+
+@register("set_prf1", "with " + _DOC_TOKENS + """
+select doc_id, round("precision",6)+0.0 "precision", round(recall,6)+0.0 recall, round(f1,6)+0.0 f1 from f""")
+def q_set_prf1(spark, sf_dir):
+    s = _consecutive_doc_metrics(spark, sf_dir)
+    return s.select("doc_id", _round6(F.col("precision")).alias("precision"),
+                    _round6(F.col("recall")).alias("recall"), _round6(F.col("f1")).alias("f1"))
+
+
+@register("macro_f1", "with " + _DOC_TOKENS + """
+select round(avg("precision"),6)+0.0 mean_precision, round(avg(recall),6)+0.0 mean_recall,
+       round(avg(f1),6)+0.0 mean_f1, count(*) n_rows from f""")
+def q_macro_f1(spark, sf_dir):
+    m = mt.macro_means(_consecutive_doc_metrics(spark, sf_dir))
+    return m.select(*[_round6(F.col(c)).alias(c) for c in ("mean_precision", "mean_recall", "mean_f1")], "n_rows")
+
+
+def _coord_sql(sort: bool) -> str:
+    order = "list_sort" if sort else ""
+    return rf"""
+ps{int(sort)} as (
+  select sentence_id, pos,
+         cast(regexp_extract(fsw,'{sq.BOX_RE}',2) as int) bx, cast(regexp_extract(fsw,'{sq.BOX_RE}',3) as int) by_,
+         {order}(list_transform({sq.syms('fsw')}, lambda x, i: {{'s': substr(x,1,6), 'i': i,
+               'x': cast(substr(x,7,3) as int), 'y': cast(substr(x,11,3) as int)}})) sy
+  from signs),
+sx{int(sort)} as (select sentence_id,
+         flatten(list(list_concat([bx], list_transform(sy, lambda t: t.x)) order by pos)) xs,
+         flatten(list(list_concat([by_], list_transform(sy, lambda t: t.y)) order by pos)) ys
+  from ps{int(sort)} group by sentence_id),
+ix{int(sort)} as (select *, row_number() over (order by sentence_id) i from sx{int(sort)}),
+pr{int(sort)} as (select a.xs px, b.xs gx, a.ys py, b.ys gy from ix{int(sort)} a join ix{int(sort)} b on b.i = a.i + 1),
+ds{int(sort)} as (select
+     list_sum(list_transform(range(1, greatest(len(px),len(gx))+1),
+              lambda j: abs(coalesce(px[j],{fx.COORD_FILL}) - coalesce(gx[j],{fx.COORD_FILL})))) dx,
+     list_sum(list_transform(range(1, greatest(len(py),len(gy))+1),
+              lambda j: abs(coalesce(py[j],{fx.COORD_FILL}) - coalesce(gy[j],{fx.COORD_FILL})))) dy,
+     greatest(len(px),len(gx)) n from pr{int(sort)}),
+tot{int(sort)} as (select {str(sort).lower()} ordered, sum(dx)::BIGINT total_x, sum(dy)::BIGINT total_y,
+     sum(n)::BIGINT tokens from ds{int(sort)})"""
+
+
+@register("coord_distance", sq.with_(sq.SIGNS, _coord_sql(False), _coord_sql(True)) + """
+select ordered, total_x, total_y, tokens, round(total_x/tokens,6)+0.0 mean_x, round(total_y/tokens,6)+0.0 mean_y
+from (select * from tot0 union all select * from tot1)""")
+def q_coord_distance(spark, sf_dir):
+    s = signs_view(spark, sf_dir)
+    items = F.array_sort(F.collect_list(F.struct("pos", "fsw")))
+    seq = s.groupBy("sentence_id").agg(F.transform(items, lambda x: fx.parse_sign(x["fsw"])).alias("p"))
+    seq = ix.dense_index(seq, ["sentence_id"], "i")
+    outs = []
+    for ordered in (False, True):
+        p = F.transform("p", fx.with_sorted_symbols) if ordered else F.col("p")
+        lists = seq.select("i", fx.flatten_signs(p, "xs").alias("xs"), fx.flatten_signs(p, "ys").alias("ys"))
+        pred = lists.select("i", F.col("xs").alias("px"), F.col("ys").alias("py"))
+        gold = lists.select((F.col("i") - 1).alias("i"), F.col("xs").alias("gx"), F.col("ys").alias("gy"))
+        t = mt.distance_totals(pred.join(gold, "i"), "px", "gx", "py", "gy")
+        outs.append(t.select(F.lit(ordered).alias("ordered"), "total_x", "total_y", "tokens",
+                             _round6(F.col("mean_x")).alias("mean_x"), _round6(F.col("mean_y")).alias("mean_y")))
+    return outs[0].unionByName(outs[1])
+
+
+@register("bleu_sentence", "with " + ms.bleu_ctes() + f"""
+select doc_id, round(bleu,6)+0.0 bleu from {ms.bleu_formula('brow')} x join btk using (doc_id) where btk.nonblank""")
+def q_bleu_sentence(spark, sf_dir):
+    s = mt.sentence_bleu(metric_pairs_view(spark, sf_dir))
+    return s.select("doc_id", _round6(F.col("bleu")).alias("bleu"))
+
+
+_BLEU_SUM = "(select " + ", ".join(f"sum({c})::BIGINT {c}" for c in mt.BLEU_FIELDS) + " from brow)"
+
+
+@register("bleu_corpus", "with " + ms.bleu_ctes() + f"""
+select round(bleu,6)+0.0 bleu, hyp_len, ref_len from {ms.bleu_formula(_BLEU_SUM)}""")
+def q_bleu_corpus(spark, sf_dir):
+    c = mt.corpus_bleu(metric_pairs_view(spark, sf_dir))
+    return c.select(_round6(F.col("bleu")).alias("bleu"), "hyp_len", "ref_len")
+
+
+@register("chrf_sentence", "with " + ms.METRIC_PAIRS + ",\n" + ms.chrf_ctes(False, "c") + f"""
+select doc_id, round(chrf,6)+0.0 chrf from {ms.chrf_formula('crow')} x join ctk using (doc_id) where ctk.nonblank""")
+def q_chrf_sentence(spark, sf_dir):
+    s = mt.sentence_chrf(metric_pairs_view(spark, sf_dir))
+    return s.select("doc_id", _round6(F.col("chrf")).alias("chrf"))
+
+
+def _chrf_sum(t: str) -> str:
+    return "(select " + ", ".join(f"sum({c})::BIGINT {c}" for c in mt.CHRF_FIELDS) + f" from {t})"
+
+
+@register("chrf_corpus", "with " + ms.METRIC_PAIRS + ",\n" + ms.chrf_ctes(False, "c") + ",\n"
+          + ms.chrf_ctes(True, "l") + f"""
+select round(a.chrf,6)+0.0 chrf, round(b.chrf,6)+0.0 chrf_lower
+from {ms.chrf_formula(_chrf_sum('crow'))} a, {ms.chrf_formula(_chrf_sum('lrow'))} b""")
+def q_chrf_corpus(spark, sf_dir):
+    c = mt.corpus_chrf(metric_pairs_view(spark, sf_dir))
+    return c.select(_round6(F.col("chrf")).alias("chrf"), _round6(F.col("chrf_lower")).alias("chrf_lower"))
