@@ -527,3 +527,167 @@ from {ms.chrf_formula(_chrf_sum('crow'))} a, {ms.chrf_formula(_chrf_sum('lrow'))
 def q_chrf_corpus(spark, sf_dir):
     c = mt.corpus_chrf(metric_pairs_view(spark, sf_dir))
     return c.select(_round6(F.col("chrf")).alias("chrf"), _round6(F.col("chrf_lower")).alias("chrf_lower"))
+
+
+# ---- P1-P5/P10/D1/A12/J1/P12/A14/A15: corpus preparation and checks ---------------------------
+
+from ..operators import sampling as sm  # noqa: E402
+
+PREP_LANG = "en"
+PREP_SOURCES = ("src1", "src2", "src3")
+
+
+@register("filter_trim_dropna", rf"""
+select doc_id, l lang, s source, n_chars from (
+  select doc_id, {ms.strip('lang')} l, {ms.strip('source')} s, text, n_chars from documents)
+where l is not null and s is not null and text is not null
+  and l = '{PREP_LANG}' and s in {PREP_SOURCES}""")
+def q_filter_trim_dropna(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    t = d.select("doc_id", tx.strip("lang").alias("lang"), tx.strip("source").alias("source"), "text", "n_chars")
+    t = t.dropna(subset=["lang", "source", "text"])
+    return t.where((F.col("lang") == PREP_LANG) & F.col("source").isin(*PREP_SOURCES)) \
+            .select("doc_id", "lang", "source", "n_chars")
+
+
+@register("first_segment", """
+select page_id, coalesce(split_part(url, '?', 1), '') base_url from pages""")
+def q_first_segment(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", tx.first_segment("url", "?").alias("base_url"))
+
+
+@register("replace_separator", """
+select p_partkey, coalesce(replace(p_name, ' ', '|'), '') name_piped from part""")
+def q_replace_separator(spark, sf_dir):
+    p = read_table(spark, sf_dir, "part")
+    return p.select("p_partkey", tx.replace_separator("p_name", " ", "|").alias("name_piped"))
+
+
+@register("newline_collapse", r"""
+select doc_id, regexp_replace(text, '[\r\n]+', ' ', 'g') text from documents""")
+def q_newline_collapse(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.collapse_newlines("text").alias("text"))
+
+
+@register("dedupe_first", """
+select min(doc_id) doc_id, text, count(*) n_copies from documents group by text""")
+def q_dedupe_first(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
+
+
+REPETITION_THRESHOLD = 0.2
+
+
+@register("answer_repetition_flag", rf"""
+select doc_id, len(u) n_units, len(list_distinct(u)) n_distinct,
+       case when len(u) = 0 then false
+            else len(list_distinct(u)) < {REPETITION_THRESHOLD} * len(u) or list_contains(u, '<unk>') end repetitive
+from (select doc_id, list_transform(string_split(text, ' '), lambda x: {ms.strip('x')}) u from documents)""")
+def q_answer_repetition(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    u = F.transform(tx.split_units("text", " "), tx.strip)
+    return d.select("doc_id", F.size(u).cast("bigint").alias("n_units"),
+                    F.size(F.array_distinct(u)).cast("bigint").alias("n_distinct"),
+                    tx.repetition_flag(tx.split_units("text", " "), REPETITION_THRESHOLD).alias("repetitive"))
+
+
+@register("gold_join", """
+select d.doc_id, d.lang, l.quality gold_quality, l.toxic gold_toxic
+from documents d join labels l on l.doc_id = d.doc_id""")
+def q_gold_join(spark, sf_dir):
+    pred = read_table(spark, sf_dir, "documents")
+    gold = read_table(spark, sf_dir, "labels").withColumnsRenamed({"quality": "gold_quality", "toxic": "gold_toxic"})
+    return pred.join(gold.select("doc_id", "gold_quality", "gold_toxic"), "doc_id") \
+               .select("doc_id", "lang", "gold_quality", "gold_toxic")
+
+
+@register("message_validity", """
+select conv_id, count(*) n_messages, count(*) filter (where role is not null and text is not null) n_valid,
+       min(turn) filter (where role = 'system') system_turn
+from conversations group by conv_id""")
+def q_message_validity(spark, sf_dir):
+    c = read_table(spark, sf_dir, "conversations")
+    valid = F.col("role").isNotNull() & F.col("text").isNotNull()
+    return c.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_messages"), F.count(F.when(valid, 1)).alias("n_valid"),
+        F.min(F.when(F.col("role") == "system", F.col("turn"))).alias("system_turn"))
+
+
+@register("alignment_check", """
+with a as (select doc_id from documents), b as (select doc_id from labels)
+select count(a.doc_id) n_pred, count(b.doc_id) n_gold,
+       count(*) filter (where b.doc_id is null) pred_only, count(*) filter (where a.doc_id is null) gold_only,
+       count(*) filter (where b.doc_id is null) = 0 and count(*) filter (where a.doc_id is null) = 0 aligned
+from a full outer join b on a.doc_id = b.doc_id""")
+def q_alignment_check(spark, sf_dir):
+    pred = read_table(spark, sf_dir, "documents")
+    gold = read_table(spark, sf_dir, "labels")
+    return mt.alignment_report(pred, gold, "doc_id")
+
+
+@register("line_counts", """
+select (select count(*) from documents) n_documents, (select count(*) from pages) n_pages,
+       (select sum(len(string_split(text, chr(10))))::BIGINT from documents) doc_lines,
+       (select sum(len(string_split(html, chr(10))))::BIGINT from pages) page_lines""")
+def q_line_counts(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.sum(F.size(F.split("text", "\n"))).cast("bigint").alias("doc_lines"))
+    p = read_table(spark, sf_dir, "pages").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.sum(F.size(F.split("html", "\n"))).cast("bigint").alias("page_lines"))
+    return d.select("n_documents", F.lit(p.select("n_pages").scalar()).alias("n_pages"), "doc_lines",
+                    F.lit(p.select("page_lines").scalar()).alias("page_lines"))
+
+
+# ---- R1-R4/D2: splits and samples -----------------------------------------------------------
+
+def _md5_rank(table: str, id_expr: str, seed: str, extra: str = "") -> str:
+    return (f"select *, row_number() over ({extra} order by md5(concat(cast({id_expr} as varchar),':',{seed})), "
+            f"{id_expr}) - 1 rk from {table}")
+
+
+@register("split_95_5", f"""
+with r as ({_md5_rank('documents', 'doc_id', "'42'")}),
+n as (select count(*) n from documents),
+c as (select (n*5+99)//100 held from n)
+select doc_id, case when rk < (held+1)//2 then 'test' when rk < held then 'dev' else 'train' end split
+from r, c""")
+def q_split(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id")
+    return sm.split_train_dev_test(d, "doc_id").select("doc_id", "split")
+
+
+@register("sample_5pct", f"""
+with r as ({_md5_rank('documents', 'doc_id', "'42'")})
+select doc_id from r where rk < (select count(*) * 5 // 100 from documents)""")
+def q_sample(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id")
+    return sm.sample_fraction(d, "doc_id").select("doc_id")
+
+
+_SEEDS_SQL = ", ".join(f"({s})" for s in sm.ABLATION_SEEDS)
+
+
+@register("multi_seed_samples", f"""
+with s as (select * from (values {_SEEDS_SQL}) t(seed)),
+x as (select seed, doc_id from documents, s),
+r as ({_md5_rank('x', 'doc_id', 'cast(seed as varchar)', 'partition by seed')})
+select seed, doc_id from r where rk < (select count(*) * 5 // 100 from documents)""")
+def q_multi_seed(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id")
+    return sm.sample_fraction_seeds(d, "doc_id").select(F.col("seed").cast("int").alias("seed"), "doc_id")
+
+
+@register("shuffle_union", f"""
+with u as (select 'b' || cast(item_id as varchar) line_id, text from benchmark
+           union all select 'd' || cast(doc_id as varchar) line_id, text from documents),
+r as ({_md5_rank('u', 'line_id', "'42'")})
+select line_id, rk pos from r""")
+def q_shuffle_union(spark, sf_dir):
+    b = read_table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("line_id"), "text")
+    d = read_table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("line_id"), "text")
+    return sm.union_lines(b, d, shuffle=True).select("line_id", "pos")
