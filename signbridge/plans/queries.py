@@ -691,3 +691,51 @@ def q_shuffle_union(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("line_id"), "text")
     return sm.union_lines(b, d, shuffle=True).select("line_id", "pos")
+
+
+# ---- X1/X3/X4/X5: embeddings hook and sub-words ----------------------------------------------
+
+from ..operators import embed as eb  # noqa: E402
+from ..operators import subword as sw  # noqa: E402
+
+SUBWORD_VOCAB_SIZE = sw.DEFAULT_VOCAB_SIZE
+
+
+@register("subword_pair_counts", r"""
+with w as (select unnest(list_filter(regexp_split_to_array(text,'\s+'), lambda x: x<>'')) word from documents),
+f as (select word, count(*) freq from w group by word),
+s as (select freq, string_split('▁' || word, '') c from f),
+p as (select freq, unnest(list_transform(range(1, len(c)), lambda i: c[i])) l,
+             unnest(list_transform(range(1, len(c)), lambda i: c[i+1])) r from s)
+select l "left", r "right", sum(freq)::BIGINT cnt from p group by all""")
+def q_subword_pairs(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return sw.pair_counts(sw.initial_segments(sw.word_frequencies(d)))
+
+
+@register("subword_learn")
+def q_subword_learn(spark, sf_dir):
+    return sw.learn_merges(read_table(spark, sf_dir, "documents"), SUBWORD_VOCAB_SIZE)
+
+
+@register("subword_encode")
+def q_subword_encode(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    merges = sw.learn_merges(d, SUBWORD_VOCAB_SIZE)
+    return sw.encode_lines(d, merges).select("doc_id", "pieces")
+
+
+@register("subword_decode", r"""
+select doc_id, trim(replace(replace(p, ' ', ''), '▁', ' ')) decoded
+from (select doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text,'\s+'), lambda x: x<>''),
+        lambda w: array_to_string(string_split('▁' || w, ''), ' ')), ' ') p from documents)""")
+def q_subword_decode(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", sw.decode_pieces(sw.char_pieces("text")).alias("decoded"))
+
+
+@register("embed_batches")
+def q_embed_batches(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    e = eb.embed_column(d, "text")
+    return e.select("doc_id", F.size("embedding").cast("bigint").alias("dim"))
