@@ -88,3 +88,16 @@ def fixed_decimals(c: Column | str, digits: int) -> Column:
 
 def nonempty(c: Column | str) -> Column:
     return F.coalesce(F.length(_col(c)), F.lit(0)) > 0
+
+
+def top_two_counted(words: Column | str) -> Column:
+    """Canonical form of one row's word list: lower+strip, the two most frequent words
+    (ties: first seen) joined by ``|``; an empty list gives ``''``.
+
+    A per-row expression for short lists (synonyms of one entry); grouped data uses
+    ``operators.vocab.top_two_counted`` instead."""
+    norm = F.transform(_col(words), lower_strip)
+    uniq = F.array_distinct(norm)
+    scored = F.transform(uniq, lambda w, i: F.struct(
+        (-F.size(F.filter(norm, lambda x: x == w))).alias("n"), i.alias("i"), w.alias("w")))
+    return F.array_join(F.transform(F.slice(F.array_sort(scored), 1, 2), lambda s: s["w"]), SYNONYM_SEP)
