@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +30,14 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",
     tasks are re-run.
     """
     n = num_partitions or default_parallelism(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *order_cols)
-                .sortWithinPartitions(*order_cols)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mono", F.monotonically_increasing_id()))
+    # the input is read twice (range-bound sampling, then the shuffle): compute it once
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = (src.repartitionByRange(n, *order_cols)
+                 .sortWithinPartitions(*order_cols)
+                 .withColumn("_pid", F.spark_partition_id())
+                 .withColumn("_mono", F.monotonically_increasing_id()))
     ranged = checkpoint(ranged)
+    src.unpersist()
     # monotonically_increasing_id = (partition index << 33) + row number in partition
     local = F.col("_mono") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

@@ -120,21 +120,43 @@ def tokenize_13a(line: str) -> list[str]:
     return line.split()
 
 
-def _gram_counts(ids: np.ndarray, n: int):
-    """Distinct n-grams of an int sequence (as void rows) and their counts."""
-    if len(ids) < n:
-        return np.zeros(0, dtype=f"V{8 * n}"), np.zeros(0, np.int64)
+def _dense(ids: np.ndarray, other: np.ndarray):
+    """Map two int sequences onto shared dense ids 0..k-1 (k distinct symbols)."""
+    both = np.concatenate([ids, other])
+    uniq, inv = np.unique(both, return_inverse=True)
+    return inv[:len(ids)].astype(np.int64), inv[len(ids):].astype(np.int64), len(uniq)
+
+
+def _gram_codes(ids: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Exact int64 code of every n-gram (base 2^bits digits), or void rows if too wide."""
+    m = len(ids) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    if bits * n <= 63:
+        code = ids[:m].copy()
+        for j in range(1, n):
+            code = (code << bits) | ids[j:j + m]
+        return code
     win = np.lib.stride_tricks.sliding_window_view(ids, n)
-    rows = np.ascontiguousarray(win).view(f"V{8 * n}").ravel()
-    return np.unique(rows, return_counts=True)
-
-
-def _clipped(h: np.ndarray, r: np.ndarray, n: int) -> tuple[int, int, int]:
-    """(hyp n-grams, ref n-grams, clipped matches) of two int sequences."""
-    hu, hc = _gram_counts(h, n)
-    ru, rc = _gram_counts(r, n)
-    _, hi, ri = np.intersect1d(hu, ru, assume_unique=True, return_indices=True)
-    return int(hc.sum()), int(rc.sum()), int(np.minimum(hc[hi], rc[ri]).sum())
+    return np.ascontiguousarray(win).view(f"V{8 * n}").ravel()
+
+
+def _clipped_all(h: np.ndarray, r: np.ndarray, orders: int) -> list[tuple[int, int, int]]:
+    """Per order 1..orders: (hyp n-grams, ref n-grams, clipped matches)."""
+    hd, rd, k = _dense(h, r)
+    bits = max(1, int(k).bit_length())
+    out = []
+    for n in range(1, orders + 1):
+        hc = _gram_codes(hd, n, bits)
+        rc = _gram_codes(rd, n, bits)
+        if len(hc) == 0 or len(rc) == 0:
+            out.append((len(hc), len(rc), 0))
+            continue
+        hu, hn = np.unique(hc, return_counts=True)
+        ru, rn = np.unique(rc, return_counts=True)
+        _, hi, ri = np.intersect1d(hu, ru, assume_unique=True, return_indices=True)
+        out.append((len(hc), len(rc), int(np.minimum(hn[hi], rn[ri]).sum())))
+    return out
 
 
 def _ids(tokens: list, vocab: dict) -> np.ndarray:
@@ -146,13 +168,12 @@ def bleu_row_stats(hyp: str | None, ref: str | None) -> list[int]:
     h = tokenize_13a((hyp or "").strip())
     r = tokenize_13a((ref or "").strip())
     vocab: dict = {}
-    hi, ri = _ids(h, vocab), _ids(r, vocab)
-    m, t = [], []
-    for n in range(1, BLEU_ORDER + 1):
-        th, _, mn = _clipped(hi, ri, n)
-        m.append(mn)
-        t.append(th)
-    return m + t + [len(h), len(r)]
+    stats = _clipped_all(_ids(h, vocab), _ids(r, vocab), BLEU_ORDER)
+    return [s[2] for s in stats] + [s[0] for s in stats] + [len(h), len(r)]
+
+
+def _codepoints(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
 
 
 def chrf_row_stats(hyp: str | None, ref: str | None, lowercase: bool = False) -> list[int]:
@@ -161,15 +182,8 @@ def chrf_row_stats(hyp: str | None, ref: str | None, lowercase: bool = False) ->
     r = "".join((ref or "").strip().split())
     if lowercase:
         h, r = h.lower(), r.lower()
-    hi = np.frombuffer(h.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    ri = np.frombuffer(r.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    hs, rs, ms = [], [], []
-    for n in range(1, CHRF_ORDER + 1):
-        a, b, c = _clipped(hi, ri, n)
-        hs.append(a)
-        rs.append(b)
-        ms.append(c)
-    return hs + rs + ms
+    stats = _clipped_all(_codepoints(h), _codepoints(r), CHRF_ORDER)
+    return [s[0] for s in stats] + [s[1] for s in stats] + [s[2] for s in stats]
 
 
 BLEU_FIELDS = [f"m{i}" for i in range(1, 5)] + [f"t{i}" for i in range(1, 5)] + ["hyp_len", "ref_len"]
@@ -199,6 +213,16 @@ def _chrf_udf(lowercase: bool):
 chrf_stats = _chrf_udf(False)
 chrf_stats_lower = _chrf_udf(True)
 
+CHRF_BOTH_FIELDS = CHRF_FIELDS + [f"l{f}" for f in CHRF_FIELDS]
+
+
+@F.pandas_udf(_stats_type(CHRF_BOTH_FIELDS))
+def chrf_stats_both(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    """Case-kept and lower-cased statistics in one pass over the text."""
+    rows = [chrf_row_stats(h, r) + chrf_row_stats(h, r, True) for h, r in zip(hyp, ref)]
+    return pd.DataFrame(rows, columns=CHRF_BOTH_FIELDS, dtype="int64") if rows else \
+        pd.DataFrame({f: pd.Series([], dtype="int64") for f in CHRF_BOTH_FIELDS})
+
 
 def bleu_score(s: Column) -> Column:
     """BLEU (0-100) from a struct of statistics (per row or summed): exp smoothing for
@@ -252,10 +276,9 @@ def corpus_bleu(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFra
 
 def corpus_chrf(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
     """Corpus chrF with case kept and lower-cased."""
-    st = pairs.select(chrf_stats(F.col(hyp), F.col(ref)).alias("s"),
-                      chrf_stats_lower(F.col(hyp), F.col(ref)).alias("l"))
+    st = pairs.select(chrf_stats_both(F.col(hyp), F.col(ref)).alias("s"))
     tot = st.agg(F.struct(*_sum_struct("s", CHRF_FIELDS)).alias("s"),
-                 F.struct(*_sum_struct("l", CHRF_FIELDS)).alias("l"))
+                 F.struct(*[F.sum(F.col(f"s.l{f}")).alias(f) for f in CHRF_FIELDS]).alias("l"))
     return tot.select(chrf_score(F.col("s")).alias("chrf"), chrf_score(F.col("l")).alias("chrf_lower"))
 
 

@@ -86,16 +86,31 @@ def build_vocabulary(corpus: DataFrame, order_col: str = "p_partkey", word_col:
     Returns ``id`` (0-based, key order), ``symbol`` (key), ``canonical`` (two most frequent
     words, counted), ``canonical_first2`` (first two distinct words), ``fsw`` (most frequent
     sign, first seen on ties), ``n_rows`` and ``n_words``.
+
+    Two aggregation branches: (key, word) -> counts and first positions, ranked twice in
+    one window pass; (key, sign) -> sign mode and row count.
     """
     words = vocabulary_words(corpus, order_col, word_col, fsw_col)
-    ordered = words.withColumn("_o", F.struct("order", "wpos"))
-    counted = top_two_counted(ordered, ["symbol"], "word", "_o", "canonical")
-    first2 = first_two_distinct_grouped(ordered, ["symbol"], "word", "_o", "canonical_first2")
-    signs = words.where("wpos = 0")
-    fsw_mode = most_frequent(signs, ["symbol"], "fsw", "order", "fsw")
-    sizes = words.groupBy("symbol").agg(
-        F.count_distinct("order").alias("n_rows"), F.count(F.lit(1)).alias("n_words"))
-    entries = sizes.join(counted, "symbol").join(first2, "symbol").join(fsw_mode, "symbol")
+    norm = words.select("symbol", lower_strip(F.col("word")).alias("_w"),
+                        F.struct("order", "wpos").alias("_o"))
+    counted = norm.groupBy("symbol", "_w").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
+    by_count = Window.partitionBy("symbol").orderBy(F.desc("_n"), F.asc("_first"))
+    by_first = Window.partitionBy("symbol").orderBy(F.asc("_first"))
+    ranked = counted.withColumn("_rc", F.row_number().over(by_count)) \
+                    .withColumn("_rf", F.row_number().over(by_first))
+    top = ranked.groupBy("symbol").agg(
+        _ordered_join(F.collect_list(F.when(F.col("_rc") <= 2, F.struct("_rc", "_w"))), "_w",
+                      SYNONYM_SEP).alias("canonical"),
+        _ordered_join(F.collect_list(F.when(F.col("_rf") <= 2, F.struct("_rf", "_w"))), "_w",
+                      SYNONYM_SEP).alias("canonical_first2"),
+        F.sum("_n").alias("n_words"))
+    signs = words.where("wpos = 0").groupBy("symbol", "fsw").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("order").alias("_first"))
+    mode = signs.groupBy("symbol").agg(
+        F.min(F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("f"), F.col("fsw").alias("v")))
+        .getField("v").alias("fsw"),
+        F.sum("_n").alias("n_rows"))
+    entries = top.join(mode, "symbol")
     return dense_index(entries, ["symbol"], "id").select(
         "id", "symbol", "canonical", "canonical_first2", "fsw", "n_rows", "n_words")
 

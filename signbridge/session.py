@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,9 +60,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the session's checkpoint folder (survives executor loss)."""
+    """Reliable checkpoint into the session's checkpoint folder (survives executor loss).
+
+    The frame is persisted while it is checkpointed, so it is computed once (the
+    checkpoint write otherwise recomputes it after the materialising job)."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
