@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +100,7 @@ def _merge_expr(seg, pairs: list[tuple[str, str]]):
 
 def learn_merges(lines: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE, text_col: str = "text",
                  merges_per_round: int = 128, min_ratio: float = 0.3,
-                 checkpoint_every: int = 4) -> DataFrame:
+                 checkpoint_every: int = 8) -> DataFrame:
     """Learn merges until the vocabulary (specials + characters + merges) reaches
     ``vocab_size``. Returns (rank, left, right, piece, cnt)."""
     spark = lines.sparkSession
@@ -109,10 +110,15 @@ def learn_merges(lines: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE, text_co
     budget = max(0, vocab_size - SPECIAL_PIECES - alphabet)
     merges: list[tuple[str, str, int]] = []
     rounds = 0
+    cached: list[DataFrame] = []
     while len(merges) < budget:
         k = min(merges_per_round, budget - len(merges))
         top = pair_counts(segs).where(F.col("cnt") >= 1) \
             .orderBy(F.desc("cnt"), F.asc("left"), F.asc("right")).limit(4 * k).collect()
+        # the count job materialised ``segs``: its cached parents are no longer needed
+        for old in cached[:-1]:
+            old.unpersist()
+        cached = cached[-1:]
         chosen = _pick(top, k, min_ratio)
         if not chosen:
             break
@@ -120,7 +126,12 @@ def learn_merges(lines: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE, text_co
         merges.extend(chosen)
         rounds += 1
         if rounds % checkpoint_every == 0:
-            segs = checkpoint(segs)
+            segs = checkpoint(segs)   # cut lineage into the shared checkpoint folder
+        else:
+            segs = segs.persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(segs)
+    for old in cached:
+        old.unpersist()
     rows = [(i, a, b, a + b, c) for i, (a, b, c) in enumerate(merges)]
     return spark.createDataFrame(rows, "rank long, left string, right string, piece string, cnt long")
 

@@ -2,8 +2,8 @@
 
 Scale notes
 * Entry word lists are never collected into one row: per key we aggregate to distinct
-  (word, count, first position) rows and keep at most two per key with a ranked window
-  (Spark plans a partial ``WindowGroupLimit`` before the shuffle).
+  (word, count, first position) rows and pick the best two per key with ``min(struct)``
+  aggregates (partially aggregated map-side, so a hot key costs no single-task sort).
 * The vocabulary join is broadcast only behind a checked row bound; otherwise it is a
   shuffle join on the key, where AQE splits hot keys (e.g. punctuation signs).
 * Sentence re-grouping collects one sentence's signs, bounded by the sentence length.
@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fsw as fx
-from ..functions.text import SIGN_GLUE, SYNONYM_SEP, UNIT_GLUE, UNKNOWN, lower_strip
+from ..functions.text import SIGN_GLUE, SYNONYM_SEP, UNIT_GLUE, UNKNOWN, first_two_distinct, lower_strip
 from ..session import checked_broadcast
 from .indexing import dense_index
 
@@ -28,16 +29,27 @@ def _ordered_join(items: Column, field: str, glue: str) -> Column:
     return F.array_join(F.transform(F.array_sort(items), lambda s: s[field]), glue)
 
 
+def _top_two(counted: DataFrame, key, order, word: str = "_w", broadcast_rows: int = VOCAB_BROADCAST_ROWS):
+    """Per key, the best and second-best ``word`` under the ordering struct ``order``
+    (smallest first; its field ``w`` is the word), with aggregates only: partial
+    aggregation map-side keeps hot keys cheap and no key's rows are sorted in one task."""
+    keys = [key] if isinstance(key, str) else list(key)
+    first = counted.groupBy(*keys).agg(F.min(order).alias("_b1"))
+    rest = counted.join(checked_broadcast(first, broadcast_rows), keys) \
+                  .where(F.col(word) != F.col("_b1.w"))
+    second = rest.groupBy(*keys).agg(F.min(order).alias("_b2"))
+    both = first.join(second, keys, "left")
+    return both.select(*keys, F.concat_ws(SYNONYM_SEP, F.col("_b1.w"), F.col("_b2.w")).alias("_top"))
+
+
 def top_two_counted(df: DataFrame, group_cols: list[str], word_col: str, order_col: str,
                     name: str = "canonical") -> DataFrame:
     """Per group: lower+strip the words, count them, keep the two most frequent (ties:
     first seen), join with ``|``. ``order_col`` gives the first-seen order."""
     norm = df.select(*group_cols, lower_strip(F.col(word_col)).alias("_w"), F.col(order_col).alias("_o"))
     counted = norm.groupBy(*group_cols, "_w").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
-    w = Window.partitionBy(*group_cols).orderBy(F.desc("_n"), F.asc("_first"))
-    top = counted.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
-    return top.groupBy(*group_cols).agg(
-        _ordered_join(F.collect_list(F.struct("_r", "_w")), "_w", SYNONYM_SEP).alias(name))
+    order = F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("f"), F.col("_w").alias("w"))
+    return _top_two(counted, group_cols, order).withColumnRenamed("_top", name)
 
 
 def first_two_distinct_grouped(df: DataFrame, group_cols: list[str], word_col: str, order_col: str,
@@ -45,10 +57,8 @@ def first_two_distinct_grouped(df: DataFrame, group_cols: list[str], word_col: s
     """Per group: the first two distinct lower+stripped words in ``order_col`` order."""
     norm = df.select(*group_cols, lower_strip(F.col(word_col)).alias("_w"), F.col(order_col).alias("_o"))
     firsts = norm.groupBy(*group_cols, "_w").agg(F.min("_o").alias("_first"))
-    w = Window.partitionBy(*group_cols).orderBy(F.asc("_first"))
-    top = firsts.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
-    return top.groupBy(*group_cols).agg(
-        _ordered_join(F.collect_list(F.struct("_r", "_w")), "_w", SYNONYM_SEP).alias(name))
+    order = F.struct(F.col("_first").alias("f"), F.col("_w").alias("w"))
+    return _top_two(firsts, group_cols, order).withColumnRenamed("_top", name)
 
 
 def most_frequent(df: DataFrame, group_cols: list[str], value_col: str, order_col: str,
@@ -87,30 +97,25 @@ def build_vocabulary(corpus: DataFrame, order_col: str = "p_partkey", word_col:
     words, counted), ``canonical_first2`` (first two distinct words), ``fsw`` (most frequent
     sign, first seen on ties), ``n_rows`` and ``n_words``.
 
-    Two aggregation branches: (key, word) -> counts and first positions, ranked twice in
-    one window pass; (key, sign) -> sign mode and row count.
+    Aggregates only: (key, word) -> count and first position, then the two best words per
+    key by (count desc, first) and by (first); (key, sign) -> sign mode and row count.
     """
     words = vocabulary_words(corpus, order_col, word_col, fsw_col)
     norm = words.select("symbol", lower_strip(F.col("word")).alias("_w"),
                         F.struct("order", "wpos").alias("_o"))
     counted = norm.groupBy("symbol", "_w").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
-    by_count = Window.partitionBy("symbol").orderBy(F.desc("_n"), F.asc("_first"))
-    by_first = Window.partitionBy("symbol").orderBy(F.asc("_first"))
-    ranked = counted.withColumn("_rc", F.row_number().over(by_count)) \
-                    .withColumn("_rf", F.row_number().over(by_first))
-    top = ranked.groupBy("symbol").agg(
-        _ordered_join(F.collect_list(F.when(F.col("_rc") <= 2, F.struct("_rc", "_w"))), "_w",
-                      SYNONYM_SEP).alias("canonical"),
-        _ordered_join(F.collect_list(F.when(F.col("_rf") <= 2, F.struct("_rf", "_w"))), "_w",
-                      SYNONYM_SEP).alias("canonical_first2"),
-        F.sum("_n").alias("n_words"))
+    by_count = F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("f"), F.col("_w").alias("w"))
+    by_first = F.struct(F.col("_first").alias("f"), F.col("_w").alias("w"))
+    canon = _top_two(counted, "symbol", by_count).withColumnRenamed("_top", "canonical")
+    first2 = _top_two(counted, "symbol", by_first).withColumnRenamed("_top", "canonical_first2")
+    n_words = counted.groupBy("symbol").agg(F.sum("_n").alias("n_words"))
     signs = words.where("wpos = 0").groupBy("symbol", "fsw").agg(
         F.count(F.lit(1)).alias("_n"), F.min("order").alias("_first"))
     mode = signs.groupBy("symbol").agg(
         F.min(F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("f"), F.col("fsw").alias("v")))
         .getField("v").alias("fsw"),
         F.sum("_n").alias("n_rows"))
-    entries = top.join(mode, "symbol")
+    entries = canon.join(first2, "symbol").join(n_words, "symbol").join(mode, "symbol")
     return dense_index(entries, ["symbol"], "id").select(
         "id", "symbol", "canonical", "canonical_first2", "fsw", "n_rows", "n_words")
 
@@ -220,3 +225,29 @@ def union_with_vocabulary(train: DataFrame, corpus: DataFrame) -> DataFrame:
     a = train.select(F.col("sentence").cast("string"), F.col("fsw"), F.lit("train").alias("origin"))
     b = corpus.select(F.col("word").alias("sentence"), F.col("fsw"), F.lit("vocabulary").alias("origin"))
     return a.unionByName(b)
+
+
+def lexicon_from_entries(entries: DataFrame) -> DataFrame:
+    """Lookup table from stored vocabulary entries (``id``, ``symbol``, ``word`` list).
+
+    ``symbol`` may be one key or a list of keys; every key of every entry is matched.
+    When several entries share a key, their word lists are pooled (entry order, then
+    word order) before the two most frequent words are taken. Returns
+    ``symbol``, ``canonical``, ``id`` (the first entry of the key)."""
+    sym_type = entries.schema["symbol"].dataType
+    keys = F.explode("symbol") if isinstance(sym_type, T.ArrayType) else F.col("symbol")
+    e = entries.select("id", keys.alias("symbol"), "word")
+    w = e.select("symbol", "id", F.posexplode("word").alias("wpos", "w")) \
+         .withColumn("_o", F.struct("id", "wpos"))
+    canon = top_two_counted(w, ["symbol"], "w", "_o", "canonical")
+    ids = e.groupBy("symbol").agg(F.min("id").alias("id"))
+    return canon.join(ids, "symbol")
+
+
+def entries_with_canonical(entries: DataFrame) -> DataFrame:
+    """Stored entries -> add per-entry ``canonical_first2`` (first two distinct words) and
+    ``fsw`` as the entry's most frequent sign (row expressions over the entry's lists)."""
+    from .retrieval import mode_of_list
+    return entries.withColumn("canonical_first2", first_two_distinct(F.col("word"))) \
+                  .withColumn("fsw", F.when(F.col("fsw").isNull(), F.lit(None))
+                              .otherwise(mode_of_list(F.col("fsw"))))

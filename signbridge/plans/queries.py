@@ -245,6 +245,7 @@ def q_train_plus_vocab(spark, sf_dir):
 # ---- J5/W1/W2/W3/A9: retrieval --------------------------------------------------------------
 
 from ..operators import prompts as pr  # noqa: E402
+from ..session import checkpoint  # noqa: E402
 from ..operators import retrieval as rv  # noqa: E402
 
 # Orders hold at most 7 signs, so the reference threshold (more than 7 unknown units)
@@ -396,13 +397,15 @@ def q_fewshot(spark, sf_dir):
     signs = signs_view(spark, sf_dir)
     vocab = _vocab(spark, sf_dir)
     dec = _decomposed(spark, sf_dir, vc.lookup_signs(signs, vocab))
-    sv = _sentence_vectors(spark, sf_dir, dec)
     stext = sentence_text(spark, sf_dir, signs)
-    queries = sv.join(stext, "sentence_id").select(
-        F.col("sentence_id").alias("q_id"), F.col("sentence").alias("text"), F.col("embedding").alias("q_vec"))
-    w1 = rv.similar_sentences(queries, sv)
-    examples = w1.join(stext.withColumnRenamed("sentence_id", "c_id"), "c_id") \
-        .join(dec.select(F.col("sentence_id").alias("c_id"), F.col("word").alias("decomposition")), "c_id")
+    # the sentence table feeds the queries, the candidates and the examples: write it once
+    sents = checkpoint(_sentence_vectors(spark, sf_dir, dec).join(stext, "sentence_id")
+                       .select("sentence_id", "sentence", "word", "embedding"))
+    queries = sents.select(F.col("sentence_id").alias("q_id"), F.col("sentence").alias("text"),
+                           F.col("embedding").alias("q_vec"))
+    w1 = rv.similar_sentences(queries, sents)
+    examples = w1.join(sents.select(F.col("sentence_id").alias("c_id"), "sentence",
+                                    F.col("word").alias("decomposition")), "c_id")
     canon = rv.similar_canonicals(queries, _vocab_vectors(spark, sf_dir, vocab))
     prompts = pr.build_messages(queries, examples, canon)
     return pr.explode_messages(prompts)
@@ -479,17 +482,26 @@ def q_coord_distance(spark, sf_dir):
     s = signs_view(spark, sf_dir)
     items = F.array_sort(F.collect_list(F.struct("pos", "fsw")))
     seq = s.groupBy("sentence_id").agg(F.transform(items, lambda x: fx.parse_sign(x["fsw"])).alias("p"))
-    seq = ix.dense_index(seq, ["sentence_id"], "i")
-    outs = []
-    for ordered in (False, True):
-        p = F.transform("p", fx.with_sorted_symbols) if ordered else F.col("p")
-        lists = seq.select("i", fx.flatten_signs(p, "xs").alias("xs"), fx.flatten_signs(p, "ys").alias("ys"))
-        pred = lists.select("i", F.col("xs").alias("px"), F.col("ys").alias("py"))
-        gold = lists.select((F.col("i") - 1).alias("i"), F.col("xs").alias("gx"), F.col("ys").alias("gy"))
-        t = mt.distance_totals(pred.join(gold, "i"), "px", "gx", "py", "gy")
-        outs.append(t.select(F.lit(ordered).alias("ordered"), "total_x", "total_y", "tokens",
-                             _round6(F.col("mean_x")).alias("mean_x"), _round6(F.col("mean_y")).alias("mean_y")))
-    return outs[0].unionByName(outs[1])
+    srt = F.transform("p", fx.with_sorted_symbols)
+    lists = seq.select("sentence_id",
+                       fx.flatten_signs(F.col("p"), "xs").alias("xs"), fx.flatten_signs(F.col("p"), "ys").alias("ys"),
+                       fx.flatten_signs(srt, "xs").alias("sxs"), fx.flatten_signs(srt, "ys").alias("sys"))
+    lists = ix.dense_index(lists, ["sentence_id"], "i")
+    pred = lists.select("i", *[F.col(c).alias("p_" + c) for c in ("xs", "ys", "sxs", "sys")])
+    gold = lists.select((F.col("i") - 1).alias("i"), *[F.col(c).alias("g_" + c) for c in ("xs", "ys", "sxs", "sys")])
+    pairs = pred.join(gold, "i")
+    d = pairs.select(
+        mt.padded_distance(F.col("p_xs"), F.col("g_xs")).alias("dx"),
+        mt.padded_distance(F.col("p_ys"), F.col("g_ys")).alias("dy"),
+        mt.padded_length(F.col("p_xs"), F.col("g_xs")).alias("n"),
+        mt.padded_distance(F.col("p_sxs"), F.col("g_sxs")).alias("sdx"),
+        mt.padded_distance(F.col("p_sys"), F.col("g_sys")).alias("sdy"),
+        mt.padded_length(F.col("p_sxs"), F.col("g_sxs")).alias("sn"))
+    t = d.agg(*[F.sum(c).alias(c) for c in ("dx", "dy", "n", "sdx", "sdy", "sn")])
+    rows = t.select(F.expr("stack(2, false, dx, dy, n, true, sdx, sdy, sn) as (ordered, total_x, total_y, tokens)"))
+    return rows.select("ordered", "total_x", "total_y", "tokens",
+                       _round6(F.col("total_x") / F.col("tokens")).alias("mean_x"),
+                       _round6(F.col("total_y") / F.col("tokens")).alias("mean_y"))
 
 
 @register("bleu_sentence", "with " + ms.bleu_ctes() + f"""

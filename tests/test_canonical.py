@@ -70,3 +70,17 @@ def test_repetition_flag(spark):
     df = spark.createDataFrame([("a # a # a # a # a # a",), ("a # b",), ("",), ("x # <unk> ",), (None,)], "t string")
     got = [r[0] for r in df.select(tx.repetition_flag(tx.split_units("t"))).collect()]
     assert got == [True, False, False, True, False]
+
+
+def test_stored_entries_with_list_keys(spark):
+    entries = spark.createDataFrame([
+        (0, ["S10004 S22a04", "S38800"], ["go", "leave", "go"], ["F0", "F1", "F1"]),
+        (1, ["S38800"], ["stop", "STOP", "halt"], ["F2"]),
+    ], "id long, symbol array<string>, word array<string>, fsw array<string>")
+    lex = {r["symbol"]: (r["canonical"], r["id"]) for r in vc.lexicon_from_entries(entries).collect()}
+    assert lex["S10004 S22a04"] == ("go|leave", 0)
+    # pooled lists of entries 0 and 1: go x2, stop x2 -> first seen wins the tie order
+    assert lex["S38800"] == ("go|stop", 0)
+    ent = {r["id"]: r for r in vc.entries_with_canonical(entries).collect()}
+    assert ent[0]["canonical_first2"] == "go|leave" and ent[0]["fsw"] == "F1"
+    assert ent[1]["canonical_first2"] == "stop|halt" and ent[1]["fsw"] == "F2"
