@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint, default_parallelism
 
-# Leading hash bits used for the bucket histogram (2^20 buckets at most).
+# Leading hex digits of the hash used for the bucket histogram: 2^20 buckets, or 2^16
+# per group when rows are cut per group (the broadcast histogram stays near 1M rows for
+# up to ~16 groups).
 HASH_BUCKET_HEX = 5
+HASH_BUCKET_HEX_GROUPED = 4
 
 
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",
@@ -69,7 +72,8 @@ def hash_rank_cut(df: DataFrame, id_col: str, seed: int | str | Column, cuts: li
     groups = list(group_cols or [])
     seed_c = F.col(seed) if isinstance(seed, str) and seed in df.columns else seed
     h = seeded_hash(F.col(id_col), seed_c)
-    with_h = df.withColumn("_h", h).withColumn("_b", F.substring(F.col("_h"), 1, HASH_BUCKET_HEX))
+    digits = HASH_BUCKET_HEX_GROUPED if groups else HASH_BUCKET_HEX
+    with_h = df.withColumn("_h", h).withColumn("_b", F.substring(F.col("_h"), 1, digits))
 
     hist = with_h.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_bn"))
     wcum = Window.partitionBy(*groups).orderBy("_b") if groups else Window.orderBy("_b")
@@ -87,7 +91,7 @@ def hash_rank_cut(df: DataFrame, id_col: str, seed: int | str | Column, cuts: li
         straddle = straddle | ((F.col("_lo") < F.col(f"_c{i}")) & (F.col(f"_c{i}") < F.col("_hi")))
     hist = hist.withColumn("_straddle", straddle)
 
-    # the histogram has at most groups x 16^HASH_BUCKET_HEX rows
+    # the histogram has at most groups x 16^digits rows
     joined = with_h.join(F.broadcast(hist), [*groups, "_b"])
     inner = joined.where(~F.col("_straddle")).withColumn("_rank", F.col("_lo"))
     edge = joined.where(F.col("_straddle"))

@@ -11,6 +11,7 @@ Scale notes
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +22,7 @@ from ..session import checked_broadcast
 from .indexing import dense_index
 
 # Vocabulary sides up to this many rows are broadcast in the sign lookup.
-VOCAB_BROADCAST_ROWS = 2_000_000
+VOCAB_BROADCAST_ROWS = 1_000_000
 
 
 def _ordered_join(items: Column, field: str, glue: str) -> Column:
@@ -52,6 +53,19 @@ def top_two_counted(df: DataFrame, group_cols: list[str], word_col: str, order_c
     return _top_two(counted, group_cols, order).withColumnRenamed("_top", name)
 
 
+def top_two_counted_per_row(df: DataFrame, group_cols: list[str], word_col: str, order_col: str,
+                            name: str = "canonical") -> DataFrame:
+    """``top_two_counted`` for groups bounded by one source row (e.g. the words of one
+    document): one ranked window whose ``<= 2`` filter Spark turns into a partial
+    ``WindowGroupLimit`` before the shuffle."""
+    norm = df.select(*group_cols, lower_strip(F.col(word_col)).alias("_w"), F.col(order_col).alias("_o"))
+    counted = norm.groupBy(*group_cols, "_w").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
+    w = Window.partitionBy(*group_cols).orderBy(F.desc("_n"), F.asc("_first"))
+    top = counted.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
+    return top.groupBy(*group_cols).agg(
+        _ordered_join(F.collect_list(F.struct("_r", "_w")), "_w", SYNONYM_SEP).alias(name))
+
+
 def first_two_distinct_grouped(df: DataFrame, group_cols: list[str], word_col: str, order_col: str,
                                name: str = "canonical_first2") -> DataFrame:
     """Per group: the first two distinct lower+stripped words in ``order_col`` order."""
@@ -104,6 +118,8 @@ def build_vocabulary(corpus: DataFrame, order_col: str = "p_partkey", word_col:
     norm = words.select("symbol", lower_strip(F.col("word")).alias("_w"),
                         F.struct("order", "wpos").alias("_o"))
     counted = norm.groupBy("symbol", "_w").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
+    # five consumers below; the eager checkpoint in dense_index materialises them all
+    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
     by_count = F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("f"), F.col("_w").alias("w"))
     by_first = F.struct(F.col("_first").alias("f"), F.col("_w").alias("w"))
     canon = _top_two(counted, "symbol", by_count).withColumnRenamed("_top", "canonical")
@@ -116,8 +132,10 @@ def build_vocabulary(corpus: DataFrame, order_col: str = "p_partkey", word_col:
         .getField("v").alias("fsw"),
         F.sum("_n").alias("n_rows"))
     entries = canon.join(first2, "symbol").join(n_words, "symbol").join(mode, "symbol")
-    return dense_index(entries, ["symbol"], "id").select(
+    out = dense_index(entries, ["symbol"], "id").select(
         "id", "symbol", "canonical", "canonical_first2", "fsw", "n_rows", "n_words")
+    counted.unpersist()
+    return out
 
 
 def parse_sign_rows(signs: DataFrame, fsw_col: str = "fsw") -> DataFrame:

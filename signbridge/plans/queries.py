@@ -83,7 +83,7 @@ group by doc_id
 def q_canonical_top2(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     toks = d.select("doc_id", F.posexplode(tx.whitespace_tokens("text")).alias("p", "w"))
-    return vc.top_two_counted(toks, ["doc_id"], "w", "p", "canonical")
+    return vc.top_two_counted_per_row(toks, ["doc_id"], "w", "p", "canonical")
 
 
 # ---- F1/F2/F5/W5: sign parsing --------------------------------------------------------------

@@ -31,6 +31,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     )
     if master:
         builder = builder.master(master)
+    if master and master.startswith("local"):
+        # local mode runs every task inside the driver JVM: give it a real heap
+        builder = builder.config("spark.driver.memory", os.environ.get("SIGNBRIDGE_DRIVER_MEMORY", "16g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
