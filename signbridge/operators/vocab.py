@@ -2,8 +2,9 @@
 
 Scale notes
 * Entry word lists are never collected into one row: per key we aggregate to distinct
-  (word, count, first position) rows and pick the best two per key with ``min(struct)``
-  aggregates (partially aggregated map-side, so a hot key costs no single-task sort).
+  (word, count, first position) rows and keep the best two per key with a ranked window
+  whose ``<= 2`` filter becomes a partial ``WindowGroupLimit`` before the shuffle (a hot
+  key costs its reducer two rows per map task).
 * The vocabulary join is broadcast only behind a checked row bound; otherwise it is a
   shuffle join on the key, where AQE splits hot keys (e.g. punctuation signs).
 * Sentence re-grouping collects one sentence's signs, bounded by the sentence length.
@@ -30,17 +31,15 @@ def _ordered_join(items: Column, field: str, glue: str) -> Column:
     return F.array_join(F.transform(F.array_sort(items), lambda s: s[field]), glue)
 
 
-def _top_two(counted: DataFrame, key, order, word: str = "_w", broadcast_rows: int = VOCAB_BROADCAST_ROWS):
-    """Per key, the best and second-best ``word`` under the ordering struct ``order``
-    (smallest first; its field ``w`` is the word), with aggregates only: partial
-    aggregation map-side keeps hot keys cheap and no key's rows are sorted in one task."""
-    keys = [key] if isinstance(key, str) else list(key)
-    first = counted.groupBy(*keys).agg(F.min(order).alias("_b1"))
-    rest = counted.join(checked_broadcast(first, broadcast_rows), keys) \
-                  .where(F.col(word) != F.col("_b1.w"))
-    second = rest.groupBy(*keys).agg(F.min(order).alias("_b2"))
-    both = first.join(second, keys, "left")
-    return both.select(*keys, F.concat_ws(SYNONYM_SEP, F.col("_b1.w"), F.col("_b2.w")).alias("_top"))
+def _top_two(counted: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """Per key, the two first ``_w`` values in ``order`` joined with ``|``.
+
+    The ``row_number() <= 2`` filter makes Spark plan a partial ``WindowGroupLimit``
+    before the shuffle: every map task sends at most two rows per key, so a hot key
+    costs its reducer two rows per map task, never the whole group."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    top = counted.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
+    return top.groupBy(*keys).agg(_ordered_join(F.collect_list(F.struct("_r", "_w")), "_w", SYNONYM_SEP).alias(name))
 
 
 def top_two_counted(df: DataFrame, group_cols: list[str], word_col: str, order_col: str,
@@ -49,21 +48,7 @@ def top_two_counted(df: DataFrame, group_cols: list[str], word_col: str, order_c
     first seen), join with ``|``. ``order_col`` gives the first-seen order."""
     norm = df.select(*group_cols, lower_strip(F.col(word_col)).alias("_w"), F.col(order_col).alias("_o"))
     counted = norm.groupBy(*group_cols, "_w").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
-    order = F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("f"), F.col("_w").alias("w"))
-    return _top_two(counted, group_cols, order).withColumnRenamed("_top", name)
-
-
-def top_two_counted_per_row(df: DataFrame, group_cols: list[str], word_col: str, order_col: str,
-                            name: str = "canonical") -> DataFrame:
-    """``top_two_counted`` for groups bounded by one source row (e.g. the words of one
-    document): one ranked window whose ``<= 2`` filter Spark turns into a partial
-    ``WindowGroupLimit`` before the shuffle."""
-    norm = df.select(*group_cols, lower_strip(F.col(word_col)).alias("_w"), F.col(order_col).alias("_o"))
-    counted = norm.groupBy(*group_cols, "_w").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
-    w = Window.partitionBy(*group_cols).orderBy(F.desc("_n"), F.asc("_first"))
-    top = counted.withColumn("_r", F.row_number().over(w)).where("_r <= 2")
-    return top.groupBy(*group_cols).agg(
-        _ordered_join(F.collect_list(F.struct("_r", "_w")), "_w", SYNONYM_SEP).alias(name))
+    return _top_two(counted, group_cols, [F.desc("_n"), F.asc("_first")], name)
 
 
 def first_two_distinct_grouped(df: DataFrame, group_cols: list[str], word_col: str, order_col: str,
@@ -71,8 +56,7 @@ def first_two_distinct_grouped(df: DataFrame, group_cols: list[str], word_col: s
     """Per group: the first two distinct lower+stripped words in ``order_col`` order."""
     norm = df.select(*group_cols, lower_strip(F.col(word_col)).alias("_w"), F.col(order_col).alias("_o"))
     firsts = norm.groupBy(*group_cols, "_w").agg(F.min("_o").alias("_first"))
-    order = F.struct(F.col("_first").alias("f"), F.col("_w").alias("w"))
-    return _top_two(firsts, group_cols, order).withColumnRenamed("_top", name)
+    return _top_two(firsts, group_cols, [F.asc("_first")], name)
 
 
 def most_frequent(df: DataFrame, group_cols: list[str], value_col: str, order_col: str,
@@ -111,19 +95,18 @@ def build_vocabulary(corpus: DataFrame, order_col: str = "p_partkey", word_col:
     words, counted), ``canonical_first2`` (first two distinct words), ``fsw`` (most frequent
     sign, first seen on ties), ``n_rows`` and ``n_words``.
 
-    Aggregates only: (key, word) -> count and first position, then the two best words per
-    key by (count desc, first) and by (first); (key, sign) -> sign mode and row count.
+    (key, word) -> count and first position, then the two best words per key by
+    (count desc, first) and by (first) with group-limited windows; (key, sign) -> sign
+    mode (a ``min(struct)`` aggregate) and row count.
     """
     words = vocabulary_words(corpus, order_col, word_col, fsw_col)
     norm = words.select("symbol", lower_strip(F.col("word")).alias("_w"),
                         F.struct("order", "wpos").alias("_o"))
     counted = norm.groupBy("symbol", "_w").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
-    # five consumers below; the eager checkpoint in dense_index materialises them all
+    # four consumers below; the eager checkpoint in dense_index materialises them all
     counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
-    by_count = F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("f"), F.col("_w").alias("w"))
-    by_first = F.struct(F.col("_first").alias("f"), F.col("_w").alias("w"))
-    canon = _top_two(counted, "symbol", by_count).withColumnRenamed("_top", "canonical")
-    first2 = _top_two(counted, "symbol", by_first).withColumnRenamed("_top", "canonical_first2")
+    canon = _top_two(counted, ["symbol"], [F.desc("_n"), F.asc("_first")], "canonical")
+    first2 = _top_two(counted, ["symbol"], [F.asc("_first")], "canonical_first2")
     n_words = counted.groupBy("symbol").agg(F.sum("_n").alias("n_words"))
     signs = words.where("wpos = 0").groupBy("symbol", "fsw").agg(
         F.count(F.lit(1)).alias("_n"), F.min("order").alias("_first"))

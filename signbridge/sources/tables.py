@@ -25,20 +25,33 @@ TABLE_KEYS = {
 }
 
 
-def spread(df: DataFrame, key: str | None) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` when its scan has fewer partitions than the cluster
-    has cores (e.g. one large row group). Large inputs with many splits are left as they
-    are. Hash partitioning is deterministic on retry and pre-partitions later per-key
-    windows and aggregates on the same key."""
+# Scans smaller than this are not worth an extra shuffle stage.
+SPREAD_MIN_BYTES = 4 * 1024 * 1024
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of a file or folder through the Hadoop file system of the session."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
+def spread(df: DataFrame, key: str | None, size_bytes: int) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` when a large scan yields fewer partitions than the
+    cluster has cores (e.g. one big row group). Inputs with many splits, and small ones,
+    are left as they are. Hash partitioning is deterministic on retry and pre-partitions
+    later per-key windows and aggregates on the same key."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if key is None or df.rdd.getNumPartitions() >= cores:
+    if key is None or size_bytes < SPREAD_MIN_BYTES or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df, TABLE_KEYS.get(name))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
+    return spread(df, TABLE_KEYS.get(name), input_bytes(spark, path))
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
