@@ -99,7 +99,7 @@ def _merge_expr(seg, pairs: list[tuple[str, str]]):
 
 
 def learn_merges(lines: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE, text_col: str = "text",
-                 merges_per_round: int = 128, min_ratio: float = 0.3,
+                 merges_per_round: int = 256, min_ratio: float = 0.2,
                  checkpoint_every: int = 8) -> DataFrame:
     """Learn merges until the vocabulary (specials + characters + merges) reaches
     ``vocab_size``. Returns (rank, left, right, piece, cnt)."""
