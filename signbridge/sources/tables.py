@@ -30,28 +30,28 @@ SPREAD_MIN_BYTES = 4 * 1024 * 1024
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of a file or folder through the Hadoop file system of the session."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
+    """Total size of the files under ``path`` (file listing only, contents not read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return int(files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0])
 
 
-def spread(df: DataFrame, key: str | None, size_bytes: int) -> DataFrame:
+def spread(df: DataFrame, key: str | None, path: str) -> DataFrame:
     """Hash-partition ``df`` by ``key`` when a large scan yields fewer partitions than the
     cluster has cores (e.g. one big row group). Inputs with many splits, and small ones,
     are left as they are. Hash partitioning is deterministic on retry and pre-partitions
     later per-key windows and aggregates on the same key."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if key is None or size_bytes < SPREAD_MIN_BYTES or df.rdd.getNumPartitions() >= cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if key is None or df.rdd.getNumPartitions() >= cores:
+        return df
+    if input_bytes(spark, path) < SPREAD_MIN_BYTES:
         return df
     return df.repartition(cores, key)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    return spread(df, TABLE_KEYS.get(name), input_bytes(spark, path))
+    return spread(spark.read.parquet(path), TABLE_KEYS.get(name), path)
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
