@@ -1,7 +1,5 @@
 """Canonical forms, vocabulary grouping and the order-free lookup (hand cases)."""
 
-from pyspark.sql import functions as F
-
 from signbridge.functions import text as tx
 from signbridge.operators import vocab as vc
 
