@@ -92,8 +92,8 @@ def distance_totals(pairs: DataFrame, px: str, gx: str, py: str, gy: str) -> Dat
                      padded_distance(F.col(py), F.col(gy)).alias("dy"),
                      padded_length(F.col(px), F.col(gx)).alias("n"))
     s = t.agg(F.sum("dx").alias("total_x"), F.sum("dy").alias("total_y"), F.sum("n").alias("tokens"))
-    return s.withColumn("mean_x", F.col("total_x") / F.col("tokens")) \
-            .withColumn("mean_y", F.col("total_y") / F.col("tokens"))
+    return s.withColumn("mean_x", F.try_divide(F.col("total_x"), F.col("tokens").cast("double"))) \
+            .withColumn("mean_y", F.try_divide(F.col("total_y"), F.col("tokens").cast("double")))
 
 
 # ---- BLEU / chrF sufficient statistics -----------------------------------------------------------

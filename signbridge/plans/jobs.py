@@ -158,7 +158,7 @@ def evaluate_signs(pairs: DataFrame, pred: str = "pred_fsw_seq", gold: str = "go
         id_col,
         plain_p["symbols"].alias("pred_symbols"), plain_g["symbols"].alias("gold_symbols"),
         sort_p["symbols"].alias("pred_symbols_sorted"), sort_g["symbols"].alias("gold_symbols_sorted"),
-        *[F.split(c[f], " ").cast("array<int>").alias(n) for c, f, n in [
+        *[F.filter(F.split(c[f], " "), lambda t: t != "").cast("array<int>").alias(n) for c, f, n in [
             (plain_p, "xs", "px"), (plain_g, "xs", "gx"), (plain_p, "ys", "py"), (plain_g, "ys", "gy"),
             (sort_p, "xs", "spx"), (sort_g, "xs", "sgx"), (sort_p, "ys", "spy"), (sort_g, "ys", "sgy")]])
     # set F1 on symbol ids without box letters

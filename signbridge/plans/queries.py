@@ -500,8 +500,8 @@ def q_coord_distance(spark, sf_dir):
     t = d.agg(*[F.sum(c).alias(c) for c in ("dx", "dy", "n", "sdx", "sdy", "sn")])
     rows = t.select(F.expr("stack(2, false, dx, dy, n, true, sdx, sdy, sn) as (ordered, total_x, total_y, tokens)"))
     return rows.select("ordered", "total_x", "total_y", "tokens",
-                       _round6(F.col("total_x") / F.col("tokens")).alias("mean_x"),
-                       _round6(F.col("total_y") / F.col("tokens")).alias("mean_y"))
+                       _round6(F.try_divide(F.col("total_x"), F.col("tokens").cast("double"))).alias("mean_x"),
+                       _round6(F.try_divide(F.col("total_y"), F.col("tokens").cast("double"))).alias("mean_y"))
 
 
 @register("bleu_sentence", "with " + ms.bleu_ctes() + f"""

@@ -93,3 +93,12 @@ def test_cosine_and_report_helpers(spark):
     scored = spark.createDataFrame([(0, 0.28888, 0.17571, 0.21852)], "row_id long, precision double, recall double, f1 double")
     r = wr.metric_report(scored).first()
     assert (r["Row"], r["Precision"], r["Recall"], r["F1"]) == (1, "0.2889", "0.1757", "0.2185")
+
+
+def test_evaluate_signs_empty_prediction(spark):
+    pairs = spark.createDataFrame([(0, "", "M500x500S38800464x496")],
+                                  "row_id long, pred_fsw_seq string, gold_fsw_seq string")
+    out = jobs.evaluate_signs(pairs)
+    assert out["f1_rows"].first()["f1"] == 0.0
+    d = {r["ordered"]: r for r in out["distance"].collect()}
+    assert d[False]["tokens"] == 2 and d[False]["total_x"] == abs(482 - 500) + abs(482 - 464)
