@@ -69,3 +69,28 @@ def test_csv_source(spark, tmp_dir):
     assert [(r["word"], r["fsw"]) for r in signs] == [("hello|hi", "M510x527S10004495x473")]
     sents = jobs.prepare_corpus(raw, jobs.KIND_SENTENCE).collect()
     assert [(r["word"], r["split"]) for r in sents] == [("go, now", "test")]
+
+
+def test_line_aligned_and_space_separated_sinks(spark, tmp_dir):
+    df = spark.createDataFrame([(2, "c", "S3"), (0, "a", "S1"), (1, "b", None)], "row_id long, sentence string, symbol string")
+    wide = os.path.join(tmp_dir, "wide")
+    wr.write_line_aligned(df, wide, ["sentence", "symbol"])
+    assert [r["sentence"] for r in spark.read.parquet(wide).orderBy("row_id").collect()] == ["a", "b", "c"]
+    lines = os.path.join(tmp_dir, "symbols")
+    wr.write_column_lines(df, lines, "symbol")
+    got = []
+    for name in sorted(os.listdir(lines)):
+        if name.startswith("part-"):
+            with open(os.path.join(lines, name), encoding="utf-8") as f:
+                got.extend(f.read().splitlines())
+    assert got == ["S1", "", "S3"]
+    spaced = os.path.join(tmp_dir, "spaced")
+    wr.write_csv(df.select("sentence", "symbol").where("symbol is not null"), spaced, header=False, sep=" ")
+    assert sorted(r[0] for r in spark.read.text(spaced).collect()) == ["a S1", "c S3"]
+
+
+def test_sql_over_registered_views(spark):
+    from signbridge.sources.tables import register_views
+    register_views(spark, "/root/testdata/sf0.001")
+    n = spark.sql("select count(*) from signs s join corpus c on s.k = c.p_partkey").first()[0]
+    assert n > 0
