@@ -29,10 +29,17 @@ TABLE_KEYS = {
 SPREAD_MIN_BYTES = 4 * 1024 * 1024
 
 
+_SIZE_CACHE: dict[tuple[str, str], int] = {}
+
+
 def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files under ``path`` (file listing only, contents not read)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return int(files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0])
+    """Total size of the files under ``path`` (file listing only, contents not read);
+    remembered per application, since input tables do not change under a running job."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SIZE_CACHE:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        _SIZE_CACHE[key] = int(files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0])
+    return _SIZE_CACHE[key]
 
 
 def spread(df: DataFrame, key: str | None, path: str) -> DataFrame:
