@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from signbridge.llm import bpe, decontamination
+from signbridge.llm import bpe, decontamination, near_duplicates
 from signbridge.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.PATTERN).drop("token_ids")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -36,12 +40,26 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op4_near_duplicates": op4_near_duplicates,
     "op8_decontamination": op8_decontamination,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE: dict[str, str] = {
+    "op4_near_duplicates": rf"""
+with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                  '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select distinct doc_id, w[i:i + least(len(w), 4) - 1] g
+      from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) i from d where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+e as (select x, y from (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id
+                        group by 1, 2)
+      join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 80 * (p.n + q.n - c)),
+r as (select doc_id x, doc_id y from n union select r.x, e.y from r join e on r.y = e.x),
+m as (select x, min(y) m from r group by x)
+select doc_id, coalesce(n.n, 0) n_shingles, coalesce(m.m, doc_id) component_id, coalesce(m.m, doc_id) = doc_id kept
+from d left join n using (doc_id) left join m on m.x = doc_id""",
     "op8_decontamination": rf"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
