@@ -72,3 +72,9 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, np.int64)[column.offset: column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0]: at[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
     return raw, at - at[0]
+
+
+def array_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Cut a text column so that each part holds at most ``max_bytes``, or one row."""
+    for batch in text_slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), max_bytes=max_bytes):
+        yield batch.column(0)

@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from signbridge.llm import bpe, decontamination, near_duplicates
-from signbridge.llm.common import table
+from signbridge.llm import bpe, decontamination, language, near_duplicates, toxicity
+from signbridge.llm.common import held_out, table
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def bpe_round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -32,6 +38,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.predict(docs, language.fit(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -39,8 +51,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_language": op5_language,
     "op8_decontamination": op8_decontamination,
 }
 
