@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from signbridge.llm.common import text_arrays, text_slices
 
@@ -233,3 +234,13 @@ def decode(encoded: DataFrame, rank_file: bytes, pattern: str, doc_id: str = "do
 
     rows = encoded.select(encoded[doc_id].alias("doc_id"), "token_ids")
     return rows.mapInArrow(run, "doc_id long, token_ids array<int>, decoded binary").withColumnRenamed("doc_id", doc_id)
+
+
+def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """Per row of ``docs``, encoded and decoded again: doc_id, n_tokens, ids_sha256 (of the decimal ids,
+    joined by a space), decoded_sha256, token_ids."""
+    ranks = read_ranks(rank_path)
+    both = decode(encode(docs, ranks, pattern), ranks, pattern)
+    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"), "token_ids")

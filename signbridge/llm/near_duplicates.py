@@ -291,3 +291,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH,
+             doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the least id. Of rows that share a
+    kept id the least one stays, compared column by column; rows without id all stay."""
+    names = docs.columns
+    found = stored(near_duplicates(docs, width, percent, k, doc_id, text).select(F.col(doc_id).alias("_id"), "kept"), "kept")
+    known = found.where(F.col("_id").isNotNull())
+    dropped = known.where(~F.col("kept")).select("_id").distinct()
+    rest = docs.join(_bounded(dropped), docs[doc_id] == dropped["_id"], "left_anti")
+    repeated = known.where("kept").groupBy("_id").count().where("count > 1").select("_id")
+    if repeated.isEmpty():
+        return rest
+    single = rest.join(_bounded(repeated), rest[doc_id] == repeated["_id"], "left_anti")
+    least = rest.join(_bounded(repeated), rest[doc_id] == repeated["_id"], "left_semi")
+    least = least.groupBy(F.col(doc_id).alias("_id")).agg(F.min(F.struct(*names)).alias("_row")).select("_row.*")
+    return single.unionByName(least)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+import corpus_pipeline
 from signbridge.llm import bpe, decontamination, language, near_duplicates, toxicity
 from signbridge.llm.common import held_out, table
 
@@ -20,17 +21,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-def bpe_round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, token_ids of every row."""
-    ranks = bpe.read_ranks(rank_path)
-    both = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
-    ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
-    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"), "token_ids")
-
-
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                           public_tokenizers.PATTERN).drop("token_ids")
 
 
@@ -56,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
     "op8_decontamination": op8_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -93,3 +86,6 @@ select d.doc_id, cast(len(d.w) as bigint) n_words, coalesce(p.n_hit, 0) n_hit, c
        sha256(coalesce(q.items, '')) items_sha256, coalesce(p.n_hit, 0) > 0 contaminated
 from d left join p using (doc_id) left join q using (doc_id)""",
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
