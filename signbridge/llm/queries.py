@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from signbridge.llm import bpe, decontamination, language, near_duplicates, toxicity
+from signbridge.llm import bpe, decontamination, language, near_duplicates, token_store, toxicity
 from signbridge.llm.common import held_out, table
 
 
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -43,6 +47,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op4_near_duplicates": op4_near_duplicates,
