@@ -11,10 +11,12 @@ them but for odds of about 1e-7 at k = 48. So a document enters only the lists o
 of their values in common still meet in a list, and values that many unlike documents share
 (common passages) bring nobody together. Equal sets are one class and take part once.
 
-A list does not give all its pairs. Its members are compared with one leader, then those that
-stayed outside the leader's component with another; only what is then still in different
-components is compared pair by pair, in blocks, by sketch first. Links inside a component
-change nothing, so the components are those of all links.
+A list does not give all its pairs. Documents that meet in lists form families, named by a least
+id that is handed on along lists; each is first compared with that one. A family that is then
+still in several components is compared in blocks of about ``BLOCK`` documents, a block against
+another at a time, without the blocks that are wholly in one component. Pairs that meet in a
+list but are in different families and components are compared one by one, by sketch first.
+Links inside a component change nothing, so the components are those of all links.
 
 Cases: a null or empty text, or one without words, has an empty set and no links. A null id
 takes part in no link (component null, kept). Rows that share an id are one document for the
@@ -33,10 +35,9 @@ from pyspark.sql import functions as F
 from signbridge.llm.common import fits, stored, text_arrays, text_slices
 from signbridge.llm.components import components
 
-#: Kept values of a sketch; rounds of leaders; rows of a block; slack of the estimate (4 deviations at 0.8).
+#: Kept values of a sketch; documents of a block; slack of the estimate (4 deviations at 0.8).
 SKETCH = 48
-LEADER_ROUNDS = 3
-BLOCK = 512
+BLOCK = 256
 SLACK = 0.24
 #: Ids and pairs are broadcast up to this size, measured before; beyond it they are joined by a shuffle.
 MAX_BROADCAST_BYTES = 32 << 20
@@ -127,15 +128,26 @@ def _bounded(df: DataFrame, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if fits(df, MAX_BROADCAST_BYTES, F.lit(row_bytes)) else df
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, id): the lists that a class enters, those of its rarest kept values."""
+def entered_lists(classes: DataFrame) -> DataFrame:
+    """(id, values): the lists that a class enters, those of its rarest kept values."""
     posts = classes.select("id", F.size("kept").alias("s"), F.explode("kept").alias("value"))
     counts = posts.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
     shared = posts.join(counts, "value")  # a value of one class alone is among the rarest
     shared = shared.groupBy("id", "s").agg(F.array_sort(F.collect_list(F.struct("c", "value"))).alias("v"))
     enter = F.col("s") - F.expr("s div 2") + 1 - (F.col("s") - F.size("v"))
-    shared = shared.where(enter > 0).select("id", F.explode(F.slice("v", 1, enter.cast("int"))).alias("v"))
-    return shared.select("v.value", "id")
+    shared = shared.where(enter > 0).select("id", F.slice("v", 1, enter.cast("int")).alias("v"))
+    return shared.select("id", F.array_sort(F.transform("v", lambda x: x["value"])).alias("values"))
+
+
+def families(lists: DataFrame, rounds: int = 2) -> DataFrame:
+    """(id, family): the least id that reaches a class over ``rounds`` lists."""
+    rows = lists.select("id", F.explode("values").alias("value"))
+    named = rows.withColumn("family", F.col("id"))
+    for _ in range(rounds):
+        least = named.groupBy("value").agg(F.min("family").alias("family"))
+        own = rows.join(least, "value").groupBy("id").agg(F.min("family").alias("family"))
+        named = rows.join(own, "id")
+    return own
 
 
 def estimate(a: str, b: str, k: int) -> F.Column:
@@ -149,7 +161,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id
 
     All pairs of one ``a`` meet, in blocks of about ``BLOCK``; a block holds the set of ``a`` and reads the
     other texts one after another."""
-    pairs = pairs.distinct()
+    pairs = stored(pairs.distinct(), "pairs")
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     blocked = pairs.join(sizes, "a").select("a", "b", "blocks", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))
     heads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -202,62 +214,113 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def cross_pairs(lists: DataFrame, classes: DataFrame, comps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs of one list whose ends are in different components and whose sketches allow the similarity."""
-    rows = lists.join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
-    rows = rows.select("value", "id", F.coalesce("component", "id").alias("component"))
-    open_lists = rows.groupBy("value").agg(F.count("*").alias("c"), F.min("component").alias("x"), F.max("component").alias("y"))
-    open_lists = open_lists.where("x <> y").select("value", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    rows = rows.join(open_lists, "value").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of the sets (ascending distinct values), as a matrix."""
+    m = len(sets)
+    out = np.zeros(m * m)
+    if not m:
+        return out.reshape(0, 0)
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    held = np.diff(np.append(first, len(values)))
+    for d in range(2, min(m, 24) + 1):  # values of few sets: their pairs one by one
+        starts = first[held == d]
+        if not len(starts):
+            continue
+        who = owner[starts[:, None] + np.arange(d)]
+        for i in range(d):
+            for j in range(i + 1, d):
+                out += np.bincount(who[:, i] * m + who[:, j], minlength=m * m)
+    dense = np.flatnonzero(held > 24)
+    for k in range(0, len(dense), 4096):  # values of many sets: products of their incidence
+        part = dense[k: k + 4096]
+        grid = np.zeros((m, len(part)), np.float32)
+        lengths = held[part]
+        at = np.repeat(first[part] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        grid[owner[at], np.repeat(np.arange(len(part)), lengths)] = 1
+        out += np.triu(grid @ grid.T, 1).ravel()
+    out = out.reshape(m, m)
+    return out + out.T + np.diag([len(s) for s in sets])
+
+
+def family_links(members: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Links (a, b) between different components of a family; ``members`` has id, family, component."""
+    parts = members.groupBy("family", "component").agg(F.count("*").alias("c"))
+    split = parts.groupBy("family").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("c") <= BLOCK, F.col("c"))).alias("pool"))
+    parts = parts.join(split.where("parts > 1"), "family")
+    large = F.col("c") > BLOCK  # a large component has blocks of its own
+    rows = members.join(parts, ["family", "component"])
+    block = F.when(large, F.xxhash64("family", "component", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK))))
+    block = block.otherwise(F.xxhash64("family", F.lit("pool"), F.pmod(F.xxhash64("component"), F.ceil(F.col("pool") / BLOCK))))
+    rows = stored(rows.select("family", "component", "id", block.alias("block"), F.when(large, F.col("component")).alias("own")), "blocks")
+    blocks = rows.select("family", "block", "own").distinct()
+    both = blocks.toDF("family", "x", "own_x").join(blocks.toDF("family", "y", "own_y"), "family")
+    both = both.where((F.col("x") <= F.col("y")) & (F.col("own_x").isNull() | F.col("own_y").isNull() | (F.col("own_x") != F.col("own_y"))))
+    sides = both.select("family", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    wanted = stored(sides.join(rows, ["family", "block"]).select("x", "y", "component", "id"), "wanted")
+    texts = docs.select(docs[doc_id].cast("long").alias("id"), docs[text].cast("string").alias("text"))
+    grouped = texts.join(_bounded(wanted), "id").select("x", "y", "component", "id", "text")
+    grouped = grouped.repartition("x", "y").sortWithinPartitions("x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 2):
+            sets = []
+            for part in text_slices(group.to_batches()):
+                sets += shingle_sets(*text_arrays(part.column("text")), width)
+            ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
+            sizes = np.array([len(s) for s in sets])
+            both = overlaps(sets)
+            linked = (100 * both >= percent * (sizes[:, None] + sizes - both)) & (comp[:, None] < comp) & (both > 0)
+            left, right = np.nonzero(linked)
+            _, once = np.unique(np.stack([comp[left], comp[right]]), axis=1, return_index=True)  # a link joins two components
+            yield pa.RecordBatch.from_arrays([pa.array(ids[left[once]]), pa.array(ids[right[once]])], ["a", "b"])
+
+    return stored(grouped.mapInArrow(run, "a long, b long"), "family-links")
+
+
+def other_pairs(lists: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs that meet in a list, of different families and components, whose sketches allow the similarity."""
+    rows = lists.join(members, "id").select("id", "family", "component", F.explode("values").alias("value"))
+    many = rows.groupBy("value").agg(F.count("*").alias("c"), F.min("component").alias("p"), F.max("component").alias("q"),
+                                     F.min("family").alias("f"), F.max("family").alias("g"))
+    many = many.where("p <> q and f <> g").select("value", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(many, "value").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))  # each pair of blocks meets once
-    rows = rows.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "id")
-    rows = rows.join(classes.select("id", "n", "kept"), "id")
-    rows = rows.select("value", "i", "j", "own", "component", "id", "n", "kept")
+    rows = rows.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "family", "component", "id")
+    rows = rows.join(classes.select("id", "n", "kept"), "id").join(lists, "id")
+    rows = rows.select("value", "i", "j", "own", "family", "component", "id", "n", "kept", "values")
     rows = rows.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            ids, n, comp, own = (group.column(c).to_numpy() for c in ("id", "n", "component", "own"))
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            order = np.argsort(n, kind="stable")
-            ids, n, comp, own = ids[order], n[order], comp[order], own[order]
-            kept = group.column("kept").combine_chunks()
-            at, values = kept.offsets.to_numpy(), kept.values.to_numpy()
-            mine = [values[at[r]: at[r + 1]] for r in order]
-            left, right = [], []
-            for r in range(len(ids) - 1):
-                stop = np.searchsorted(n, n[r] * 100 // percent, side="right")  # larger sets are too large
-                near = np.arange(r + 1, stop)
-                near = near[(comp[near] != comp[r]) & ((own[near] != own[r]) if i != j else True)]
-                for q in near.tolist():
-                    both = np.intersect1d(mine[r], mine[q], assume_unique=True)
-                    if 2 * len(both) < min(len(mine[r]), len(mine[q])):
-                        continue
-                    union = np.union1d(mine[r], mine[q])[:k]
-                    if 100 * np.isin(union, both, assume_unique=True).sum() >= (percent - 100 * SLACK) * len(union):
-                        left.append(min(ids[r], ids[q]))
-                        right.append(max(ids[r], ids[q]))
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            ids, n, comp, family, own = (group.column(c).to_numpy() for c in ("id", "n", "component", "family", "own"))
+            maybe = (comp[:, None] != comp) & (family[:, None] < family) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
+            if group.column("i")[0].as_py() != group.column("j")[0].as_py():
+                maybe &= own[:, None] != own
+            if not maybe.any():
+                continue
+            kept, entered = ([x.values.to_numpy() for x in group.column(c)] for c in ("kept", "values"))
+            both = overlaps(kept)
+            # of the union's sketch: the values up to the least last value; a sketch that is the whole set ends nowhere
+            last = np.array([k[-1] if len(k) < size else np.iinfo(np.int64).max for k, size in zip(kept, n, strict=True)])
+            within = np.stack([np.searchsorted(k, last, side="right") for k in kept])
+            maybe &= 100 * both >= (percent - 100 * SLACK) * (within + within.T - both)
+            value = group.column("value")[0].as_py()
+            found = [(p, q) for p, q in zip(*np.nonzero(maybe), strict=True)  # a pair counts in the first list in which it meets
+                     if np.intersect1d(entered[p], entered[q], assume_unique=True)[0] == value]
+            left, right = (ids[[x[side] for x in found]] if found else np.zeros(0, np.int64) for side in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def leader_pairs(lists: DataFrame, classes: DataFrame, comps: DataFrame | None, k: int, percent: int) -> DataFrame:
-    """Each member of a list with the list's leader: the least id, or once components are known the least
-    id outside the component of the list's least id. The estimate on the union's sketch filters."""
-    if comps is None:
-        rows = lists.withColumn("component", F.lit(None).cast("long"))
-    else:
-        rows = lists.join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
-        rows = rows.select("value", "id", F.coalesce("component", "id").alias("component"))
-        first = rows.groupBy("value").agg(F.min(F.struct("id", "component"))["component"].alias("done"))
-        rows = rows.join(first, "value").where(F.col("component") != F.col("done")).drop("done")
-    leader = rows.groupBy("value").agg(F.min(F.struct("id", "component")).alias("leader"))
-    pairs = rows.join(leader, "value").where(F.col("id") != F.col("leader.id"))
-    if comps is not None:
-        pairs = pairs.where(F.col("component") != F.col("leader.component"))
-    pairs = pairs.select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
+def first_pairs(named: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Each class with the one that names its family, where the estimate on the union's sketch allows it."""
     sketch = classes.select("id", "n", "kept")
+    pairs = named.where("id <> family").select(F.col("family").alias("a"), F.col("id").alias("b"))
     pairs = pairs.join(sketch.toDF("b", "nb", "kb"), "b").join(sketch.toDF("a", "na", "ka"), "a")
     pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return pairs.where(100 * estimate("ka", "kb", k) >= percent - 100 * SLACK).select("a", "b")
@@ -269,25 +332,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     own = stored(sketches(docs, width, k, doc_id, text), "sketches")
     sets = own.where("n > 0 and doc_id is not null")
     classes = stored(sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("kept").alias("kept")), "classes")
-    lists = stored(inverted_lists(classes), "lists")
+    lists = stored(entered_lists(classes), "lists")
+    named = stored(families(lists), "families")
     # rows that share an id link the classes that they are in
     clash = sets.join(classes, ["n", "s1", "s2"]).where(F.col("doc_id") != F.col("id"))
     clash = clash.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     several = sets.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x <> y")
     links = stored(clash.join(several.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b"), "shared-ids")
-    comps = None
-    for _ in range(LEADER_ROUNDS):
-        found = verified(leader_pairs(lists, classes, comps, k, percent), docs, width, percent, doc_id, text)
-        if comps is not None and found.isEmpty():
-            break
-        links = links.unionByName(found)
-        comps = components(links)
-    found = verified(cross_pairs(lists, classes, comps, k, percent), docs, width, percent, doc_id, text)
+
+    def members(comps: DataFrame) -> DataFrame:
+        own = named.join(comps.withColumnRenamed("node", "id"), "id", "left")
+        return own.select("id", "family", F.coalesce("component", "id").alias("component"))
+
+    links = links.unionByName(verified(first_pairs(named, classes, k, percent), docs, width, percent, doc_id, text))
+    found = family_links(members(components(links)), docs, width, percent, doc_id, text)
+    links = links.unionByName(found)
+    comps = components(links)
+    found = verified(other_pairs(lists, classes, members(comps), percent), docs, width, percent, doc_id, text)
     if not found.isEmpty():
         comps = components(links.unionByName(found))
-    named = classes.join(comps.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
-    out = own.join(named, ["n", "s1", "s2"], "left")
+    final = classes.join(comps.withColumnRenamed("node", "id"), "id", "left")
+    final = final.select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
+    out = own.join(final, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
