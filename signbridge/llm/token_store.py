@@ -41,7 +41,7 @@ from signbridge.llm.common import fits, scratch_path, text_slices
 CHUNK_IDS = 1 << 18
 BUCKET_KEYS = 4096
 #: Distinct pieces that a worker remembers with their ids.
-MEMO = 700_000
+MEMO = 300_000
 #: Pieces that byte-level pre-tokenization surely divides: words of plain letters, ASCII digits, runs of
 #: ASCII signs but the apostrophe (each with the space before it), single line ends.
 _PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n")
@@ -79,9 +79,10 @@ class Encoder:
         for i, made in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.array(made.ids, self.dtype).tobytes()
             parts[i] = []
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = {p for ps in parts for p in ps} - self.memo.keys()
+        if len(self.memo) > MEMO:  # long pieces are mostly rare ones
+            kept = {p: ids for p, ids in self.memo.items() if len(p) <= 8}
+            self.memo = kept if len(kept) < MEMO // 2 else {}
+        new = [p for p in set().union(*parts) if p not in self.memo]
         spaced = [p for p in new if p[0] == " "]
         if spaced:
             self._learn(spaced, "")
