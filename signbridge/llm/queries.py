@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from signbridge.llm import bpe, decontamination, language, near_duplicates, neighbours, token_store, toxicity
+from signbridge.llm import bpe, decontamination, html_text, language, near_duplicates, neighbours, token_store, toxicity
 from signbridge.llm.common import held_out, table
 
 
@@ -46,6 +46,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
     "op8_decontamination": op8_decontamination,
+    "op9_html_text": op9_html_text,
     "op10_neighbours": op10_neighbours,
     "pipeline": corpus_pipeline.run,
 }
