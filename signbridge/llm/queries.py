@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from signbridge.llm import bpe, decontamination, html_text, language, near_duplicates, neighbours, token_store, toxicity
+from signbridge.llm import bpe, decontamination, html_text, language, near_duplicates, neighbours, quality, token_store, toxicity
 from signbridge.llm.common import held_out, table
 
 
@@ -40,6 +40,15 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 of low quality, 1 good but toxic, 2 good."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).otherwise(F.col("quality") * 2 - F.col("toxic")).alias("grade"))
+    out = quality.rate(docs, quality.fit(docs, ratings), grade=1)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "p_grade", "selected")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -60,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
+    "op6_quality": op6_quality,
     "op8_decontamination": op8_decontamination,
     "op9_html_text": op9_html_text,
     "op10_neighbours": op10_neighbours,
