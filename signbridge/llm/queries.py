@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from signbridge.llm import bpe, decontamination, html_text, language, near_duplicates, neighbours, quality, token_store, toxicity
+from signbridge.llm import bpe, decontamination, html_text, language, licences, near_duplicates, neighbours, quality, token_store, toxicity
 from signbridge.llm.common import held_out, table
 
 
@@ -49,6 +49,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "p_grade", "selected")
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.train(docs))
+    return found.select("doc_id", "n_paragraphs", F.size("notices").cast("long").alias("n_notices"),
+                        F.array_join("families", ",").alias("families"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -70,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_language": op5_language,
     "op6_quality": op6_quality,
+    "op7_licences": op7_licences,
     "op8_decontamination": op8_decontamination,
     "op9_html_text": op9_html_text,
     "op10_neighbours": op10_neighbours,
