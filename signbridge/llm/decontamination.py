@@ -96,19 +96,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     below benchmark windows cut from their texts (``remove="spans"``). Columns stay as they are."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    names = docs.columns
     # a row is known by id and text, so that rows read again by another plan meet their verdict
-    tagged = docs.withColumn("_row", F.xxhash64(text)).withColumn("_id", F.col(doc_id))
-    found = scan(tagged.select("_row", "_id", text), benchmark_grams(benchmark, n), text)
+    keyed = docs.select(F.xxhash64(text).alias("_row"), F.col(doc_id).alias("_id"), text)
+    found = scan(keyed, benchmark_grams(benchmark, n), text)
     hits = found.select(F.col("_row").alias("_hit_row"), F.col("_id").alias("_hit_id"), covered().alias("_cut"))
     hits = stored(hits.where(F.size("_cut") > 0), "leaks")
     if fits(hits, MAX_SET_BYTES, 64 + 4 * F.size("_cut")):
         hits = F.broadcast(hits)
-    same = (F.col("_row") == F.col("_hit_row")) & F.col("_id").eqNullSafe(F.col("_hit_id"))
+    same = (F.xxhash64(docs[text]) == hits["_hit_row"]) & docs[doc_id].eqNullSafe(hits["_hit_id"])
     if remove == "documents":
-        return tagged.join(hits, same, "left_anti").select(*names)
-    pieces = F.regexp_extract_all(F.col(text), F.lit(f"[{BREAKS_ANY_CASE}]*[^{BREAKS_ANY_CASE}]+"), F.lit(0))
-    tail = F.regexp_extract(F.col(text), f"[{BREAKS_ANY_CASE}]*$", 0)
-    rest = F.concat(F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains("_cut", i)), ""), tail)
-    cut = tagged.join(hits, same, "left").withColumn(text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(rest))
-    return cut.select(*names)
+        return docs.join(hits, same, "left_anti")
+    pieces = F.regexp_extract_all(docs[text], F.lit(f"[{BREAKS_ANY_CASE}]*[^{BREAKS_ANY_CASE}]+"), F.lit(0))
+    tail = F.regexp_extract(docs[text], f"[{BREAKS_ANY_CASE}]*$", 0)
+    rest = F.concat(F.array_join(F.filter(pieces, lambda p, i: ~F.array_contains(hits["_cut"], i)), ""), tail)
+    cut = F.when(hits["_cut"].isNull(), docs[text]).otherwise(rest).alias(text)
+    return docs.join(hits, same, "left").select(*(cut if c == text else docs[c] for c in docs.columns))

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signbridge.llm.common import array_slices, fits, held_out, text_slices
+from signbridge.llm.common import array_slices, fits, fresh, held_out, text_slices
 from signbridge.llm.linear import gram_counts, gram_means, letters, svm
 
 # Language families by ISO 639-1 code.
@@ -178,5 +178,5 @@ def predict(docs: DataFrame, model: bytes | None, doc_id: str = "doc_id", text:
 
 def keep_known(docs: DataFrame, model: bytes | None, text: str = "text") -> DataFrame:
     """``docs`` without the rows whose language is ``und``; all others stay as they are."""
-    names = docs.columns
-    return docs.withColumn("_p", predicted(F.col(text), model)).where(F.col("_p.lang_pred") != UNKNOWN).select(*names)
+    name = fresh(docs, "_predicted")
+    return docs.withColumn(name, predicted(F.col(text), model)).where(F.col(name)["lang_pred"] != UNKNOWN).drop(name)

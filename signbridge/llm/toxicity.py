@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signbridge.llm.common import array_slices, fits, held_out, stored, text_slices
+from signbridge.llm.common import array_slices, fits, fresh, held_out, stored, text_slices
 from signbridge.llm.linear import letters
 from signbridge.llm.near_duplicates import mix, word_hashes
 
@@ -257,5 +257,5 @@ def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: st
 
 def keep_ordinary(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` without the rows predicted toxic; all others stay as they are."""
-    names = docs.columns
-    return docs.withColumn("_p", scored(F.col(text), model)).where(F.col("_p") < 0.5).select(*names)
+    name = fresh(docs, "_score")
+    return docs.withColumn(name, scored(F.col(text), model)).where(F.col(name) < 0.5).drop(name)
