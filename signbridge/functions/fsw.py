@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import whitespace_tokens
+
 # Fixed values of the sign grammar.
 SYMBOL_WITH_COORDS = r"S[123][0-9a-f]{2}[0-5][0-9a-f]\d{3}x\d{3}"
 BOX_WITH_COORDS = r"([BLMR])(\d{3})x(\d{3})"
@@ -27,7 +29,7 @@ def _col(c: Column | str) -> Column:
 
 def split_signs(fsw_seq: Column | str) -> Column:
     """Whitespace-separated sign sequence -> ARRAY<STRING> of signs (empty tokens dropped)."""
-    return F.filter(F.split(F.trim(_col(fsw_seq)), r"\s+"), lambda s: s != "")
+    return whitespace_tokens(fsw_seq)
 
 
 def parse_sign(sign: Column | str) -> Column:
@@ -138,7 +140,7 @@ def factor_token_to_fsw(token: Column) -> Column:
 
 def factors_to_fsw(line: Column | str) -> Column:
     """A line of factor tokens -> FSW: rebuild each token, then glue symbols onto signs."""
-    toks = F.split(_col(line), " ")
+    toks = whitespace_tokens(line)
     joined = F.array_join(F.transform(toks, factor_token_to_fsw), " ")
     return F.replace(joined, F.lit(" S"), F.lit("S"))
 

@@ -14,6 +14,9 @@ UNIT_GLUE = " # "               # units of a decomposition
 SIGN_GLUE = " | "               # per-sign symbol strings of a sentence
 UNKNOWN = "<unk>"               # unit of a sign with no vocabulary entry
 
+# White space as Python's str.split and str.strip see it: the Unicode property and 0x1C-0x1F.
+SPACE = r"[\s\x1C-\x1F]"
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -21,7 +24,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove leading/trailing whitespace of any kind (not only spaces)."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
 
 
 def lower_strip(c: Column | str) -> Column:
@@ -45,7 +48,7 @@ def collapse_newlines(c: Column | str) -> Column:
 
 def whitespace_tokens(c: Column | str) -> Column:
     """``str.split()``: tokens between whitespace runs, no empty tokens."""
-    return F.filter(F.split(_col(c), r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(_col(c), rf"(?U){SPACE}+"), "")
 
 
 def count_substring(c: Column | str, needle: str = UNKNOWN) -> Column:

@@ -224,9 +224,10 @@ def chrf_stats_both(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
         pd.DataFrame({f: pd.Series([], dtype="int64") for f in CHRF_BOTH_FIELDS})
 
 
-def bleu_score(s: Column) -> Column:
+def bleu_score(s: Column, effective_order: bool = True) -> Column:
     """BLEU (0-100) from a struct of statistics (per row or summed): exp smoothing for
-    zero-match orders, effective order = orders before the first empty one."""
+    zero-match orders, effective order = orders before the first empty one. Without any
+    match the score is 0; without ``effective_order`` it is 0 too where an order is empty."""
     m = [s[f"m{i}"] for i in range(1, 5)]
     t = [s[f"t{i}"] for i in range(1, 5)]
     logs, zeros = [], F.lit(0)
@@ -243,7 +244,10 @@ def bleu_score(s: Column) -> Column:
     hyp, ref = s["hyp_len"], s["ref_len"]
     bp = F.when(hyp >= ref, F.lit(1.0)).when(hyp > 0, F.exp(1 - F.try_divide(ref, hyp.cast("double")))) \
           .otherwise(F.lit(0.0))
-    return F.when(t[0] == 0, F.lit(0.0)).otherwise(bp * F.exp(mean_log))
+    zero = (t[0] == 0) | ((m[0] == 0) & (m[1] == 0) & (m[2] == 0) & (m[3] == 0))
+    if not effective_order:
+        zero = zero | (t[3] == 0)
+    return F.when(zero, F.lit(0.0)).otherwise(bp * F.exp(mean_log))
 
 
 def chrf_score(s: Column, beta: int = CHRF_BETA) -> Column:
@@ -266,11 +270,12 @@ def _sum_struct(col: str, fields: list[str]) -> list[Column]:
     return [F.sum(F.col(f"{col}.{f}")).alias(f) for f in fields]
 
 
-def corpus_bleu(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    """Corpus BLEU: statistics of every row (blank rows included) summed, then scored."""
+def corpus_bleu(pairs: DataFrame, hyp: str = "hyp", ref: str = "ref", effective_order: bool = True) -> DataFrame:
+    """Corpus BLEU: statistics of every row (blank rows included) summed, then scored;
+    ``effective_order=False`` is the command line's form."""
     st = pairs.select(bleu_stats(F.col(hyp), F.col(ref)).alias("s"))
     tot = st.agg(*_sum_struct("s", BLEU_FIELDS))
-    return tot.select(bleu_score(F.struct(*[F.col(f) for f in BLEU_FIELDS])).alias("bleu"),
+    return tot.select(bleu_score(F.struct(*[F.col(f) for f in BLEU_FIELDS]), effective_order).alias("bleu"),
                       F.col("hyp_len"), F.col("ref_len"))
 
 

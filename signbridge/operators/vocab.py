@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import fsw as fx
 from ..functions.text import SIGN_GLUE, SYNONYM_SEP, UNIT_GLUE, UNKNOWN, first_two_distinct, lower_strip
+from ..functions.text import top_two_counted as top_two_counted_list
 from ..session import checked_broadcast
 from .indexing import dense_index
 
@@ -121,6 +122,23 @@ def build_vocabulary(corpus: DataFrame, order_col: str = "p_partkey", word_col:
     return out
 
 
+def entry_lists(corpus: DataFrame, order_col: str = "p_partkey", word_col: str = "word",
+                fsw_col: str = "fsw") -> DataFrame:
+    """The stored form of the vocabulary: ``id`` (as in ``build_vocabulary``), ``symbol``, ``word`` and
+    ``fsw``, the lists of all words and signs of the entry in corpus order.
+
+    An entry's lists are one row by the format; every other job uses the long form
+    (``vocabulary_words``) or aggregates of it."""
+    rows = dedupe_first(corpus.select(order_col, word_col, fsw_col), [word_col, fsw_col], order_col)
+    rows = rows.select(fx.symbol_key(F.col(fsw_col)).alias("symbol"), F.col(order_col).alias("order"),
+                       F.split(F.col(word_col), r"\|").alias("words"), F.col(fsw_col).alias("sign"))
+    items = F.array_sort(F.collect_list(F.struct("order", "words", "sign")))
+    lists = rows.groupBy("symbol").agg(items.alias("_i"))
+    lists = lists.select("symbol", F.flatten(F.transform("_i", lambda x: x["words"])).alias("word"),
+                         F.transform("_i", lambda x: x["sign"]).alias("fsw"))
+    return dense_index(lists, ["symbol"], "id").select("id", "symbol", "word", "fsw")
+
+
 def parse_sign_rows(signs: DataFrame, fsw_col: str = "fsw") -> DataFrame:
     """Add ``symbol`` (symbols in written order) and ``key`` (sorted) for one-sign rows."""
     parsed = fx.parse_sign(F.col(fsw_col))
@@ -137,10 +155,18 @@ def explode_sequences(seqs: DataFrame, id_col: str = "sentence_id", fsw_col: str
 def lookup_signs(signs: DataFrame, vocab: DataFrame, fsw_col: str = "fsw",
                  broadcast_rows: int = VOCAB_BROADCAST_ROWS) -> DataFrame:
     """Left lookup of each sign's key in the vocabulary: adds ``symbol``, ``key``, ``word``
-    (canonical, or ``<unk>`` when no entry has the same symbol multiset)."""
+    (canonical, or ``<unk>`` when no entry has the same symbol multiset).
+
+    Entries that share a key (appended unknowns of another symbol order) are one match: their
+    words are pooled in id order, as the last of one and the first of the next joined by a space,
+    and the first entry gives the id. No sign ever matches twice."""
     keyed = parse_sign_rows(signs, fsw_col)
-    lex = vocab.select(F.col("symbol").alias("key"), F.col("canonical").alias("_canon"),
-                       F.col("id").alias("entry_id"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col("id").alias("id"), F.col("canonical").alias("canon"))))
+    lex = vocab.groupBy(F.col("symbol").alias("key")).agg(entries.alias("_e"))
+    pooled = top_two_counted_list(F.split(F.array_join(F.transform(
+        "_e", lambda e: F.replace(e["canon"], F.lit(SYNONYM_SEP), F.lit(", "))), " "), ","))
+    lex = lex.select("key", F.when(F.size("_e") == 1, F.col("_e")[0]["canon"]).otherwise(pooled).alias("_canon"),
+                     F.col("_e")[0]["id"].alias("entry_id"))
     lex = checked_broadcast(lex, broadcast_rows)
     out = keyed.join(lex, "key", "left")
     return out.withColumn("word", F.coalesce(F.col("_canon"), F.lit(UNKNOWN))).drop("_canon")

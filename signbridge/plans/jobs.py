@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import fsw as fx
 from ..functions import text as tx
 from ..operators import embed as eb
+from ..operators import indexing as ix
 from ..operators import metrics as mt
 from ..operators import prompts as pr
 from ..operators import retrieval as rv
 from ..operators import sampling as sm
 from ..operators import vocab as vc
+from ..session import checkpoint
 
 KIND_SIGN = "Sign"
 KIND_SENTENCE = "Sentence"
@@ -27,12 +29,14 @@ KIND_SENTENCE = "Sentence"
 # ---- C1 --------------------------------------------------------------------------------------
 
 def prepare_corpus(raw: DataFrame, kind: str = KIND_SIGN, spoken: str = "en", signed: str = "ase",
-                   seed: int = sm.DEFAULT_SEED) -> DataFrame:
-    """Raw sign-bank rows -> ``(row_id, word, fsw[, split])``.
+                   seed: int = sm.DEFAULT_SEED, reduce_sentences: bool = False) -> DataFrame:
+    """Raw sign-bank rows -> ``(row_id, word, fsw[, sentence, split])``.
 
     Strip the key columns, drop rows missing any of them, keep one language pair and kind;
-    signs keep all synonyms (``᛫`` -> ``|``), sentences their first text. The canonical
-    word is the two most frequent synonyms. Sentences get a seeded 95/2.5/2.5 split.
+    signs keep all synonyms (``᛫`` -> ``|``), sentences their first text, unchanged, as
+    ``sentence``. ``word`` is the two most frequent ``|`` parts, lower-cased: the form of the
+    corpus file. Sentences get a seeded 95/2.5/2.5 split; with ``reduce_sentences`` their train
+    rows are a sample of 5 % of the whole corpus, the other train rows go.
     """
     keys = ["spoken_language", "sign_language", "Sentence/Sign"]
     df = raw
@@ -44,20 +48,25 @@ def prepare_corpus(raw: DataFrame, kind: str = KIND_SIGN, spoken: str = "en", si
     text = F.col("annotated_texts_multilingual")
     words = tx.replace_separator(text) if kind == KIND_SIGN else tx.first_segment(text)
     out = df.select("row_id", tx.top_two_counted(F.split(words, r"\|")).alias("word"),
-                    F.col("sign_writing").alias("fsw"))
-    if kind == KIND_SENTENCE:
-        out = sm.split_train_dev_test(out, "row_id", seed=seed)
-    return out
+                    F.col("sign_writing").alias("fsw"), words.alias("sentence"))
+    if kind == KIND_SIGN:
+        return out.drop("sentence")
+    out = sm.split_train_dev_test(out, "row_id", seed=seed)
+    if not reduce_sentences:
+        return out
+    train = sm.sample_fraction(out.where("split = 'train'"), "row_id", seed=seed, base_total=out.count())
+    return train.unionByName(out.where("split <> 'train'"))
 
 
 # ---- C2 / C3 / C4 / C9 -------------------------------------------------------------------------
 
 def build_vocabulary(corpus: DataFrame, embed_fn=None, order_col: str = "row_id") -> DataFrame:
-    """Vocabulary entries with an embedding of the entry's canonical words."""
+    """Vocabulary entries, with ``embed_fn`` an embedding of all the entry's words joined by ``|``."""
     vocab = vc.build_vocabulary(corpus, order_col=order_col)
     if embed_fn is None:
         return vocab
-    return eb.embed_column(vocab, "canonical", embed_fn, "embedding")
+    words = vc.entry_lists(corpus, order_col=order_col).select("symbol", F.array_join("word", tx.SYNONYM_SEP).alias("_words"))
+    return eb.embed_column(vocab.join(words, "symbol"), "_words", embed_fn, "embedding").drop("_words")
 
 
 def decompose_sentences(sentences: DataFrame, vocab: DataFrame, id_col: str = "row_id") -> DataFrame:
@@ -82,11 +91,10 @@ map_signs_to_units = vc.map_signs_to_units
 
 def build_training_sets(decomposed: DataFrame, corpus: DataFrame, id_col: str = "row_id",
                         seeds: list[int] | None = None) -> dict[str, DataFrame]:
-    """Training variants: full, filtered (no unknown unit), filtered 5 % (count taken from
-    the full set), one 5 % sample per ablation seed, and train + vocabulary rows."""
+    """Training variants: full, filtered (no unknown unit), 5 % of the filtered set, one 5 %
+    sample of it per ablation seed, and train + vocabulary rows."""
     filtered = vc.drop_unknown_sentences(decomposed)
-    total = decomposed.count()
-    small = sm.sample_fraction(filtered, id_col, base_total=total)
+    small = sm.sample_fraction(filtered, id_col)
     return {
         "full": decomposed,
         "filtered": filtered,
@@ -124,10 +132,9 @@ def ground_answers(answers: DataFrame, vocab: DataFrame, embed_fn=None, id_col:
     Units are embedded once per distinct text (``embed_fn``) and matched to entries."""
     flagged = answers.withColumn("needs_retry", tx.repetition_flag(tx.split_units(answer_col)))
     units = rv.answer_units(flagged, id_col, answer_col)
-    vecs = eb.embed_column(units.select("unit").distinct(), "unit", embed_fn, "embedding", dedupe=False) \
-        .withColumn("vec_id", F.xxhash64("unit"))
-    u = units.withColumn("vec_id", F.xxhash64("unit"))
-    grounded = rv.nearest_exact(u, vocab, unit_text="unit", vectors=vecs.select("vec_id", "embedding").distinct())
+    texts = checkpoint(ix.dense_index(units.select("unit").distinct(), ["unit"], "vec_id"))
+    vecs = eb.embed_column(texts, "unit", embed_fn, "embedding", dedupe=False)
+    grounded = rv.nearest_exact(units.join(texts, "unit"), vocab, unit_text="unit", vectors=vecs.select("vec_id", "embedding"))
     conf = rv.geometric_confidence(grounded, [id_col])
     return flagged.select(id_col, answer_col, "needs_retry").join(conf, id_col, "left")
 

@@ -71,7 +71,7 @@ def bleu_formula(t: str) -> str:
     z = ["(m1=0)::INT", "(m1=0)::INT+(m2=0)::INT", "(m1=0)::INT+(m2=0)::INT+(m3=0)::INT",
          "(m1=0)::INT+(m2=0)::INT+(m3=0)::INT+(m4=0)::INT"]
     p = [f"ln(case when m{i}=0 then 100.0/(pow(2.0,{z[i - 1]})*t{i}) else 100.0*m{i}/t{i} end)" for i in range(1, 5)]
-    return f"""(select *, case when t1=0 then 0.0 else
+    return f"""(select *, case when t1=0 or m1+m2+m3+m4=0 then 0.0 else
       (case when hyp_len >= ref_len then 1.0 when hyp_len > 0 then exp(1 - ref_len/hyp_len) else 0.0 end) *
       exp(case when t2=0 then {p[0]}
                when t3=0 then ({p[0]}+{p[1]})/2

@@ -267,7 +267,8 @@ def _n_emb(spark, sf_dir):
 
 def _sentence_vectors(spark, sf_dir, decomposed=None):
     d = decomposed if decomposed is not None else _decomposed(spark, sf_dir)
-    return d.join(_emb(spark, sf_dir).withColumnRenamed("vec_id", "sentence_id"), "sentence_id")
+    d = d.withColumn("vec_id", F.pmod(F.col("sentence_id"), _n_emb(spark, sf_dir)))
+    return d.join(_emb(spark, sf_dir), "vec_id").drop("vec_id")
 
 
 def _vocab_vectors(spark, sf_dir, vocab):
@@ -365,8 +366,9 @@ _RULES_SQL = pr.RULES_T2S.replace("'", "''")
     sq.SIGNS, sq.CORPUS, sq.VOCAB, sq.UNITS, sq.DECOMPOSED, sq.SENT_VEC, sq.VOCAB_VEC, sq.QVEC) + f""",
 stext as (select s.sentence_id, string_agg(p.p_name,' ' order by s.pos) sentence
           from signs s left join part p on p.p_partkey = s.k group by s.sentence_id),
-queries as (select sv.sentence_id q_id, st.sentence text from sent_vec sv join stext st using (sentence_id)),
-qs as ({sq.normalized("(select q_id, embedding from queries join embeddings on vec_id = q_id)", "q_id", "embedding")}),
+queries as (select sv.sentence_id q_id, st.sentence text, sv.embedding from sent_vec sv join stext st using (sentence_id)
+            where sv.sentence_id % 100 = 0),
+qs as ({sq.normalized("queries", "q_id", "embedding")}),
 cs as ({sq.normalized("sent_vec", "sentence_id", "embedding",
                       f", (length(word)-length(replace(word,'<unk>','')))/5 > {rv.UNK_PENALTY_THRESHOLD} pen")}),
 w1 as (select * from (select q.id q_id, c.id c_id,
@@ -401,8 +403,8 @@ def q_fewshot(spark, sf_dir):
     # the sentence table feeds the queries, the candidates and the examples: write it once
     sents = checkpoint(_sentence_vectors(spark, sf_dir, dec).join(stext, "sentence_id")
                        .select("sentence_id", "sentence", "word", "embedding"))
-    queries = sents.select(F.col("sentence_id").alias("q_id"), F.col("sentence").alias("text"),
-                           F.col("embedding").alias("q_vec"))
+    queries = sents.where(F.col("sentence_id") % 100 == 0).select(
+        F.col("sentence_id").alias("q_id"), F.col("sentence").alias("text"), F.col("embedding").alias("q_vec"))
     w1 = rv.similar_sentences(queries, sents)
     examples = w1.join(sents.select(F.col("sentence_id").alias("c_id"), "sentence",
                                     F.col("word").alias("decomposition")), "c_id")

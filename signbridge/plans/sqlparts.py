@@ -108,7 +108,7 @@ def normalized(table: str, id_expr: str, vec: str, extra: str = "") -> str:
 N_EMB = "(select count(*) from embeddings)"
 
 SENT_VEC = """sent_vec as (select d.sentence_id, d.word, e.embedding
-  from decomposed d join embeddings e on e.vec_id = d.sentence_id)"""
+  from decomposed d join embeddings e on e.vec_id = d.sentence_id % (select count(*) from embeddings))"""
 
 VOCAB_VEC = f"""vocab_vec as (select v.*, e.embedding
   from vocab v join embeddings e on e.vec_id = v.id % {N_EMB})"""

@@ -28,6 +28,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -96,7 +97,3 @@ def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 def default_parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
-
-def scratch_dir(prefix: str = "signbridge-") -> str:
-    """A fresh local folder for test-time sinks (never used by library code on a cluster)."""
-    return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("TMPDIR", "/tmp"))

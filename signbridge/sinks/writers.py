@@ -3,6 +3,7 @@ are only output formats."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +70,12 @@ def metric_report(scored: DataFrame, order_col: str = "row_id", digits: int = 4)
 
 
 def build_if_absent(spark: SparkSession, path: str, build, fmt: str = "parquet") -> DataFrame:
-    """Stage reuse (K8): write ``build()`` only when ``path`` does not exist yet, then read it.
-
-    ``mode('ignore')`` skips the job entirely when the output is already there."""
+    """Stage reuse (K8): call ``build`` and write its table only when ``path`` does not exist yet, then
+    read it. Whether it exists is asked of the store that Spark reads."""
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     build().write.mode("ignore").format(fmt).save(path)
     return spark.read.format(fmt).load(path)

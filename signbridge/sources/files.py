@@ -64,8 +64,8 @@ def read_pair_text(spark: SparkSession, path: str, left: str = "sentence", right
     has_sep = F.col("value").contains(PAIR_SEP)
     pairs = lines.where(has_sep).select(
         "row_id",
-        F.regexp_extract("value", r"^(.*)# (.*)$", 1).alias(left),
-        F.regexp_extract("value", r"^(.*)# (.*)$", 2).alias(right))
+        F.regexp_extract("value", r"(?s)\A(.*)# (.*)\z", 1).alias(left),
+        F.regexp_extract("value", r"(?s)\A(.*)# (.*)\z", 2).alias(right))
     corrupt = lines.where(~has_sep)
     if dedupe:
         pairs = pairs.groupBy(left, right).agg(F.min("row_id").alias("row_id"))
