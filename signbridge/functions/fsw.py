@@ -103,22 +103,39 @@ def symbol_key(fsw: Column | str) -> Column:
     return symbol_string(parse_sign(fsw), order=True)
 
 
+def clean_sign_seq(fsw_seq: Column | str, sort: bool = False, glue: str = " ") -> Column:
+    """``clean_parsed`` of one expression, for single outputs."""
+    parsed = parse_sign_seq(fsw_seq)
+    return clean_parsed(sorted_seq(parsed) if sort else parsed, fsw_seq, glue)
+
+
 def clean_symbol_seq(fsw_seq: Column | str, glue: str = " ", order: bool = False,
                      add_box_symbol: bool = False) -> Column:
     """Per-sign symbol strings of a sign sequence, joined by ``glue``."""
-    parsed = F.transform(split_signs(fsw_seq), parse_sign)
+    return symbol_seq(parse_sign_seq(fsw_seq), glue, order, add_box_symbol)
+
+
+def symbol_seq(parsed: Column, glue: str = " ", order: bool = False, add_box_symbol: bool = False) -> Column:
+    """Per-sign symbol strings of a parsed sign sequence, joined by ``glue``."""
     return F.array_join(
         F.transform(parsed, lambda p: symbol_string(p, order, add_box_symbol)), glue)
 
 
-def clean_sign_seq(fsw_seq: Column | str, sort: bool = False, glue: str = " ") -> Column:
-    """(fsw, symbols, xs, ys) of a sign sequence as a struct of glue-joined strings."""
-    signs = split_signs(fsw_seq)
-    parsed = F.transform(signs, parse_sign)
-    if sort:
-        parsed = F.transform(parsed, with_sorted_symbols)
+def parse_sign_seq(fsw_seq: Column | str) -> Column:
+    """ARRAY of parsed signs of a sign sequence. Keep it in a column of its own (``withColumn``) and
+    build on that column: the optimizer copies no costly expression that is used more than
+    once, so each sign is parsed once for all outputs."""
+    return F.transform(split_signs(fsw_seq), parse_sign)
+
+
+def sorted_seq(parsed: Column) -> Column:
+    return F.transform(parsed, with_sorted_symbols)
+
+
+def clean_parsed(parsed: Column, fsw_seq: Column | str, glue: str = " ") -> Column:
+    """(fsw, symbols, xs, ys) of a parsed sign sequence as a struct of glue-joined strings."""
     return F.struct(
-        F.array_join(signs, glue).alias("fsw"),
+        F.array_join(split_signs(fsw_seq), glue).alias("fsw"),
         F.array_join(flatten_signs(parsed, "tokens"), glue).alias("symbols"),
         F.array_join(flatten_signs(parsed, "xs").cast("array<string>"), glue).alias("xs"),
         F.array_join(flatten_signs(parsed, "ys").cast("array<string>"), glue).alias("ys"),

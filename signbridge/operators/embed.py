@@ -35,6 +35,13 @@ def hashing_embedder(dim: int = 64, n: int = 3) -> EmbedFn:
     return fn
 
 
+def letter_embedder(letters: str = "aeinorst") -> EmbedFn:
+    """How often each letter occurs: a stand-in whose vectors plain SQL can check."""
+    def fn(texts: list) -> np.ndarray:
+        return np.array([[(t or "").count(c) for c in letters] for t in texts], dtype=np.float32).reshape(-1, len(letters))
+    return fn
+
+
 def embed_column(df: DataFrame, text_col: str, fn: EmbedFn | None = None, out_col: str = "embedding",
                  dedupe: bool = True) -> DataFrame:
     """Add ``out_col`` ARRAY<FLOAT> = fn(text) computed per Arrow batch."""

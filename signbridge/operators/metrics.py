@@ -57,9 +57,16 @@ def macro_means(scored: DataFrame) -> DataFrame:
 
 # ---- positional alignment (J3, A14, A15) -------------------------------------------------------
 
-def align_by_position(pred: DataFrame, gold: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """Join two line tables on their line number (both carry ``id_col``)."""
-    return pred.join(gold, id_col, "inner")
+def align_by_position(pred: DataFrame, gold: DataFrame, id_col: str = "row_id", enforce: bool = False) -> DataFrame:
+    """Join two line tables on their line number (both carry ``id_col``). ``enforce`` makes a line that
+    only one side has an error when the result is computed."""
+    if not enforce:
+        return pred.join(gold, id_col, "inner")
+    a, b = pred.withColumn("_a", F.lit(True)), gold.withColumn("_b", F.lit(True))
+    both = a.join(b, id_col, "full_outer")
+    ok = F.when(F.col("_a").isNull() | F.col("_b").isNull(),
+                F.raise_error(F.concat(F.lit("line on one side only: "), F.col(id_col).cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return both.where(ok).drop("_a", "_b")
 
 
 def alignment_report(pred: DataFrame, gold: DataFrame, id_col: str = "row_id") -> DataFrame:

@@ -107,7 +107,9 @@ def learn_merges(lines: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE, text_co
     parts = default_parallelism(spark)
     segs = checkpoint(initial_segments(word_frequencies(lines, text_col)).repartition(parts, "word"))
     alphabet = segs.select(F.explode(_symbols(F.col("word"))).alias("c")).distinct().count()
-    budget = max(0, vocab_size - SPECIAL_PIECES - alphabet)
+    budget = vocab_size - SPECIAL_PIECES - alphabet
+    if budget < 0:
+        raise ValueError(f"a vocabulary of {vocab_size} doesn't hold the {alphabet} characters of the text and {SPECIAL_PIECES} special pieces")
     merges: list[tuple[str, str, int]] = []
     rounds = 0
     cached: list[DataFrame] = []
@@ -161,37 +163,26 @@ def _encode_word(word: str, ranks: dict) -> list[str]:
 
 
 def encode_lines(lines: DataFrame, merges: DataFrame, text_col: str = "text",
-                 out_col: str = "pieces", max_merges: int = 1_000_000) -> DataFrame:
-    """Encode each line into space-joined pieces with the learned merges.
-
-    The merge table is bounded by the vocabulary size (checked) and broadcast; each task
-    encodes every distinct word of its batches once."""
-    n = merges.count()
-    if n > max_merges:
-        raise ValueError(f"merge table has {n} rows, above the broadcast bound {max_merges}")
+                 out_col: str = "pieces") -> DataFrame:
+    """Encode each line into space-joined pieces with the learned merges; a null line stays null.
+
+    The words of all lines are made distinct, each is encoded once, and the pieces are joined back
+    and put in order again. The merge table is as large as the vocabulary that was asked for."""
     table = {(r["left"], r["right"]): int(r["rank"]) for r in merges.collect()}
     bc = lines.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("string")
-    def encode(texts: pd.Series) -> pd.Series:
-        ranks = bc.value
-        memo: dict[str, str] = {}
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            pieces = []
-            for w in t.split():
-                enc = memo.get(w)
-                if enc is None:
-                    enc = " ".join(_encode_word(w, ranks))
-                    memo[w] = enc
-                pieces.append(enc)
-            out.append(" ".join(pieces))
-        return pd.Series(out)
-
-    return lines.withColumn(out_col, encode(F.col(text_col)))
+    def encode(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: " ".join(_encode_word(w, bc.value)))
+
+    tagged = checkpoint(lines.withColumn("_line", F.monotonically_increasing_id()))
+    tokens = tagged.select("_line", F.posexplode(whitespace_tokens(text_col)).alias("_pos", "_word"))
+    encoded = checkpoint(tokens.select("_word").distinct().withColumn("_enc", encode("_word")))
+    joined = tokens.join(encoded, "_word").groupBy("_line").agg(
+        F.array_sort(F.collect_list(F.struct("_pos", "_enc"))).alias("_e"))
+    pieces = F.array_join(F.transform("_e", lambda e: e["_enc"]), " ")
+    out = F.when(F.col(text_col).isNotNull(), F.coalesce(pieces, F.lit("")))
+    return tagged.join(joined, "_line", "left").withColumn(out_col, out).drop("_line", "_e")
 
 
 def decode_pieces(pieces) -> F.Column:

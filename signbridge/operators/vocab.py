@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from ..functions import fsw as fx
 from ..functions.text import SIGN_GLUE, SYNONYM_SEP, UNIT_GLUE, UNKNOWN, first_two_distinct, lower_strip
 from ..functions.text import top_two_counted as top_two_counted_list
-from ..session import checked_broadcast
+from ..session import checked_broadcast, checkpoint
 from .indexing import dense_index
 
 # Vocabulary sides up to this many rows are broadcast in the sign lookup.
@@ -71,9 +71,11 @@ def most_frequent(df: DataFrame, group_cols: list[str], value_col: str, order_co
     return best.select(*group_cols, F.col("_best.v").alias(name))
 
 
-def dedupe_first(df: DataFrame, cols: list[str], order_col: str) -> DataFrame:
-    """Distinct rows on ``cols``, keeping the first ``order_col`` of each."""
-    return df.groupBy(*cols).agg(F.min(order_col).alias(order_col))
+def dedupe_first(df: DataFrame, cols: list[str], order_col: str, count: str | None = None) -> DataFrame:
+    """Distinct rows on ``cols``, keeping the first ``order_col`` of each; ``count`` names a column
+    for the number of copies."""
+    copies = [F.count(F.lit(1)).alias(count)] if count else []
+    return df.groupBy(*cols).agg(F.min(order_col).alias(order_col), *copies)
 
 
 def vocabulary_words(corpus: DataFrame, order_col: str = "p_partkey", word_col: str = "word",
@@ -141,9 +143,10 @@ def entry_lists(corpus: DataFrame, order_col: str = "p_partkey", word_col: str =
 
 def parse_sign_rows(signs: DataFrame, fsw_col: str = "fsw") -> DataFrame:
     """Add ``symbol`` (symbols in written order) and ``key`` (sorted) for one-sign rows."""
-    parsed = fx.parse_sign(F.col(fsw_col))
-    return signs.withColumn("_p", parsed).withColumn("symbol", fx.symbol_string(F.col("_p"))) \
-                .withColumn("key", fx.symbol_string(F.col("_p"), order=True)).drop("_p")
+    # the ids are one column of their own, so that a sign is matched once for both outputs
+    ids = F.transform(F.regexp_extract_all(F.col(fsw_col), F.lit(fx.SYMBOL_WITH_COORDS), 0), lambda t: F.substring(t, 1, 6))
+    return signs.withColumn("_ids", ids).withColumn("symbol", F.array_join("_ids", " ")) \
+                .withColumn("key", F.array_join(F.array_sort("_ids"), " ")).drop("_ids")
 
 
 def explode_sequences(seqs: DataFrame, id_col: str = "sentence_id", fsw_col: str = "fsw") -> DataFrame:
@@ -213,7 +216,9 @@ def top_unknown_labels(units: DataFrame, top_n: int) -> DataFrame:
 
 
 def label_unknowns(units: DataFrame, top_n: int) -> DataFrame:
-    """Replace the unit of the ``top_n`` most frequent unknown symbols by their label."""
+    """Replace the unit of the ``top_n`` most frequent unknown symbols by their label. The units are
+    written once and read twice: to count and to label."""
+    units = checkpoint(units)
     labels = top_unknown_labels(units, top_n).select("symbol", "label")
     out = units.join(F.broadcast(labels), "symbol", "left")  # top_n rows
     return out.withColumn("word", F.coalesce(F.col("label"), F.col("word"))).drop("label")

@@ -8,6 +8,8 @@ C10 join_gold            C11 evaluate_signs                   C12 evaluate_text
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,49 +143,82 @@ def ground_answers(answers: DataFrame, vocab: DataFrame, embed_fn=None, id_col:
 
 # ---- C10 / C11 / C12 -----------------------------------------------------------------------------
 
+def _null_safe_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    right = right.withColumnRenamed(key, f"_{key}")
+    return left.join(right, left[key].eqNullSafe(right[f"_{key}"])).drop(f"_{key}")
+
+
 def join_gold(pred: DataFrame, gold: DataFrame, modality: str = "text2sign") -> DataFrame:
-    """Attach gold columns (m:n on the key, as pandas merge does)."""
+    """Attach gold columns (m:n on the key, null keys matching each other, as pandas merge does)."""
     if modality == "text2sign":
         g = gold.select("sentence", F.col("fsw").alias("gold_fsw_seq"), F.col("symbol").alias("gold_symbol_seq"),
                         F.col("word").alias("gold_cd"))
-        return pred.join(g, "sentence", "inner")
+        return _null_safe_join(pred, g, "sentence")
     g = gold.select("sentence", F.col("word").alias("gold_cd"))
-    return pred.join(g, "gold_cd", "inner")
+    return _null_safe_join(pred, g, "gold_cd")
 
 
 def evaluate_signs(pairs: DataFrame, pred: str = "pred_fsw_seq", gold: str = "gold_fsw_seq",
                    id_col: str = "row_id", factors: bool = False) -> dict[str, DataFrame]:
-    """Sign predictions vs gold: per-row set F1 on symbols, coordinate distances (plain
-    and sorted symbols), BLEU / chrF on symbol strings (case kept and lowered)."""
+    """Sign predictions vs gold: per-row set F1 on symbols and its mean; coordinate distances, BLEU
+    (effective order, and as on the command line) and chrF (case kept and lowered) of symbols as
+    written and sorted; per-line BLEU and chrF of lines that are not blank."""
     p = F.col(pred)
     if factors:
         p = fx.factors_to_fsw(p)
     df = pairs.select(id_col, p.alias("_p"), F.col(gold).alias("_g"))
-    plain_p, plain_g = fx.clean_sign_seq("_p"), fx.clean_sign_seq("_g")
-    sort_p, sort_g = fx.clean_sign_seq("_p", sort=True), fx.clean_sign_seq("_g", sort=True)
+    df = df.withColumn("_pp", fx.parse_sign_seq("_p")).withColumn("_pg", fx.parse_sign_seq("_g"))
+    df = df.withColumn("_sp", fx.sorted_seq(F.col("_pp"))).withColumn("_sg", fx.sorted_seq(F.col("_pg")))
+    sides = [("p", "_pp"), ("g", "_pg"), ("sp", "_sp"), ("sg", "_sg")]
     wide = df.select(
-        id_col,
-        plain_p["symbols"].alias("pred_symbols"), plain_g["symbols"].alias("gold_symbols"),
-        sort_p["symbols"].alias("pred_symbols_sorted"), sort_g["symbols"].alias("gold_symbols_sorted"),
-        *[F.filter(F.split(c[f], " "), lambda t: t != "").cast("array<int>").alias(n) for c, f, n in [
-            (plain_p, "xs", "px"), (plain_g, "xs", "gx"), (plain_p, "ys", "py"), (plain_g, "ys", "gy"),
-            (sort_p, "xs", "spx"), (sort_g, "xs", "sgx"), (sort_p, "ys", "spy"), (sort_g, "ys", "sgy")]])
-    # set F1 on symbol ids without box letters
-    f1 = mt.with_set_metrics(
-        df.select(id_col, tx.whitespace_tokens(fx.clean_symbol_seq("_p")).alias("pt"),
-                  tx.whitespace_tokens(fx.clean_symbol_seq("_g")).alias("gt")), "pt", "gt")
-    bleu_plain = mt.corpus_bleu(wide, "pred_symbols", "gold_symbols")
-    bleu_sorted = mt.corpus_bleu(wide, "pred_symbols_sorted", "gold_symbols_sorted")
+        id_col, *[F.array_join(fx.flatten_signs(F.col(c), "tokens"), " ").alias(f"{n}_symbols") for n, c in sides],
+        *[fx.flatten_signs(F.col(c), part).alias(f"{n}{part[0]}") for n, c in sides for part in ("xs", "ys")],
+        tx.whitespace_tokens(fx.symbol_seq(F.col("_pp"))).alias("pt"), tx.whitespace_tokens(fx.symbol_seq(F.col("_pg"))).alias("gt"))
+    wide = checkpoint(wide)  # every report reads the parsed rows, none parses again
+    f1 = mt.with_set_metrics(wide, "pt", "gt")  # on symbol ids without box letters
+    ordered = [(False, "p", "g"), (True, "sp", "sg")]
+    flag = lambda df, o: df.withColumn("ordered", F.lit(o))
+    both = lambda fn: functools.reduce(DataFrame.unionByName, [flag(fn(a, b), o) for o, a, b in ordered])
+    lines = wide.select(id_col, F.col("p_symbols").alias("hyp"), F.col("g_symbols").alias("ref"))
     return {
         "f1_rows": f1.select(id_col, "precision", "recall", "f1"),
         "f1_mean": mt.macro_means(f1),
-        "distance": mt.distance_totals(wide, "px", "gx", "py", "gy").withColumn("ordered", F.lit(False))
-        .unionByName(mt.distance_totals(wide, "spx", "sgx", "spy", "sgy").withColumn("ordered", F.lit(True))),
-        "bleu": bleu_plain.withColumn("ordered", F.lit(False)).unionByName(bleu_sorted.withColumn("ordered", F.lit(True))),
-        "chrf": mt.corpus_chrf(wide, "pred_symbols", "gold_symbols"),
+        "distance": both(lambda a, b: mt.distance_totals(wide, f"{a}x", f"{b}x", f"{a}y", f"{b}y")),
+        "bleu": both(lambda a, b: mt.corpus_bleu(wide, f"{a}_symbols", f"{b}_symbols")),
+        "bleu_cli": both(lambda a, b: mt.corpus_bleu(wide, f"{a}_symbols", f"{b}_symbols", effective_order=False)),
+        "chrf": both(lambda a, b: mt.corpus_chrf(wide, f"{a}_symbols", f"{b}_symbols")),
+        "per_line": mt.sentence_chrf(mt.sentence_bleu(lines)),
     }
 
 
+def evaluate_sign_lines(pred: DataFrame, gold: DataFrame, id_col: str = "row_id", fsw_col: str = "fsw",
+                        factors: bool = False) -> dict[str, DataFrame]:
+    """``evaluate_signs`` of two line tables, joined by line number; unequal lines are an error."""
+    pairs = mt.align_by_position(pred.select(id_col, F.col(fsw_col).alias("pred_fsw_seq")),
+                                 gold.select(id_col, F.col(fsw_col).alias("gold_fsw_seq")), id_col, enforce=True)
+    return evaluate_signs(pairs, id_col=id_col, factors=factors)
+
+
+ALIGNED_COLUMNS = ["fsw", "symbols", "symbols_ordered", "xs", "ys", "xs_ordered", "ys_ordered", "sentence"]
+
+
+def aligned_columns(sentences: DataFrame, vocabulary: DataFrame | None = None, order_col: str = "row_id") -> DataFrame:
+    """The eight line-aligned columns of a split: signs, symbols, symbols in order, their coordinates
+    in both orders, and text. ``vocabulary`` (word, fsw) adds its rows after the sentences: for
+    the train split. ``sentences`` has ``order_col``, sentence, fsw."""
+    rows = sentences.select(F.lit(0).alias("part"), F.col(order_col).cast("bigint").alias(order_col), F.col("sentence").cast("string"), "fsw")
+    if vocabulary is not None:
+        words = vocabulary.select(F.lit(1).alias("part"), F.col(order_col).cast("bigint").alias(order_col), F.col("word").alias("sentence"), "fsw")
+        rows = rows.unionByName(words)
+    rows = rows.withColumn("_p", fx.parse_sign_seq("fsw"))
+    rows = rows.withColumn("_s", fx.sorted_seq(F.col("_p")))
+    text = lambda c, part: F.array_join(fx.flatten_signs(F.col(c), part).cast("array<string>"), " ")
+    return rows.select("part", order_col, F.array_join(fx.split_signs("fsw"), " ").alias("fsw"),
+                       text("_p", "tokens").alias("symbols"), text("_s", "tokens").alias("symbols_ordered"),
+                       text("_p", "xs").alias("xs"), text("_p", "ys").alias("ys"),
+                       text("_s", "xs").alias("xs_ordered"), text("_s", "ys").alias("ys_ordered"), "sentence")
+
+
 def evaluate_text(pairs: DataFrame, pred: str = "pseudo_sentence", gold: str = "sentence") -> dict[str, DataFrame]:
     """Text predictions vs gold: newlines collapsed, null as blank; corpus BLEU / chrF over
     every line and per-line scores for non-blank lines."""

@@ -52,8 +52,8 @@ def _clip_ctes(prefix: str, src: str, units: str, sep: str, orders: int) -> str:
           left join {prefix}_m m on m.doc_id = s.doc_id and m.n = o.n)"""
 
 
-def bleu_ctes() -> str:
-    return METRIC_PAIRS + f""",
+def bleu_ctes(pairs: str = METRIC_PAIRS) -> str:
+    return pairs + f""",
 btk as (select doc_id, {tok13a('hyp')} h, {tok13a('ref')} r,
                length({strip('hyp')}) > 0 and length({strip('ref')}) > 0 nonblank from mp),
 """ + _clip_ctes("b", "btk", lambda side: side, " ", 4) + """,

@@ -115,8 +115,11 @@ from per_sign group by sentence_id
 
 def _spark_sign_parse(spark, sf_dir, sort: bool):
     s = _sentence_signs(spark, sf_dir)
-    c = fx.clean_sign_seq(F.col("fsw"), sort=sort)
-    return s.select("sentence_id", c["fsw"].alias("fsw"), c["symbols"].alias("symbols"),
+    p = s.withColumn("_p", fx.parse_sign_seq("fsw"))
+    if sort:
+        p = p.withColumn("_p", fx.sorted_seq(F.col("_p")))
+    c = fx.clean_parsed(F.col("_p"), F.col("fsw"))
+    return p.select("sentence_id", c["fsw"].alias("fsw"), c["symbols"].alias("symbols"),
                     c["xs"].alias("xs"), c["ys"].alias("ys"))
 
 
@@ -138,12 +141,12 @@ select sentence_id,
 from signs group by sentence_id
 """)
 def q_symbol_clean(spark, sf_dir):
-    s = _sentence_signs(spark, sf_dir)
+    s = _sentence_signs(spark, sf_dir).withColumn("_p", fx.parse_sign_seq("fsw"))
     return s.select(
         "sentence_id",
-        fx.clean_symbol_seq("fsw", glue="|").alias("symbol"),
-        fx.clean_symbol_seq("fsw", glue="|", order=True).alias("symbol_ordered"),
-        fx.clean_symbol_seq("fsw", glue="|", add_box_symbol=True).alias("symbol_boxed"),
+        fx.symbol_seq(F.col("_p"), "|").alias("symbol"),
+        fx.symbol_seq(F.col("_p"), "|", order=True).alias("symbol_ordered"),
+        fx.symbol_seq(F.col("_p"), "|", add_box_symbol=True).alias("symbol_boxed"),
     )
 
 
@@ -589,7 +592,7 @@ def q_newline_collapse(spark, sf_dir):
 select min(doc_id) doc_id, text, count(*) n_copies from documents group by text""")
 def q_dedupe_first(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"))
+    return vc.dedupe_first(d, ["text"], "doc_id", count="n_copies")
 
 
 REPETITION_THRESHOLD = 0.2
@@ -619,15 +622,16 @@ def q_gold_join(spark, sf_dir):
 
 
 @register("message_validity", """
-select conv_id, count(*) n_messages, count(*) filter (where role is not null and text is not null) n_valid,
-       min(turn) filter (where role = 'system') system_turn
-from conversations group by conv_id""")
+select conv_id, count(*) n_messages, count(*) filter (where role is not null and t is not null) n_valid,
+       coalesce(string_agg(role, ',' order by turn, role, t) filter (where role is not null and t is not null), '') roles
+from (select *, case when (conv_id + turn) % 3 <> 0 then text end t from conversations) group by conv_id""")
 def q_message_validity(spark, sf_dir):
+    # every third text of a conversation is taken away, so that there is something to drop
     c = read_table(spark, sf_dir, "conversations")
-    valid = F.col("role").isNotNull() & F.col("text").isNotNull()
-    return c.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_messages"), F.count(F.when(valid, 1)).alias("n_valid"),
-        F.min(F.when(F.col("role") == "system", F.col("turn"))).alias("system_turn"))
+    c = c.withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 3 != 0, F.col("text")))
+    m = pr.conversation_messages(c).withColumn("valid", pr.valid_messages(F.col("messages")))
+    return m.select("conv_id", F.size("messages").cast("bigint").alias("n_messages"), F.size("valid").cast("bigint").alias("n_valid"),
+                    F.array_join(F.transform("valid", lambda x: x["role"]), ",").alias("roles"))
 
 
 @register("alignment_check", """
@@ -748,8 +752,12 @@ def q_subword_decode(spark, sf_dir):
     return d.select("doc_id", sw.decode_pieces(sw.char_pieces("text")).alias("decoded"))
 
 
-@register("embed_batches")
+@register("embed_batches", "select doc_id, " + " || ',' || ".join(
+    f"cast(length(text) - length(replace(text, '{c}', '')) as varchar)" for c in "aeinorst") + " vector from documents")
 def q_embed_batches(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    e = eb.embed_column(d, "text")
-    return e.select("doc_id", F.size("embedding").cast("bigint").alias("dim"))
+    e = eb.embed_column(d, "text", eb.letter_embedder())
+    return e.select("doc_id", F.array_join(F.col("embedding").cast("array<int>").cast("array<string>"), ",").alias("vector"))
+
+
+from . import job_queries  # noqa: E402,F401  the composite jobs register themselves

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sysconfig
 import tempfile
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +65,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local_dir
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable for Python workers, once per application.
+
+    Where the folder that holds the package is on PYTHONPATH, or the package is installed, workers
+    find it; else Spark hands them a zip of it, as ``--py-files`` would."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), sysconfig.get_paths()["purelib"]]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or root in map(os.path.abspath, filter(None, known)):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="signbridge-"), "signbridge.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's checkpoint folder (survives executor loss).
 

@@ -69,6 +69,29 @@ def metric_report(scored: DataFrame, order_col: str = "row_id", digits: int = 4)
                          fixed_decimals("f1", digits).alias("F1"))
 
 
+def mean_line(scored: DataFrame) -> DataFrame:
+    """The last line of the F1 report (K6)."""
+    return scored.agg(F.concat(F.lit("Mean F1: "), F.avg("f1").cast("string")).alias("value"))
+
+
+def distance_block(distance: DataFrame) -> DataFrame:
+    """The distance report (K6) as text lines (``ordered``, ``line``, ``value``): a block for symbols as written
+    and one for sorted symbols; append the second to the first with ``mode='append'``."""
+    head = F.when(F.col("ordered"), F.lit("======ORDERED FACTOR======")).otherwise(F.lit("======NOT ORDERED FACTOR======"))
+    part = lambda axis: [F.lit(f"{axis.upper()} coordinates:"), F.concat(F.lit("total distance: "), F.col(f"total_{axis}").cast("string")),
+                         F.concat(F.lit("token number: "), F.col("tokens").cast("string")),
+                         F.concat(F.lit("mean distance: "), F.col(f"mean_{axis}").cast("string")), F.lit("")]
+    lines = F.array(head, F.lit(""), *part("x"), *part("y"))
+    return distance.select("ordered", F.posexplode(lines).alias("line", "value"))
+
+
+def line_report(per_line: DataFrame, order_col: str = "row_id") -> DataFrame:
+    """The per-line report (K6): line number, gold, prediction, BLEU and chrF with two decimals."""
+    return per_line.select(order_col, F.concat(
+        F.lit("Line "), F.col(order_col).cast("string"), F.lit(":\nGold: "), F.col("ref"), F.lit("\nPred: "), F.col("hyp"),
+        F.lit("\nBLEU: "), fixed_decimals("bleu", 2), F.lit("\nchrF: "), fixed_decimals("chrf", 2), F.lit("\n")).alias("value"))
+
+
 def build_if_absent(spark: SparkSession, path: str, build, fmt: str = "parquet") -> DataFrame:
     """Stage reuse (K8): call ``build`` and write its table only when ``path`` does not exist yet, then
     read it. Whether it exists is asked of the store that Spark reads."""

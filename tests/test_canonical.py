@@ -82,3 +82,10 @@ def test_stored_entries_with_list_keys(spark):
     ent = {r["id"]: r for r in vc.entries_with_canonical(entries).collect()}
     assert ent[0]["canonical_first2"] == "go|leave" and ent[0]["fsw"] == "F1"
     assert ent[1]["canonical_first2"] == "stop|halt" and ent[1]["fsw"] == "F2"
+
+
+def test_white_space_as_python_sees_it(spark):
+    from signbridge.functions import text as tx
+    texts = ["a\u00a0b", "a\u3000b c", " x\u2003", "\x1ca\x1f", "", "a\u200bb"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.whitespace_tokens("t").alias("w"), tx.strip("t").alias("s"))
+    assert all(r["w"] == r["t"].split() and r["s"] == r["t"].strip() for r in df.collect())

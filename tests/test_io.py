@@ -68,7 +68,47 @@ def test_csv_source(spark, tmp_dir):
     signs = jobs.prepare_corpus(raw, jobs.KIND_SIGN).collect()
     assert [(r["word"], r["fsw"]) for r in signs] == [("hello|hi", "M510x527S10004495x473")]
     sents = jobs.prepare_corpus(raw, jobs.KIND_SENTENCE).collect()
-    assert [(r["word"], r["split"]) for r in sents] == [("go, now", "test")]
+    assert [(r["sentence"], r["word"], r["split"]) for r in sents] == [("Go, now", "go, now", "test")]
+
+
+def test_sentence_text_stays_as_it_is(spark):
+    rows = [(0, "en", "ase", "Sentence", "The Lord said: Go|Now|Then᛫other", "M500x500S38800464x496")]
+    raw = spark.createDataFrame(rows, "row_id long, spoken_language string, sign_language string, `Sentence/Sign` string, "
+                                      "annotated_texts_multilingual string, sign_writing string")
+    from signbridge.plans import jobs
+    r = jobs.prepare_corpus(raw, jobs.KIND_SENTENCE).first()
+    assert (r["sentence"], r["word"]) == ("The Lord said: Go|Now|Then", "the lord said: go|now")
+
+
+def test_pair_lines_with_other_line_ends(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "pairs.txt")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("a\u2028b# M500x500S38800464x496\nc\u0085d# S1\u2028\n")
+    pairs, corrupt = fs.read_pair_text(spark, path)
+    assert {(r["sentence"], r["fsw"]) for r in pairs.collect()} == {("a\u2028b", "M500x500S38800464x496"), ("c\u0085d", "S1\u2028")}
+    assert corrupt.count() == 0
+
+
+def test_stage_is_built_once(spark, tmp_dir):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.createDataFrame([(1,)], "a int")
+
+    for _ in range(3):
+        assert wr.build_if_absent(spark, os.path.join(tmp_dir, "once"), build).count() == 1
+    assert calls == [1]
+
+
+def test_reports(spark):
+    d = spark.createDataFrame([(False, 10, 20, 4, 2.5, 5.0)], "ordered boolean, total_x long, total_y long, tokens long, mean_x double, mean_y double")
+    lines = [r["value"] for r in wr.distance_block(d).orderBy("line").collect()]
+    assert lines == ["======NOT ORDERED FACTOR======", "", "X coordinates:", "total distance: 10", "token number: 4", "mean distance: 2.5", "",
+                     "Y coordinates:", "total distance: 20", "token number: 4", "mean distance: 5.0", ""]
+    assert wr.mean_line(spark.createDataFrame([(0.5,), (0.25,)], "f1 double")).first()[0] == "Mean F1: 0.375"
+    p = spark.createDataFrame([(3, "a", "b", 1.005, 20.0)], "row_id long, hyp string, ref string, bleu double, chrf double")
+    assert wr.line_report(p).first()["value"].startswith("Line 3:\nGold: b\nPred: a\nBLEU: 1.0")
 
 
 def test_line_aligned_and_space_separated_sinks(spark, tmp_dir):

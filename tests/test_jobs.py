@@ -80,7 +80,7 @@ def test_evaluate_signs_and_text(spark):
     # with 482 (|482-510| + |482-500|); sorted symbols make row 0 identical
     assert dist[False]["total_x"] == 10 + 10 + (510 - 482) + (500 - 482) and dist[False]["tokens"] == 3 + 4
     assert dist[True]["total_x"] == (510 - 482) + (500 - 482)
-    assert out["bleu"].count() == 2 and out["chrf"].count() == 1
+    assert out["bleu"].count() == 2 and {r["ordered"] for r in out["chrf"].collect()} == {False, True}
     text = spark.createDataFrame([("the cat\nsat", "the cat sat"), (None, "x")], "pseudo_sentence string, sentence string")
     t = jobs.evaluate_text(text)
     assert t["bleu"].first()["ref_len"] == 4 and t["per_line"].count() == 1
@@ -102,3 +102,42 @@ def test_evaluate_signs_empty_prediction(spark):
     assert out["f1_rows"].first()["f1"] == 0.0
     d = {r["ordered"]: r for r in out["distance"].collect()}
     assert d[False]["tokens"] == 2 and d[False]["total_x"] == abs(482 - 500) + abs(482 - 464)
+
+
+def test_appended_unknowns_never_multiply_signs(spark):
+    vocab = jobs.build_vocabulary(_corpus(spark))
+    signs = spark.createDataFrame([
+        (1, 0, "M500x500S10000480x480S20000490x490"), (1, 1, "M500x500S20000490x490S10000480x480"),
+        (2, 0, "M500x500S38800464x496"), (2, 1, "M500x500S10000480x480S20000490x490")], "sentence_id long, pos long, fsw string")
+    _, _, extended = jobs.profile_unknowns(vc.lookup_signs(signs, vocab), vocab, 10)
+    assert extended.count() == vocab.count() + 2  # two written orders of one key
+    got = sorted((r["sentence_id"], r["pos"], r["word"]) for r in vc.lookup_signs(signs, extended).collect())
+    assert got == [(1, 0, "unk_1 unk_2"), (1, 1, "unk_1 unk_2"), (2, 0, "full stop|."), (2, 1, "unk_1 unk_2")]
+
+
+def test_filtered_sample_counts_the_filtered_set(spark):
+    rows = [(i, f"s{i}", "F", "x", "<unk>" if i % 5 < 3 else "go", 1, 0) for i in range(1000)]
+    dec = spark.createDataFrame(rows, "row_id long, sentence string, fsw string, symbol string, word string, n_signs long, n_unk long")
+    sets = jobs.build_training_sets(dec, _corpus(spark).select("word", "fsw"))
+    assert sets["filtered"].count() == 400 and sets["filtered_5pct"].count() == 20
+
+
+def test_gold_join_matches_nulls(spark):
+    pred = spark.createDataFrame([(None, "p1"), ("t", "p2")], "sentence string, pred_fsw_seq string")
+    gold = spark.createDataFrame([(None, "F", "S", "w"), ("u", "F", "S", "w")], "sentence string, fsw string, symbol string, word string")
+    out = jobs.join_gold(pred, gold)
+    assert [(r["sentence"], r["pred_fsw_seq"], r["gold_cd"]) for r in out.collect()] == [(None, "p1", "w")]
+
+
+def test_workers_import_the_package_from_any_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from signbridge.session import get_session\nimport __spark_entry__ as e\n"
+            "s = get_session('local[2]', 2)\n"
+            "print('ROWS', e.queries()['embed_batches'](s, '/root/testdata/sf0.001').count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 200" in done.stdout, done.stderr[-2000:]

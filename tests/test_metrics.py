@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from signbridge.operators import metrics as mt
@@ -20,21 +21,50 @@ PUBLISHED_DISTANCES = [(1162883, 40557, 28.67280617402668), (1198365, 40557, 29.
                        (1015016, 40557, 25.026900411766157), (1202933, 40557, 29.660305249402075)]
 
 
-def test_bleu_from_published_precisions():
+def _bleu(spark, fields, **kw):
+    names = [f"m{i}" for i in range(1, 5)] + [f"t{i}" for i in range(1, 5)] + ["hyp_len", "ref_len"]
+    df = spark.createDataFrame([fields], ", ".join(f"{n} long" for n in names))
+    return df.select(mt.bleu_score(F.struct(*names), **kw)).first()[0]
+
+
+def test_bleu_from_published_precisions(spark):
     for precs, hyp, ref, score in PUBLISHED_BLEU:
-        bp = math.exp(1 - ref / hyp)
-        bleu = bp * math.exp(sum(math.log(p) for p in precs) / 4)
-        assert abs(round(bleu, 1) - score) < 0.051
+        total = 100_000  # the printed precisions as counts of so many n-grams
+        matches = [round(p * total / 100) for p in precs]
+        assert abs(round(_bleu(spark, (*matches, *[total] * 4, hyp, ref)), 1) - score) < 0.051
 
 
-def test_f1_from_published_rows():
-    for p, r, f in PUBLISHED_F1_ROWS:
-        assert abs(2 * p * r / (p + r) - f) < 1e-4
+def test_f1_from_published_rows(spark):
+    df = spark.createDataFrame(PUBLISHED_F1_ROWS, "p double, r double, f double")
+    assert all(abs(r[0] - r[1]) < 1e-4 for r in df.select(mt.f1_of(F.col("p"), F.col("r")), "f").collect())
 
 
-def test_distance_means():
+def test_distance_means(spark):
     for total, tokens, mean in PUBLISHED_DISTANCES:
-        assert total / tokens == mean
+        # a line for each token, all of the distance on the first
+        first = F.col("id") == 0
+        pairs = spark.range(tokens).select(F.array(F.when(first, F.lit(total)).otherwise(7)).alias("p"),
+                                           F.array(F.when(first, F.lit(0)).otherwise(7)).alias("g"))
+        r = mt.distance_totals(pairs, "p", "g", "p", "g").first()
+        assert (r["total_x"], r["tokens"], r["mean_x"], r["mean_y"]) == (total, tokens, mean, mean)
+
+
+def test_bleu_without_matches(spark):
+    pairs = spark.createDataFrame([(0, "a b c d e", "v w x y z"), (1, "a b", "a b")], "row_id long, hyp string, ref string")
+    got = {r["row_id"]: r["bleu"] for r in mt.sentence_bleu(pairs).collect()}
+    assert got[0] == 0.0 and abs(got[1] - 100) < 1e-9
+    short = pairs.where("row_id = 1")
+    assert abs(mt.corpus_bleu(short).first()["bleu"] - 100) < 1e-9
+    assert mt.corpus_bleu(short, effective_order=False).first()["bleu"] == 0.0
+
+
+def test_unequal_lines_are_an_error(spark):
+    a = spark.createDataFrame([(0, "x"), (1, "y")], "row_id long, p string")
+    b = spark.createDataFrame([(0, "x"), (2, "z")], "row_id long, g string")
+    with pytest.raises(Exception, match="line on one side only"):
+        mt.align_by_position(a, b, enforce=True).collect()
+    same = a.withColumnRenamed("p", "g")
+    assert mt.align_by_position(a, same, enforce=True).count() == 2
 
 
 def test_set_metrics(spark):
