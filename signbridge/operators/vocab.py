@@ -5,7 +5,7 @@ Scale notes
   (word, count, first position) rows and keep the best two per key with a ranked window
   whose ``<= 2`` filter becomes a partial ``WindowGroupLimit`` before the shuffle (a hot
   key costs its reducer two rows per map task).
-* The vocabulary join is broadcast only behind a checked row bound; otherwise it is a
+* The vocabulary join is broadcast only behind a check of its bytes; otherwise it is a
   shuffle join on the key, where AQE splits hot keys (e.g. punctuation signs).
 * Sentence re-grouping collects one sentence's signs, bounded by the sentence length.
 """
@@ -23,8 +23,8 @@ from ..functions.text import top_two_counted as top_two_counted_list
 from ..session import checked_broadcast, checkpoint
 from .indexing import dense_index
 
-# Vocabulary sides up to this many rows are broadcast in the sign lookup.
-VOCAB_BROADCAST_ROWS = 1_000_000
+# Lookup tables up to this size, measured, are broadcast; larger ones are joined by a shuffle.
+VOCAB_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def _ordered_join(items: Column, field: str, glue: str) -> Column:
@@ -156,7 +156,7 @@ def explode_sequences(seqs: DataFrame, id_col: str = "sentence_id", fsw_col: str
 
 
 def lookup_signs(signs: DataFrame, vocab: DataFrame, fsw_col: str = "fsw",
-                 broadcast_rows: int = VOCAB_BROADCAST_ROWS) -> DataFrame:
+                 broadcast_bytes: int = VOCAB_BROADCAST_BYTES) -> DataFrame:
     """Left lookup of each sign's key in the vocabulary: adds ``symbol``, ``key``, ``word``
     (canonical, or ``<unk>`` when no entry has the same symbol multiset).
 
@@ -170,7 +170,7 @@ def lookup_signs(signs: DataFrame, vocab: DataFrame, fsw_col: str = "fsw",
         "_e", lambda e: F.replace(e["canon"], F.lit(SYNONYM_SEP), F.lit(", "))), " "), ","))
     lex = lex.select("key", F.when(F.size("_e") == 1, F.col("_e")[0]["canon"]).otherwise(pooled).alias("_canon"),
                      F.col("_e")[0]["id"].alias("entry_id"))
-    lex = checked_broadcast(lex, broadcast_rows)
+    lex = checked_broadcast(lex, broadcast_bytes, 64 + F.length("key") + F.length("_canon"))
     out = keyed.join(lex, "key", "left")
     return out.withColumn("word", F.coalesce(F.col("_canon"), F.lit(UNKNOWN))).drop("_canon")
 

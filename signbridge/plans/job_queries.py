@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import embed as eb
 from ..operators import prompts as pr
 from ..operators import vocab as vc
-from ..sources.tables import corpus_view, metric_pairs_view, read_table, sentence_text, signs_view
+from ..sources.tables import corpus_view, known_corpus_view, metric_pairs_view, read_table, sentence_text, signs_view
 from . import jobs, metric_sql as ms, sqlparts as sq
 from .queries import _SEEDS_SQL, _decomposed, _md5_rank, _round6, _sentence_signs, _units, _vocab, register
 
@@ -76,17 +76,17 @@ def _letter_vector(text: str) -> str:
     return "[" + ", ".join(f"length({text}) - length(replace({text}, '{c}', ''))" for c in _LETTERS) + "]"
 
 
-@register("vocabulary_entries", sq.with_(sq.CORPUS, _ENTRIES) + "select id, symbol, words, signs from entries")
+@register("vocabulary_entries", sq.with_(sq.WHOLE_CORPUS, _ENTRIES) + "select id, symbol, words, signs from entries")
 def q_vocabulary_entries(spark, sf_dir):
     e = vc.entry_lists(corpus_view(spark, sf_dir))
     return e.select("id", "symbol", F.array_join("word", "|").alias("words"), F.array_join("fsw", ", ").alias("signs"))
 
 
-def _embedded_vocabulary(spark, sf_dir):
-    return jobs.build_vocabulary(corpus_view(spark, sf_dir), eb.letter_embedder(_LETTERS), order_col="p_partkey")
+def _embedded_vocabulary(spark, sf_dir, corpus=corpus_view):
+    return jobs.build_vocabulary(corpus(spark, sf_dir), eb.letter_embedder(_LETTERS), order_col="p_partkey")
 
 
-@register("vocabulary_embeddings", sq.with_(sq.CORPUS, _ENTRIES) + f"""
+@register("vocabulary_embeddings", sq.with_(sq.WHOLE_CORPUS, _ENTRIES) + f"""
 select id, symbol, array_to_string({_letter_vector('words')}, ',') vector from entries""")
 def q_vocabulary_embeddings(spark, sf_dir):
     v = _embedded_vocabulary(spark, sf_dir)
@@ -163,7 +163,7 @@ from u join best using (unit) group by q_id""")
 def q_grounded_answers(spark, sf_dir):
     dec = _decomposed(spark, sf_dir)
     answers = dec.select(F.col("sentence_id").alias("q_id"), F.replace("word", F.lit("<unk>"), F.lit("unknown sign")).alias("answer"))
-    out = jobs.ground_answers(answers, _embedded_vocabulary(spark, sf_dir), eb.letter_embedder(_LETTERS))
+    out = jobs.ground_answers(answers, _embedded_vocabulary(spark, sf_dir, known_corpus_view), eb.letter_embedder(_LETTERS))
     return out.select("q_id", "fsw_seq", "units", "joint_prob")
 
 
@@ -217,7 +217,7 @@ per as (select part, row_id, pos, fsw, regexp_extract(fsw, '{sq.BOX_RE}', 1) b,
 text_ as (select 0 part, s.sentence_id row_id, string_agg(p.p_name, ' ' order by s.pos) sentence
           from signs s left join part p on p.p_partkey = s.k group by s.sentence_id
           union all select 1, p_partkey, word from corpus)"""
-    return sq.with_(sq.SIGNS, sq.CORPUS, parts) + f"""
+    return sq.with_(sq.SIGNS, sq.WHOLE_CORPUS, parts) + f"""
 select cast(part as int) part, row_id, string_agg(fsw, ' ' order by pos) fsw, {', '.join(columns)}, any_value(sentence) sentence
 from per join text_ using (part, row_id) group by part, row_id"""
 

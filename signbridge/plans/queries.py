@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fsw as fx
 from ..functions import text as tx
 from ..operators import vocab as vc
-from ..sources.tables import corpus_view, read_table, sentence_text, signs_view
+from ..sources.tables import corpus_view, known_corpus_view, read_table, sentence_text, signs_view
 from . import sqlparts as sq
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def register(name: str, sql: str | None = None):
 # ---- shared Spark building blocks ---------------------------------------------------------
 
 def _vocab(spark, sf_dir):
+    """The vocabulary of the lookup fixture (signs of every fifth part are unknown)."""
+    return vc.build_vocabulary(known_corpus_view(spark, sf_dir))
+
+
+def _whole_vocab(spark, sf_dir):
     return vc.build_vocabulary(corpus_view(spark, sf_dir))
 
 
@@ -58,12 +63,12 @@ def _sentence_signs(spark, sf_dir):
 
 # ---- C2: vocabulary -----------------------------------------------------------------------
 
-@register("vocab_build", sq.with_(sq.CORPUS, sq.VOCAB) + "select * from vocab")
+@register("vocab_build", sq.with_(sq.WHOLE_CORPUS, sq.VOCAB) + "select * from vocab")
 def q_vocab_build(spark, sf_dir):
-    return _vocab(spark, sf_dir)
+    return _whole_vocab(spark, sf_dir)
 
 
-@register("canonical_first2_distinct", sq.with_(sq.CORPUS) + f"""
+@register("canonical_first2_distinct", sq.with_(sq.WHOLE_CORPUS) + f"""
 select p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:2], '|') canonical
 from (select p_partkey, list_transform(string_split(word,'|'), lambda x: {sq.lower_strip('x')}) l from corpus)
 """)
@@ -230,7 +235,7 @@ def q_unk_append(spark, sf_dir):
 
 # ---- D3: training sentences plus vocabulary rows -------------------------------------------
 
-@register("train_plus_vocab", sq.with_(sq.SIGNS, sq.CORPUS) + """,
+@register("train_plus_vocab", sq.with_(sq.SIGNS, sq.WHOLE_CORPUS) + """,
 sent as (select s.sentence_id, string_agg(p.p_name,' ' order by s.pos) sentence,
                 string_agg(s.fsw,' ' order by s.pos) fsw
          from signs s left join part p on p.p_partkey = s.k group by s.sentence_id)
@@ -309,11 +314,11 @@ w2 as (select q_id, c_id, canonical, sim,
               row_number() over (partition by q_id order by sim desc, c_id) rank from best)"""
 
 
-@register("topk_distinct_canonical", sq.with_(sq.CORPUS, sq.VOCAB, sq.VOCAB_VEC, sq.QVEC) + "," + _W2_SQL + f"""
+@register("topk_distinct_canonical", sq.with_(sq.WHOLE_CORPUS, sq.VOCAB, sq.VOCAB_VEC, sq.QVEC) + "," + _W2_SQL + f"""
 select q_id, c_id, canonical, round(sim, 6) + 0.0 sim, rank from w2 where rank <= {rv.CANONICAL_LIST_SIZE}
 """)
 def q_topk_canonical(spark, sf_dir):
-    vocab = _vocab(spark, sf_dir)
+    vocab = _whole_vocab(spark, sf_dir)
     out = rv.similar_canonicals(_queries_all(spark, sf_dir), _vocab_vectors(spark, sf_dir, vocab))
     return out.select("q_id", "c_id", "canonical", _round6(F.col("sim")).alias("sim"), "rank")
 

@@ -39,6 +39,9 @@ CORPUS = f"""corpus as (
          concat({box('p_partkey')},{sym1('p_partkey')},{sym2('p_partkey')}) fsw
   from part where p_partkey%5<>0)"""
 
+# The corpus of all parts, for queries that need no unknown signs.
+WHOLE_CORPUS = CORPUS.replace(" where p_partkey%5<>0", "")
+
 
 def syms(fsw: str) -> str:
     return f"regexp_extract_all({fsw},'{SYMBOL_RE}')"

@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Broadcast budget for sides whose size we check at run time (rows x row bytes).
@@ -103,22 +103,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
         df.unpersist()
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
-    """Row count of ``df`` if it is at most ``max_rows``, else ``None``.
-
-    Reads at most ``max_rows + 1`` rows, so the check itself is bounded.
-    """
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
-
-
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only when the side is proven to hold at most ``max_rows`` rows.
+def checked_broadcast(df: DataFrame, max_bytes: int, row_bytes: Column) -> DataFrame:
+    """Hint a broadcast only when the side, measured in full, holds at most ``max_bytes``.
 
     Beyond the bound the frame is returned unchanged, and the join is planned as a
-    shuffle join (AQE may still switch it at run time from measured shuffle sizes).
-    """
-    return F.broadcast(df) if bounded_rows(df, max_rows) is not None else df
+    shuffle join (AQE may still switch it at run time from measured shuffle sizes)."""
+    size = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(df) if int(size) <= max_bytes else df
 
 
 def default_parallelism(spark: SparkSession) -> int:

@@ -141,3 +141,11 @@ def test_workers_import_the_package_from_any_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS 200" in done.stdout, done.stderr[-2000:]
+
+
+def test_lookup_joins_alike_on_either_side_of_the_bound(spark):
+    vocab = jobs.build_vocabulary(_corpus(spark))
+    signs = spark.createDataFrame([(i, 0, f) for i, f in enumerate(["M500x500S38800464x496", "M1x1S22a04490x512S10004495x473", "M500x500S2ff00482x483"])],
+                                  "sentence_id long, pos long, fsw string")
+    small, large = (vc.lookup_signs(signs, vocab, broadcast_bytes=b) for b in (1 << 26, 0))
+    assert sorted(map(tuple, small.select(*large.columns).collect())) == sorted(map(tuple, large.collect()))
