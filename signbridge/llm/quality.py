@@ -1,7 +1,7 @@
 """Text quality by ordinal cumulative-link regression on graded ratings.
 
-Method: one set of weights over hashed byte n-grams gives a text its place f on a line; ordered
-thresholds t1 < t2 < ... cut the line into grades: P(grade >= k) = logistic(f - tk). The weights
+Method: one set of weights over hashed byte n-grams, and over the share of words that repeat the
+word before them, gives a text its place f on a line; ordered thresholds t1 < t2 < ... cut the line into grades: P(grade >= k) = logistic(f - tk). The weights
 are shared by all grades. The result is the expected grade and the tail probability of a
 grade, by which documents are selected.
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from signbridge.llm.common import array_slices, fits, held_out, text_arrays, text_slices
 from signbridge.llm.linear import gram_counts, gram_means
+from signbridge.llm.near_duplicates import word_hashes
 
 ORDERS = (1, 2, 3)
 BITS = 12
@@ -35,13 +36,23 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def repeats(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text the share of words that equal the word before them."""
+    words, at = word_hashes(raw, offsets)
+    again = np.concatenate([[0], np.cumsum(words[1:] == words[:-1])]) if len(words) else np.zeros(1, np.int64)
+    last = np.maximum(at[1:] - 1, 0)
+    first = np.minimum(at[:-1], max(0, len(words) - 1))
+    return np.where(at[1:] > at[:-1], again[last] - again[first], 0) / np.maximum(at[1:] - at[:-1] - 1, 1)
+
+
 class Model:
-    """weights (slots x 1) and thresholds; P(grade >= k) falls with k."""
+    """weights (slots x 1), weight of repeats, and thresholds; P(grade >= k) falls with k."""
 
-    def __init__(self, grades: np.ndarray, counts: np.ndarray, share: dict[int, float], ridge: float = 1e-4) -> None:
+    def __init__(self, grades: np.ndarray, counts: np.ndarray, repeated: np.ndarray, share: dict[int, float], ridge: float = 1e-4) -> None:
         self.grades = sorted(share)
         level = np.searchsorted(self.grades, grades)
         x = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+        x = np.concatenate([x, repeated[:, None]], 1)
         scale = 1 / np.sqrt(x.mean(0) + 1e-7)  # rare n-grams weigh as much as frequent ones
         x = (x * scale).astype(np.float32)
         weight = np.array([share[g] / (grades == g).sum() for g in grades])
@@ -77,7 +88,8 @@ class Model:
             w, t, gain, now = new_w, new_t, now - new, new
             if gain < 1e-5 * abs(now):
                 break
-        self.weights, self.thresholds = (w * scale).astype(np.float32)[:, None], t
+        w = (w * scale).astype(np.float32)
+        self.weights, self.repeat, self.thresholds = w[:-1, None], float(w[-1]), t
 
     @staticmethod
     def _ends(f: np.ndarray, level: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +115,7 @@ class Model:
     def rate(self, column: pa.Array, grade: int) -> tuple[np.ndarray, np.ndarray]:
         """Expected grade, and probability of at least ``grade``."""
         raw, offsets = text_arrays(column)
-        f = gram_means(raw, offsets, ORDERS, BITS, self.weights)[:, 0]
+        f = gram_means(raw, offsets, ORDERS, BITS, self.weights)[:, 0] + self.repeat * repeats(raw, offsets)
         tails = logistic(f[:, None] - self.thresholds)
         expected = self.grades[0] + tails @ np.diff(self.grades)
         above = [i for i, g in enumerate(self.grades) if g >= grade]
@@ -136,18 +148,20 @@ def fit(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE) -> byte
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            counts = gram_counts(*text_arrays(batch.column("text")), ORDERS, BITS)
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([c.astype(np.int32).tobytes() for c in counts], pa.binary())], ["grade", "counts"])
+            raw, offsets = text_arrays(batch.column("text"))
+            counts = [c.astype(np.int32).tobytes() for c in gram_counts(raw, offsets, ORDERS, BITS)]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(counts, pa.binary()), pa.array(repeats(raw, offsets))],
+                                             ["grade", "counts", "repeated"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(g, c) for batch in batches for g, c in zip(batch.column("grade").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
+        rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("grade", "counts", "repeated")), strict=True)]
         rows.sort()  # whatever way they came
-        counts = np.frombuffer(b"".join(c for _, c in rows), np.int32).reshape(len(rows), -1).astype(np.float32)
-        model = Model(np.array([g for g, _ in rows]), counts, share)
+        counts = np.frombuffer(b"".join(c for _, c, _ in rows), np.int32).reshape(len(rows), -1).astype(np.float32)
+        model = Model(np.array([g for g, _, _ in rows]), counts, np.array([r for _, _, r in rows]), share)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     rows = docs.select("doc_id", "text").where(F.length("text") > 0).join(ids, "doc_id").select("grade", "text")
-    learned = rows.mapInArrow(count, "grade int, counts binary").repartition(1).mapInArrow(learn, "model binary")
+    learned = rows.mapInArrow(count, "grade int, counts binary, repeated double").repartition(1).mapInArrow(learn, "model binary")
     return bytes(learned.first()["model"])
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signbridge.llm import language, linear, quality, toxicity
-from signbridge.llm.common import held_out, table
+from signbridge.llm.common import held_out, table, text_arrays
 
 SF = "/root/testdata/sf0.01"
 ODD = [(90001, None), (90002, ""), (90003, "123 ... !!"), (None, "the of and in"), (90004, "words " * 60000), (90005, "漢字"), (90005, "漢字")]
@@ -132,12 +132,17 @@ def test_quality_thresholds_are_ordered():
     counts = rng.poisson(2, (400, 1 << 6)).astype(np.float32)
     f = (counts[:, 3] - counts[:, 9]) / counts.sum(1) * 100
     grades = np.digitize(f, [-2, 0, 2])
-    model = quality.Model(grades, counts, {g: float((grades == g).sum()) for g in range(4)})
+    model = quality.Model(grades, counts, np.zeros(400), {g: float((grades == g).sum()) for g in range(4)})
     assert (np.diff(model.thresholds) > 0).all() and len(model.thresholds) == 3
     guess = (counts / counts.sum(1, keepdims=True)) @ model.weights[:, 0]
     assert np.corrcoef(guess, f)[0, 1] > 0.9
 
 
+def test_repeats():
+    raw, at = text_arrays(pa.array(["a a a b", "", "x", None, "b b c c", "c d"]))
+    assert quality.repeats(raw, at).tolist() == [2 / 3, 0, 0, 0, 2 / 3, 0]
+
+
 def test_quality_with_one_grade(spark, docs):
     ratings = spark.createDataFrame([(i, 2) for i in range(20)] + [(None, 1), (21, None)], "doc_id long, grade int")
     out = quality.rate(docs, quality.fit(docs, ratings)).agg(F.min("expected_grade"), F.max("p_grade")).first()
