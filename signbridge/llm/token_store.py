@@ -23,7 +23,9 @@ the first and holds the ids of all. Other columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from signbridge.llm import perfect_hash
 from signbridge.llm.common import fits, scratch_path, text_slices
@@ -41,7 +44,7 @@ from signbridge.llm.common import fits, scratch_path, text_slices
 CHUNK_IDS = 1 << 18
 BUCKET_KEYS = 4096
 #: Distinct pieces that a worker remembers with their ids.
-MEMO = 300_000
+MEMO = 450_000
 #: Pieces that byte-level pre-tokenization surely divides: words of plain letters, ASCII digits, runs of
 #: ASCII signs but the apostrophe (each with the space before it), single line ends.
 _PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n")
@@ -49,51 +52,53 @@ _PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|
 INDEX = "bucket long, n int, levels binary, marks binary, shards binary, chunks binary, starts binary, lengths binary"
 
 
+class Pieces(dict):
+    """Raw ids of pieces; a piece that isn't there yet is encoded by the library's model."""
+
+    def __init__(self, tokenizer: Tokenizer, dtype: np.dtype) -> None:
+        self.encode, self.dtype = tokenizer.model.tokenize, dtype
+        # the library's characters for bytes, learned from the library
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.shown = str.maketrans({c: shown(c)[0][0] for c in map(chr, [*range(128), *range(0xC0, 0x100)])})
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self.encode(piece.translate(self.shown))])
+        if sys.byteorder != "little":
+            ids.byteswap()
+        self[piece] = made = ids.tobytes()
+        return made
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE tokenizer file, as the library gives them.
 
-    A text that ``_PIECE`` covers in full is put together from its pieces, which the library
-    encodes once for a worker: those not met yet go to it as one text, whose offsets tell their
-    ids apart. Any other text goes to the library as it is."""
+    A text that ``_PIECE`` covers in full is put together from its pieces, which the library's
+    model encodes once for a worker, each by itself, as it does within a text. Any other text
+    goes to the library as it is."""
 
     def __init__(self, tokenizer_file: str) -> None:
         self.tokenizer = Tokenizer.from_str(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str], between: str) -> None:
-        """Encode ``pieces`` as one text; ``between`` joins them (its own ids are left out)."""
-        made = self.tokenizer.encode(between.join(pieces), add_special_tokens=False)
-        ids = np.array(made.ids, self.dtype)
-        starts = np.fromiter((a for a, _ in made.offsets), np.int64, len(ids))
-        ends = np.cumsum([len(p) + len(between) for p in pieces]) - len(between)
-        first = np.searchsorted(starts, ends - [len(p) for p in pieces]).tolist()
-        for p, a, b in zip(pieces, first, np.searchsorted(starts, ends).tolist(), strict=True):
-            self.memo[p] = ids[a:b].tobytes()
+        self.memo = Pieces(self.tokenizer, self.dtype)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.memo) > MEMO:  # long pieces are mostly rare ones
+            for p in [p for p in self.memo if len(p) > 8]:
+                del self.memo[p]
+            if len(self.memo) > MEMO // 2:
+                self.memo.clear()
         out: list[bytes] = [b""] * len(texts)
-        parts = [_PIECE.findall(t) for t in texts]
-        whole = [i for i, (t, p) in enumerate(zip(texts, parts, strict=True)) if sum(map(len, p)) != len(t) or "\n\n" in t]
+        whole = []
+        get, find = self.memo.__getitem__, _PIECE.findall
+        for i, text in enumerate(texts):
+            pieces = find(text)
+            if sum(map(len, pieces)) != len(text) or "\n\n" in text:
+                whole.append(i)
+            else:
+                out[i] = b"".join(map(get, pieces))
         for i, made in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.array(made.ids, self.dtype).tobytes()
-            parts[i] = []
-        if len(self.memo) > MEMO:  # long pieces are mostly rare ones
-            kept = {p: ids for p, ids in self.memo.items() if len(p) <= 8}
-            self.memo = kept if len(kept) < MEMO // 2 else {}
-        new = [p for p in set().union(*parts) if p not in self.memo]
-        spaced = [p for p in new if p[0] == " "]
-        if spaced:
-            self._learn(spaced, "")
-        if plain := [p for p in new if p[0] not in " \n"]:
-            self._learn(plain, "\n")
-        if "\n" in new:
-            self._learn(["\n"], "")
-        get = self.memo.__getitem__
-        for i, ps in enumerate(parts):
-            if ps:
-                out[i] = b"".join(map(get, ps))
         return out
 
 
