@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,9 +29,11 @@ from signbridge.llm.common import text_arrays, text_slices
 
 NO_RANK = np.int32(2**31 - 1)
 MATRIX_WIDTH = 256
+#: Text encoded at a time: enough distinct matches to fill matrices.
+ENCODE_BYTES = 1 << 20
 #: Cells of one matrix, and distinct matches a worker remembers: bounds of memory, not of results.
 MATRIX_CELLS = 1 << 19
-MEMO = 400_000
+MEMO = 250_000
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -89,7 +92,7 @@ class Codec:
             self.lengths[rank] = len(token)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(sorted(ranks, key=ranks.get)), np.uint8)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the n + 1 offsets of the texts."""
@@ -97,26 +100,21 @@ class Codec:
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo
-        new = {m for ms in matches for m in ms if m not in memo}
-        if new:
-            pieces = list(new)
-            memo.update(zip(pieces, self.encode_pieces([p.encode() for p in pieces]), strict=True))
-        ids: list[int] = []
-        ends = [0]
-        for ms in matches:
-            for m in ms:
-                ids += memo[m]
-            ends.append(len(ids))
-        return np.array(ids, np.int32), np.array(ends, np.int64)
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+        new = [m for m in set().union(*matches) if m not in memo]
+        memo.update(zip(new, self.encode_pieces([m.encode() for m in new]), strict=True))
+        parts = [b"".join(map(memo.__getitem__, ms)) for ms in matches]
+        ends = np.cumsum([0, *map(len, parts)]) // 4
+        return np.frombuffer(b"".join(parts), np.int32), ends
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as raw 32-bit integers."""
+        out = [b""] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             if (whole := self.ranks.get(piece)) is not None:
-                out[i] = (whole,)
+                out[i] = whole.to_bytes(4, sys.byteorder)
             elif len(piece) > MATRIX_WIDTH:
-                out[i] = self._by_heap(piece)
+                out[i] = np.array(self._by_heap(piece), np.int32).tobytes()
             elif piece:
                 buckets.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(i)
         for width, rows in buckets.items():
@@ -129,7 +127,7 @@ class Codec:
         raw = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(-1, width)
         length = np.array([len(pieces[i]) for i in rows])
         owner = np.array(rows)
-        ids = np.where(np.arange(width) < length[:, None], self.single[raw], -1)
+        ids = np.where(np.arange(width) < length[:, None], self.single[raw], np.int32(-1))
         rank = np.full((len(rows), width), NO_RANK, np.int32)  # of the pair that begins at the cell
         r, c = np.nonzero(np.arange(1, width + 1) < length[:, None])
         rank[r, c] = self.pairs.get(ids[r, c], ids[r, c + 1])
@@ -139,8 +137,9 @@ class Codec:
             low = rank[row, at]
             done = low == NO_RANK
             if done.any():
-                for i, line, n in zip(owner[done].tolist(), ids[done].tolist(), length[done].tolist(), strict=True):
-                    out[i] = tuple(line[:n])
+                lines, size = ids[done].tobytes(), 4 * ids.shape[1]
+                for k, (i, n) in enumerate(zip(owner[done].tolist(), length[done].tolist(), strict=True)):
+                    out[i] = lines[k * size: k * size + 4 * n]
                 go = ~done
                 owner, ids, rank, length, at, low = owner[go], ids[go], rank[go], length[go], at[go], low[go]
                 if not len(owner):
@@ -200,16 +199,24 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+def _lists(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+
+
+def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, buffers).cast(pa.binary())
+
+
 def encode(docs: DataFrame, rank_file: bytes, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, token_ids ARRAY<INT>."""
     ranks = docs.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks.value, pattern)
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, max_bytes=ENCODE_BYTES):
             ids, offsets = coder.encode(batch.column("text").fill_null("").to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "token_ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids, offsets)], ["doc_id", "token_ids"])
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, token_ids array<int>").withColumnRenamed("doc_id", doc_id)
@@ -227,10 +234,7 @@ def decode(encoded: DataFrame, rank_file: bytes, pattern: str, doc_id: str = "do
                 lists = batch.column("token_ids")
                 offsets = lists.offsets.to_numpy()
                 data, ends = coder.decode(lists.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0])
-                decoded = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), lists, decoded.cast(pa.binary())], ["doc_id", "token_ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, _binaries(data, ends)], ["doc_id", "token_ids", "decoded"])
 
     rows = encoded.select(encoded[doc_id].alias("doc_id"), "token_ids")
     return rows.mapInArrow(run, "doc_id long, token_ids array<int>, decoded binary").withColumnRenamed("doc_id", doc_id)
@@ -238,9 +242,19 @@ def decode(encoded: DataFrame, rank_file: bytes, pattern: str, doc_id: str = "do
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """Per row of ``docs``, encoded and decoded again: doc_id, n_tokens, ids_sha256 (of the decimal ids,
-    joined by a space), decoded_sha256, token_ids."""
-    ranks = read_ranks(rank_path)
-    both = decode(encode(docs, ranks, pattern), ranks, pattern)
+    joined by a space), decoded_sha256, token_ids. Both ways run in one worker, so that an
+    executor holds the tables once for each core."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(ranks.value, pattern)
+        for batch in text_slices(batches, max_bytes=ENCODE_BYTES):
+            ids, offsets = coder.encode(batch.column("text").fill_null("").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids, offsets), _binaries(*coder.decode(ids, offsets))],
+                                             ["doc_id", "token_ids", "decoded"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    both = rows.mapInArrow(run, "doc_id long, token_ids array<int>, decoded binary")
     ids = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"), "token_ids")

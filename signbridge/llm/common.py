@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -12,8 +14,9 @@ from pyspark.sql import functions as F
 
 from signbridge.session import ensure_checkpoint_dir
 
-#: Text bytes that a task turns into arrays at a time: the memory bound of the numpy operators.
-SLICE_BYTES = 1 << 20
+#: Text bytes that a task turns into arrays at a time: the memory bound of the numpy operators, whose
+#: arrays take some fifty times as much.
+SLICE_BYTES = 1 << 18
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -57,6 +60,12 @@ def fits(df: DataFrame, max_bytes: int, row_bytes: Column | None = None) -> bool
     return int(df.agg(F.coalesce(size, F.lit(0))).first()[0]) <= max_bytes
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order, by sorting: much faster for integers than a hash table."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
                 max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds at most ``max_bytes`` of text, or one row."""
@@ -71,6 +80,15 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             yield batch.slice(start, stop - start)
             base = int(ends[stop - 1])
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its tasks, and what its allocators
+    keep for themselves is missing on the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,4 +103,4 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def array_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[pa.Array]:
     """Cut a text column so that each part holds at most ``max_bytes``, or one row."""
     for batch in text_slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), max_bytes=max_bytes):
-        yield batch.column(0)
+        yield batch.column(0)  # and gives memory back after each Arrow batch

@@ -44,7 +44,7 @@ from signbridge.llm.common import fits, scratch_path, text_slices
 CHUNK_IDS = 1 << 18
 BUCKET_KEYS = 4096
 #: Distinct pieces that a worker remembers with their ids.
-MEMO = 450_000
+MEMO = 400_000
 #: Pieces that byte-level pre-tokenization surely divides: words of plain letters, ASCII digits, runs of
 #: ASCII signs but the apostrophe (each with the space before it), single line ends.
 _PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n")
