@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signbridge.llm.common import fits, stored, text_arrays, text_slices
+from signbridge.llm.common import distinct, fits, stored, text_arrays, text_slices
 from signbridge.llm.components import components
 
 #: Kept values of a sketch; documents of a block; slack of the estimate (4 deviations at 0.8).
@@ -98,7 +98,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.nd
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= width:
-            out.append(np.unique(whole[a: b - width + 1]))
+            out.append(distinct(whole[a: b - width + 1]))
         elif b > a:
             short = mix((mix(words[a:b] ^ factor[: b - a]) * factor[: b - a]).sum(dtype=np.uint64, keepdims=True)
                         + np.uint64(b - a))

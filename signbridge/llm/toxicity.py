@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signbridge.llm.common import array_slices, fits, fresh, held_out, stored, text_slices
+from signbridge.llm.common import array_slices, distinct, fits, fresh, held_out, stored, text_slices
 from signbridge.llm.linear import letters
 from signbridge.llm.near_duplicates import mix, word_hashes
 
@@ -100,7 +100,7 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            keys = distinct(np.concatenate(held))
             bucket = (keys & low) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             keys, cuts = keys[order], np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
@@ -115,7 +115,7 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
             # words outside the vocabulary share the last place, told apart by the hash of the pair
             place = np.where(inside, place, len(known)).astype(np.uint64)
             context = np.where(inside, mix(before), mix(words ^ mix(before)))
-            held.append(np.unique(place << np.uint64(40) | context & low))
+            held.append(distinct(place << np.uint64(40) | context & low))
             size += len(held[-1])
             if size > 2_000_000:
                 yield flush()
@@ -124,21 +124,25 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
             yield flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+        bucket, held, size = None, [], 0
 
         def counted() -> pa.RecordBatch:
-            place, n = np.unique(np.unique(np.concatenate(held)) >> np.uint64(40), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(n)], ["place", "n"])
+            place = distinct(np.concatenate(held)) >> np.uint64(40)
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            n = np.diff(np.append(first, len(place)))
+            return pa.RecordBatch.from_arrays([pa.array(place[first].astype(np.int64)), pa.array(n)], ["place", "n"])
 
         for batch in batches:
             for b, planes in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist(), strict=True):
                 if b != bucket and held:
                     yield counted()
-                    held = []
+                    held, size = [], 0
                 bucket = b
                 held.append(np.frombuffer(planes, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel())
-                if len(held) > 16:
-                    held = [np.unique(np.concatenate(held))]
+                size += len(held[-1])
+                if size > 8_000_000:  # a bucket's keys so far, made distinct
+                    held = [distinct(np.concatenate(held))]
+                    size = len(held[0])
         if held:
             yield counted()
 
