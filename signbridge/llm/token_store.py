@@ -44,7 +44,7 @@ from signbridge.llm.common import fits, scratch_path, text_slices
 CHUNK_IDS = 1 << 18
 BUCKET_KEYS = 4096
 #: Distinct pieces that a worker remembers with their ids.
-MEMO = 400_000
+MEMO = 450_000
 #: Pieces that byte-level pre-tokenization surely divides: words of plain letters, ASCII digits, runs of
 #: ASCII signs but the apostrophe (each with the space before it), single line ends.
 _PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n")
@@ -127,7 +127,7 @@ def write(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 0, key:
                 ("shard", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int64()), ("keys", pa.list_(pa.int64())),
                 ("counts", pa.list_(pa.int64())), ("ids", pa.binary())]))
 
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, max_bytes=1 << 20):
             coded = coder.encode(batch.column("text").fill_null("").to_pylist())
             for k, x in zip(batch.column("key").to_pylist(), coded, strict=True):
                 if ids and size + len(x) > CHUNK_IDS * coder.dtype.itemsize:
