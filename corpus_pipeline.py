@@ -5,7 +5,8 @@ DataFrame that is written as Parquet and read back for the next. Four stages fil
 the columns of documents unchanged; the last encodes.
 
 * language: texts without a letter are rejected (null and empty ones, too); the others are kept
-  whatever their language, since a corpus in many languages is clean.
+  whatever their language, since a corpus in many languages is clean. So it is without a model,
+  if no language is given to learn from.
 * toxicity: documents predicted toxic are rejected.
 * near_duplicates: one document of each group of near duplicates stays, the least id (five-word
   shingles, similarity 0.8 or more).

@@ -153,6 +153,20 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> bytes | None:
     return bytes(learned[0]["model"]) if learned else None
 
 
+def _no_letter(part: pa.Array) -> list[bool]:
+    return [not t or not _LETTER.search(t) for t in part.to_pylist()]
+
+
+def has_letter(text: Column) -> Column:
+    """Whether each text has a letter; false for null."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([not no for part in array_slices(column) for no in _no_letter(part)], pa.bool_())
+
+    return F.arrow_udf(run, "boolean")(text.cast("string"))
+
+
 def predicted(text: Column, model: bytes | None) -> Column:
     """Struct of lang_pred and score for each text."""
     shared = SparkSession.active().sparkContext.broadcast(model)
@@ -162,7 +176,7 @@ def predicted(text: Column, model: bytes | None) -> Column:
         for column in columns:
             langs, scores = [], []
             for part in array_slices(column):
-                none = [not t or not _LETTER.search(t) for t in part.to_pylist()]
+                none = _no_letter(part)
                 found, score = machines.predict(*letters(part)) if machines else ([UNKNOWN] * len(part), np.zeros(len(part)))
                 langs += [UNKNOWN if no else lang for lang, no in zip(found, none, strict=True)]
                 scores += np.where(none, 0.0, score).tolist()
@@ -177,6 +191,9 @@ def predict(docs: DataFrame, model: bytes | None, doc_id: str = "doc_id", text:
 
 
 def keep_known(docs: DataFrame, model: bytes | None, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is ``und``; all others stay as they are."""
+    """``docs`` without the rows whose language is ``und``; all others stay as they are. Without a model, which
+    knows no language, only null texts and texts without a letter are rejected."""
+    if model is None:
+        return docs.where(has_letter(F.col(text)))
     name = fresh(docs, "_predicted")
     return docs.withColumn(name, predicted(F.col(text), model)).where(F.col(name)["lang_pred"] != UNKNOWN).drop(name)

@@ -6,6 +6,7 @@ import re
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from signbridge.llm import bpe, language, toxicity
@@ -86,3 +87,20 @@ def test_empty_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_without_languages(spark, sf_dir):
+    """Nothing to learn a language from: only texts without a letter are rejected, and the pipeline returns its rows."""
+    path = scratch_path(spark, "pipeline-unlabelled")
+    docs = table(spark, sf_dir, "documents").withColumn("lang", F.lit(None).cast("string"))
+    docs.write.parquet(f"{path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, sf_dir, name).write.parquet(f"{path}/{name}.parquet")
+    docs = table(spark, path, "documents")
+    assert language.fit(docs) is None
+    want = sorted((r.doc_id, r.text) for r in docs.where("doc_id is not null").collect() if re.search(r"[^\W\d_]", r.text or ""))
+    kept = corpus_pipeline.identify_language(spark, docs, path)
+    assert kept.columns == COLUMNS
+    assert sorted((r.doc_id, r.text) for r in kept.where("doc_id is not null").collect()) == want
+    key = lambda df: sorted(((r.doc_id, r.ids_sha256) for r in df.collect()), key=str)
+    assert key(corpus_pipeline.run(spark, path)) == key(corpus_pipeline.run(spark, sf_dir))
