@@ -4,9 +4,10 @@ Every stage takes (spark, docs, sf_dir), reads all that its predecessor kept, an
 DataFrame that is written as Parquet and read back for the next. Four stages filter and return
 the columns of documents unchanged; the last encodes.
 
-* language: texts without a letter are rejected (null and empty ones, too); the others are kept
-  whatever their language, since a corpus in many languages is clean. So it is without a model,
-  if no language is given to learn from.
+* language: rejected are texts without a letter (null and empty ones, too) and texts whose best language
+  family has a margin far below those of all texts that were learned from; the others are kept
+  whatever their language, since a corpus in many languages is clean. Without a model, if no
+  language is given to learn from, only texts without a letter are rejected.
 * toxicity: documents predicted toxic are rejected.
 * near_duplicates: one document of each group of near duplicates stays, the least id (five-word
   shingles, similarity 0.8 or more).
@@ -24,20 +25,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from signbridge.llm import bpe, decontamination, language, near_duplicates, toxicity
-from signbridge.llm.common import stored, table
+from signbridge.llm.common import small_batches, stored, table
 
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language.keep_known(docs, language.fit(docs))
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.keep_ordinary(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_duplicates.keep_one(docs)
 
 
@@ -46,6 +50,7 @@ def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

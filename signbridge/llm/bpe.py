@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signbridge.llm.common import text_arrays, text_slices
+from signbridge.llm.common import remember, text_arrays, text_slices
 
 NO_RANK = np.int32(2**31 - 1)
 MATRIX_WIDTH = 256
@@ -188,12 +188,17 @@ class Codec:
         return self.bytes[at], ends[offsets]
 
 
-@lru_cache(maxsize=4)
-def codec(rank_file: bytes, pattern: str) -> Codec:
-    """One codec for all tasks of a Python worker."""
+@lru_cache(maxsize=1)
+def _codec(rank_file: bytes, pattern: str) -> Codec:
     return Codec(rank_file, pattern)
 
 
+def codec(rank_file: bytes, pattern: str) -> Codec:
+    """One codec for all tasks of a Python worker, until it does other work."""
+    remember("bpe", _codec.cache_clear)
+    return _codec(rank_file, pattern)
+
+
 def read_ranks(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -214,7 +219,7 @@ def encode(docs: DataFrame, rank_file: bytes, pattern: str, doc_id: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks.value, pattern)
-        for batch in text_slices(batches, max_bytes=ENCODE_BYTES):
+        for batch in text_slices(batches, max_bytes=ENCODE_BYTES, keeps="bpe"):
             ids, offsets = coder.encode(batch.column("text").fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids, offsets)], ["doc_id", "token_ids"])
 
@@ -248,7 +253,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks.value, pattern)
-        for batch in text_slices(batches, max_bytes=ENCODE_BYTES):
+        for batch in text_slices(batches, max_bytes=ENCODE_BYTES, keeps="bpe"):
             ids, offsets = coder.encode(batch.column("text").fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids, offsets), _binaries(*coder.decode(ids, offsets))],
                                              ["doc_id", "token_ids", "decoded"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let an Arrow batch hold at most ``rows`` rows, unless the session names a number itself: texts are long,
+    and each running task holds a batch in the JVM and in its Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(rows))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder (``spark.checkpoint.dir``)."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -66,9 +74,21 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
+#: How to free what operators remember in a Python worker between tasks, by name.
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def remember(name: str, forget: Callable[[], None]) -> None:
+    """Register what a worker keeps between tasks; a task of another operator that reads texts frees it."""
+    _REMEMBERED[name] = forget
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
-                max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds at most ``max_bytes`` of text, or one row."""
+                max_bytes: int = SLICE_BYTES, keeps: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each holds at most ``max_bytes`` of text, or one row. What other
+    operators than ``keeps`` remember in this worker is freed first."""
+    for name in [n for n in _REMEMBERED if n != keeps]:
+        _REMEMBERED.pop(name)()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -6,7 +6,7 @@ against all others decides the family; within it one machine for each pair of la
 language that is not listed is a family of its own.
 
 The machines are fitted on a bounded sample: at most ``per_language`` labelled rows of each
-language, those with the least hashes of their ids. Rows that are held out, without language
+language (``family_rows`` of all languages for a machine of a family), those with the least hashes of their ids. Rows that are held out, without language
 or without a letter teach nothing. A text that is null or has no letter gets ``und`` and score
 0; so does every text if nothing could be learned. Texts are scored whole; repeated rows are
 scored alike; other columns are not read. The score is the product of logistic values of the
@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signbridge.llm.common import array_slices, fits, fresh, held_out, text_slices
+from signbridge.llm.common import array_slices, fits, fresh, give_back, held_out, stored, text_slices
 from signbridge.llm.linear import gram_counts, gram_means, letters, svm
 
 # Language families by ISO 639-1 code.
@@ -45,6 +45,9 @@ UNKNOWN = "und"
 ORDERS = (2, 3, 4)
 BITS = 13
 PER_LANGUAGE = 500
+FAMILY_ROWS = 2000
+#: Bytes of a text from which on its margin tells whether its language is a known one.
+TELLING_BYTES = 64
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -53,48 +56,44 @@ def family_of(lang: str) -> str:
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """At most ``per_language`` labelled rows (text, lang) of each language, by hash of the id."""
+    """At most ``per_language`` labelled rows (text, lang, nth) of each language, by hash of the id."""
     teach = ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = docs.where(teach).select("doc_id", "lang").distinct().withColumn("_nth", F.row_number().over(order))
-    ids = ids.where(F.col("_nth") <= per_language).select("doc_id", "lang")
+    ids = ids.where(F.col("_nth") <= per_language).select("doc_id", "lang", "_nth")
     if fits(ids, 32 << 20):
         ids = F.broadcast(ids)
-    return docs.where(F.col("text").isNotNull()).join(ids, ["doc_id", "lang"], "left_semi").select("text", "lang")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"])
+    return rows.select("text", "lang", F.col("_nth").alias("nth"))
 
 
 class Model:
-    """weights (slots x machines), intercepts, and which machine is what."""
+    """weights (slots x machines), intercepts, which machine is what, and the least margin of a known text."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray) -> None:
-        names = np.array(langs)
+    def __init__(self, langs: list[str]) -> None:
         self.families = sorted({family_of(lang) for lang in langs})
         self.members = {f: sorted({lang for lang in langs if family_of(lang) == f}) for f in self.families}
-        x = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-        scale = 1 / np.sqrt(x.mean(0) + 1e-7)  # rare n-grams weigh as much as frequent ones
-        x = (x * scale).astype(np.float32)
-        weights, self.intercepts = [], []
-
-        def learn(rows: np.ndarray, positive: np.ndarray) -> int:
-            y = np.where(positive, 1, -1)
-            even = np.where(positive, 1 / positive.sum(), 1 / (~positive).sum())  # classes weigh the same
-            w, b = svm(x[rows], y, even)
-            weights.append(w * scale)
-            self.intercepts.append(b)
-            return len(weights) - 1
-
-        every = np.arange(len(names))
-        family = np.array([family_of(lang) for lang in langs])
-        self.family_machines = [learn(every, family == f) for f in self.families] if len(self.families) > 1 else []
-        self.pair_machines = {}
-        for f in self.families:
-            for a, b in itertools.combinations(self.members[f], 2):
-                rows = np.flatnonzero((names == a) | (names == b))
-                self.pair_machines[a, b] = learn(rows, names[rows] == a)
-        self.weights = np.stack(weights, 1).astype(np.float32) if weights else np.zeros((1 << BITS, 0), np.float32)
-
-    def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-        margins = gram_means(raw, offsets, ORDERS, BITS, self.weights) + np.array(self.intercepts)
+        several = self.families if len(self.families) > 1 else []
+        pairs = [p for f in self.families for p in itertools.combinations(self.members[f], 2)]
+        self.family_machines = list(range(len(several)))
+        self.pair_machines = {p: len(several) + i for i, p in enumerate(pairs)}
+        # for each machine the languages on its positive and on its negative side
+        self.sides = [(self.members[f], [lang for g in several if g != f for lang in self.members[g]]) for f in several]
+        self.sides += [([a], [b]) for a, b in pairs]
+        self.weights = np.zeros((1 << BITS, len(self.sides)), np.float32)
+        self.intercepts = np.zeros(len(self.sides))
+        self.floor = -np.inf
+
+    def margins(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return gram_means(raw, offsets, ORDERS, BITS, self.weights) + self.intercepts
+
+    def best(self, margins: np.ndarray) -> np.ndarray:
+        """The margin of the family that each text is taken for; infinite if there is but one."""
+        return margins[:, self.family_machines].max(1) if self.family_machines else np.full(len(margins), np.inf)
+
+    def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and margin of the family, of each text."""
+        margins = self.margins(raw, offsets)
         logistic = lambda m: 1 / (1 + np.exp(-np.clip(3 * m, -50, 50)))
         n = len(offsets) - 1
         if self.family_machines:
@@ -119,38 +118,103 @@ class Model:
             out[rows] = np.array(members, object)[won]
             if len(members) > 1:
                 score[rows] *= logistic(worst[np.arange(len(rows)), won])
-        return out.tolist(), score
+        return out.tolist(), score, self.best(margins)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> bytes | None:
-    """The pickled model, learned in one task from the bounded sample; None if it is empty."""
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, family_rows: int = FAMILY_ROWS) -> bytes | None:
+    """The pickled model, learned from the bounded sample; None if it is empty. Each machine is fitted in a task of its
+    own, on the rows of two languages, or on ``family_rows`` of all languages together (one of each at least)."""
+    spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            rows = [(lang, c) for t, lang, c in zip(texts, langs, gram_counts(*letters(batch.column("text")), ORDERS, BITS), strict=True)
-                    if _LETTER.search(t)]
-            used = [np.flatnonzero(c) for _, c in rows]
+            known = [bool(_LETTER.search(t)) for t in batch.column("text").to_pylist()]
+            batch = batch.filter(pa.array(known))
+            counts = gram_counts(*letters(batch.column("text")), ORDERS, BITS)
+            used = [np.flatnonzero(c) for c in counts]
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang for lang, _ in rows], pa.string()), pa.array([u.astype(np.int32) for u in used], pa.list_(pa.int32())),
-                pa.array([c[u].astype(np.int32) for (_, c), u in zip(rows, used, strict=True)], pa.list_(pa.int32()))], ["lang", "slots", "counts"])
+                batch.column("lang"), batch.column("nth"), pa.array([u.astype(np.int32) for u in used], pa.list_(pa.int32())),
+                pa.array([c[u].astype(np.int32) for c, u in zip(counts, used, strict=True)], pa.list_(pa.int32())),
+                pa.array([int(c.sum()) for c in counts], pa.int64())], ["lang", "nth", "slots", "counts", "total"])
+
+    rows = sample(docs, per_language).mapInArrow(count, "lang string, nth int, slots array<int>, counts array<int>, total long")
+    rows = stored(rows, "language-sample")
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    if not langs:
+        return None
+    model = Model(langs)
+    if not model.sides:
+        return pickle.dumps(model)
+    # the mean share of each slot, in integers, so that the order of the sum makes no difference
+    shares = rows.select("total", F.explode(F.arrays_zip("slots", "counts")).alias("e"))
+    shares = shares.groupBy(F.col("e.slots").alias("slot")).agg(F.sum(F.expr("(e.counts * 1000000000L) div total")).alias("share")).toArrow()
+    mean = np.zeros(1 << BITS)
+    mean[shares.column("slot").to_numpy()] = shares.column("share").to_numpy() / 1e9 / max(1, rows.count())
+    scale = 1 / np.sqrt(mean + 1e-7)  # rare n-grams weigh as much as frequent ones
+    shared = spark.sparkContext.broadcast(scale)
+    most = max(1, family_rows // len(langs))
+    wanted = [(m, lang, positive, most if m in model.family_machines else per_language)
+              for m, sides in enumerate(model.sides) for positive, side in zip((True, False), sides, strict=True) for lang in side]
+    fields = [("machine", pa.int32()), ("lang", pa.string()), ("positive", pa.bool_()), ("most", pa.int32())]
+    wanted = spark.createDataFrame(pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*wanted, strict=True), fields, strict=True)],
+                                            names=[n for n, _ in fields]))
+    tasks = rows.join(F.broadcast(wanted), "lang").where(F.col("nth") <= F.col("most"))
+    tasks = tasks.select("machine", "lang", "nth", "positive", "slots", "counts", "total")
+    tasks = tasks.repartition(len(model.sides), "machine").sortWithinPartitions("machine", "lang", "nth", "total", F.xxhash64("slots", "counts"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, counts = [], []
+        machine, columns, values, positive = None, [], [], []
+
+        def learned() -> pa.RecordBatch:
+            x = np.zeros((len(columns), (1 << BITS) + 1), np.float32)
+            x[:, -1] = 1
+            for row in range(len(columns)):
+                x[row, columns.pop(0)] = values.pop(0)
+            sides = np.array(positive)
+            even = np.where(sides, 1 / max(1, sides.sum()), 1 / max(1, (~sides).sum()))  # classes weigh the same
+            w, b = svm(x, np.where(sides, 1, -1), even, ones=True)
+            return pa.RecordBatch.from_arrays([pa.array([machine], pa.int32()), pa.array([(w * shared.value).astype(np.float32).tobytes()], pa.binary()),
+                                               pa.array([b], pa.float64())], ["machine", "weights", "intercept"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                now = batch.column("machine")[k].as_py()
+                if now != machine and columns:
+                    yield learned()
+                    positive = []
+                machine = now
+                slots, counts = (batch.column(c)[k].values.to_numpy() for c in ("slots", "counts"))
+                columns.append(slots.astype(np.int16))
+                values.append((counts / max(1, batch.column("total")[k].as_py()) * shared.value[slots]).astype(np.float32))
+                positive.append(batch.column("positive")[k].as_py())
+        if columns:
+            yield learned()
+        give_back()
+
+    for r in tasks.mapInArrow(learn, "machine int, weights binary, intercept double").collect():
+        model.weights[:, r["machine"]] = np.frombuffer(r["weights"], np.float32)
+        model.intercepts[r["machine"]] = r["intercept"]
+    shared.destroy()
+    model.floor = _floor(rows, model)
+    return pickle.dumps(model)
+
+
+def _floor(rows: DataFrame, model: Model) -> float:
+    """The margin that a text needs to be taken for one in a known language: half of the least margin of the sample's
+    texts; none if a text of the sample lies on the wrong side of every family itself."""
+    if not model.family_machines:
+        return -np.inf
+    shared = rows.sparkSession.sparkContext.broadcast((model.weights[:, model.family_machines], model.intercepts[model.family_machines]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, intercepts = shared.value
         for batch in batches:
-            langs += batch.column("lang").to_pylist()
-            for s, c in zip(batch.column("slots"), batch.column("counts"), strict=True):
-                row = np.zeros(1 << BITS, np.float32)
-                row[s.values.to_numpy()] = c.values.to_numpy()
-                counts.append(row)
-        if langs:
-            order = sorted(range(len(langs)), key=lambda i: (langs[i], counts[i].tobytes()))  # whatever way rows came
-            model = Model([langs[i] for i in order], np.stack([counts[i] for i in order]))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+            best = [float((c.values.to_numpy() @ weights[s.values.to_numpy()] / max(1, total) + intercepts).max())
+                    for s, c, total in zip(batch.column("slots"), batch.column("counts"), batch.column("total").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64())], ["margin"])
 
-    rows = sample(docs, per_language).mapInArrow(count, "lang string, slots array<int>, counts array<int>")
-    learned = rows.repartition(1).mapInArrow(learn, "model binary").collect()
-    return bytes(learned[0]["model"]) if learned else None
+    least = rows.select("slots", "counts", "total").mapInArrow(run, "margin double").agg(F.min("margin")).first()[0]
+    return least / 2 if least > 0 else -np.inf
 
 
 def _no_letter(part: pa.Array) -> list[bool]:
@@ -168,21 +232,25 @@ def has_letter(text: Column) -> Column:
 
 
 def predicted(text: Column, model: bytes | None) -> Column:
-    """Struct of lang_pred and score for each text."""
+    """Struct of lang_pred, score and known (a letter, and a margin as of a known language) for each text."""
     shared = SparkSession.active().sparkContext.broadcast(model)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machines = pickle.loads(shared.value) if shared.value else None
         for column in columns:
-            langs, scores = [], []
+            langs, scores, known = [], [], []
             for part in array_slices(column):
                 none = _no_letter(part)
-                found, score = machines.predict(*letters(part)) if machines else ([UNKNOWN] * len(part), np.zeros(len(part)))
+                zero = np.zeros(len(part))
+                raw, offsets = letters(part)
+                found, score, margin = machines.predict(raw, offsets) if machines else ([UNKNOWN] * len(part), zero, zero)
                 langs += [UNKNOWN if no else lang for lang, no in zip(found, none, strict=True)]
                 scores += np.where(none, 0.0, score).tolist()
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+                known += (~np.array(none) & ((margin >= (machines.floor if machines else 0)) | (np.diff(offsets) < TELLING_BYTES))).tolist()
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())],
+                                             ["lang_pred", "score", "known"])
 
-    return F.arrow_udf(run, "lang_pred string, score double")(text.cast("string"))
+    return F.arrow_udf(run, "lang_pred string, score double, known boolean")(text.cast("string"))
 
 
 def predict(docs: DataFrame, model: bytes | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,9 +259,10 @@ def predict(docs: DataFrame, model: bytes | None, doc_id: str = "doc_id", text:
 
 
 def keep_known(docs: DataFrame, model: bytes | None, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose language is ``und``; all others stay as they are. Without a model, which
-    knows no language, only null texts and texts without a letter are rejected."""
+    """``docs`` without the rows whose text has no letter, or which have ``TELLING_BYTES`` and a best
+    family whose margin is below ``Model.floor``, which lies below those of all texts learned from: they look like no language
+    that was learned. All others stay as they are. Without a model, which knows no language, only texts without a letter (and null) are rejected."""
     if model is None:
         return docs.where(has_letter(F.col(text)))
     name = fresh(docs, "_predicted")
-    return docs.withColumn(name, predicted(F.col(text), model)).where(F.col(name)["lang_pred"] != UNKNOWN).drop(name)
+    return docs.withColumn(name, predicted(F.col(text), model)).where(F.col(name)["known"]).drop(name)

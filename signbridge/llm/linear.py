@@ -52,10 +52,11 @@ def gram_means(raw: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...], bi
     return total / np.maximum(count, 1)[:, None]
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 12) -> tuple[np.ndarray, float]:
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 12, ones: bool = False) -> tuple[np.ndarray, float]:
     """Weights and intercept of a linear machine with squared hinge loss (y is -1 or 1), by Newton steps
-    whose linear systems conjugate gradients solve."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
+    whose linear systems conjugate gradients solve. With ``ones`` the last column of ``x`` is the intercept's."""
+    if not ones:
+        x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
     w = np.zeros(x.shape[1], x.dtype)
     weight = (weight / weight.sum()).astype(x.dtype)
     y = y.astype(x.dtype)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signbridge.llm.common import distinct, fits, stored, text_arrays, text_slices
+from signbridge.llm.common import SLICE_BYTES, distinct, fits, stored, text_arrays, text_slices
 from signbridge.llm.components import components
 
 #: Kept values of a sketch; documents of a block; slack of the estimate (4 deviations at 0.8).
@@ -55,13 +55,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers
+    """Powers of the base and of its inverse, modulo 2**64; those of a usual slice are kept."""
+    if len(_powers[0]) >= n:
+        return _powers
+    tables = []
+    for base in (_BASE, _BASE_INVERSE):
+        steps = np.full(max(n, SLICE_BYTES), base, np.uint64)
+        steps[0] = 1
+        tables.append(np.cumprod(steps))
+    if n <= SLICE_BYTES:
+        _powers[:] = tables
+    return tables
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

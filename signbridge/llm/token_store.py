@@ -38,7 +38,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 from signbridge.llm import perfect_hash
-from signbridge.llm.common import fits, scratch_path, text_slices
+from signbridge.llm.common import fits, remember, scratch_path, text_slices
 
 #: Ids of a chunk at most, unless a document alone has more; keys of an index bucket on average.
 CHUNK_IDS = 1 << 18
@@ -102,12 +102,17 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def encoder(tokenizer_file: str) -> Encoder:
-    """One encoder for all tasks of a Python worker."""
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_file: str) -> Encoder:
     return Encoder(tokenizer_file)
 
 
+def encoder(tokenizer_file: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, until it does other work."""
+    remember("token_store", _encoder.cache_clear)
+    return _encoder(tokenizer_file)
+
+
 def write(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
     """Write the three tables of ``docs`` below ``path``."""
     spark = docs.sparkSession
@@ -127,7 +132,7 @@ def write(docs: DataFrame, tokenizer_file: str, path: str, end_id: int = 0, key:
                 ("shard", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int64()), ("keys", pa.list_(pa.int64())),
                 ("counts", pa.list_(pa.int64())), ("ids", pa.binary())]))
 
-        for batch in text_slices(batches, max_bytes=1 << 20):
+        for batch in text_slices(batches, max_bytes=1 << 20, keeps="token_store"):
             coded = coder.encode(batch.column("text").fill_null("").to_pylist())
             for k, x in zip(batch.column("key").to_pylist(), coded, strict=True):
                 if ids and size + len(x) > CHUNK_IDS * coder.dtype.itemsize:

@@ -1,5 +1,6 @@
 """Language, toxicity and quality: held-out accuracy, and rows that models trip over."""
 
+import pickle
 import zlib
 
 import numpy as np
@@ -56,6 +57,22 @@ def test_language(spark, docs, odd):
         assert (r.lang_pred == "und") == (r.doc_id in (90001, 90002, 90003)) and 0 <= r.score <= 1
     kept = language.keep_known(odd, model)
     assert kept.columns == odd.columns and kept.count() == 4 and {r["_predicted"] for r in kept.collect()} == {"x"}
+    # of the corpus nothing is lost; long texts in no language that was learned go
+    assert language.keep_known(docs, model).count() == docs.where(language.has_letter(F.col("text"))).count()
+    alien = spark.createDataFrame([(1, "漢字仮名交じり文" * 40), (2, "qxj zzkw vvq xxq jjq wwk qzx kkq " * 20), (3, "el gato de la casa y los perros " * 20)], "doc_id long, text string")
+    assert 1 not in {r.doc_id for r in language.keep_known(alien, model).collect()}
+    assert 3 in {r.doc_id for r in language.keep_known(alien, model).collect()}
+
+
+def test_many_languages_in_one_family(spark):
+    """Families of one and of several languages; a machine learns from a bounded number of rows."""
+    words = {"en": "the house and garden ", "de": "das haus und garten ", "fr": "la maison et le jardin ", "xx": "zork blip mavu tolo ", "es": "la casa y el patio "}
+    rows = [(i * 10 + k, w * (3 + i % 5) + str(i), lang) for k, (lang, w) in enumerate(words.items()) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (9999, "lost", None), (None, "nobody", "en")], "doc_id long, text string, lang string")
+    model = language.fit(docs, per_language=20, family_rows=50)
+    out = language.predict(docs, model).join(docs.where("lang is not null").select("doc_id", "lang"), "doc_id")
+    assert out.count() == len(rows) and out.where("lang <> lang_pred").count() == 0
+    assert language.fit(docs.where("lang = 'en'")) is not None  # one language alone needs no machine
 
 
 def test_language_without_enough(spark, odd):
@@ -67,11 +84,11 @@ def test_language_without_enough(spark, odd):
     assert {r.lang_pred for r in language.predict(one, language.fit(one)).collect()} == {"en", "und"}
 
 
-def test_family_first_then_language():
+def test_family_first_then_language(spark):
     texts = {"en": "the of and with this that", "de": "der die und mit nicht ein", "es": "el la y con para que", "xx": "qq zz qz zq qqz zzq"}
     langs = [lang for lang in texts for _ in range(20)]
-    rows = pa.array([f"{texts[lang]} {lang}{i}" for i, lang in enumerate(langs)])
-    model = language.Model(langs, np.stack(linear.gram_counts(*linear.letters(rows), language.ORDERS, language.BITS)).astype(np.float32))
+    docs = spark.createDataFrame([(i, f"{texts[lang]} {lang}{i}", lang) for i, lang in enumerate(langs)], "doc_id long, text string, lang string")
+    model = pickle.loads(language.fit(docs))
     assert model.families == ["germanic", "of xx", "romance"]
     assert list(model.pair_machines) == [("de", "en")]
     assert model.predict(*linear.letters(pa.array(list(texts.values()))))[0] == list(texts)
