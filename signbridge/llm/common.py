@@ -48,6 +48,16 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a written table up to which its joins and groups are done in one task.
+GATHERED_ROWS = 1 << 19
+
+
+def gathered(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """A written table of few and short rows (counted) in one partition: what is done with such tables alone then
+    needs no shuffle, whose price is that of its partitions. A larger table stays as it is."""
+    return df.coalesce(1) if df.count() <= (GATHERED_ROWS if max_rows is None else max_rows) else df
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``docs`` has it."""
     taken = {c.lower() for c in docs.columns}

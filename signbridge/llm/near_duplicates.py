@@ -6,7 +6,7 @@ the sketch of the union filters, and the exact similarity of the full sets, take
 texts again, decides.
 
 Two documents of similarity 0.8 share about 0.8 k of their kept values, and at least half of
-them but for odds of about 1e-7 at k = 48. So a document enters only the lists of its rarest
+them but for odds of about 8e-7 at k = 48. So a document enters only the lists of its rarest
 ``s - s // 2 + 1`` kept values, rarity being the same order for all: two documents with half
 of their values in common still meet in a list, and values that many unlike documents share
 (common passages) bring nobody together. Equal sets are one class and take part once.
@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signbridge.llm.common import SLICE_BYTES, distinct, fits, stored, text_arrays, text_slices
+from signbridge.llm.common import SLICE_BYTES, distinct, fits, gathered, stored, text_arrays, text_slices
 from signbridge.llm.components import components
 
-#: Kept values of a sketch; documents of a block; slack of the estimate (4 deviations at 0.8).
+#: Kept values of a sketch; documents of a block; slack of the estimate (5 deviations at 0.8).
 SKETCH = 48
 BLOCK = 256
-SLACK = 0.24
+SLACK = 0.30
 #: Ids and pairs are broadcast up to this size, measured before; beyond it they are joined by a shuffle.
 MAX_BROADCAST_BYTES = 32 << 20
 
@@ -165,7 +165,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id
 
     All pairs of one ``a`` meet, in blocks of about ``BLOCK``; a block holds the set of ``a`` and reads the
     other texts one after another."""
-    pairs = stored(pairs.distinct(), "pairs")
+    pairs = gathered(stored(pairs, "pairs")).distinct()
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     blocked = pairs.join(sizes, "a").select("a", "b", "blocks", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))
     heads = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -195,7 +195,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id
                         break
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return stored(rows.mapInArrow(run, "a long, b long"), "verified")
+    return gathered(stored(rows.mapInArrow(run, "a long, b long"), "verified"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -259,7 +259,7 @@ def family_links(members: DataFrame, docs: DataFrame, width: int, percent: int,
     rows = members.join(parts, ["family", "component"])
     block = F.when(large, F.xxhash64("family", "component", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / BLOCK))))
     block = block.otherwise(F.xxhash64("family", F.lit("pool"), F.pmod(F.xxhash64("component"), F.ceil(F.col("pool") / BLOCK))))
-    rows = stored(rows.select("family", "component", "id", block.alias("block"), F.when(large, F.col("component")).alias("own")), "blocks")
+    rows = gathered(stored(rows.select("family", "component", "id", block.alias("block"), F.when(large, F.col("component")).alias("own")), "blocks"))
     blocks = rows.select("family", "block", "own").distinct()
     both = blocks.toDF("family", "x", "own_x").join(blocks.toDF("family", "y", "own_y"), "family")
     both = both.where((F.col("x") <= F.col("y")) & (F.col("own_x").isNull() | F.col("own_y").isNull() | (F.col("own_x") != F.col("own_y"))))
@@ -282,7 +282,7 @@ def family_links(members: DataFrame, docs: DataFrame, width: int, percent: int,
             _, once = np.unique(np.stack([comp[left], comp[right]]), axis=1, return_index=True)  # a link joins two components
             yield pa.RecordBatch.from_arrays([pa.array(ids[left[once]]), pa.array(ids[right[once]])], ["a", "b"])
 
-    return stored(grouped.mapInArrow(run, "a long, b long"), "family-links")
+    return gathered(stored(grouped.mapInArrow(run, "a long, b long"), "family-links"))
 
 
 def other_pairs(lists: DataFrame, classes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     sets = own.where("n > 0 and doc_id is not null")
     classes = stored(sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("kept").alias("kept")), "classes")
     lists = stored(entered_lists(classes), "lists")
-    named = stored(families(lists), "families")
+    named = gathered(stored(families(lists), "families"))
     # rows that share an id link the classes that they are in
     clash = sets.join(classes, ["n", "s1", "s2"]).where(F.col("doc_id") != F.col("id"))
     clash = clash.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
@@ -348,13 +348,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         own = named.join(comps.withColumnRenamed("node", "id"), "id", "left")
         return own.select("id", "family", F.coalesce("component", "id").alias("component"))
 
+    def joined(comps: DataFrame, found: DataFrame) -> DataFrame:
+        """The components once more links are known: those so far take part as stars."""
+        if found.isEmpty():
+            return comps
+        stars = comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return gathered(components(stars.unionByName(found)))
+
     links = links.unionByName(verified(first_pairs(named, classes, k, percent), docs, width, percent, doc_id, text))
-    found = family_links(members(components(links)), docs, width, percent, doc_id, text)
-    links = links.unionByName(found)
-    comps = components(links)
-    found = verified(other_pairs(lists, classes, members(comps), percent), docs, width, percent, doc_id, text)
-    if not found.isEmpty():
-        comps = components(links.unionByName(found))
+    comps = gathered(components(links))
+    comps = joined(comps, family_links(members(comps), docs, width, percent, doc_id, text))
+    comps = joined(comps, verified(other_pairs(lists, classes, members(comps), percent), docs, width, percent, doc_id, text))
     final = classes.join(comps.withColumnRenamed("node", "id"), "id", "left")
     final = final.select("n", "s1", "s2", F.coalesce("component", "id").alias("component"))
     out = own.join(final, ["n", "s1", "s2"], "left")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from signbridge.llm import near_duplicates as nd
+from signbridge.llm import common
 from signbridge.llm.components import components
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -73,7 +74,9 @@ def test_overlaps(sizes):
     assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
 
 
-def test_families_near_the_threshold(spark, monkeypatch):
+@pytest.mark.parametrize("rows", [1 << 19, 0])
+def test_families_near_the_threshold(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "GATHERED_ROWS", rows)  # small tables in one task, or all of them in many
     monkeypatch.setattr(nd, "BLOCK", 8)  # many blocks and large components
     rows = corpus(3, 10, 25, [0, 1, 2, 3, 4])
     assert run(spark, rows) == brute(rows, 4, 80)
@@ -121,7 +124,9 @@ def test_empty_table(spark):
     assert nd.keep_one(docs).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("rows", [1 << 19, 0])
+def test_components(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "GATHERED_ROWS", rows)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101), (200, 200), (None, 3), (5, None), (100, 101)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
