@@ -11,7 +11,11 @@ headings, or are paragraphs of prose. Their whole text is the result.
 Character references are decoded, white space within a block becomes one space, and blocks are
 joined in page order by one space. Nothing is cut: pages are read whole, whatever their length.
 Unclosed and misnested tags, stray end tags, unclosed comments and truncated pages are read as
-far as they go. A null or empty page, or one without text, has the empty text. Ties go to the
+far as they go, in time that grows with the page, not with its nesting. Images and elements of no known
+name don't divide words. Of several articles that do not hold one another the one whose paragraphs
+have most points is the text. Inside an article a name drops an element only if the whole of one of its
+class or role names says so (``NAMES`` words and filling ones), and it is no paragraph named by its id alone, nor an element of prose
+under one of the ``DOUBTFUL`` names, which sections of an article have, too. A null or empty page, or one without text, has the empty text. Ties go to the
 element that begins first. Repeated rows are extracted alike; other columns are not read.
 """
 
@@ -35,6 +39,10 @@ DROPPED = frozenset("aside audio button canvas datalist dialog fieldset footer f
                     "noframes noscript object script select style svg template textarea title video xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small "
                    "span strike strong sub sup time tt u var wbr".split())
+#: Elements that make a block of their own; any other (images, unknown names) stands within its line.
+BLOCK = frozenset("#root address article aside blockquote body br caption center col colgroup dd details dialog dir div dl dt fieldset figcaption "
+                  "figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link listing main menu meta "
+                  "nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead title tr ul".split())
 PARAGRAPH = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
@@ -45,11 +53,18 @@ NAMES = frozenset("ad ads advert adverts advertisement advertising advertorial a
                   "outbrain overlay pager pagination paywall popup promo promos promoted promotion reactions recommended "
                   "related replies reply respond responses search share sharing sidebar signin signup skip social sponsor "
                   "sponsored subscribe subscription taboola toolbar topbar tracking warning widget widgets".split())
+#: Of these the names that sections of an article have, too, and words that say nothing beside a name.
+DOUBTFUL = frozenset("alert author-bio banner dialog discussion feedback header notification overlay reactions recommended related replies reply "
+                     "respond responses search skip social toolbar topbar tracking warning widget".split())
+FILLING = frozenset("area aside block body bottom box col column container content group inner item left list main outer page panel "
+                    "post right row section site top wrap wrapper".split())
 #: Elements that end an open one of the same group, up to the element that holds them.
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
           "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 HOLDERS = frozenset("ul ol dl table select html body article section div".split())
 
+#: Characters outside of links from which on an element of a doubtful name in an article holds prose.
+PROSE = 40
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -57,26 +72,41 @@ _COMMAS = re.compile("[,،、，;；]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "dropped", "points", "text", "linked", "order")
+    __slots__ = ("tag", "parent", "items", "dropped", "points", "text", "linked", "order", "inline", "block", "held", "main", "doubtful")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, order: int) -> None:
-        self.tag, self.parent, self.dropped, self.order = tag, parent, dropped, order
+    def __init__(self, tag: str, parent: Node | None, dropped: bool | None, order: int, doubtful: bool = False) -> None:
+        self.tag, self.parent, self.dropped, self.order, self.doubtful = tag, parent, dropped, order, doubtful
         self.items: list[Node | str] = []
+        self.inline = tag in INLINE or tag not in BLOCK and tag not in DROPPED
+        #: The nearest block, the tags open since the nearest holder, and the nearest article around it.
+        self.block: Node = parent.block if self.inline and parent else self
+        self.held: Counter = Counter() if parent is None or tag in HOLDERS else parent.held
+        self.main: Node | None = parent if parent and parent.tag in MAIN else parent and parent.main
         self.points = 0.0
         self.text = self.linked = 0
 
 
-def _named(attributes: str) -> tuple[bool, bool]:
-    """Whether the attributes name something beside the article, and whether they hide the element."""
+def _words(value: str) -> list[str]:
+    return [w.lower() for w in _WORDS.findall(value)]
+
+
+def _named(attributes: str, tag: str, in_main: bool) -> tuple[str, bool]:
+    """The name by which the attributes place the element beside the article ("" if none does), and whether they hide it."""
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id", "role", "itemprop") and any(w.lower() in NAMES for w in _WORDS.findall(value)):
-            return True, False
+        if name in ("class", "id", "role", "itemprop"):
+            if in_main:  # one whole name, and no anchor of a paragraph
+                lists = [[w for w in _words(v) if not w.isdigit()] for v in value.split()] if name != "id" or tag not in PARAGRAPH else []
+                found = [w for v in lists if all(x in NAMES or x in FILLING for x in v) for w in v if w in NAMES]
+            else:
+                found = [w for w in _words(value) if w in NAMES]
+            if found:
+                return next((w for w in found if w not in DOUBTFUL), found[0]), False
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return False, True
+            return "", True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return False, True
-    return False, False
+            return "", True
+    return "", False
 
 
 def parse(page: str) -> list[Node]:
@@ -84,6 +114,29 @@ def parse(page: str) -> list[Node]:
     marked by ``dropped = None`` until it is known how much of the page it holds."""
     root = Node("#root", None, False, 0)
     nodes, now, at, end = [root], root, 0, len(page)
+    holders: Counter = Counter()  # open elements of ``HOLDERS``
+
+    def up_to(node: Node) -> Node:
+        """End all elements within ``node``, and it."""
+        x = now
+        while True:
+            if x.tag in HOLDERS:
+                holders[x.tag] -= 1
+            else:
+                x.held[x.tag] -= 1
+            if x is node:
+                return node.parent
+            x = x.parent
+
+    def innermost(tags: tuple[str, ...]) -> Node | None:
+        """The innermost open element of ``tags`` below the nearest holder."""
+        if not any(now.held[t] for t in tags):
+            return None
+        x = now
+        while x.tag not in tags:
+            x = x.parent
+        return x
+
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -98,32 +151,26 @@ def parse(page: str) -> list[Node]:
         if tag is None:
             continue
         tag = tag.lower()
-        if m[1]:
-            node = now
-            while node is not None and node.tag != tag:
-                if node.tag in HOLDERS and tag not in HOLDERS:
-                    node = None  # a stray end tag doesn't close what is around it
-                    break
-                node = node.parent
+        if m[1]:  # a stray end tag doesn't close what is around it
+            if tag in HOLDERS:
+                node = now if holders[tag] else None
+                while node is not None and node.tag != tag:
+                    node = node.parent
+            else:
+                node = innermost((tag,))
             if node is not None and node.parent is not None:
-                now = node.parent
+                now = up_to(node)
             continue
-        if tag not in INLINE and tag not in VOID or tag == "hr":  # blocks end an open paragraph
-            node = now
-            while node is not None and node.tag in INLINE:
-                node = node.parent
-            if node is not None and node.tag in ("p", *HEADINGS) and (node.tag == "p" or tag in HEADINGS):
-                now = node.parent
+        if tag not in INLINE and (tag in BLOCK or tag in DROPPED) and tag not in VOID or tag == "hr":  # blocks end an open paragraph
+            node = now.block
+            if node.tag in ("p", *HEADINGS) and (node.tag == "p" or tag in HEADINGS):
+                now = up_to(node)
         if tag in CLOSES:
-            node, last = now, None
-            while node is not None and node.tag not in HOLDERS:
-                if node.tag in CLOSES[tag]:
-                    last = node
-                node = node.parent
-            if last is not None:
-                now = last.parent
-        named, hidden = _named(m[3]) if m[3] and tag not in ("html", "body", *MAIN) or tag == "article" and m[3] else (False, False)
-        node = Node(tag, now, True if hidden or tag in DROPPED else None if named else False, len(nodes))
+            while (node := innermost(CLOSES[tag])) is not None:
+                now = up_to(node)
+        in_main = now.tag in MAIN or now.main is not None
+        name, hidden = _named(m[3], tag, in_main) if m[3] and tag not in ("html", "body", *MAIN) or tag == "article" and m[3] else ("", False)
+        node = Node(tag, now, True if hidden or tag in DROPPED else None if name else False, len(nodes), in_main and name in DOUBTFUL)
         nodes.append(node)
         now.items.append(node)
         if tag in RAW:
@@ -133,6 +180,10 @@ def parse(page: str) -> list[Node]:
             at = close.end()
         elif tag not in VOID and not m[3].endswith("/"):
             now = node
+            if tag in HOLDERS:
+                holders[tag] += 1
+            else:
+                node.held[tag] += 1
     return nodes
 
 
@@ -153,28 +204,23 @@ def score(nodes: list[Node]) -> None:
             wrappers.add(up)
             up = up.parent
     else:
-        held = Counter()
-        for node in nodes:
-            if node.tag in PARAGRAPH and node.text:
-                up = node.parent
-                while up is not None:
-                    held[up] += 1
-                    up = up.parent
+        held: Counter = Counter()
+        for node in reversed(nodes[1:]):
+            held[node.parent] += held[node] + (node.tag in PARAGRAPH and node.text > 0)
         wrappers = {n for n, paragraphs in held.items() if paragraphs >= 3 and n.text >= 0.6 * nodes[0].text}
     for node in nodes:
         if node.parent is not None and node.parent.dropped is True:
             node.dropped = True
         elif node.tag == "header":  # a page's header goes, an article's stays
-            up = node.parent
-            while up is not None and up.tag not in MAIN:
-                up = up.parent
-            node.dropped = up is None and node not in wrappers
+            node.dropped = node.main is None and node not in wrappers
+        elif node.doubtful and node.dropped is None and (node.text - node.linked >= PROSE or node.inline or node.tag in PARAGRAPH):
+            node.dropped = False
         elif node.dropped is None:
             node.dropped = node not in wrappers
     for node in reversed(nodes):
         measure(node)
     for node in nodes:
-        if node.dropped or node.tag in INLINE:
+        if node.dropped or node.inline:
             continue
         own, linked, commas = 0, 0, 0
         stack: list[tuple[Node | str, bool]] = [(x, False) for x in node.items]
@@ -185,7 +231,7 @@ def score(nodes: list[Node]) -> None:
                 own += size
                 linked += size * in_link
                 commas += len(_COMMAS.findall(x))
-            elif not x.dropped and x.tag in INLINE:
+            elif not x.dropped and x.inline:
                 stack += [(y, in_link or x.tag == "a") for y in x.items]
         if not own:
             continue
@@ -194,7 +240,7 @@ def score(nodes: list[Node]) -> None:
         for _ in range(4):
             if up is None or up.parent is None:
                 break
-            if up.tag not in INLINE:
+            if not up.inline:
                 up.points += points * share
                 share = share / 2 if share == 1 else share / 3
             up = up.parent
@@ -210,7 +256,7 @@ def blocks(node: Node, out: list[list[str]]) -> None:
         elif isinstance(x, str):
             out[-1].append(x)
         elif not x.dropped:
-            if x.tag in INLINE:
+            if x.inline:
                 stack += reversed(x.items)
             else:
                 out.append([])
@@ -228,7 +274,7 @@ def main_text(page: str | None) -> str:
         for n in nodes:
             n.dropped = bool(n.dropped)
         score(nodes)
-    live = [n for n in nodes if not n.dropped and n.parent is not None and n.tag not in INLINE]
+    live = [n for n in nodes if not n.dropped and n.parent is not None and not n.inline]
     density = lambda n: n.linked / n.text if n.text else 0.0
     value = lambda n: n.points * (1 - density(n))
     best = max(live, key=lambda n: (value(n), -n.order), default=nodes[0])

@@ -74,11 +74,12 @@ class Encoder:
 
     A text that ``_PIECE`` covers in full is put together from its pieces, which the library's
     model encodes once for a worker, each by itself, as it does within a text. Any other text
-    goes to the library as it is."""
+    goes to the library as it is, and so do texts that hold one of the file's added tokens (such as an
+    end mark): the library's default finds these in the text and gives their own ids."""
 
     def __init__(self, tokenizer_file: str) -> None:
         self.tokenizer = Tokenizer.from_str(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo = Pieces(self.tokenizer, self.dtype)
 
@@ -93,7 +94,7 @@ class Encoder:
         get, find = self.memo.__getitem__, _PIECE.findall
         for i, text in enumerate(texts):
             pieces = find(text)
-            if sum(map(len, pieces)) != len(text) or "\n\n" in text:
+            if sum(map(len, pieces)) != len(text) or "\n\n" in text or any(m in text for m in self.marks):
                 whole.append(i)
             else:
                 out[i] = b"".join(map(get, pieces))
@@ -303,5 +304,7 @@ def digests(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> Da
     rows = rows.join(bases, ["shard", "chunk"]).withColumn("start", F.col("base") + F.col("offset"))
     found = lookup(docs, path).select(F.col("doc_id").alias("_id"), F.col("start").alias("_start"), F.col("length").alias("_length"))
     inside = (F.col("start") >= F.col("_start")) & (F.col("start") < F.col("_start") + F.col("_length"))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]))
-    return rows.where(inside).select("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]), "left")
+    lost = F.raise_error(F.concat(F.lit("the index does not lead to the ids of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    start = F.when(F.coalesce(inside, F.lit(False)), F.col("start")).otherwise(lost.cast("long"))
+    return rows.select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")

@@ -20,6 +20,12 @@ CASES = [
     ("<main><section><h2>A</h2><p>Short.</p></section><section><p>" + LONG + "</p></section><aside>no</aside></main>", "A Short. " + LONG.strip()),
     ("<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>" + LONG + "</p></article>", "Title " + LONG.strip()),
     ("<div hidden><p>" + LONG + "</p></div><div><p style='display:none'>" + LONG + "</p><p>" + LONG + "</p></div>", LONG.strip()),
+    ("<article><p>" + LONG + "</p><div class='search-method'><p>" + LONG + "</p></div><p id='replies-1'>" + LONG + "</p>"
+     "<section class='discussion'><p>" + LONG + "</p></section><div class='ad-box'><p>" + LONG + "</p></div><div id='comments-section'><p>" + LONG
+     + "</p></div><div class='search'><a href='/'>find</a></div><div class='notice'>" + LONG + "</div></article>", " ".join([LONG.strip()] * 4)),
+    ("<p>in<img src='x'>line a<x-tag>b</x-tag>c <picture>d</picture>e</p>", "inline abc de"),
+    ("<article><p>" + LONG + "</p></article><article><p>" + LONG * 2 + "</p></article>", (LONG * 2).strip()),
+    ("<div>a</section>b</p>c</li>d</b>e</div>", "abcde"), ("<ul><li><span>a<li>b<ul><li>c</ul>d</ul>", "a b c d"),
     ("<div><a href='it's'>x</a><p title=\"a > b\">" + LONG + "</p></div>", "x " + LONG.strip()),
 ]
 
@@ -34,6 +40,15 @@ def test_deep_and_long_pages():
     assert html_text.main_text("<article>" + f"<p>{LONG}</p>" * 20000) == " ".join([LONG.strip()] * 20000)
 
 
+@pytest.mark.parametrize("unit", ["<div></section>", "<span></b>", "<header>", "<ul><li>", "<span><p>x</p></i>", "<p><i>", "<x-y></z-z>", "<article><b></article>",
+                                  "<div><p>x,", "<table><tr><td>", "<dl><dt></dd>"])
+def test_time_grows_with_the_page(unit):
+    import time
+    start = time.process_time()
+    html_text.main_text(unit * 30_000)
+    assert time.process_time() - start < 8
+
+
 def test_every_page(spark):
     """Against the pages' own article element, its tags taken out by hand."""
     pages = table(spark, "/root/testdata/sf0.01", "pages")
