@@ -24,6 +24,14 @@ HASH_BUCKET_HEX = 5
 HASH_BUCKET_HEX_GROUPED = 4
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (whatever its case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx",
                 num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_cols`` order.

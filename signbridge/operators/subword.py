@@ -1,35 +1,43 @@
 """Sub-word vocabularies (byte-pair merges) learned and applied as Spark jobs.
 
-Learning works on the distinct-word table (word, frequency), never on single rows of
-text: each round is one weighted pair count (``groupBy(pair).sum(freq)``), a bounded
-pick of the best pairs on the driver (at most ``4 * merges_per_round`` rows) and one
-rewrite of the word table with built-in regex replacements. The word table is
-checkpointed every few rounds to cut lineage.
-
-Our own deterministic rule (not bit-equal to the SentencePiece library): the best pair
-has the highest count, ties go to the smallest (left, right); one round merges up to
-``merges_per_round`` best pairs that cannot interact (see ``_pick``) and whose count is at
-least ``min_ratio`` of the round's best count; ranks follow that order.
-Encoding applies the merges by rank (lowest first) to each distinct word.
+The rule is greedy and exact: the pair of highest count is merged next (ties: the smallest
+(left, right)), in one pass from left to right over every word, until the vocabulary is full.
+
+Learning works on the distinct-word table (word, frequency), never on rows of text. Counting words
+is the part that grows with the corpus; a table of distinct words that is measured to be
+small (``task_bytes``) is then learned from in one task, with an inverted index from pair to words:
+a merge touches the words that hold its pair, and no others. A larger table stays distributed:
+a round takes the best pairs up to the first that interacts with one before it, merges them in the
+words that hold them, and accepts as many as a certificate allows: the first ones, up to where
+a pair that the merges make outranks the next. Pair counts are kept up to date by
+the differences of the touched words. Both ways, and every batch size, give the same merges.
+
+It is not bit-equal to the SentencePiece library. Encoding applies the merges by rank (lowest
+first) to each distinct word.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter, defaultdict
 
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import whitespace_tokens
 from ..session import checkpoint, default_parallelism
+from .indexing import fresh_name
 
 # Fixed values of the sub-word format.
 WORD_BOUNDARY = "▁"          # marks the start of a word
 SEP = "\u0001"                    # symbol separator inside the working strings
 SPECIAL_PIECES = 3                # <unk>, <s>, </s> are part of the vocabulary size
 DEFAULT_VOCAB_SIZE = 2000
+# Bytes of distinct words that one task learns from.
+TASK_BYTES = 32 * 1024 * 1024
 
 
 def word_frequencies(lines: DataFrame, text_col: str = "text") -> DataFrame:
@@ -59,28 +67,23 @@ def pair_counts(segs: DataFrame) -> DataFrame:
              .agg(F.sum("freq").alias("cnt"))
 
 
-def _pick(candidates: list, k: int, min_ratio: float = 0.0) -> list:
-    """Greedy pick of pairs that can be merged in one pass without interacting.
+def _pick(candidates: list, k: int) -> list:
+    """The best pairs up to the first that interacts with a better one.
 
-    (a, b) and (c, d) could overlap only through a shared middle symbol (b == c or
-    d == a); a merged symbol must also not be a symbol of another chosen pair. Under
-    these rules the counts of chosen pairs do not change while the round is applied."""
+    (a, b) and (c, d) interact only through a shared middle symbol (b == c or d == a), or where
+    one's merged symbol is a symbol of the other. Up to there the counts of the chosen pairs don't
+    change while the better ones are merged."""
     chosen: list = []
     lefts, rights, syms, merged = set(), set(), set(), set()
-    floor = candidates[0]["cnt"] * min_ratio if candidates else 0
-    for row in candidates:
-        if row["cnt"] < floor:
-            break
+    for row in candidates[:k]:
         a, b = row["left"], row["right"]
-        if a in rights or b in lefts or a in merged or b in merged or (a + b) in syms:
-            continue
+        if a in rights or b in lefts or a in merged or b in merged or (a + b) in syms or (a + b) in merged:
+            break
         chosen.append((a, b, int(row["cnt"])))
         lefts.add(a)
         rights.add(b)
         syms.update((a, b))
         merged.add(a + b)
-        if len(chosen) >= k:
-            break
     return chosen
 
 
@@ -98,44 +101,171 @@ def _merge_expr(seg, pairs: list[tuple[str, str]]):
     return F.regexp_replace(seg, pattern, "".join(repl))
 
 
+class _Index:
+    """Words as symbols, their pairs with counts, and for each pair the words that may hold it."""
+
+    def __init__(self, words: list[str], freqs: list[int]) -> None:
+        self.words = [list(WORD_BOUNDARY + w) for w in words]
+        self.freqs = freqs
+        self.counts: Counter = Counter()
+        self.holders: defaultdict = defaultdict(set)
+        for i, symbols in enumerate(self.words):
+            for pair in zip(symbols, symbols[1:]):
+                self.counts[pair] += freqs[i]
+                self.holders[pair].add(i)
+        self.heap = [(-n, pair) for pair, n in self.counts.items()]
+        heapq.heapify(self.heap)
+
+    def best(self) -> tuple | None:
+        while self.heap:
+            n, pair = self.heap[0]
+            if self.counts.get(pair) == -n:
+                return pair
+            heapq.heappop(self.heap)  # its count has changed meanwhile
+        return None
+
+    def merge(self, pair: tuple) -> None:
+        changed = set()
+        for i in self.holders.pop(pair):
+            before, freq = self.words[i], self.freqs[i]
+            after = _merged(before, pair)
+            if len(after) == len(before):
+                continue
+            self.words[i] = after
+            for p in zip(before, before[1:]):
+                self.counts[p] -= freq
+                changed.add(p)
+            for p in zip(after, after[1:]):
+                self.counts[p] += freq
+                self.holders[p].add(i)
+                changed.add(p)
+        for p in changed:
+            if self.counts[p] > 0:
+                heapq.heappush(self.heap, (-self.counts[p], p))
+            else:
+                del self.counts[p]
+
+
+def _merged(symbols: list[str], pair: tuple) -> list[str]:
+    """``symbols`` with every occurrence of the pair merged, left to right."""
+    out, i, last = [], 0, len(symbols) - 1
+    while i <= last:
+        if i < last and symbols[i] == pair[0] and symbols[i + 1] == pair[1]:
+            out.append(pair[0] + pair[1])
+            i += 2
+        else:
+            out.append(symbols[i])
+            i += 1
+    return out
+
+
+MERGES = "rank long, left string, right string, piece string, cnt long"
+
+
+def _learn_in_one_task(freqs: DataFrame, budget: int) -> DataFrame:
+    """All merges of a word table of bounded size."""
+
+    def run(batches):
+        words, counts = [], []
+        for batch in batches:
+            words += batch.column("word").to_pylist()
+            counts += batch.column("freq").to_pylist()
+        state, rows = _Index(words, counts), []
+        while len(rows) < budget and (pair := state.best()) is not None:
+            rows.append((len(rows), *pair, "".join(pair), state.counts[pair]))
+            state.merge(pair)
+        fields = [("rank", pa.int64()), ("left", pa.string()), ("right", pa.string()), ("piece", pa.string()), ("cnt", pa.int64())]
+        columns = zip(*rows) if rows else [[]] * len(fields)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+    return freqs.select("word", "freq").coalesce(1).mapInArrow(run, MERGES)
+
+
+def _holding(segs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The words that hold one of the pairs."""
+    alternatives = "|".join(f"{re.escape(a)}{re.escape(SEP)}{re.escape(b)}" for a, b in pairs)
+    return segs.where(F.col("seg").rlike(f"{re.escape(SEP)}(?:{alternatives})(?={re.escape(SEP)})"))
+
+
+def _certified(touched: DataFrame, counts: DataFrame, batch: list[tuple[str, str, int]]) -> int:
+    """How many merges of the batch the greedy rule takes before any pair that they make.
+
+    A pair that begins to exist with the i-th merge can only outrank later ones. So each new pair counts from
+    the first merge that makes a part of it, together with what it had before and what earlier merges made of it; if
+    it ranks before the next merge, the batch ends there. To count it for longer than it exists only
+    makes the batch shorter."""
+    number = {(a, b): i + 1 for i, (a, b, _) in enumerate(batch)}
+    parts = {i: p for p, i in number.items()}
+
+    def run(batches):
+        for rows in batches:
+            made: Counter = Counter()
+            for seg, freq in zip(rows.column("seg").to_pylist(), rows.column("freq").to_pylist()):
+                old = [x for x in seg.split(SEP) if x]
+                new, i = [], 0
+                while i < len(old):
+                    n = number.get((old[i], old[i + 1]), 0) if i + 1 < len(old) else 0
+                    new.append(("".join(old[i: i + 2]), n) if n else (old[i], 0))
+                    i += 2 if n else 1
+                for (x, m), (y, n) in zip(new, new[1:]):
+                    if m or n:
+                        made[x, y, max(m, n)] += freq
+                    if m and n and m != n:  # until the later one is merged, its nearer part is the neighbour
+                        made[(x, parts[n][0], m) if m < n else (parts[m][1], y, n)] += freq
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in made], pa.string()), pa.array([k[1] for k in made], pa.string()),
+                                              pa.array([k[2] for k in made], pa.int32()), pa.array(list(made.values()), pa.int64())],
+                                             names=["left", "right", "since", "cnt"])
+
+    made = touched.select("seg", "freq").mapInArrow(run, "left string, right string, since int, cnt long")
+    made = made.groupBy("left", "right", "since").agg(F.sum("cnt").alias("cnt"))
+    so_far = F.sum("cnt").over(Window.partitionBy("left", "right").orderBy("since"))
+    made = made.withColumn("cnt", so_far).join(counts.withColumnRenamed("cnt", "had"), ["left", "right"], "left")
+    total = F.col("cnt") + F.coalesce("had", F.lit(0))
+    ranked = F.array(*[F.struct(F.lit(-n).cast("long"), F.lit(a), F.lit(b)) for a, b, n in batch])
+    better = F.size(F.filter(ranked, lambda m: m < F.struct(-total, F.col("left"), F.col("right"))))
+    first = made.agg(F.min(F.greatest("since", better))).first()[0]
+    return len(batch) if first is None else min(len(batch), int(first))
+
+
 def learn_merges(lines: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE, text_col: str = "text",
-                 merges_per_round: int = 256, min_ratio: float = 0.2,
-                 checkpoint_every: int = 8) -> DataFrame:
+                 merges_per_round: int = 64, task_bytes: int = TASK_BYTES, checkpoint_every: int = 8) -> DataFrame:
     """Learn merges until the vocabulary (specials + characters + merges) reaches
-    ``vocab_size``. Returns (rank, left, right, piece, cnt)."""
+    ``vocab_size``. Returns (rank, left, right, piece, cnt).
+
+    ``task_bytes`` bounds the words that one task learns from (their UTF-8 bytes, and 64 for each); of
+    more, at most ``merges_per_round`` are merged in a round."""
     spark = lines.sparkSession
-    parts = default_parallelism(spark)
-    segs = checkpoint(initial_segments(word_frequencies(lines, text_col)).repartition(parts, "word"))
-    alphabet = segs.select(F.explode(_symbols(F.col("word"))).alias("c")).distinct().count()
+    freqs = checkpoint(word_frequencies(lines, text_col))
+    alphabet = freqs.select(F.explode(_symbols(F.col("word"))).alias("c")).distinct().count()
     budget = vocab_size - SPECIAL_PIECES - alphabet
     if budget < 0:
         raise ValueError(f"a vocabulary of {vocab_size} doesn't hold the {alphabet} characters of the text and {SPECIAL_PIECES} special pieces")
+    size = freqs.agg(F.coalesce(F.sum(F.octet_length("word") + 64), F.lit(0))).first()[0]
+    if size <= task_bytes:
+        return _learn_in_one_task(freqs, budget)
+    segs = checkpoint(initial_segments(freqs).repartition(default_parallelism(spark), "word"))
+    counts = checkpoint(pair_counts(segs))
     merges: list[tuple[str, str, int]] = []
     rounds = 0
-    cached: list[DataFrame] = []
     while len(merges) < budget:
         k = min(merges_per_round, budget - len(merges))
-        top = pair_counts(segs).where(F.col("cnt") >= 1) \
-            .orderBy(F.desc("cnt"), F.asc("left"), F.asc("right")).limit(4 * k).collect()
-        # the count job materialised ``segs``: its cached parents are no longer needed
-        for old in cached[:-1]:
-            old.unpersist()
-        cached = cached[-1:]
-        chosen = _pick(top, k, min_ratio)
-        if not chosen:
+        batch = _pick(counts.orderBy(F.desc("cnt"), F.asc("left"), F.asc("right")).limit(k).collect(), k)
+        if not batch:
             break
-        segs = segs.withColumn("seg", _merge_expr(F.col("seg"), [(a, b) for a, b, _ in chosen]))
-        merges.extend(chosen)
+        pairs = [(a, b) for a, b, _ in batch]
+        batch = batch[: _certified(_holding(segs, pairs), counts, batch)]
+        pairs = pairs[: len(batch)]
+        touched = _holding(segs, pairs)
+        after = segs.withColumn("seg", _merge_expr(F.col("seg"), pairs))
+        change = pair_counts(_holding(segs, pairs).withColumn("seg", _merge_expr(F.col("seg"), pairs)))
+        change = change.unionByName(pair_counts(touched).withColumn("cnt", -F.col("cnt")))
+        new = counts.unionByName(change).groupBy("left", "right").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
+        merges.extend(batch)
         rounds += 1
-        if rounds % checkpoint_every == 0:
-            segs = checkpoint(segs)   # cut lineage into the shared checkpoint folder
-        else:
-            segs = segs.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.append(segs)
-    for old in cached:
-        old.unpersist()
+        counts = checkpoint(new)
+        segs = checkpoint(after) if rounds % checkpoint_every == 0 else after
     rows = [(i, a, b, a + b, c) for i, (a, b, c) in enumerate(merges)]
-    return spark.createDataFrame(rows, "rank long, left string, right string, piece string, cnt long")
+    return spark.createDataFrame(rows, MERGES)
 
 
 def _encode_word(word: str, ranks: dict) -> list[str]:
@@ -148,17 +278,7 @@ def _encode_word(word: str, ranks: dict) -> list[str]:
                 best, at = r, i
         if best is None:
             break
-        merged = syms[at] + syms[at + 1]
-        pair = (syms[at], syms[at + 1])
-        out, i = [], 0
-        while i < len(syms):  # merge every occurrence of this pair, left to right
-            if i < len(syms) - 1 and (syms[i], syms[i + 1]) == pair:
-                out.append(merged)
-                i += 2
-            else:
-                out.append(syms[i])
-                i += 1
-        syms = out
+        syms = _merged(syms, (syms[at], syms[at + 1]))
     return syms
 
 
@@ -175,14 +295,15 @@ def encode_lines(lines: DataFrame, merges: DataFrame, text_col: str = "text",
     def encode(words: pd.Series) -> pd.Series:
         return words.map(lambda w: " ".join(_encode_word(w, bc.value)))
 
-    tagged = checkpoint(lines.withColumn("_line", F.monotonically_increasing_id()))
-    tokens = tagged.select("_line", F.posexplode(whitespace_tokens(text_col)).alias("_pos", "_word"))
-    encoded = checkpoint(tokens.select("_word").distinct().withColumn("_enc", encode("_word")))
-    joined = tokens.join(encoded, "_word").groupBy("_line").agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_enc"))).alias("_e"))
-    pieces = F.array_join(F.transform("_e", lambda e: e["_enc"]), " ")
+    line, found = fresh_name(lines, "_line"), fresh_name(lines, "_e")
+    tagged = checkpoint(lines.withColumn(line, F.monotonically_increasing_id()))
+    tokens = tagged.select(F.col(line).alias("line"), F.posexplode(whitespace_tokens(text_col)).alias("pos", "word"))
+    encoded = checkpoint(tokens.select("word").distinct().withColumn("enc", encode("word")))
+    joined = tokens.join(encoded, "word").groupBy("line").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "enc"))).alias(found)).withColumnRenamed("line", line)
+    pieces = F.array_join(F.transform(found, lambda e: e["enc"]), " ")
     out = F.when(F.col(text_col).isNotNull(), F.coalesce(pieces, F.lit("")))
-    return tagged.join(joined, "_line", "left").withColumn(out_col, out).drop("_line", "_e")
+    return tagged.join(joined, line, "left").withColumn(out_col, out).drop(line, found)
 
 
 def decode_pieces(pieces) -> F.Column:

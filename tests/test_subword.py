@@ -1,5 +1,8 @@
 """Sub-word merges: determinism, round trip, stored-artefact decode."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,10 +41,45 @@ def test_learn_encode_roundtrip(spark):
 
 
 def test_pick_rules():
-    cands = [{"left": "a", "right": "b", "cnt": 10}, {"left": "b", "right": "c", "cnt": 9},
-             {"left": "a", "right": "c", "cnt": 9}, {"left": "ab", "right": "d", "cnt": 8},
+    cands = [{"left": "a", "right": "b", "cnt": 10}, {"left": "a", "right": "c", "cnt": 9}, {"left": "b", "right": "c", "cnt": 9},
              {"left": "x", "right": "y", "cnt": 1}]
-    assert sw._pick(cands, 10, 0.5) == [("a", "b", 10), ("a", "c", 9)]
+    assert sw._pick(cands, 10) == [("a", "b", 10), ("a", "c", 9)]
+    assert sw._pick(cands, 1) == [("a", "b", 10)]
+
+
+def greedy(texts, budget):
+    """The rule in plain Python: all pairs counted again for every merge."""
+    words = Counter(w for t in texts for w in t.split())
+    parts = {w: list(sw.WORD_BOUNDARY + w) for w in words}
+    out = []
+    while len(out) < budget:
+        counts = Counter()
+        for w, n in words.items():
+            for pair in zip(parts[w], parts[w][1:]):
+                counts[pair] += n
+        if not counts:
+            break
+        pair, n = min(counts.items(), key=lambda x: (-x[1], x[0]))
+        out.append((len(out), *pair, "".join(pair), n))
+        parts = {w: sw._merged(p, pair) for w, p in parts.items()}
+    return out
+
+
+@pytest.mark.parametrize(("task_bytes", "per_round"), [(1 << 20, 64), (0, 64), (0, 3)])
+def test_same_merges_as_the_greedy_learner(spark, task_bytes, per_round):
+    rng = random.Random(4)
+    stems = ["the", "there", "then", "low", "lower", "aaaa", "aaab", "abab", "banana", "ananas", "newest", "wide", "ée$", "x.y"]
+    texts = [" ".join(rng.choice(stems) + rng.choice(["", "", "s", "er", "ing"]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    lines = spark.createDataFrame([(t,) for t in texts], "text string")
+    alphabet = len({sw.WORD_BOUNDARY, *"".join(texts)} - {" "})
+    merges = sw.learn_merges(lines, sw.SPECIAL_PIECES + alphabet + 60, merges_per_round=per_round, task_bytes=task_bytes)
+    assert [tuple(r) for r in merges.orderBy("rank").collect()] == greedy(texts, 60)
+
+
+def test_words_of_the_input_keep_their_columns(spark):
+    lines = spark.createDataFrame([("low low", 7, "k", 1.0)], "text string, _line int, _e string, pos double")
+    out = sw.encode_lines(lines, sw.learn_merges(lines, 8)).collect()
+    assert [(r["_line"], r["_e"], r["pos"]) for r in out] == [(7, "k", 1.0)]
 
 
 def test_encode_against_plain_python(spark):
