@@ -2,7 +2,7 @@
 
 Random streams of pandas/scikit-learn cannot be replayed on a cluster; the contract here
 is: rows ordered by ``md5('<id>:<seed>')`` then id, cut at exact sizes computed with
-integer arithmetic. All cuts go through ``hash_rank_cut`` (no global sort).
+integer arithmetic. Rows without id are kept, each placed by the hash of its columns. All cuts go through ``hash_rank_cut`` (no global sort).
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .indexing import hash_rank, hash_rank_cut
+from .indexing import fresh_name, hash_rank, hash_rank_cut
 
 # The ablation seeds of the repeated 5 % samples.
 ABLATION_SEEDS = [10350, 11397, 11617, 14694, 16251, 40691, 64969, 82924, 87237]
@@ -30,9 +30,9 @@ def split_train_dev_test(df: DataFrame, id_col: str, held_pct: int = 5,
     total = F.col("_total")
     held = _ceil_pct(total, held_pct)
     test = F.floor((held + 1) / 2).cast("bigint")
-    out = hash_rank_cut(df, id_col, seed, [test, held], name="_part")
-    return out.withColumn(name, F.element_at(F.array(*[F.lit(s) for s in SPLIT_NAMES]),
-                                             F.col("_part") + 1)).drop("_part")
+    part = fresh_name(df, "_part")
+    out = hash_rank_cut(df, id_col, seed, [test, held], name=part)
+    return out.withColumn(name, F.element_at(F.array(*[F.lit(s) for s in SPLIT_NAMES]), F.col(part) + 1)).drop(part)
 
 
 def sample_fraction(df: DataFrame, id_col: str, pct: int = 5, seed: int = DEFAULT_SEED,
@@ -44,7 +44,8 @@ def sample_fraction(df: DataFrame, id_col: str, pct: int = 5, seed: int = DEFAUL
     """
     total = F.lit(base_total) if base_total is not None else F.col("_total")
     n = F.floor(total * pct / 100).cast("bigint")
-    return hash_rank_cut(df, id_col, seed, [n], name="_part").where("_part = 0").drop("_part")
+    part = fresh_name(df, "_part")
+    return hash_rank_cut(df, id_col, seed, [n], name=part).where(F.col(part) == 0).drop(part)
 
 
 def sample_fraction_seeds(df: DataFrame, id_col: str, seeds: list[int] | None = None,
@@ -53,8 +54,9 @@ def sample_fraction_seeds(df: DataFrame, id_col: str, seeds: list[int] | None =
     seeds = seeds or ABLATION_SEEDS
     rep = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
     n = F.floor(F.col("_total") * pct / 100).cast("bigint")
-    out = hash_rank_cut(rep, id_col, "seed", [n], group_cols=["seed"], name="_part")
-    return out.where("_part = 0").drop("_part")
+    part = fresh_name(df, "_part")
+    out = hash_rank_cut(rep, id_col, "seed", [n], group_cols=["seed"], name=part)
+    return out.where(F.col(part) == 0).drop(part)
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = DEFAULT_SEED, name: str = "pos") -> DataFrame:

@@ -3,9 +3,14 @@ are only output formats."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable, Mapping, Sequence
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import fixed_decimals
 from ..sources.files import PAIR_SEP
@@ -92,13 +97,59 @@ def line_report(per_line: DataFrame, order_col: str = "row_id") -> DataFrame:
         F.lit("\nBLEU: "), fixed_decimals("bleu", 2), F.lit("\nchrF: "), fixed_decimals("chrf", 2), F.lit("\n")).alias("value"))
 
 
-def build_if_absent(spark: SparkSession, path: str, build, fmt: str = "parquet") -> DataFrame:
-    """Stage reuse (K8): call ``build`` and write its table only when ``path`` does not exist yet, then
-    read it. Whether it exists is asked of the store that Spark reads."""
+#: A stage's commit record: what was built, from what, and where it lies.
+COMMIT = "made timestamp, data string, sources string, params string, rows long, schema string"
+
+
+def _sources(spark: SparkSession, inputs: Sequence[str]) -> str:
+    """The files below ``inputs`` in short: how many there are, and a sum over hashes of path, length and time."""
+    if not inputs:
+        return ""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(inputs)).select("path", "length", "modificationTime")
+    return "{} {}".format(*files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.format(fmt).load(path)
+        return spark.read.schema(COMMIT).parquet(f"{path}/commits")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    build().write.mode("ignore").format(fmt).save(path)
-    return spark.read.format(fmt).load(path)
+        return None
+
+
+def build_stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], fmt: str = "parquet",
+                inputs: Sequence[str] = (), params: Mapping[str, object] | None = None) -> DataFrame:
+    """A stage (K8): the table that ``build`` makes is written once below ``path`` and read back from then on.
+
+    The table goes to a fresh folder; a commit record (sources, parameters, rows, schema) is appended
+    to ``<path>/commits`` when it is written in full. A build that died leaves a folder that no record names, and
+    the next call builds again; so does one whose input files or parameters have changed. Folders
+    of earlier builds stay for those who still read them. Whether a record exists is asked of the store that
+    Spark reads; of two builders at a time both finish, and the later record holds."""
+    sources, wanted = _sources(spark, inputs), json.dumps(dict(params or {}), sort_keys=True, default=str)
+
+    def committed() -> DataFrame | None:
+        commits = _commits(spark, path)
+        known = commits and commits.where((F.col("sources") == sources) & (F.col("params") == wanted)).orderBy(F.desc("made"), "data").first()
+        if not known:
+            return None
+        return spark.read.format(fmt).schema(StructType.fromJson(json.loads(known["schema"]))).load(f"{path}/{known['data']}")
+
+    found = committed()
+    if found is not None:
+        return found
+    out, data = build(), f"data-{uuid.uuid4().hex}"
+    counted = Observation()
+    out.observe(counted, F.count(F.lit(1)).alias("rows")).write.format(fmt).save(f"{path}/{data}")
+    # what a format can't keep (a column that may not be null) is not asked of it
+    schema = spark.read.format(fmt).schema(out.schema).load(f"{path}/{data}").schema
+    record = [(data, sources, wanted, counted.get["rows"], schema.json())]
+    record = spark.createDataFrame(record, "data string, sources string, params string, rows long, schema string")
+    record.select(F.current_timestamp().alias("made"), "*").coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return committed()
+
+
+def build_if_absent(spark: SparkSession, path: str, build: Callable[[], DataFrame], fmt: str = "parquet") -> DataFrame:
+    """Stage reuse (K8) whatever the inputs: ``build`` is called only if ``path`` has no whole table yet."""
+    return build_stage(spark, path, build, fmt)

@@ -2,6 +2,9 @@
 
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from signbridge.sinks import writers as wr
 from signbridge.sources import files as fs
 
@@ -134,3 +137,36 @@ def test_sql_over_registered_views(spark):
     register_views(spark, "/root/testdata/sf0.001")
     n = spark.sql("select count(*) from signs s join corpus c on s.k = c.p_partkey").first()[0]
     assert n > 0
+
+
+def test_stage_is_built_again_after_a_build_that_died(spark, tmp_dir):
+    out, calls = os.path.join(tmp_dir, "stage"), []
+
+    def build():
+        calls.append(1)
+        if len(calls) == 1:  # fails in the middle of writing
+            return spark.range(1000).selectExpr("if(id = 999, raise_error('lost'), id) as id").repartition(4)
+        return spark.range(1000)
+
+    with pytest.raises(Exception, match="lost"):
+        wr.build_stage(spark, out, build)
+    assert wr.build_stage(spark, out, build).count() == 1000 and len(calls) == 2
+    assert wr.build_stage(spark, out, build).count() == 1000 and len(calls) == 2
+    record = spark.read.parquet(f"{out}/commits").collect()
+    assert [(r["rows"], r["params"], r["sources"]) for r in record] == [(1000, "{}", "")]
+
+
+def test_stage_is_built_again_for_other_inputs_or_parameters(spark, tmp_dir):
+    source, out = os.path.join(tmp_dir, "in"), os.path.join(tmp_dir, "stage")
+    spark.range(5).write.parquet(source)
+    stage = lambda **p: wr.build_stage(spark, out, lambda: spark.read.parquet(source).withColumn("p", F.lit(str(p))), inputs=[source], params=p)
+    assert stage(seed=1).count() == 5 and stage(seed=2).select("p").first()[0] == "{'seed': 2}"
+    assert stage(seed=1).select("p").first()[0] == "{'seed': 1}"
+    assert spark.read.parquet(f"{out}/commits").count() == 2
+    spark.range(3).write.mode("append").parquet(source)
+    assert stage(seed=1).count() == 8 and spark.read.parquet(f"{out}/commits").count() == 3
+
+
+def test_empty_stage(spark, tmp_dir):
+    stage = lambda: wr.build_stage(spark, os.path.join(tmp_dir, "none"), lambda: spark.range(0))
+    assert stage().count() == 0 and stage().columns == ["id"]

@@ -49,3 +49,19 @@ def test_dense_index_consecutive(spark):
     df = spark.createDataFrame([(k, f"v{k}") for k in [50, 3, 17, 9, 1000, -4]], "k long, v string")
     got = {r["k"]: r["idx"] for r in ix.dense_index(df.repartition(3), ["k"], "idx", 4).collect()}
     assert got == {-4: 0, 3: 1, 9: 2, 17: 3, 50: 4, 1000: 5}
+
+
+def test_rows_without_id_and_odd_columns(spark):
+    rows = [(i if i % 10 else None, f"text {i}", "a", 1, 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _part string, _total int, _h int")
+    split = sm.split_train_dev_test(df, "doc_id").collect()
+    assert sorted(r["text"] for r in split) == sorted(r[1] for r in rows)
+    assert sorted(r["split"] for r in split).count("test") == 3 and sum(r["split"] == "dev" for r in split) == 2
+    assert {(r["_part"], r["_total"], r["_h"]) for r in split} == {("a", 1, 2)}
+    assert sm.sample_fraction(df, "doc_id", pct=100).count() == 100 and sm.sample_fraction(df, "doc_id", pct=7).count() == 7
+    assert sorted(r["pos"] for r in sm.seeded_shuffle(df, "doc_id").collect()) == list(range(100))
+    per_seed = sm.sample_fraction_seeds(df, "doc_id", [1, 2], pct=20).groupBy("seed").count().collect()
+    assert {(r["seed"], r["count"]) for r in per_seed} == {(1, 20), (2, 20)}
+    # rows without id are spread: they don't all stand together
+    places = sorted(r["pos"] for r in sm.seeded_shuffle(df, "doc_id").where("doc_id is null").collect())
+    assert places != list(range(places[0], places[0] + 10))
