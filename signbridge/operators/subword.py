@@ -5,8 +5,8 @@ The rule is greedy and exact: the pair of highest count is merged next (ties: th
 
 Learning works on the distinct-word table (word, frequency), never on rows of text. Counting words
 is the part that grows with the corpus; a table of distinct words that is measured to be
-small (``task_bytes``) is then learned from in one task, with an inverted index from pair to words:
-a merge touches the words that hold its pair, and no others. A larger table stays distributed:
+small (``task_bytes``) is then learned from in one task, with an index of where each symbol stands:
+a merge touches the places of its pair, and no others. A larger table stays distributed:
 a round takes the best pairs up to the first that interacts with one before it, merges them in the
 words that hold them, and accepts as many as a certificate allows: the first ones, up to where
 a pair that the merges make outranks the next. Pair counts are kept up to date by
@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -102,48 +103,77 @@ def _merge_expr(seg, pairs: list[tuple[str, str]]):
 
 
 class _Index:
-    """Words as symbols, their pairs with counts, and for each pair the words that may hold it."""
+    """All words as one chain of symbols, the counts of their pairs, and for each symbol where it stands: a merge
+    looks at the places of one symbol and changes the counts of the neighbours, all at once."""
 
     def __init__(self, words: list[str], freqs: list[int]) -> None:
-        self.words = [list(WORD_BOUNDARY + w) for w in words]
-        self.freqs = freqs
-        self.counts: Counter = Counter()
-        self.holders: defaultdict = defaultdict(set)
-        for i, symbols in enumerate(self.words):
-            for pair in zip(symbols, symbols[1:]):
-                self.counts[pair] += freqs[i]
-                self.holders[pair].add(i)
-        self.heap = [(-n, pair) for pair, n in self.counts.items()]
-        heapq.heapify(self.heap)
-
-    def best(self) -> tuple | None:
+        text = "".join(WORD_BOUNDARY + w for w in words)
+        lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+        signs, self.symbol = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)
+        self.names = [chr(c) for c in signs.tolist()]
+        self.numbers = {c: i for i, c in enumerate(self.names)}
+        size, ends = len(self.symbol), np.cumsum(lengths)
+        self.weight = np.repeat(np.array(freqs, np.int64), lengths)
+        self.after, self.before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        self.after[ends - 1] = -1
+        self.before[ends - lengths] = -1
+        order = np.argsort(self.symbol, kind="stable")
+        cuts = np.searchsorted(self.symbol[order], np.arange(len(self.names) + 1))
+        self.places = [order[i:j] for i, j in zip(cuts, cuts[1:])]
+        self.counts: dict[int, int] = {}
+        self.heap: list[tuple] = []
+        self._count([(np.flatnonzero(self.after >= 0), 1)])
+
+    def _pairs(self, at: np.ndarray) -> np.ndarray:
+        return self.symbol[at] << 32 | self.symbol[self.after[at]]
+
+    def _count(self, parts: list[tuple[np.ndarray, int]], keys: list[np.ndarray] | None = None) -> None:
+        """Add the weights of the pairs that begin at the given places, with their signs."""
+        keys = [self._pairs(at) for at, _ in parts] if keys is None else keys
+        pairs, which = np.unique(np.concatenate(keys), return_inverse=True)
+        change = np.bincount(which, np.concatenate([sign * self.weight[at] for at, sign in parts]), len(pairs)).astype(np.int64)
+        for pair, n in zip(pairs.tolist(), change.tolist()):
+            if n:
+                now = self.counts[pair] = self.counts.get(pair, 0) + n
+                if now:
+                    heapq.heappush(self.heap, (-now, self.names[pair >> 32], self.names[pair & 0xFFFFFFFF], pair))
+                else:
+                    del self.counts[pair]
+
+    def best(self) -> tuple[str, str, int] | None:
         while self.heap:
-            n, pair = self.heap[0]
+            n, left, right, pair = self.heap[0]
             if self.counts.get(pair) == -n:
-                return pair
+                return left, right, -n
             heapq.heappop(self.heap)  # its count has changed meanwhile
         return None
 
-    def merge(self, pair: tuple) -> None:
-        changed = set()
-        for i in self.holders.pop(pair):
-            before, freq = self.words[i], self.freqs[i]
-            after = _merged(before, pair)
-            if len(after) == len(before):
-                continue
-            self.words[i] = after
-            for p in zip(before, before[1:]):
-                self.counts[p] -= freq
-                changed.add(p)
-            for p in zip(after, after[1:]):
-                self.counts[p] += freq
-                self.holders[p].add(i)
-                changed.add(p)
-        for p in changed:
-            if self.counts[p] > 0:
-                heapq.heappush(self.heap, (-self.counts[p], p))
-            else:
-                del self.counts[p]
+    def merge(self, left: str, right: str) -> None:
+        a, b = self.numbers[left], self.numbers[right]
+        at = self.places[a] = self.places[a][self.symbol[self.places[a]] == a]
+        second = self.after[at]
+        at = at[(second >= 0) & (self.symbol[second] == b)]
+        if a == b:  # in a row of equal symbols every other place, from the left
+            head = np.concatenate([[True], self.after[at[:-1]] != at[1:]])
+            run = np.flatnonzero(head)[np.cumsum(head) - 1]
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+        second = self.after[at]
+        back = self.before[at]
+        gone = np.unique(np.concatenate([back[back >= 0], at, second[self.after[second] >= 0]]))
+        keys = [self._pairs(gone)]
+        name = left + right
+        if name not in self.numbers:
+            self.numbers[name] = len(self.names)
+            self.names.append(name)
+            self.places.append(np.zeros(0, np.int64))
+        number = self.numbers[name]
+        on = self.after[second]
+        self.symbol[at], self.symbol[second], self.after[at] = number, -1, on
+        self.before[on[on >= 0]] = at[on >= 0]
+        self.places[number] = np.sort(np.concatenate([self.places[number], at]))
+        back = self.before[at]
+        made = np.unique(np.concatenate([back[back >= 0], at[on >= 0]]))
+        self._count([(gone, -1), (made, 1)], [*keys, self._pairs(made)])
 
 
 def _merged(symbols: list[str], pair: tuple) -> list[str]:
@@ -170,10 +200,11 @@ def _learn_in_one_task(freqs: DataFrame, budget: int) -> DataFrame:
         for batch in batches:
             words += batch.column("word").to_pylist()
             counts += batch.column("freq").to_pylist()
-        state, rows = _Index(words, counts), []
-        while len(rows) < budget and (pair := state.best()) is not None:
-            rows.append((len(rows), *pair, "".join(pair), state.counts[pair]))
-            state.merge(pair)
+        state, rows = _Index(words, counts) if words else None, []
+        while words and len(rows) < budget and (best := state.best()) is not None:
+            left, right, n = best
+            rows.append((len(rows), left, right, left + right, n))
+            state.merge(left, right)
         fields = [("rank", pa.int64()), ("left", pa.string()), ("right", pa.string()), ("piece", pa.string()), ("cnt", pa.int64())]
         columns = zip(*rows) if rows else [[]] * len(fields)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])

@@ -68,7 +68,7 @@ def greedy(texts, budget):
 @pytest.mark.parametrize(("task_bytes", "per_round"), [(1 << 20, 64), (0, 64), (0, 3)])
 def test_same_merges_as_the_greedy_learner(spark, task_bytes, per_round):
     rng = random.Random(4)
-    stems = ["the", "there", "then", "low", "lower", "aaaa", "aaab", "abab", "banana", "ananas", "newest", "wide", "ée$", "x.y"]
+    stems = ["the", "there", "then", "low", "lower", "aaaa", "aaab", "abab", "banana", "ananas", "aaaaaaa", "newest", "wide", "ée$", "x.y"]
     texts = [" ".join(rng.choice(stems) + rng.choice(["", "", "s", "er", "ing"]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
     lines = spark.createDataFrame([(t,) for t in texts], "text string")
     alphabet = len({sw.WORD_BOUNDARY, *"".join(texts)} - {" "})
