@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signbridge.session import ensure_checkpoint_dir
@@ -72,6 +72,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
+def least_hashed(ids: DataFrame, groups: list[str], most: Column, doc_id: str = "doc_id") -> DataFrame:
+    """Of each group the ``most`` rows (a column of the group's columns) with the least xxhash64 of their id.
+
+    A histogram over the hashes' upper 16 bits says up to which bucket a group's rows are needed; only these
+    rows, hardly more than are taken, are ranked. No task sorts a group."""
+    hashed = F.xxhash64(doc_id)
+    rows = ids.withColumn("_hash", hashed).withColumn("_bucket", F.shiftright("_hash", 48))
+    buckets = rows.groupBy(*groups, "_bucket").agg(F.count("*").alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    needed = buckets.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < most).select(*groups, "_bucket")
+    rows = rows.join(F.broadcast(needed), [*groups, "_bucket"], "left_semi")  # 65536 buckets a group at most
+    order = Window.partitionBy(*groups).orderBy("_hash", doc_id)
+    return rows.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most).select(*ids.columns)
+
+
 def fits(df: DataFrame, max_bytes: int, row_bytes: Column | None = None) -> bool:
     """Whether ``df``, measured in full, holds at most ``max_bytes``: the check before a broadcast."""
     size = F.sum(row_bytes if row_bytes is not None else F.lit(64))

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signbridge.llm.common import array_slices, fits, held_out, text_arrays, text_slices
+from signbridge.llm.common import array_slices, fits, held_out, least_hashed, stored, text_arrays, text_slices
 from signbridge.llm.linear import gram_counts, gram_means
 from signbridge.llm.near_duplicates import word_hashes
 
@@ -137,12 +137,11 @@ class Constant:
 def fit(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE) -> bytes:
     """The pickled model of ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade), learned in one task."""
     rated = ratings.where(F.col("grade").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
-    rated = rated.join(docs.where(F.length("text") > 0).select("doc_id").distinct(), "doc_id", "left_semi")
+    rated = stored(rated.join(docs.where(F.length("text") > 0).select("doc_id").distinct(), "doc_id", "left_semi"), "rated")
     share = {r["grade"]: float(r["count"]) for r in rated.groupBy("grade").count().collect()}  # a row for each grade
     if len(share) < 2:
         return pickle.dumps(Constant(next(iter(share), 0)))
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rated.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_grade).drop("_nth")
+    ids = least_hashed(rated, ["grade"], F.lit(per_grade))
     if fits(ids, 32 << 20):
         ids = F.broadcast(ids)
 

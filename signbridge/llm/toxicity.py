@@ -29,10 +29,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signbridge.llm.common import array_slices, distinct, fits, fresh, held_out, stored, text_slices
+from signbridge.llm.common import array_slices, distinct, fits, fresh, held_out, least_hashed, stored, text_slices
 from signbridge.llm.linear import letters
 from signbridge.llm.near_duplicates import mix, word_hashes
 
@@ -59,11 +59,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     hashed = F.xxhash64("doc_id")
-    known = known.withColumn("role", (F.pmod(F.shiftright(hashed, 20), F.lit(10)) >= 7).cast("int"))
-    order = Window.partitionBy("toxic", "role").orderBy(hashed, "doc_id")
-    known = known.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(MODEL_ROWS + CALIBRATION_ROWS))
-    most = F.element_at(F.array(*map(F.lit, MODEL_ROWS + CALIBRATION_ROWS)), F.col("role") * 2 + F.col("toxic") + 1)
-    ids = known.where(F.col("nth") <= most).select("doc_id", "toxic", "role")
+    known = stored(known.withColumn("role", (F.pmod(F.shiftright(hashed, 20), F.lit(10)) >= 7).cast("int")), "toxicity-known")
+    most = F.element_at(F.array(*map(F.lit, MODEL_ROWS + CALIBRATION_ROWS)), F.col("role") * 2 + F.col("toxic").cast("int") + 1)
+    ids = stored(least_hashed(known, ["toxic", "role"], most).select("doc_id", "toxic", "role"), "toxicity-ids")
     if fits(ids, 32 << 20):
         ids = F.broadcast(ids)
     return stored(docs.select("doc_id", "text").join(ids, "doc_id").select("toxic", "role", "text"), "toxicity-sample")

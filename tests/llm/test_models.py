@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signbridge.llm import language, linear, quality, toxicity
-from signbridge.llm.common import held_out, table, text_arrays
+from signbridge.llm.common import held_out, least_hashed, table, text_arrays
 
 SF = "/root/testdata/sf0.01"
 ODD = [(90001, None), (90002, ""), (90003, "123 ... !!"), (None, "the of and in"), (90004, "words " * 60000), (90005, "漢字"), (90005, "漢字")]
@@ -162,3 +162,12 @@ def test_quality_with_one_grade(spark, docs):
     out = quality.rate(docs, quality.fit(docs, ratings)).agg(F.min("expected_grade"), F.max("p_grade")).first()
     assert tuple(out) == (2.0, 1.0)
     assert quality.rate(docs, quality.fit(docs, ratings.where("false"))).agg(F.max("expected_grade")).first()[0] == 0.0
+
+
+def test_least_hashed_rows_of_each_group(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("int").alias("g"))
+    got = least_hashed(rows, ["g"], F.col("g") * 100 + 7)
+    order = rows.withColumn("h", F.xxhash64("doc_id")).collect()
+    want = {r.doc_id for g in range(3) for r in sorted((r for r in order if r.g == g), key=lambda r: r.h)[: g * 100 + 7]}
+    assert {r.doc_id for r in got.collect()} == want and got.columns == rows.columns
+    assert least_hashed(rows.where("false"), ["g"], F.lit(5)).count() == 0
