@@ -5,12 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fsw as fx
 from ..operators import embed as eb
 from ..operators import prompts as pr
+from ..operators import retrieval as rv
 from ..operators import vocab as vc
-from ..sources.tables import corpus_view, known_corpus_view, metric_pairs_view, read_table, sentence_text, signs_view
+from ..session import checkpoint
+from ..sources.tables import corpus_view, metric_pairs_view, read_table, sentence_text, signs_view
 from . import jobs, metric_sql as ms, sqlparts as sq
-from .queries import _SEEDS_SQL, _decomposed, _md5_rank, _round6, _sentence_signs, _units, _vocab, register
+from .queries import _SEEDS_SQL, _decomposed, _md5_rank, _round6, _sentence_signs, _sentence_vectors, _units, _vocab, _whole_vocab, register
 
 # ---- C1: corpus preparation ------------------------------------------------------------------
 
@@ -82,8 +85,8 @@ def q_vocabulary_entries(spark, sf_dir):
     return e.select("id", "symbol", F.array_join("word", "|").alias("words"), F.array_join("fsw", ", ").alias("signs"))
 
 
-def _embedded_vocabulary(spark, sf_dir, corpus=corpus_view):
-    return jobs.build_vocabulary(corpus(spark, sf_dir), eb.letter_embedder(_LETTERS), order_col="p_partkey")
+def _embedded_vocabulary(spark, sf_dir):
+    return jobs.build_vocabulary(corpus_view(spark, sf_dir), eb.letter_embedder(_LETTERS), order_col="p_partkey")
 
 
 @register("vocabulary_embeddings", sq.with_(sq.WHOLE_CORPUS, _ENTRIES) + f"""
@@ -144,7 +147,7 @@ def q_map_signs(spark, sf_dir):
 
 # ---- C8: grounded answers ------------------------------------------------------------------------------------
 
-@register("grounded_answers", sq.with_(sq.SIGNS, sq.CORPUS, sq.VOCAB, sq.UNITS, sq.DECOMPOSED, _ENTRIES) + f""",
+@register("grounded_answers", sq.with_(sq.SIGNS, sq.WHOLE_CORPUS, sq.VOCAB, sq.UNITS, sq.DECOMPOSED, _ENTRIES) + f""",
 answers as (select sentence_id q_id, replace(word, '<unk>', 'unknown sign') answer from decomposed),
 u as (select q_id, unnest(l) unit, generate_subscripts(l, 1) pos from (select q_id, string_split(answer, '#') l from answers)),
 uv as (select distinct unit, {_letter_vector('unit')} v from u),
@@ -161,9 +164,9 @@ select q_id, string_agg(fsw, ' ' order by pos) fsw_seq, string_agg(canonical, '
             then round_even(pow(product(score), 1.0 / count(*)), 3) end joint_prob
 from u join best using (unit) group by q_id""")
 def q_grounded_answers(spark, sf_dir):
-    dec = _decomposed(spark, sf_dir)
+    dec = _decomposed(spark, sf_dir, _units(spark, sf_dir, _whole_vocab(spark, sf_dir)))
     answers = dec.select(F.col("sentence_id").alias("q_id"), F.replace("word", F.lit("<unk>"), F.lit("unknown sign")).alias("answer"))
-    out = jobs.ground_answers(answers, _embedded_vocabulary(spark, sf_dir, known_corpus_view), eb.letter_embedder(_LETTERS))
+    out = jobs.ground_answers(answers, _embedded_vocabulary(spark, sf_dir), eb.letter_embedder(_LETTERS))
     return out.select("q_id", "fsw_seq", "units", "joint_prob")
 
 
@@ -230,6 +233,58 @@ def q_aligned_columns(spark, sf_dir):
     return jobs.aligned_columns(sentences, vocabulary)
 
 
+# ---- C6, C7: sign -> text prompts -----------------------------------------------------------------------------------
+
+@register("prompts_sign_to_text", sq.with_(
+    sq.SIGNS, sq.CORPUS, sq.VOCAB, sq.UNITS, sq.DECOMPOSED, sq.SENT_VEC) + f""",
+stext as (select s.sentence_id, string_agg(p.p_name,' ' order by s.pos) sentence
+          from signs s left join part p on p.p_partkey = s.k group by s.sentence_id),
+queries as (select sentence_id q_id, word text, embedding from sent_vec where sentence_id % 100 = 0),
+qs as ({sq.normalized("queries", "q_id", "embedding")}),
+cs as ({sq.normalized("sent_vec", "sentence_id", "embedding",
+                      f", (length(word)-length(replace(word,'<unk>','')))/5 > {rv.UNK_PENALTY_THRESHOLD} pen")}),
+w1 as (select * from (select q.id q_id, c.id c_id,
+                             row_number() over (partition by q.id order by
+                               case when c.pen then 0.0 else {sq.dot('q.v', 'c.v')} end desc, c.id) rank
+                      from qs q, cs c) where rank <= {rv.SENTENCE_EXAMPLES_S2T}),
+ex as (select w1.q_id, st.sentence, d.word decomposition, row_number() over (partition by w1.q_id order by w1.rank) j
+       from w1 join stext st on st.sentence_id = w1.c_id join decomposed d on d.sentence_id = w1.c_id
+       where coalesce(length(st.sentence),0) > 0 and coalesce(length(d.word),0) > 0),
+nex as (select q_id, count(*) n from ex group by q_id)
+select q_id, 0::BIGINT msg_pos, 'system' role, '{pr.RULES_S2T}' content from queries
+union all select q_id, 2*j-1, 'user', decomposition from ex
+union all select q_id, 2*j, 'assistant', sentence from ex
+union all select q_id, 2*coalesce(n,0)+1, 'user', '{pr.INSTRUCTION_S2T}' from queries left join nex using (q_id)
+union all select q_id, 2*coalesce(n,0)+2, 'user', text from queries left join nex using (q_id)""")
+def q_prompts_sign_to_text(spark, sf_dir):
+    signs, vocab = signs_view(spark, sf_dir), _vocab(spark, sf_dir)
+    dec = _decomposed(spark, sf_dir, vc.lookup_signs(signs, vocab))
+    # the sentence table feeds the queries, the candidates and the examples: write it once
+    sents = checkpoint(_sentence_vectors(spark, sf_dir, dec).join(sentence_text(spark, sf_dir, signs), "sentence_id")
+                       .select("sentence_id", "sentence", "word", "embedding"))
+    queries = sents.where(F.col("sentence_id") % 100 == 0).select(
+        F.col("sentence_id").alias("q_id"), F.col("word").alias("text"), F.col("embedding").alias("q_vec"))
+    return pr.explode_messages(jobs.build_prompts(queries, sents, vocab, "sign2text"))
+
+
+# ---- P14: entries with several keys ------------------------------------------------------------------------------------
+
+@register("lookup_list_keys", sq.with_(sq.WHOLE_CORPUS) + f"""
+, e as (select p_partkey id, unnest(list_distinct([{sq.key('fsw')}, {sq.sym_ids('fsw')}[1]])) symbol, string_split(word, '|') l from corpus),
+w as (select symbol, id, unnest(l) raw, generate_subscripts(l, 1) p from e),
+o as (select symbol, {sq.lower_strip('raw')} word, row_number() over (partition by symbol order by id, p) o from w),
+c as (select symbol, word, count(*) n, min(o) f from o group by symbol, word),
+r as (select *, row_number() over (partition by symbol order by n desc, f) r from c)
+select symbol, string_agg(word, '|' order by r) canonical, (select min(id) from e where e.symbol = r.symbol) id
+from r where r <= 2 group by symbol""")
+def q_lookup_list_keys(spark, sf_dir):
+    """Entries under the key of their sign and under its first symbol alone; words of a shared key are pooled."""
+    corpus = corpus_view(spark, sf_dir).select("p_partkey", "word", "fsw", fx.parse_sign("fsw").alias("parsed"))
+    keys = F.array_distinct(F.array(fx.symbol_key("fsw"), F.element_at(fx.symbol_ids(F.col("parsed")), 1)))
+    entries = corpus.select(F.col("p_partkey").alias("id"), keys.alias("symbol"), F.split("word", r"\|").alias("word"))
+    return vc.lexicon_from_entries(entries).select("symbol", "canonical", "id")
+
+
 # ---- C11, C12: evaluation ------------------------------------------------------------------------------------------
 
 def _sign_pairs(spark, sf_dir):

@@ -340,14 +340,14 @@ pick as (select * from (
 
 
 def _grounded(spark, sf_dir):
-    vocab = _vocab(spark, sf_dir)
+    vocab = _whole_vocab(spark, sf_dir)
     units = _units(spark, sf_dir, vocab)
     u = units.select("sentence_id", "pos", F.col("word").alias("unit"),
                      F.pmod(F.coalesce(F.col("entry_id"), F.col("k")), _n_emb(spark, sf_dir)).alias("vec_id"))
     return rv.nearest_exact(u, _vocab_vectors(spark, sf_dir, vocab), vectors=_emb(spark, sf_dir))
 
 
-@register("nearest_exact_preferred", sq.with_(sq.SIGNS, sq.CORPUS, sq.VOCAB, sq.UNITS, sq.VOCAB_VEC, _W3_SQL) + """
+@register("nearest_exact_preferred", sq.with_(sq.SIGNS, sq.WHOLE_CORPUS, sq.VOCAB, sq.UNITS, sq.VOCAB_VEC, _W3_SQL) + """
 select sentence_id, pos, entry_id, canonical, round(score, 6) + 0.0 score, exact from pick
 """)
 def q_nearest_exact(spark, sf_dir):
@@ -355,7 +355,7 @@ def q_nearest_exact(spark, sf_dir):
     return g.select("sentence_id", "pos", "entry_id", "canonical", _round6(F.col("score")).alias("score"), "exact")
 
 
-@register("joint_confidence", sq.with_(sq.SIGNS, sq.CORPUS, sq.VOCAB, sq.UNITS, sq.VOCAB_VEC, _W3_SQL) + """
+@register("joint_confidence", sq.with_(sq.SIGNS, sq.WHOLE_CORPUS, sq.VOCAB, sq.UNITS, sq.VOCAB_VEC, _W3_SQL) + """
 select sentence_id, string_agg(fsw, ' ' order by pos) fsw_seq, string_agg(canonical, ' # ' order by pos) units,
        case when product(score) < 0 then null else round_even(pow(product(score), 1.0 / count(*)), 3) end joint_prob,
        product(score) < 0 undefined
@@ -765,4 +765,4 @@ def q_embed_batches(spark, sf_dir):
     return e.select("doc_id", F.array_join(F.col("embedding").cast("array<int>").cast("array<string>"), ",").alias("vector"))
 
 
-from . import job_queries  # noqa: E402,F401  the composite jobs register themselves
+from . import file_queries, job_queries  # noqa: E402,F401  composite jobs and files register themselves

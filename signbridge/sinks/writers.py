@@ -44,8 +44,10 @@ def with_corpus_constants(df: DataFrame, word: str = "word", fsw: str = "fsw") -
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", mode: str = "overwrite") -> None:
-    """CSV without index (K3); ``sep=' '`` and no header gives K7."""
-    df.write.mode(mode).option("header", header).option("sep", sep).csv(path)
+    """CSV without index (K3); ``sep=' '`` and no header gives K7. Quotes inside a field are doubled, and blanks
+    around a field are kept."""
+    (df.write.mode(mode).option("header", header).option("sep", sep).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -38,11 +38,12 @@ def with_line_numbers(df: DataFrame, name: str = "row_id") -> DataFrame:
     return dense_index(ordered, ["_file", "_mono"], name).drop("_file", "_mono")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
-    """CSV with header, quoted multi-line fields (S1)."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, sep: str = ",") -> DataFrame:
+    """CSV with header, quoted multi-line fields (S1) and consecutive ``row_id``, as line files have.
+    An empty field, quoted or not, is null: the format does not tell them apart."""
     df = (spark.read.schema(schema).option("header", header).option("multiLine", True)
-          .option("escape", '"').csv(path))
-    return df.withColumn("row_id", F.monotonically_increasing_id())
+          .option("escape", '"').option("sep", sep).csv(path))
+    return with_line_numbers(df)
 
 
 def read_lines(spark: SparkSession, path: str, name: str = "line") -> DataFrame:

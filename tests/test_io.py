@@ -170,3 +170,15 @@ def test_stage_is_built_again_for_other_inputs_or_parameters(spark, tmp_dir):
 def test_empty_stage(spark, tmp_dir):
     stage = lambda: wr.build_stage(spark, os.path.join(tmp_dir, "none"), lambda: spark.range(0))
     assert stage().count() == 0 and stage().columns == ["id"]
+
+
+def test_csv_fields_come_back_as_they_were(spark, tmp_path):
+    """Quotes, separators, line ends, outer blanks, backslashes, empty and null fields; rows are numbered."""
+    texts = ['say "no", twice', " outer blanks ", "two\nlines\r\nand more", "back\\slash\\", '"', "", None, "a|b # c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n long, text string").repartition(3)
+    for sep, header in ((",", True), (" ", False)):
+        path = str(tmp_path / f"out{header}")
+        wr.write_csv(df, path, header=header, sep=sep)
+        back = fs.read_csv(spark, path, df.schema, header=header, sep=sep).orderBy("n").collect()
+        assert [r["text"] for r in back] == [t or None for t in texts]
+        assert sorted(r["row_id"] for r in back) == list(range(len(texts)))
