@@ -95,11 +95,23 @@ def padded_length(pred: Column, gold: Column) -> Column:
 
 def distance_totals(pairs: DataFrame, px: str, gx: str, py: str, gy: str) -> DataFrame:
     """Σ|Δx|, Σ|Δy|, padded token count (x side) and both means."""
-    t = pairs.select(padded_distance(F.col(px), F.col(gx)).alias("dx"),
-                     padded_distance(F.col(py), F.col(gy)).alias("dy"),
-                     padded_length(F.col(px), F.col(gx)).alias("n"))
-    s = t.agg(F.sum("dx").alias("total_x"), F.sum("dy").alias("total_y"), F.sum("n").alias("tokens"))
-    return s.withColumn("mean_x", F.try_divide(F.col("total_x"), F.col("tokens").cast("double"))) \
+    t = pairs.select(distances(px, gx, py, gy).alias("d"))
+    return mean_distances(t.agg(*[F.sum(f"d.{a}").alias(b) for a, b in DISTANCE_TOTALS.items()]))
+
+
+#: Fields of ``distances`` and the totals made of them.
+DISTANCE_TOTALS = {"dx": "total_x", "dy": "total_y", "n": "tokens"}
+
+
+def distances(px: str, gx: str, py: str, gy: str) -> Column:
+    """A row's Σ|Δx|, Σ|Δy| and padded token count (x side)."""
+    return F.struct(padded_distance(F.col(px), F.col(gx)).alias("dx"), padded_distance(F.col(py), F.col(gy)).alias("dy"),
+                    padded_length(F.col(px), F.col(gx)).alias("n"))
+
+
+def mean_distances(totals: DataFrame) -> DataFrame:
+    """Add both means to the totals of ``distances``."""
+    return totals.withColumn("mean_x", F.try_divide(F.col("total_x"), F.col("tokens").cast("double"))) \
             .withColumn("mean_y", F.try_divide(F.col("total_y"), F.col("tokens").cast("double")))
 
 
@@ -231,6 +243,33 @@ def chrf_stats_both(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
         pd.DataFrame({f: pd.Series([], dtype="int64") for f in CHRF_BOTH_FIELDS})
 
 
+LINE_FIELDS = BLEU_FIELDS + CHRF_BOTH_FIELDS
+
+
+@F.pandas_udf(_stats_type(LINE_FIELDS))
+def line_stats(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    """All statistics of a pair, of BLEU and of chrF (case kept and lowered): what every score is a closed form of."""
+    rows = [bleu_row_stats(h, r) + chrf_row_stats(h, r) + chrf_row_stats(h, r, True) for h, r in zip(hyp, ref)]
+    return pd.DataFrame(rows, columns=LINE_FIELDS, dtype="int64") if rows else \
+        pd.DataFrame({f: pd.Series([], dtype="int64") for f in LINE_FIELDS})
+
+
+def sum_stats(col: str) -> Column:
+    """Aggregate: the sums over a column of ``line_stats``, in a struct of the same fields."""
+    return F.struct(*[F.sum(F.col(f"{col}.{f}")).alias(f) for f in LINE_FIELDS])
+
+
+def lower_stats(s: Column) -> Column:
+    """The lower-cased chrF statistics of ``line_stats`` under the names that ``chrf_score`` reads."""
+    return F.struct(*[s[f"l{f}"].alias(f) for f in CHRF_FIELDS])
+
+
+def line_scores(lines: DataFrame, stats: str = "stats", hyp: str = "hyp", ref: str = "ref") -> DataFrame:
+    """Per-line BLEU and chrF of lines that are not blank, from their stored statistics."""
+    p = nonblank_pairs(lines, hyp, ref)
+    return p.withColumn("bleu", bleu_score(F.col(stats))).withColumn("chrf", chrf_score(F.col(stats))).drop(stats)
+
+
 def bleu_score(s: Column, effective_order: bool = True) -> Column:
     """BLEU (0-100) from a struct of statistics (per row or summed): exp smoothing for
     zero-match orders, effective order = orders before the first empty one. Without any

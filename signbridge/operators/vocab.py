@@ -26,6 +26,9 @@ from .indexing import dense_index
 # Lookup tables up to this size, measured, are broadcast; larger ones are joined by a shuffle.
 VOCAB_BROADCAST_BYTES = 64 * 1024 * 1024
 
+# Rows in a chunk of an entry's lists, at most.
+CHUNK_ROWS = 256
+
 
 def _ordered_join(items: Column, field: str, glue: str) -> Column:
     """Join ``field`` of an array of structs that sorts by its first field."""
@@ -103,42 +106,89 @@ def build_vocabulary(corpus: DataFrame, order_col: str = "p_partkey", word_col:
     mode (a ``min(struct)`` aggregate) and row count.
     """
     words = vocabulary_words(corpus, order_col, word_col, fsw_col)
-    norm = words.select("symbol", lower_strip(F.col("word")).alias("_w"),
-                        F.struct("order", "wpos").alias("_o"))
-    counted = norm.groupBy("symbol", "_w").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
-    # four consumers below; the eager checkpoint in dense_index materialises them all
+    entries, counted = _entry_aggregates(words.withColumn("order", F.struct("order", "wpos")), ["symbol"],
+                                         words.where("wpos = 0").select("symbol", "fsw", "order"))
+    out = dense_index(entries, ["symbol"], "id").select(*ENTRY_COLUMNS)
+    counted.unpersist()
+    return out
+
+
+ENTRY_COLUMNS = ["id", "symbol", "canonical", "canonical_first2", "fsw", "n_rows", "n_words"]
+
+
+def _entry_aggregates(words: DataFrame, keys: list[str], signs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries of ``keys`` from their words (``word``, ``order``) and signs (``fsw``, ``order``), without a list of
+    either; also the counts that were persisted for it, to be freed when the entries are written."""
+    norm = words.select(*keys, lower_strip(F.col("word")).alias("_w"), F.col("order").alias("_o"))
+    counted = norm.groupBy(*keys, "_w").agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_first"))
+    # four consumers below, which the caller writes in one go
     counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
-    canon = _top_two(counted, ["symbol"], [F.desc("_n"), F.asc("_first")], "canonical")
-    first2 = _top_two(counted, ["symbol"], [F.asc("_first")], "canonical_first2")
-    n_words = counted.groupBy("symbol").agg(F.sum("_n").alias("n_words"))
-    signs = words.where("wpos = 0").groupBy("symbol", "fsw").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("order").alias("_first"))
-    mode = signs.groupBy("symbol").agg(
+    canon = _top_two(counted, keys, [F.desc("_n"), F.asc("_first")], "canonical")
+    first2 = _top_two(counted, keys, [F.asc("_first")], "canonical_first2")
+    n_words = counted.groupBy(*keys).agg(F.sum("_n").alias("n_words"))
+    modes = signs.groupBy(*keys, "fsw").agg(F.count(F.lit(1)).alias("_n"), F.min("order").alias("_first"))
+    mode = modes.groupBy(*keys).agg(
         F.min(F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("f"), F.col("fsw").alias("v")))
         .getField("v").alias("fsw"),
         F.sum("_n").alias("n_rows"))
-    entries = canon.join(first2, "symbol").join(n_words, "symbol").join(mode, "symbol")
-    out = dense_index(entries, ["symbol"], "id").select(
-        "id", "symbol", "canonical", "canonical_first2", "fsw", "n_rows", "n_words")
+    return canon.join(first2, keys).join(n_words, keys).join(mode, keys), counted
+
+
+def entry_chunks(corpus: DataFrame, order_col: str = "p_partkey", word_col: str = "word",
+                 fsw_col: str = "fsw", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The lists of all words and signs of each entry, in chunks that are bounded however often its key occurs.
+
+    Returns ``id`` (as in ``build_vocabulary``), ``symbol``, ``chunk`` (from 0), ``first`` (number of the entry's rows
+    before this chunk), ``word`` and ``fsw`` (lists in corpus order). Chunks are cut where the number of the
+    row in (key, corpus order) divides by ``chunk_rows``, so an entry's first and last chunk may be short. Distinct
+    (word, sign) rows count once; rows without word or sign make no entry.
+
+    Rows are numbered over ranges that split a hot key, and grouped by (key, block): no task and no row holds a
+    key's lists. Only blocks' first numbers, one a chunk, meet by key alone."""
+    rows = dedupe_first(corpus.select(order_col, word_col, fsw_col), [word_col, fsw_col], order_col)
+    rows = rows.select(fx.symbol_key(F.col(fsw_col)).alias("symbol"), F.col(order_col).alias("order"),
+                       F.split(F.col(word_col), r"\|").alias("words"), F.col(fsw_col).alias("sign"))
+    rows = rows.where(F.col("symbol").isNotNull() & F.col("words").isNotNull())
+    rows = dense_index(rows, ["symbol", "order", "words", "sign"], "_pos")
+    rows = rows.withColumn("_block", F.expr(f"_pos div {int(chunk_rows)}"))
+    blocks = rows.groupBy("symbol", "_block").agg(F.min("_pos").alias("_first"))
+    starts = dense_index(blocks.groupBy("symbol").agg(F.min("_first").alias("_start")), ["symbol"], "id")
+    places = blocks.join(starts, "symbol").select(
+        "symbol", "_block", "id", (F.col("_block") - F.expr(f"_start div {int(chunk_rows)}")).alias("chunk"),
+        (F.col("_first") - F.col("_start")).alias("first"))
+    items = F.array_sort(F.collect_list(F.struct("_pos", "words", "sign")))  # at most chunk_rows
+    lists = rows.groupBy("symbol", "_block").agg(items.alias("_i"))
+    return lists.join(places, ["symbol", "_block"]).select(
+        "id", "symbol", "chunk", "first", F.flatten(F.transform("_i", lambda x: x["words"])).alias("word"),
+        F.transform("_i", lambda x: x["sign"]).alias("fsw"))
+
+
+def vocabulary_of_chunks(chunks: DataFrame) -> DataFrame:
+    """``entry_chunks``, stored or not -> the rows of ``build_vocabulary``, without joining any chunks."""
+    place = lambda values, name: chunks.select("id", "symbol", "chunk", F.posexplode(values).alias("pos", name)) \
+        .select("id", "symbol", name, F.struct("chunk", "pos").alias("order"))
+    entries, counted = _entry_aggregates(place("word", "word"), ["id", "symbol"], place("fsw", "fsw"))
+    out = checkpoint(entries.select(*ENTRY_COLUMNS))
     counted.unpersist()
     return out
 
 
+def lists_of_chunks(chunks: DataFrame) -> DataFrame:
+    """The stored form of the vocabulary from its chunks: one row an entry (``id``, ``symbol``, ``word``, ``fsw``).
+
+    An entry's lists are one row by that format, so this belongs right before a sink; jobs read the chunks or the
+    long form (``vocabulary_words``)."""
+    items = F.array_sort(F.collect_list(F.struct("chunk", "word", "fsw")))
+    return chunks.groupBy("id", "symbol").agg(items.alias("_i")).select(
+        "id", "symbol", F.flatten(F.transform("_i", lambda x: x["word"])).alias("word"),
+        F.flatten(F.transform("_i", lambda x: x["fsw"])).alias("fsw"))
+
+
 def entry_lists(corpus: DataFrame, order_col: str = "p_partkey", word_col: str = "word",
                 fsw_col: str = "fsw") -> DataFrame:
     """The stored form of the vocabulary: ``id`` (as in ``build_vocabulary``), ``symbol``, ``word`` and
-    ``fsw``, the lists of all words and signs of the entry in corpus order.
-
-    An entry's lists are one row by the format; every other job uses the long form
-    (``vocabulary_words``) or aggregates of it."""
-    rows = dedupe_first(corpus.select(order_col, word_col, fsw_col), [word_col, fsw_col], order_col)
-    rows = rows.select(fx.symbol_key(F.col(fsw_col)).alias("symbol"), F.col(order_col).alias("order"),
-                       F.split(F.col(word_col), r"\|").alias("words"), F.col(fsw_col).alias("sign"))
-    items = F.array_sort(F.collect_list(F.struct("order", "words", "sign")))
-    lists = rows.groupBy("symbol").agg(items.alias("_i"))
-    lists = lists.select("symbol", F.flatten(F.transform("_i", lambda x: x["words"])).alias("word"),
-                         F.transform("_i", lambda x: x["sign"]).alias("fsw"))
-    return dense_index(lists, ["symbol"], "id").select("id", "symbol", "word", "fsw")
+    ``fsw``, the lists of all words and signs of the entry in corpus order (see ``lists_of_chunks``)."""
+    return lists_of_chunks(entry_chunks(corpus, order_col, word_col, fsw_col))
 
 
 def parse_sign_rows(signs: DataFrame, fsw_col: str = "fsw") -> DataFrame:
@@ -163,18 +213,47 @@ def lookup_signs(signs: DataFrame, vocab: DataFrame, fsw_col: str = "fsw",
     Entries that share a key (appended unknowns of another symbol order) are one match: their
     words are pooled in id order, as the last of one and the first of the next joined by a space,
     and the first entry gives the id. No sign ever matches twice."""
-    keyed = parse_sign_rows(signs, fsw_col)
+    lex = lexicon(vocab)
+    lex = checked_broadcast(lex, broadcast_bytes, 64 + F.length("key") + F.length("_canon"))
+    return _look_up(parse_sign_rows(signs, fsw_col), lex)
+
+
+def lexicon(vocab: DataFrame) -> DataFrame:
+    """One row per key of the vocabulary: ``key``, the pooled words ``_canon`` and the first ``entry_id``."""
     entries = F.array_sort(F.collect_list(F.struct(F.col("id").alias("id"), F.col("canonical").alias("canon"))))
     lex = vocab.groupBy(F.col("symbol").alias("key")).agg(entries.alias("_e"))
     pooled = top_two_counted_list(F.split(F.array_join(F.transform(
         "_e", lambda e: F.replace(e["canon"], F.lit(SYNONYM_SEP), F.lit(", "))), " "), ","))
-    lex = lex.select("key", F.when(F.size("_e") == 1, F.col("_e")[0]["canon"]).otherwise(pooled).alias("_canon"),
-                     F.col("_e")[0]["id"].alias("entry_id"))
-    lex = checked_broadcast(lex, broadcast_bytes, 64 + F.length("key") + F.length("_canon"))
+    return lex.select("key", F.when(F.size("_e") == 1, F.col("_e")[0]["canon"]).otherwise(pooled).alias("_canon"),
+                      F.col("_e")[0]["id"].alias("entry_id"))
+
+
+def _look_up(keyed: DataFrame, lex: DataFrame) -> DataFrame:
     out = keyed.join(lex, "key", "left")
     return out.withColumn("word", F.coalesce(F.col("_canon"), F.lit(UNKNOWN))).drop("_canon")
 
 
+def write_lexicon(vocab: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Store ``lexicon(vocab)`` as a table in ``buckets`` buckets by key, for lookups beyond the broadcast bound:
+    keys are shuffled here, once, not in every lookup. ``path`` places the files outside the warehouse."""
+    writer = lexicon(vocab).repartition(buckets, "key").write.mode("overwrite").bucketBy(buckets, "key").sortBy("key")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def write_keyed_signs(signs: DataFrame, table: str, buckets: int, path: str | None = None, fsw_col: str = "fsw") -> None:
+    """Store parsed signs in buckets by key; with as many buckets as the lexicon, a lookup shuffles nothing."""
+    keyed = parse_sign_rows(signs, fsw_col)
+    writer = keyed.repartition(buckets, "key").write.mode("overwrite").bucketBy(buckets, "key").sortBy("key")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def lookup_signs_bucketed(signs: DataFrame, table: str, fsw_col: str = "fsw") -> DataFrame:
+    """``lookup_signs`` in a table of ``write_lexicon``; its side of the join is read by buckets, without an
+    exchange. ``signs`` are sign rows, or rows of a table of ``write_keyed_signs``."""
+    keyed = signs if {"symbol", "key"} <= set(signs.columns) else parse_sign_rows(signs, fsw_col)
+    return _look_up(keyed, signs.sparkSession.table(table))
+
+
 def regroup_sentences(units: DataFrame, id_col: str = "sentence_id") -> DataFrame:
     """Re-group sign rows into one row per sentence, in sign order: ``fsw`` joined by
     spaces, ``symbol`` by `` | ``, ``word`` by `` # ``."""
@@ -262,15 +341,17 @@ def union_with_vocabulary(train: DataFrame, corpus: DataFrame) -> DataFrame:
 def lexicon_from_entries(entries: DataFrame) -> DataFrame:
     """Lookup table from stored vocabulary entries (``id``, ``symbol``, ``word`` list).
 
-    ``symbol`` may be one key or a list of keys; every key of every entry is matched.
+    ``symbol`` may be one key or a list of keys; every key of every entry is matched. Entries in chunks
+    (``entry_chunks``) are read as they are.
     When several entries share a key, their word lists are pooled (entry order, then
     word order) before the two most frequent words are taken. Returns
     ``symbol``, ``canonical``, ``id`` (the first entry of the key)."""
     sym_type = entries.schema["symbol"].dataType
     keys = F.explode("symbol") if isinstance(sym_type, T.ArrayType) else F.col("symbol")
-    e = entries.select("id", keys.alias("symbol"), "word")
-    w = e.select("symbol", "id", F.posexplode("word").alias("wpos", "w")) \
-         .withColumn("_o", F.struct("id", "wpos"))
+    chunk = F.col("chunk") if "chunk" in entries.columns else F.lit(0)
+    e = entries.select("id", chunk.alias("chunk"), keys.alias("symbol"), "word")
+    w = e.select("symbol", "id", "chunk", F.posexplode("word").alias("wpos", "w")) \
+         .withColumn("_o", F.struct("id", "chunk", "wpos"))
     canon = top_two_counted(w, ["symbol"], "w", "_o", "canonical")
     ids = e.groupBy("symbol").agg(F.min("id").alias("id"))
     return canon.join(ids, "symbol")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as mt
 from ..operators import vocab as vc
-from ..session import ensure_checkpoint_dir
+from ..session import default_parallelism, ensure_checkpoint_dir
 from ..sinks import writers as wr
 from ..sources import files as fs
-from ..sources.tables import corpus_view, read_table
+from ..sources.tables import corpus_view, known_corpus_view, read_table, signs_view
 from . import sqlparts as sq
 from .job_queries import _ENTRIES
 from .queries import _DOC_TOKENS, _consecutive_doc_metrics, register
@@ -57,12 +57,30 @@ def q_written_space_separated(spark, sf_dir):
 @register("written_stage_json", sq.with_(sq.WHOLE_CORPUS, _ENTRIES) + "select id, symbol, words, signs from entries")
 def q_written_stage_json(spark, sf_dir):
     """K4: vocabulary entries with their lists as JSON lines."""
-    entries, path = vc.entry_lists(corpus_view(spark, sf_dir)), _folder(spark)
-    wr.write_table(entries, path, "json")
-    back = spark.read.schema(entries.schema).json(path)
+    chunks, path = vc.entry_chunks(corpus_view(spark, sf_dir)), _folder(spark)
+    wr.write_entries(chunks, path)
+    back = spark.read.schema("id long, symbol string, word array<string>, fsw array<string>").json(path)
     return back.select("id", "symbol", F.array_join("word", "|").alias("words"), F.array_join("fsw", ", ").alias("signs"))
 
 
+@register("written_entry_chunks", sq.with_(sq.WHOLE_CORPUS, sq.VOCAB) + "select * from vocab")
+def q_written_entry_chunks(spark, sf_dir):
+    """A2 -> K4 -> A6: the vocabulary out of stored chunks of its entries."""
+    path = _folder(spark)
+    wr.write_table(vc.entry_chunks(corpus_view(spark, sf_dir)), path)
+    return vc.vocabulary_of_chunks(spark.read.parquet(path))
+
+
+@register("lookup_bucketed", sq.with_(sq.SIGNS, sq.CORPUS, sq.VOCAB, sq.UNITS)
+          + "select sentence_id, pos, key, symbol, word from units")
+def q_lookup_bucketed(spark, sf_dir):
+    """J2 beyond the broadcast bound: the lexicon as a table in buckets by key."""
+    path, buckets = _folder(spark), default_parallelism(spark)
+    table = "lexicon_" + path.rpartition("-")[2]
+    vc.write_lexicon(vc.build_vocabulary(known_corpus_view(spark, sf_dir)), table, buckets, path)
+    return vc.lookup_signs_bucketed(signs_view(spark, sf_dir), table).select("sentence_id", "pos", "key", "symbol", "word")
+
+
 @register("written_aligned_lines", sq.with_(sq.WHOLE_CORPUS) + """
 select row_number() over (order by p_partkey) - 1 row_id, word, fsw from corpus""")
 def q_written_aligned_lines(spark, sf_dir):

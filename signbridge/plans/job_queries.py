@@ -3,14 +3,18 @@ oracle SQL written from the rules of the job, not from its code."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fsw as fx
+from ..operators import attempts as at
 from ..operators import embed as eb
+from ..operators import embedding_store as es
 from ..operators import prompts as pr
 from ..operators import retrieval as rv
 from ..operators import vocab as vc
-from ..session import checkpoint
+from ..session import checkpoint, ensure_checkpoint_dir
 from ..sources.tables import corpus_view, metric_pairs_view, read_table, sentence_text, signs_view
 from . import jobs, metric_sql as ms, sqlparts as sq
 from .queries import _SEEDS_SQL, _decomposed, _md5_rank, _round6, _sentence_signs, _sentence_vectors, _units, _vocab, _whole_vocab, register
@@ -85,6 +89,16 @@ def q_vocabulary_entries(spark, sf_dir):
     return e.select("id", "symbol", F.array_join("word", "|").alias("words"), F.array_join("fsw", ", ").alias("signs"))
 
 
+@register("vocabulary_chunks", sq.with_(sq.WHOLE_CORPUS, _ENTRIES) + f""",
+numbered as (select symbol, word, fsw, row_number() over (order by symbol, o) - 1 p from rows_),
+starts as (select symbol, min(p) s, row_number() over (order by symbol) - 1 id from numbered group by symbol)
+select id, symbol, p // {vc.CHUNK_ROWS} - s // {vc.CHUNK_ROWS} chunk, min(p) - s "first", string_agg(word, '|' order by p) words,
+       string_agg(fsw, ', ' order by p) signs from numbered join starts using (symbol) group by id, symbol, s, p // {vc.CHUNK_ROWS}""")
+def q_vocabulary_chunks(spark, sf_dir):
+    e = vc.entry_chunks(corpus_view(spark, sf_dir))
+    return e.select("id", "symbol", "chunk", "first", F.array_join("word", "|").alias("words"), F.array_join("fsw", ", ").alias("signs"))
+
+
 def _embedded_vocabulary(spark, sf_dir):
     return jobs.build_vocabulary(corpus_view(spark, sf_dir), eb.letter_embedder(_LETTERS), order_col="p_partkey")
 
@@ -170,6 +184,40 @@ def q_grounded_answers(spark, sf_dir):
     return out.select("q_id", "fsw_seq", "units", "joint_prob")
 
 
+# ---- X2, A12: answers asked for again ------------------------------------------------------------------
+
+@register("retried_answers", sq.with_(sq.SIGNS, sq.CORPUS, sq.VOCAB, sq.UNITS, sq.DECOMPOSED) + """,
+first_ as (select sentence_id q_id, word answer, list_transform(string_split(word, '#'), lambda x: trim(x)) l from decomposed),
+flagged as (select q_id, answer, list_contains(l, '<unk>') or len(list_distinct(l)) < 0.2 * len(l) again from first_),
+last_ as (select q_id, again, case when again then replace(answer, '<unk>', 'unknown sign') else answer end answer from flagged),
+l as (select *, list_transform(string_split(answer, '#'), lambda x: trim(x)) l from last_)
+select q_id, case when again then 2 else 1 end attempts, answer,
+       list_contains(l, '<unk>') or len(list_distinct(l)) < 0.2 * len(l) needs_retry from l""")
+def q_retried_answers(spark, sf_dir):
+    """A model that answers with a sentence's units; asked again, it names unknown signs otherwise."""
+    prompts = checkpoint(_decomposed(spark, sf_dir).select(F.col("sentence_id").alias("q_id"), "word"))
+
+    def ask(rows, params):
+        said = F.replace("word", F.lit("<unk>"), F.lit("unknown sign")) if "presence_penalty" in params else F.col("word")
+        return rows.select("q_id", said.alias("answer"))
+
+    path = f"{ensure_checkpoint_dir(spark)}/attempts-{uuid.uuid4().hex}"
+    return at.last_answers(at.ask_with_retries(prompts, ask, path, parts=2))
+
+
+# ---- X1: embeddings kept by the hash of their text -------------------------------------------------------
+
+@register("stored_embeddings", f"""
+select doc_id, array_to_string({_letter_vector('text')}, ',') vector from documents""")
+def q_stored_embeddings(spark, sf_dir):
+    """English documents are embedded first; the run over all documents embeds the rest and finds those."""
+    docs, embed = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), eb.letter_embedder(_LETTERS)
+    path = f"{ensure_checkpoint_dir(spark)}/embeddings-{uuid.uuid4().hex}"
+    es.store_embeddings(docs.where("lang = 'en'"), "text", path, "letters", embed)
+    out = es.embed_stored(docs, "text", path, "letters", embed)
+    return out.select("doc_id", F.array_join(F.col("embedding").cast("array<int>").cast("array<string>"), ",").alias("vector"))
+
+
 # ---- P14, C10: answers and gold rows joined --------------------------------------------------------------------
 
 @register("join_answers", """

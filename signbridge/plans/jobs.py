@@ -8,14 +8,14 @@ C10 join_gold            C11 evaluate_signs                   C12 evaluate_text
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fsw as fx
 from ..functions import text as tx
+from ..operators import attempts as at
 from ..operators import embed as eb
+from ..operators import embedding_store as es
 from ..operators import indexing as ix
 from ..operators import metrics as mt
 from ..operators import prompts as pr
@@ -62,13 +62,22 @@ def prepare_corpus(raw: DataFrame, kind: str = KIND_SIGN, spoken: str = "en", si
 
 # ---- C2 / C3 / C4 / C9 -------------------------------------------------------------------------
 
-def build_vocabulary(corpus: DataFrame, embed_fn=None, order_col: str = "row_id") -> DataFrame:
-    """Vocabulary entries, with ``embed_fn`` an embedding of all the entry's words joined by ``|``."""
+def _embedded(df: DataFrame, text_col: str, embed_fn, store: tuple[str, str] | None, dedupe: bool = True) -> DataFrame:
+    if store is None:
+        return eb.embed_column(df, text_col, embed_fn, "embedding", dedupe=dedupe)
+    path, model = store
+    return es.embed_stored(df, text_col, path, model, embed_fn)
+
+
+def build_vocabulary(corpus: DataFrame, embed_fn=None, order_col: str = "row_id",
+                     store: tuple[str, str] | None = None) -> DataFrame:
+    """Vocabulary entries, with ``embed_fn`` an embedding of all the entry's words joined by ``|`` (one text, as models
+    take it). ``store`` (path, model) keeps embeddings: only entries whose words are new are embedded."""
     vocab = vc.build_vocabulary(corpus, order_col=order_col)
     if embed_fn is None:
         return vocab
     words = vc.entry_lists(corpus, order_col=order_col).select("symbol", F.array_join("word", tx.SYNONYM_SEP).alias("_words"))
-    return eb.embed_column(vocab.join(words, "symbol"), "_words", embed_fn, "embedding").drop("_words")
+    return _embedded(vocab.join(words, "symbol"), "_words", embed_fn, store).drop("_words")
 
 
 def decompose_sentences(sentences: DataFrame, vocab: DataFrame, id_col: str = "row_id") -> DataFrame:
@@ -128,19 +137,28 @@ def build_prompts(queries: DataFrame, sentences: DataFrame, vocab: DataFrame,
 
 
 def ground_answers(answers: DataFrame, vocab: DataFrame, embed_fn=None, id_col: str = "q_id",
-                   answer_col: str = "answer") -> DataFrame:
+                   answer_col: str = "answer", store: tuple[str, str] | None = None) -> DataFrame:
     """Model answers -> grounded sign sequence, unit association and confidence.
 
-    Units are embedded once per distinct text (``embed_fn``) and matched to entries."""
+    Units are embedded once per distinct text (``embed_fn``; with ``store``, once for all runs) and matched to entries."""
     flagged = answers.withColumn("needs_retry", tx.repetition_flag(tx.split_units(answer_col)))
     units = rv.answer_units(flagged, id_col, answer_col)
     texts = checkpoint(ix.dense_index(units.select("unit").distinct(), ["unit"], "vec_id"))
-    vecs = eb.embed_column(texts, "unit", embed_fn, "embedding", dedupe=False)
+    vecs = _embedded(texts, "unit", embed_fn, store, dedupe=False)
     grounded = rv.nearest_exact(units.join(texts, "unit"), vocab, unit_text="unit", vectors=vecs.select("vec_id", "embedding"))
     conf = rv.geometric_confidence(grounded, [id_col])
     return flagged.select(id_col, answer_col, "needs_retry").join(conf, id_col, "left")
 
 
+def ask_and_ground(prompts: DataFrame, ask: at.Ask, vocab: DataFrame, path: str, embed_fn=None,
+                   store: tuple[str, str] | None = None, **kw) -> DataFrame:
+    """Prompts -> answers, asked again where they repeat themselves (stored below ``path``), the last
+    ones grounded on the vocabulary; adds ``attempts``."""
+    last = at.last_answers(at.ask_with_retries(prompts, ask, path, **kw))
+    grounded = ground_answers(last.select("q_id", "answer"), vocab, embed_fn, store=store)
+    return grounded.join(last.select("q_id", "attempts"), "q_id")
+
+
 # ---- C10 / C11 / C12 -----------------------------------------------------------------------------
 
 def _null_safe_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -174,20 +192,25 @@ def evaluate_signs(pairs: DataFrame, pred: str = "pred_fsw_seq", gold: str = "go
         id_col, *[F.array_join(fx.flatten_signs(F.col(c), "tokens"), " ").alias(f"{n}_symbols") for n, c in sides],
         *[fx.flatten_signs(F.col(c), part).alias(f"{n}{part[0]}") for n, c in sides for part in ("xs", "ys")],
         tx.whitespace_tokens(fx.symbol_seq(F.col("_pp"))).alias("pt"), tx.whitespace_tokens(fx.symbol_seq(F.col("_pg"))).alias("gt"))
-    wide = checkpoint(wide)  # every report reads the parsed rows, none parses again
     f1 = mt.with_set_metrics(wide, "pt", "gt")  # on symbol ids without box letters
-    ordered = [(False, "p", "g"), (True, "sp", "sg")]
-    flag = lambda df, o: df.withColumn("ordered", F.lit(o))
-    both = lambda fn: functools.reduce(DataFrame.unionByName, [flag(fn(a, b), o) for o, a, b in ordered])
-    lines = wide.select(id_col, F.col("p_symbols").alias("hyp"), F.col("g_symbols").alias("ref"))
+    # each line is parsed and compared once; all reports are sums or closed forms of these rows
+    ordered = {False: ("p", "g", "as_written"), True: ("sp", "sg", "sorted")}
+    lines = checkpoint(f1.select(
+        id_col, F.col("p_symbols").alias("hyp"), F.col("g_symbols").alias("ref"), "precision", "recall", "f1",
+        *[mt.distances(f"{a}x", f"{b}x", f"{a}y", f"{b}y").alias(f"{n}_distance") for a, b, n in ordered.values()],
+        *[mt.line_stats(F.col(f"{a}_symbols"), F.col(f"{b}_symbols")).alias(f"{n}_stats") for a, b, n in ordered.values()]))
+    sums = lambda n: F.struct(*[F.sum(f"{n}_distance.{a}").alias(b) for a, b in mt.DISTANCE_TOTALS.items()])
+    totals = checkpoint(lines.agg(F.array(*[F.struct(F.lit(o).alias("ordered"), mt.sum_stats(f"{n}_stats").alias("s"), sums(n).alias("d"))
+                                            for o, (_, _, n) in ordered.items()]).alias("_t")).select(F.inline("_t")))  # two rows
+    bleu = lambda effective: totals.select(mt.bleu_score(F.col("s"), effective).alias("bleu"), "s.hyp_len", "s.ref_len", "ordered")
     return {
-        "f1_rows": f1.select(id_col, "precision", "recall", "f1"),
-        "f1_mean": mt.macro_means(f1),
-        "distance": both(lambda a, b: mt.distance_totals(wide, f"{a}x", f"{b}x", f"{a}y", f"{b}y")),
-        "bleu": both(lambda a, b: mt.corpus_bleu(wide, f"{a}_symbols", f"{b}_symbols")),
-        "bleu_cli": both(lambda a, b: mt.corpus_bleu(wide, f"{a}_symbols", f"{b}_symbols", effective_order=False)),
-        "chrf": both(lambda a, b: mt.corpus_chrf(wide, f"{a}_symbols", f"{b}_symbols")),
-        "per_line": mt.sentence_chrf(mt.sentence_bleu(lines)),
+        "f1_rows": lines.select(id_col, "precision", "recall", "f1"),
+        "f1_mean": mt.macro_means(lines),
+        "distance": mt.mean_distances(totals.select("d.*", "ordered")),
+        "bleu": bleu(True),
+        "bleu_cli": bleu(False),
+        "chrf": totals.select(mt.chrf_score(F.col("s")).alias("chrf"), mt.chrf_score(mt.lower_stats(F.col("s"))).alias("chrf_lower"), "ordered"),
+        "per_line": mt.line_scores(lines.select(id_col, "hyp", "ref", F.col("as_written_stats").alias("stats"))),
     }
 
 
@@ -225,5 +248,9 @@ def evaluate_text(pairs: DataFrame, pred: str = "pseudo_sentence", gold: str = "
     df = pairs.select(F.coalesce(tx.collapse_newlines(pred), F.lit("")).alias("hyp"),
                       F.coalesce(tx.collapse_newlines(gold), F.lit("")).alias("ref"), *[
                           c for c in pairs.columns if c not in (pred, gold)])
-    return {"bleu": mt.corpus_bleu(df), "chrf": mt.corpus_chrf(df),
-            "per_line": mt.sentence_chrf(mt.sentence_bleu(df))}
+    stats = ix.fresh_name(df, "stats")
+    lines = checkpoint(df.withColumn(stats, mt.line_stats(F.col("hyp"), F.col("ref"))))  # each pair goes through Python once
+    totals = checkpoint(lines.agg(mt.sum_stats(stats).alias("s")))
+    return {"bleu": totals.select(mt.bleu_score(F.col("s")).alias("bleu"), "s.hyp_len", "s.ref_len"),
+            "chrf": totals.select(mt.chrf_score(F.col("s")).alias("chrf"), mt.chrf_score(mt.lower_stats(F.col("s"))).alias("chrf_lower")),
+            "per_line": mt.line_scores(lines, stats)}

@@ -55,6 +55,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     df.write.mode(mode).format(fmt).save(path)
 
 
+def write_entries(chunks: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
+    """Vocabulary entries in the format's form (K4), one row an entry; its lists meet only here."""
+    from ..operators.vocab import lists_of_chunks
+    write_table(lists_of_chunks(chunks), path, fmt, mode)
+
+
 def write_line_aligned(df: DataFrame, path: str, columns: list[str], order_col: str = "row_id") -> None:
     """Many line-aligned outputs (K5) as ONE wide table: line n of every column is row n.
 

@@ -120,3 +120,25 @@ def test_alignment_report(spark):
     b = spark.createDataFrame([(0,), (1,), (5,)], "row_id long")
     r = mt.alignment_report(a, b).first()
     assert (r["n_pred"], r["n_gold"], r["pred_only"], r["gold_only"], r["aligned"]) == (3, 3, 1, 1, False)
+
+
+def _python_stages(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def test_evaluation_compares_each_pair_once(spark):
+    """Reports read stored statistics: none goes through Python again, and all equal the separate jobs."""
+    from signbridge.plans import jobs
+    pairs = spark.createDataFrame([(1, "a B c\nd", "a b c d", 7), (2, None, "x", 8), (3, "q", None, 9), (4, "the cat sat on it", "the cat sat on it", 0)],
+                                  "row_id long, pseudo_sentence string, sentence string, stats int")
+    out = jobs.evaluate_text(pairs)
+    assert [_python_stages(df) for df in out.values()] == [0, 0, 0]
+    plain = spark.createDataFrame([("a B c d", "a b c d"), ("", "x"), ("q", ""), ("the cat sat on it",) * 2], "hyp string, ref string")
+    assert out["bleu"].first() == mt.corpus_bleu(plain).first() and out["chrf"].first() == mt.corpus_chrf(plain).first()
+    lines = {r["ref"]: (r["bleu"], r["chrf"], r["stats"]) for r in out["per_line"].collect()}
+    single = {r["ref"]: (r["bleu"], r["chrf"]) for r in mt.sentence_chrf(mt.sentence_bleu(plain)).collect()}
+    assert {k: v[:2] for k, v in lines.items()} == single and {v[2] for v in lines.values()} == {7, 0}
+    assert jobs.evaluate_text(pairs.limit(0))["bleu"].count() == 1
+    signs = spark.createDataFrame([(0, "M518x529S14c20481x471S27106503x489", "M518x529S27106503x489S14c20481x471"), (1, None, "M500x500S38800464x496")],
+                                  "row_id long, pred_fsw_seq string, gold_fsw_seq string")
+    assert [_python_stages(df) for df in jobs.evaluate_signs(signs).values()] == [0] * 7
