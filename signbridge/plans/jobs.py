@@ -56,6 +56,7 @@ def prepare_corpus(raw: DataFrame, kind: str = KIND_SIGN, spoken: str = "en", si
     out = sm.split_train_dev_test(out, "row_id", seed=seed)
     if not reduce_sentences:
         return out
+    out = checkpoint(out)  # counted, sampled and read once more: prepared once
     train = sm.sample_fraction(out.where("split = 'train'"), "row_id", seed=seed, base_total=out.count())
     return train.unionByName(out.where("split <> 'train'"))
 
