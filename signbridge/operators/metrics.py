@@ -4,12 +4,15 @@
 * Coordinate distance with padding (``zip_with``) and corpus totals.
 * BLEU (4-gram, exp smoothing, effective order, 13a tokens) and chrF (char 6-grams,
   beta 2, whitespace removed): each row is reduced to its sufficient statistics by an
-  Arrow-batched UDF (exact n-gram multiset intersection with numpy, no shuffle); the
-  score is a closed form over the statistics, per row or over their corpus sums.
+  Arrow-batched UDF (exact n-gram multiset intersection with numpy, no shuffle; one sort
+  for all orders of many rows); the score is a closed form over the statistics, per row
+  or over their corpus sums.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 
 import numpy as np
@@ -23,6 +26,9 @@ from ..functions.fsw import COORD_FILL
 BLEU_ORDER = 4
 CHRF_ORDER = 6
 CHRF_BETA = 2
+# Symbols of the pairs whose n-grams are counted together: what stays in a core's cache.
+CHUNK_SYMBOLS = 1 << 14
+_CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def _col(c: Column | str) -> Column:
@@ -125,18 +131,29 @@ _13A_RULES = [
     (re.compile(r"([\.,])([^0-9])"), r" \1 \2"),
     (re.compile(r"([0-9])(-)"), r"\1 \2 "),
 ]
+_ENDINGS = frozenset("!\"#$%&()*+/:;<=>?@[\\]^_`{|}~.,")  # what the rules part from any letter or digit before it
 _13A_UNESCAPE = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _split_13a(word: str) -> tuple[str, ...]:
+    """The tokens of a word between white space: no rule looks over it, or takes a character that another word needs."""
+    if word.isalnum():
+        return (word,)
+    if word[:-1].isalnum() and word[-1] in _ENDINGS:
+        return word[:-1], word[-1]
+    word = f" {word} "
+    for rx, repl in _13A_RULES:
+        word = rx.sub(repl, word)
+    return tuple(word.split())
+
+
 def tokenize_13a(line: str) -> list[str]:
     line = line.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
     if "&" in line:
         for a, b in _13A_UNESCAPE:
             line = line.replace(a, b)
-    line = f" {line} "
-    for rx, repl in _13A_RULES:
-        line = rx.sub(repl, line)
-    return line.split()
+    return list(itertools.chain.from_iterable(map(_split_13a, line.split())))
 
 
 def _dense(ids: np.ndarray, other: np.ndarray):
@@ -178,31 +195,145 @@ def _clipped_all(h: np.ndarray, r: np.ndarray, orders: int) -> list[tuple[int, i
     return out
 
 
-def _ids(tokens: list, vocab: dict) -> np.ndarray:
-    return np.fromiter((vocab.setdefault(t, len(vocab)) for t in tokens), dtype=np.int64, count=len(tokens))
+def _matches(grid: np.ndarray, tags: np.ndarray, bits: int, n_rows: int, orders: int) -> np.ndarray:
+    """Clipped matches (rows x orders) of many pairs at once. ``grid`` holds the symbols of all texts, numbered from 1 in
+    ``bits`` bits, with ``orders - 1`` zeros after each text; ``tags`` the row and, in the lowest bit, the side of each.
+
+    A key is the row, the ``orders`` symbols from a place on, and the side. Sorted, the keys stand in groups of equal n-grams
+    for every n, as a prefix of the longest; a group whose n-th symbol is 0 ran over the text's end."""
+    two = grid << bits  # symbols are put together two by two (orders are even)
+    two[:-1] |= grid[1:]
+    key = two
+    for j in range(2, orders, 2):
+        key = key << 2 * bits
+        key[:-j] |= two[j:]
+    key = (key << 1) | tags
+    key = key[grid > 0]
+    out = np.zeros((n_rows, orders), np.int64)
+    if not len(key):
+        return out
+    key.sort()
+    change = key[1:] ^ key[:-1]
+    refs = np.concatenate([[0], np.cumsum(key & 1)])
+    begin = np.concatenate([[0], np.flatnonzero(change > 1) + 1])
+    change = np.concatenate([[-1], change])[begin]
+    key, ref, size = key[begin], np.append(refs[begin], refs[-1]), np.append(begin, len(key))
+    for n in range(orders, 0, -1):
+        shift = 1 + bits * (orders - n)
+        if n < orders:  # a prefix begins where the longer one begins with another symbol before its last
+            first = np.flatnonzero((change >> shift) != 0)
+            change, key = change[first], key[first]
+            ref, size = np.append(ref[first], ref[-1]), np.append(size[first], size[-1])
+        in_ref = np.diff(ref)
+        both = np.minimum(in_ref, np.diff(size) - in_ref)
+        gram = key >> shift
+        both[gram & ((1 << bits) - 1) == 0] = 0
+        out[:, n - 1] = np.bincount(gram >> (bits * n), both, n_rows)
+    return out
+
+
+def _clipped_rows(grid: np.ndarray, lengths: np.ndarray, orders: int) -> np.ndarray:
+    """Per pair and order: (hyp n-grams, ref n-grams, clipped matches), pairs x orders x 3. ``grid`` is as for ``_matches``,
+    with the hypothesis before the reference of each pair; ``lengths`` (pairs x 2) are their numbers of symbols."""
+    n_rows, pad = len(lengths), orders - 1
+    out = np.zeros((n_rows, orders, 3), np.int64)
+    out[:, :, :2] = np.maximum(lengths[:, None, :] - np.arange(orders)[None, :, None], 0)
+    ends = np.concatenate([[0], np.cumsum(lengths.sum(axis=1) + 2 * pad)])
+    lo = 0
+    while lo < n_rows:
+        hi = max(lo + 1, min(n_rows, int(np.searchsorted(ends, ends[lo] + CHUNK_SYMBOLS, side="right")) - 1))
+        bits = int(grid[ends[lo]: ends[hi]].max(initial=0)).bit_length()
+        if orders * bits > 62 - (hi - lo - 1).bit_length():
+            hi = min(hi, lo + (1 << max(0, 62 - orders * bits)))
+        part = grid[ends[lo]: ends[hi]]
+        if orders * bits > 62:  # one pair of too many different symbols for a key of 64 bits
+            h, r = lengths[lo]
+            out[lo, :, 2] = [m for _, _, m in _clipped_all(part[:h], part[h + pad: h + pad + r], orders)]
+        else:
+            texts = np.arange(2 * (hi - lo))
+            tags = np.repeat((texts >> 1) << (orders * bits + 1) | texts & 1, (lengths[lo:hi] + pad).ravel())
+            out[lo:hi, :, 2] = _matches(part, tags, bits, hi - lo, orders)
+        lo = hi
+    return out
+
+
+def bleu_rows(hyps: list, refs: list) -> np.ndarray:
+    """[m1..m4, t1..t4, hyp_len, ref_len] of each segment (13a tokens)."""
+    flat: list[int] = []
+    lengths = np.zeros((len(hyps), 2), np.int64)
+    pad = [0] * (BLEU_ORDER - 1)
+    for i, pair in enumerate(zip(hyps, refs)):
+        h, r = (tokenize_13a((text or "").strip()) for text in pair)
+        lengths[i] = len(h), len(r)
+        number = dict(zip(dict.fromkeys(h + r), itertools.count(1)))
+        for tokens in (h, r):
+            flat.extend(map(number.__getitem__, tokens))
+            flat.extend(pad)
+    found = _clipped_rows(np.array(flat, np.int64), lengths, BLEU_ORDER)
+    return np.concatenate([found[:, :, 2], found[:, :, 0], lengths], axis=1)
 
 
 def bleu_row_stats(hyp: str | None, ref: str | None) -> list[int]:
-    """[m1..m4, t1..t4, hyp_len, ref_len] of one segment (13a tokens)."""
-    h = tokenize_13a((hyp or "").strip())
-    r = tokenize_13a((ref or "").strip())
-    vocab: dict = {}
-    stats = _clipped_all(_ids(h, vocab), _ids(r, vocab), BLEU_ORDER)
-    return [s[2] for s in stats] + [s[0] for s in stats] + [len(h), len(r)]
+    """``bleu_rows`` of one segment."""
+    return bleu_rows([hyp], [ref])[0].tolist()
 
 
 def _codepoints(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
 
 
+def _char_rows(hyps: list[str], refs: list[str]) -> np.ndarray:
+    """[h1..h6, r1..r6, m1..m6] of pairs of texts without white space."""
+    out, lo = [np.zeros((0, 3 * CHRF_ORDER), np.int64)], 0
+    pad = "\0" * (CHRF_ORDER - 1)
+    sizes = np.cumsum([len(h) + len(r) for h, r in zip(hyps, refs)])
+    while lo < len(hyps):  # characters are numbered anew in each part
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CHUNK_SYMBOLS, side="right")))
+        texts = [t for pair in zip(hyps[lo:hi], refs[lo:hi]) for t in pair]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes = _codepoints(pad.join(texts) + pad)
+        seen = np.zeros(int(codes.max(initial=0)) + 1, bool)
+        seen[codes] = True
+        grid = np.cumsum(seen)[codes]
+        ends = np.cumsum(lengths + len(pad)) - len(pad)
+        grid[(ends[:, None] + np.arange(len(pad))).ravel()] = 0
+        found = _clipped_rows(grid, lengths.reshape(-1, 2), CHRF_ORDER)
+        out.append(found.transpose(0, 2, 1).reshape(hi - lo, -1))
+        lo = hi
+    return np.concatenate(out)
+
+
+def _no_space(texts: list) -> list[str]:
+    return ["".join((t or "").split()) for t in texts]
+
+
+def chrf_rows(hyps: list, refs: list, lowercase: bool = False) -> np.ndarray:
+    """[h1..h6, r1..r6, m1..m6] of each segment: char n-grams, whitespace removed."""
+    h, r = _no_space(hyps), _no_space(refs)
+    return _char_rows([t.lower() for t in h], [t.lower() for t in r]) if lowercase else _char_rows(h, r)
+
+
+def _case_matters(hyp: str, ref: str) -> bool:
+    """Whether lower-casing a pair can make different characters equal, or change their number."""
+    if not (hyp.isascii() and ref.isascii()):
+        return True
+    used = set(hyp) | set(ref)
+    return any(c.lower() in used for c in used & _CAPITALS)
+
+
+def chrf_rows_both(hyps: list, refs: list) -> np.ndarray:
+    """``chrf_rows`` with case kept and lower-cased, side by side."""
+    h, r = _no_space(hyps), _no_space(refs)
+    kept = _char_rows(h, r)
+    lower = kept.copy()
+    other = [i for i, pair in enumerate(zip(h, r)) if _case_matters(*pair)]
+    lower[other] = _char_rows([h[i].lower() for i in other], [r[i].lower() for i in other])
+    return np.concatenate([kept, lower], axis=1)
+
+
 def chrf_row_stats(hyp: str | None, ref: str | None, lowercase: bool = False) -> list[int]:
-    """[h1..h6, r1..r6, m1..m6] of one segment: char n-grams, whitespace removed."""
-    h = "".join((hyp or "").strip().split())
-    r = "".join((ref or "").strip().split())
-    if lowercase:
-        h, r = h.lower(), r.lower()
-    stats = _clipped_all(_codepoints(h), _codepoints(r), CHRF_ORDER)
-    return [s[0] for s in stats] + [s[1] for s in stats] + [s[2] for s in stats]
+    """``chrf_rows`` of one segment."""
+    return chrf_rows([hyp], [ref], lowercase)[0].tolist()
 
 
 BLEU_FIELDS = [f"m{i}" for i in range(1, 5)] + [f"t{i}" for i in range(1, 5)] + ["hyp_len", "ref_len"]
@@ -213,19 +344,19 @@ def _stats_type(fields: list[str]) -> T.StructType:
     return T.StructType([T.StructField(f, T.LongType()) for f in fields])
 
 
+def _frame(rows: np.ndarray, fields: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=fields, dtype="int64")
+
+
 @F.pandas_udf(_stats_type(BLEU_FIELDS))
 def bleu_stats(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    rows = [bleu_row_stats(h, r) for h, r in zip(hyp, ref)]
-    return pd.DataFrame(rows, columns=BLEU_FIELDS, dtype="int64") if rows else \
-        pd.DataFrame({f: pd.Series([], dtype="int64") for f in BLEU_FIELDS})
+    return _frame(bleu_rows(hyp.tolist(), ref.tolist()), BLEU_FIELDS)
 
 
 def _chrf_udf(lowercase: bool):
     @F.pandas_udf(_stats_type(CHRF_FIELDS))
     def chrf_stats(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        rows = [chrf_row_stats(h, r, lowercase) for h, r in zip(hyp, ref)]
-        return pd.DataFrame(rows, columns=CHRF_FIELDS, dtype="int64") if rows else \
-            pd.DataFrame({f: pd.Series([], dtype="int64") for f in CHRF_FIELDS})
+        return _frame(chrf_rows(hyp.tolist(), ref.tolist(), lowercase), CHRF_FIELDS)
     return chrf_stats
 
 
@@ -238,9 +369,7 @@ CHRF_BOTH_FIELDS = CHRF_FIELDS + [f"l{f}" for f in CHRF_FIELDS]
 @F.pandas_udf(_stats_type(CHRF_BOTH_FIELDS))
 def chrf_stats_both(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
     """Case-kept and lower-cased statistics in one pass over the text."""
-    rows = [chrf_row_stats(h, r) + chrf_row_stats(h, r, True) for h, r in zip(hyp, ref)]
-    return pd.DataFrame(rows, columns=CHRF_BOTH_FIELDS, dtype="int64") if rows else \
-        pd.DataFrame({f: pd.Series([], dtype="int64") for f in CHRF_BOTH_FIELDS})
+    return _frame(chrf_rows_both(hyp.tolist(), ref.tolist()), CHRF_BOTH_FIELDS)
 
 
 LINE_FIELDS = BLEU_FIELDS + CHRF_BOTH_FIELDS
@@ -249,9 +378,8 @@ LINE_FIELDS = BLEU_FIELDS + CHRF_BOTH_FIELDS
 @F.pandas_udf(_stats_type(LINE_FIELDS))
 def line_stats(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
     """All statistics of a pair, of BLEU and of chrF (case kept and lowered): what every score is a closed form of."""
-    rows = [bleu_row_stats(h, r) + chrf_row_stats(h, r) + chrf_row_stats(h, r, True) for h, r in zip(hyp, ref)]
-    return pd.DataFrame(rows, columns=LINE_FIELDS, dtype="int64") if rows else \
-        pd.DataFrame({f: pd.Series([], dtype="int64") for f in LINE_FIELDS})
+    h, r = hyp.tolist(), ref.tolist()
+    return _frame(np.concatenate([bleu_rows(h, r), chrf_rows_both(h, r)], axis=1), LINE_FIELDS)
 
 
 def sum_stats(col: str) -> Column:
