@@ -89,3 +89,14 @@ def test_white_space_as_python_sees_it(spark):
     texts = ["a\u00a0b", "a\u3000b c", " x\u2003", "\x1ca\x1f", "", "a\u200bb"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.whitespace_tokens("t").alias("w"), tx.strip("t").alias("s"))
     assert all(r["w"] == r["t"].split() and r["s"] == r["t"].strip() for r in df.collect())
+
+
+def test_counted_words_are_not_shuffled(spark, tmp_dir):
+    """Every distinct word of a document was a row of the shuffle; ids may repeat or be null."""
+    from signbridge.plans.queries import QUERIES
+    rows = [(1, "b a B c"), (1, "c c\u00a0c"), (None, "x y"), (None, "Y"), (2, None), (3, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    out = QUERIES["canonical_top2_counted"](spark, tmp_dir)
+    assert {tuple(r) for r in out.collect()} == {(1, "c|b"), (None, "y|x")}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
