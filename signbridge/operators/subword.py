@@ -6,11 +6,10 @@ The rule is greedy and exact: the pair of highest count is merged next (ties: th
 Learning works on the distinct-word table (word, frequency), never on rows of text. Counting words
 is the part that grows with the corpus; a table of distinct words that is measured to be
 small (``task_bytes``) is then learned from in one task, with an index of where each symbol stands:
-a merge touches the places of its pair, and no others. A larger table stays distributed:
-a round takes the best pairs up to the first that interacts with one before it, merges them in the
-words that hold them, and accepts as many as a certificate allows: the first ones, up to where
-a pair that the merges make outranks the next. Pair counts are kept up to date by
-the differences of the touched words. Both ways, and every batch size, give the same merges.
+a merge touches the places of its pair, and no others. A larger table stays distributed: a round
+guesses the next merges from the most frequent words, makes them in all words, and sums up what
+each changes in the pair counts; with these, the merges are accepted one by one as long as the
+next is the best pair, so a wrong guess costs time only. Both ways, and every batch size, give the same merges.
 
 It is not bit-equal to the SentencePiece library. Encoding applies the merges by rank (lowest
 first) to each distinct word.
@@ -18,19 +17,19 @@ first) to each distinct word.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import whitespace_tokens
 from ..session import checkpoint, default_parallelism
-from .indexing import fresh_name
 
 # Fixed values of the sub-word format.
 WORD_BOUNDARY = "▁"          # marks the start of a word
@@ -39,6 +38,11 @@ SPECIAL_PIECES = 3                # <unk>, <s>, </s> are part of the vocabulary
 DEFAULT_VOCAB_SIZE = 2000
 # Bytes of distinct words that one task learns from.
 TASK_BYTES = 32 * 1024 * 1024
+# Words of a row of chains; most frequent words that the next merges are guessed from.
+CHAIN_WORDS = 200_000
+SAMPLE_WORDS = 50_000
+# Words whose pieces a task keeps while it encodes.
+MEMO_WORDS = 200_000
 
 
 def word_frequencies(lines: DataFrame, text_col: str = "text") -> DataFrame:
@@ -102,78 +106,115 @@ def _merge_expr(seg, pairs: list[tuple[str, str]]):
     return F.regexp_replace(seg, pattern, "".join(repl))
 
 
-class _Index:
-    """All words as one chain of symbols, the counts of their pairs, and for each symbol where it stands: a merge
-    looks at the places of one symbol and changes the counts of the neighbours, all at once."""
+class _Chain:
+    """Words as one chain of symbol numbers, and for the symbols in ``wanted`` (all, if none is given) where they stand:
+    a merge looks at the places of one symbol and tells how the counts of the neighbours change."""
 
-    def __init__(self, words: list[str], freqs: list[int]) -> None:
-        text = "".join(WORD_BOUNDARY + w for w in words)
-        lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-        signs, self.symbol = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_inverse=True)
-        self.names = [chr(c) for c in signs.tolist()]
-        self.numbers = {c: i for i, c in enumerate(self.names)}
-        size, ends = len(self.symbol), np.cumsum(lengths)
-        self.weight = np.repeat(np.array(freqs, np.int64), lengths)
+    def __init__(self, symbol: np.ndarray, lengths: np.ndarray, freqs: np.ndarray, wanted: list[int] | None = None) -> None:
+        self.symbol = symbol.astype(np.int64)
+        size, ends = len(symbol), np.cumsum(lengths)
+        self.weight = np.repeat(freqs.astype(np.int64), lengths)
         self.after, self.before = np.arange(1, size + 1), np.arange(-1, size - 1)
         self.after[ends - 1] = -1
         self.before[ends - lengths] = -1
-        order = np.argsort(self.symbol, kind="stable")
-        cuts = np.searchsorted(self.symbol[order], np.arange(len(self.names) + 1))
-        self.places = [order[i:j] for i, j in zip(cuts, cuts[1:])]
-        self.counts: dict[int, int] = {}
-        self.heap: list[tuple] = []
-        self._count([(np.flatnonzero(self.after >= 0), 1)])
+        last = max([int(self.symbol.max(initial=0)), *(wanted or [])])
+        known = np.full(last + 1, wanted is None)
+        known[wanted or []] = True
+        at = np.flatnonzero(known[self.symbol])
+        at = at[np.argsort(self.symbol[at], kind="stable")]
+        cuts = np.searchsorted(self.symbol[at], np.arange(last + 2))
+        self.places = {n: at[cuts[n]: cuts[n + 1]] for n in np.flatnonzero(known).tolist()}
+
+    def copy(self) -> _Chain:
+        out = object.__new__(_Chain)
+        out.symbol, out.weight, out.after, out.before = self.symbol.copy(), self.weight, self.after.copy(), self.before.copy()
+        out.places = dict(self.places)
+        return out
 
     def _pairs(self, at: np.ndarray) -> np.ndarray:
         return self.symbol[at] << 32 | self.symbol[self.after[at]]
 
-    def _count(self, parts: list[tuple[np.ndarray, int]], keys: list[np.ndarray] | None = None) -> None:
-        """Add the weights of the pairs that begin at the given places, with their signs."""
-        keys = [self._pairs(at) for at, _ in parts] if keys is None else keys
+    def _changes(self, parts: list[tuple[np.ndarray, int]], keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs, and the sums of the weights of the given places, with their signs."""
         pairs, which = np.unique(np.concatenate(keys), return_inverse=True)
         change = np.bincount(which, np.concatenate([sign * self.weight[at] for at, sign in parts]), len(pairs)).astype(np.int64)
-        for pair, n in zip(pairs.tolist(), change.tolist()):
-            if n:
-                now = self.counts[pair] = self.counts.get(pair, 0) + n
-                if now:
-                    heapq.heappush(self.heap, (-now, self.names[pair >> 32], self.names[pair & 0xFFFFFFFF], pair))
-                else:
-                    del self.counts[pair]
+        return pairs[change != 0], change[change != 0]
 
-    def best(self) -> tuple[str, str, int] | None:
-        while self.heap:
-            n, left, right, pair = self.heap[0]
-            if self.counts.get(pair) == -n:
-                return left, right, -n
-            heapq.heappop(self.heap)  # its count has changed meanwhile
-        return None
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.after >= 0)
+        return self._changes([(at, 1)], [self._pairs(at)])
 
-    def merge(self, left: str, right: str) -> None:
-        a, b = self.numbers[left], self.numbers[right]
-        at = self.places[a] = self.places[a][self.symbol[self.places[a]] == a]
+    def merge(self, a: int, b: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the pair (a, b) into the symbol ``number``; the pairs whose counts change, and by how much."""
+        none = np.zeros(0, np.int64)
+        at = self.places.get(a, none)
+        at = self.places[a] = at[self.symbol[at] == a]
         second = self.after[at]
         at = at[(second >= 0) & (self.symbol[second] == b)]
         if a == b:  # in a row of equal symbols every other place, from the left
-            head = np.concatenate([[True], self.after[at[:-1]] != at[1:]])
+            head = np.concatenate([[True], self.after[at[:-1]] != at[1:]])[: len(at)]
             run = np.flatnonzero(head)[np.cumsum(head) - 1]
             at = at[(np.arange(len(at)) - run) % 2 == 0]
+        if not len(at):
+            return none, none
         second = self.after[at]
         back = self.before[at]
         gone = np.unique(np.concatenate([back[back >= 0], at, second[self.after[second] >= 0]]))
         keys = [self._pairs(gone)]
-        name = left + right
-        if name not in self.numbers:
-            self.numbers[name] = len(self.names)
-            self.names.append(name)
-            self.places.append(np.zeros(0, np.int64))
-        number = self.numbers[name]
         on = self.after[second]
         self.symbol[at], self.symbol[second], self.after[at] = number, -1, on
         self.before[on[on >= 0]] = at[on >= 0]
-        self.places[number] = np.sort(np.concatenate([self.places[number], at]))
+        self.places[number] = np.sort(np.concatenate([self.places.get(number, none), at]))
         back = self.before[at]
         made = np.unique(np.concatenate([back[back >= 0], at[on >= 0]]))
-        self._count([(gone, -1), (made, 1)], [*keys, self._pairs(made)])
+        return self._changes([(gone, -1), (made, 1)], [*keys, self._pairs(made)])
+
+
+class _Counts:
+    """Names of symbols, counts of pairs, and the best pair."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names = list(names)
+        self.numbers = {c: i for i, c in enumerate(names)}
+        self.of: dict[int, int] = {}
+        self.heap: list[tuple] = []
+
+    def copy(self) -> _Counts:
+        out = object.__new__(_Counts)
+        out.names, out.numbers, out.of, out.heap = self.names.copy(), self.numbers.copy(), self.of.copy(), self.heap.copy()
+        return out
+
+    def add(self, pairs: np.ndarray, change: np.ndarray) -> None:
+        for pair, n in zip(pairs.tolist(), change.tolist()):
+            now = self.of[pair] = self.of.get(pair, 0) + n
+            if now > 0:
+                heapq.heappush(self.heap, (-now, self.names[pair >> 32], self.names[pair & 0xFFFFFFFF], pair))
+            else:
+                del self.of[pair]
+
+    def best(self) -> tuple[str, str, int] | None:
+        while self.heap:
+            n, left, right, pair = self.heap[0]
+            if self.of.get(pair) == -n:
+                return left, right, -n
+            heapq.heappop(self.heap)  # its count has changed meanwhile
+        return None
+
+    def merge(self, left: str, right: str) -> tuple[int, int, int]:
+        """The numbers of the two symbols and of what they become."""
+        name = left + right
+        if name not in self.numbers:
+            self.numbers[name] = len(self.names)
+            self.names.append(name)
+        return self.numbers[left], self.numbers[right], self.numbers[name]
+
+
+def _numbered(words: list[str], alphabet: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of the words, as places in the sorted ``alphabet``, and each word's number of them."""
+    text = "".join(WORD_BOUNDARY + w for w in words)
+    signs = np.array([ord(c) for c in alphabet], np.uint32)
+    lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+    return np.searchsorted(signs, np.frombuffer(text.encode("utf-32-le"), np.uint32)), lengths
 
 
 def _merged(symbols: list[str], pair: tuple) -> list[str]:
@@ -196,15 +237,19 @@ def _learn_in_one_task(freqs: DataFrame, budget: int) -> DataFrame:
     """All merges of a word table of bounded size."""
 
     def run(batches):
-        words, counts = [], []
+        words, freqs_ = [], []
         for batch in batches:
             words += batch.column("word").to_pylist()
-            counts += batch.column("freq").to_pylist()
-        state, rows = _Index(words, counts) if words else None, []
-        while words and len(rows) < budget and (best := state.best()) is not None:
+            freqs_ += batch.column("freq").to_pylist()
+        names = sorted({WORD_BOUNDARY, *"".join(words)})
+        counts, rows = _Counts(names), []
+        if words:
+            chain = _Chain(*_numbered(words, names), np.array(freqs_, np.int64))
+            counts.add(*chain.counts())
+        while len(rows) < budget and (best := counts.best()) is not None:
             left, right, n = best
             rows.append((len(rows), left, right, left + right, n))
-            state.merge(left, right)
+            counts.add(*chain.merge(*counts.merge(left, right)))
         fields = [("rank", pa.int64()), ("left", pa.string()), ("right", pa.string()), ("piece", pa.string()), ("cnt", pa.int64())]
         columns = zip(*rows) if rows else [[]] * len(fields)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
@@ -212,50 +257,84 @@ def _learn_in_one_task(freqs: DataFrame, budget: int) -> DataFrame:
     return freqs.select("word", "freq").coalesce(1).mapInArrow(run, MERGES)
 
 
-def _holding(segs: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """The words that hold one of the pairs."""
-    alternatives = "|".join(f"{re.escape(a)}{re.escape(SEP)}{re.escape(b)}" for a, b in pairs)
-    return segs.where(F.col("seg").rlike(f"{re.escape(SEP)}(?:{alternatives})(?={re.escape(SEP)})"))
+CHAINS = "symbols binary, lengths binary, freqs binary"
+
 
+def _packed(symbols, lengths, freqs) -> pa.RecordBatch:
+    row = [np.ascontiguousarray(x, t).tobytes() for x, t in ((symbols, np.int32), (lengths, np.int32), (freqs, np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["symbols", "lengths", "freqs"])
 
-def _certified(touched: DataFrame, counts: DataFrame, batch: list[tuple[str, str, int]]) -> int:
-    """How many merges of the batch the greedy rule takes before any pair that they make.
 
-    A pair that begins to exist with the i-th merge can only outrank later ones. So each new pair counts from
-    the first merge that makes a part of it, together with what it had before and what earlier merges made of it; if
-    it ranks before the next merge, the batch ends there. To count it for longer than it exists only
-    makes the batch shorter."""
-    number = {(a, b): i + 1 for i, (a, b, _) in enumerate(batch)}
-    parts = {i: p for p, i in number.items()}
+def _chains(freqs: DataFrame, alphabet: list[str]) -> DataFrame:
+    """The word table as rows of at most ``CHAIN_WORDS`` words, in numbers."""
 
     def run(batches):
-        for rows in batches:
-            made: Counter = Counter()
-            for seg, freq in zip(rows.column("seg").to_pylist(), rows.column("freq").to_pylist()):
-                old = [x for x in seg.split(SEP) if x]
-                new, i = [], 0
-                while i < len(old):
-                    n = number.get((old[i], old[i + 1]), 0) if i + 1 < len(old) else 0
-                    new.append(("".join(old[i: i + 2]), n) if n else (old[i], 0))
-                    i += 2 if n else 1
-                for (x, m), (y, n) in zip(new, new[1:]):
-                    if m or n:
-                        made[x, y, max(m, n)] += freq
-                    if m and n and m != n:  # until the later one is merged, its nearer part is the neighbour
-                        made[(x, parts[n][0], m) if m < n else (parts[m][1], y, n)] += freq
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in made], pa.string()), pa.array([k[1] for k in made], pa.string()),
-                                              pa.array([k[2] for k in made], pa.int32()), pa.array(list(made.values()), pa.int64())],
-                                             names=["left", "right", "since", "cnt"])
-
-    made = touched.select("seg", "freq").mapInArrow(run, "left string, right string, since int, cnt long")
-    made = made.groupBy("left", "right", "since").agg(F.sum("cnt").alias("cnt"))
-    so_far = F.sum("cnt").over(Window.partitionBy("left", "right").orderBy("since"))
-    made = made.withColumn("cnt", so_far).join(counts.withColumnRenamed("cnt", "had"), ["left", "right"], "left")
-    total = F.col("cnt") + F.coalesce("had", F.lit(0))
-    ranked = F.array(*[F.struct(F.lit(-n).cast("long"), F.lit(a), F.lit(b)) for a, b, n in batch])
-    better = F.size(F.filter(ranked, lambda m: m < F.struct(-total, F.col("left"), F.col("right"))))
-    first = made.agg(F.min(F.greatest("since", better))).first()[0]
-    return len(batch) if first is None else min(len(batch), int(first))
+        words, counts = [], []
+        for batch in batches:
+            words += batch.column("word").to_pylist()
+            counts += batch.column("freq").to_pylist()
+            if len(words) >= CHAIN_WORDS:
+                yield _packed(*_numbered(words, alphabet), counts)
+                words, counts = [], []
+        if words:
+            yield _packed(*_numbered(words, alphabet), counts)
+
+    return freqs.select("word", "freq").mapInArrow(run, CHAINS)
+
+
+def _unpacked(batches, merges: list[tuple[int, int, int]]):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            symbols, lengths, freqs = (np.frombuffer(batch.column(n)[i].as_py(), t)
+                                       for n, t in (("symbols", np.int32), ("lengths", np.int32), ("freqs", np.int64)))
+            yield _Chain(symbols, lengths.astype(np.int64), freqs, sorted({a for a, _, _ in merges})), lengths, freqs
+
+
+def _changes(chains: DataFrame, done: list, batch: list) -> pa.Table:
+    """(step, pair, change): what each merge of the batch, after those done, changes in the counts of all words; without a
+    batch, the counts themselves. The sums are as many as the pairs of a vocabulary."""
+
+    def run(batches):
+        for chain, _, _ in _unpacked(batches, done + batch):
+            for merge in done:
+                chain.merge(*merge)
+            for step, (pairs, change) in enumerate([chain.merge(*m) for m in batch] if batch else [chain.counts()]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), step, np.int32)), pa.array(pairs), pa.array(change)],
+                                                 names=["step", "pair", "change"])
+
+    found = chains.mapInArrow(run, "step int, pair long, change long")
+    return found.groupBy("step", "pair").agg(F.sum("change").alias("change")).where("change <> 0").toArrow()
+
+
+def _applied(chains: DataFrame, done: list) -> DataFrame:
+    """The chains after merges."""
+
+    def run(batches):
+        for chain, lengths, freqs in _unpacked(batches, done):
+            for merge in done:
+                chain.merge(*merge)
+            live = chain.symbol >= 0
+            word = np.repeat(np.arange(len(lengths)), lengths)[live]
+            yield _packed(chain.symbol[live], np.bincount(word, minlength=len(lengths)), freqs)
+
+    return chains.mapInArrow(run, CHAINS)
+
+
+def _expected(counts: _Counts, sample: _Chain, size: int) -> list[tuple[str, str, int, int, int]]:
+    """The merges that are likely to come next: the counts are right now, and change as in a sample of words."""
+    counts, sample, out = counts.copy(), sample.copy(), []
+    while len(out) < size and (best := counts.best()) is not None:
+        left, right, n = best
+        merge = counts.merge(left, right)
+        pair = merge[0] << 32 | merge[1]
+        pairs, change = sample.merge(*merge)
+        own = -int(change[pairs == pair].sum())
+        other = pairs != pair
+        counts.add(np.array([pair]), np.array([-n]))
+        if own > 0:
+            counts.add(pairs[other], np.rint(change[other] * (n / own)).astype(np.int64))
+        out.append((left, right, *merge))
+    return out
 
 
 def learn_merges(lines: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE, text_col: str = "text",
@@ -264,7 +343,8 @@ def learn_merges(lines: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE, text_co
     ``vocab_size``. Returns (rank, left, right, piece, cnt).
 
     ``task_bytes`` bounds the words that one task learns from (their UTF-8 bytes, and 64 for each); of
-    more, at most ``merges_per_round`` are merged in a round."""
+    more, at most ``merges_per_round`` are merged in a round, and words are written anew after
+    ``checkpoint_every`` times as many."""
     spark = lines.sparkSession
     freqs = checkpoint(word_frequencies(lines, text_col))
     alphabet = freqs.select(F.explode(_symbols(F.col("word"))).alias("c")).distinct().count()
@@ -274,27 +354,30 @@ def learn_merges(lines: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE, text_co
     size = freqs.agg(F.coalesce(F.sum(F.octet_length("word") + 64), F.lit(0))).first()[0]
     if size <= task_bytes:
         return _learn_in_one_task(freqs, budget)
-    segs = checkpoint(initial_segments(freqs).repartition(default_parallelism(spark), "word"))
-    counts = checkpoint(pair_counts(segs))
-    merges: list[tuple[str, str, int]] = []
-    rounds = 0
+    letters = sorted(r[0] for r in freqs.select(F.explode(_symbols(F.col("word"))).alias("c")).distinct().collect())  # fit the vocabulary
+    chains = checkpoint(_chains(freqs.repartition(default_parallelism(spark), "word"), letters))
+    top = freqs.orderBy(F.desc("freq"), "word").limit(SAMPLE_WORDS).toArrow()
+    sample = _Chain(*_numbered(top.column("word").to_pylist(), letters), top.column("freq").to_numpy())
+    counts, done, merges = _Counts(letters), [], []
+    start = _changes(chains, [], [])
+    counts.add(start.column("pair").to_numpy(), start.column("change").to_numpy())
     while len(merges) < budget:
-        k = min(merges_per_round, budget - len(merges))
-        batch = _pick(counts.orderBy(F.desc("cnt"), F.asc("left"), F.asc("right")).limit(k).collect(), k)
+        batch = _expected(counts, sample, min(merges_per_round, budget - len(merges)))
         if not batch:
             break
-        pairs = [(a, b) for a, b, _ in batch]
-        batch = batch[: _certified(_holding(segs, pairs), counts, batch)]
-        pairs = pairs[: len(batch)]
-        touched = _holding(segs, pairs)
-        after = segs.withColumn("seg", _merge_expr(F.col("seg"), pairs))
-        change = pair_counts(_holding(segs, pairs).withColumn("seg", _merge_expr(F.col("seg"), pairs)))
-        change = change.unionByName(pair_counts(touched).withColumn("cnt", -F.col("cnt")))
-        new = counts.unionByName(change).groupBy("left", "right").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
-        merges.extend(batch)
-        rounds += 1
-        counts = checkpoint(new)
-        segs = checkpoint(after) if rounds % checkpoint_every == 0 else after
+        found = _changes(chains, done, [m[2:] for m in batch])
+        step, pairs, change = (found.column(c).to_numpy() for c in ("step", "pair", "change"))
+        for i, (left, right, *merge) in enumerate(batch):
+            best = counts.best()
+            if best is None or best[:2] != (left, right):
+                break  # after the merges so far, another pair is the best
+            merges.append(best)
+            counts.merge(left, right)
+            counts.add(pairs[step == i], change[step == i])
+            done.append(tuple(merge))
+            sample.merge(*merge)
+        if len(done) >= checkpoint_every * merges_per_round:
+            chains, done = checkpoint(_applied(chains, done)), []
     rows = [(i, a, b, a + b, c) for i, (a, b, c) in enumerate(merges)]
     return spark.createDataFrame(rows, MERGES)
 
@@ -317,24 +400,18 @@ def encode_lines(lines: DataFrame, merges: DataFrame, text_col: str = "text",
                  out_col: str = "pieces") -> DataFrame:
     """Encode each line into space-joined pieces with the learned merges; a null line stays null.
 
-    The words of all lines are made distinct, each is encoded once, and the pieces are joined back
-    and put in order again. The merge table is as large as the vocabulary that was asked for."""
+    Each task encodes a word once, as far as its memo reaches; nothing is shuffled. The merge table
+    is as large as the vocabulary that was asked for."""
     table = {(r["left"], r["right"]): int(r["rank"]) for r in merges.collect()}
     bc = lines.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("string")
-    def encode(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: " ".join(_encode_word(w, bc.value)))
-
-    line, found = fresh_name(lines, "_line"), fresh_name(lines, "_e")
-    tagged = checkpoint(lines.withColumn(line, F.monotonically_increasing_id()))
-    tokens = tagged.select(F.col(line).alias("line"), F.posexplode(whitespace_tokens(text_col)).alias("pos", "word"))
-    encoded = checkpoint(tokens.select("word").distinct().withColumn("enc", encode("word")))
-    joined = tokens.join(encoded, "word").groupBy("line").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "enc"))).alias(found)).withColumnRenamed("line", line)
-    pieces = F.array_join(F.transform(found, lambda e: e["enc"]), " ")
-    out = F.when(F.col(text_col).isNotNull(), F.coalesce(pieces, F.lit("")))
-    return tagged.join(joined, line, "left").withColumn(out_col, out).drop(line, found)
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        word = functools.lru_cache(MEMO_WORDS)(lambda w: " ".join(_encode_word(w, bc.value)))
+        for part in parts:
+            yield part.map(lambda words: None if words is None else " ".join(map(word, words)))
+
+    return lines.withColumn(out_col, encode(whitespace_tokens(text_col)))
 
 
 def decode_pieces(pieces) -> F.Column:

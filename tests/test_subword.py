@@ -105,3 +105,16 @@ def test_alphabet_must_fit(spark):
     lines = spark.createDataFrame([("abcdefghij",)], "text string")
     with pytest.raises(ValueError, match="doesn't hold"):
         sw.learn_merges(lines, vocab_size=8)
+
+
+def test_few_rounds_and_encoding_without_shuffle(spark, monkeypatch):
+    """A round ended at the first pair that touches a better one, and every word of every line was shuffled."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("the there then low lower banana ananas newest wide".split()) for _ in range(8)) for _ in range(40)]
+    lines = spark.createDataFrame([(t,) for t in texts], "text string")
+    rounds, changes = [], sw._changes
+    monkeypatch.setattr(sw, "_changes", lambda *a: (rounds.append(a), changes(*a))[1])
+    alphabet = len({sw.WORD_BOUNDARY, *"".join(texts)} - {" "})
+    merges = sw.learn_merges(lines, sw.SPECIAL_PIECES + alphabet + 20, task_bytes=0)
+    assert merges.count() == 20 and len(rounds) <= 3
+    assert "Exchange" not in sw.encode_lines(lines, merges)._jdf.queryExecution().executedPlan().toString()
