@@ -3,8 +3,9 @@
 Method: a paragraph (line) is described by its word pairs and triples, as far as templates of
 licence notices have them. A multinomial logistic regression over these sparse counts tells the
 licence families and an unknown class apart; it is trained on whole, cropped and thinned
-templates against paragraphs of a bounded sample of documents. A threshold on the family's
-probability, taken from a second sample of documents, calibrates what stays unknown.
+templates against the paragraphs of all documents. A threshold on the family's probability, taken
+from the same paragraphs, calibrates what stays unknown. Paragraphs that have the same of the templates'
+grams are one row with their number, so that fitting on all of them takes what their kinds take.
 
 Scored are bounded windows of words, not whole paragraphs: from each hit of a template as far as
 twice the template's length, up to the last of its pairs that is new there. A family counts if a
@@ -38,9 +39,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signbridge.llm.common import stored
+from signbridge.llm.common import gathered, stored
 
-#: Documents of each background sample (training, calibration), share of background that may pass, least confirmation.
+#: Weight of a background paragraph in training, and the documents as which all together weigh at most; share of background
+#: that may pass, least confirmation.
+BACKGROUND_WEIGHT = 0.1
 BACKGROUND_DOCUMENTS = 300
 PASSING = 0.001
 CONFIRMED = 0.6
@@ -142,29 +145,39 @@ def vocabulary() -> list[str]:
     return sorted({g for texts in TEMPLATES.values() for x in texts for g in _grams(_plain(x))})
 
 
-def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs' columns with line (from 0) and the line's words, for lines with words."""
-    lines = docs.select("*", F.posexplode(F.split(text, "\n")).alias("line", "_line")).withColumn("words", words(F.col("_line")))
-    return lines.where(F.size("words") > 0).drop("_line", text)
+def _n_grams(token: Column) -> Column:
+    """How many different pairs and triples the words have."""
+    pairs = F.zip_with(token, F.slice(token, 2, F.size(token)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    triples = F.zip_with(pairs, F.slice(token, 3, F.size(token)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+    # both end with nulls, which count as one
+    return F.when(F.size(token) > 1, F.size(F.array_distinct(pairs)) + F.size(F.array_distinct(triples)) - 2).otherwise(0)
 
 
-def _gram_arrays(token: Column) -> Column:
-    n = F.size(token)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(token, i, 2), " "))).otherwise(F.array())
-    triples = F.when(n > 2, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.array_join(F.slice(token, i, 3), " "))).otherwise(F.array())
-    return F.concat(pairs, triples)
+def background(found: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """(grams, n), written: the templates' grams in a paragraph, and in how many paragraphs of all documents just these
+    are. Then the numbers of paragraphs of several words without any, of those of one word, and of documents.
 
-
-def background(docs: DataFrame, part: int) -> DataFrame:
-    """grams of the paragraphs of a bounded sample of documents: those with the least hashes of their ids."""
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit(part)), "doc_id").limit(BACKGROUND_DOCUMENTS)
-    found = paragraphs(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"))
-    return found.select(_gram_arrays(F.col("words")).alias("grams"))
-
-
-def train(docs: DataFrame) -> tuple[list[str], list[tuple[str, list[float]]], list[float], float]:
-    """Classes (the last is the unknown one), weights of each gram, intercepts, and the calibrated threshold."""
+    Paragraphs that share most of their pairs with the templates may be notices: they teach nothing and are left out."""
+    spark = found.sparkSession
+    grams = vocabulary()
+    known = F.broadcast(spark.createDataFrame(list(enumerate(grams)), "g int, gram string"))
+    triple = F.when(F.col("pos") + 2 < F.col("n_words"), F.col("triple"))  # within the line
+    each = found.where(F.col("in_line") & F.col("pair").isNotNull())
+    each = each.select("_row", "line", "n_grams", F.explode(F.array("pair", triple)).alias("gram")).join(known, "gram")
+    own = each.groupBy("_row", "line").agg(F.array_sort(F.collect_list("g")).alias("g"), F.max("n_grams").alias("n_grams"))
+    notice = F.size(F.array_distinct("g")) >= 0.3 * F.col("n_grams")
+    kinds = stored(own.groupBy("g", notice.alias("notice")).agg(F.count("*").alias("n")), "licence-kinds")
+    some = kinds.agg(F.sum("n")).first()[0] or 0
+    first = found.where(F.coalesce("pos", F.lit(0)) == 0)
+    counts = first.agg(F.count_if(F.col("n_words") > 1), F.count_if(F.col("n_words") == 1), F.count_if(F.col("line") == 0)).first()
+    names = F.array(*map(F.lit, grams))
+    kinds = gathered(kinds).where(~F.col("notice")).select(F.transform("g", lambda i: F.get(names, i)).alias("grams"), "n")
+    return kinds, counts[0] - some, counts[1], counts[2]
+
+
+def train(docs: DataFrame, found: DataFrame | None = None) -> tuple[list[str], list[tuple[str, list[float]]], list[float], float]:
+    """Classes (the last is the unknown one), weights of each gram, intercepts, and the calibrated threshold, learned
+    from all rows of ``docs`` (or their ``hits``)."""
     spark = docs.sparkSession
     grams = vocabulary()
     families = [*sorted(TEMPLATES), UNKNOWN]
@@ -176,29 +189,29 @@ def train(docs: DataFrame) -> tuple[list[str], list[tuple[str, list[float]]], li
             variants = [t, t[:half + 1], t[half - 1:], *([w for i, w in enumerate(t) if i % k != k - 1] for k in (5, 7))]
             rows += [(float(families.index(family)), _grams(v), 1.0) for v in variants]
     rows += [(float(len(families) - 1), _grams(_plain(x)), 1.0) for x in OTHERS]
-    made = spark.createDataFrame(rows, "label double, grams array<string>, weight double")
-    # background that shares most of its pairs with the templates may be a notice: it teaches nothing
-    known = F.array(*map(F.lit, grams))
-    sample = background(docs, 1).where(F.size("grams") > 0)
-    sample = sample.where(F.size(F.array_intersect("grams", known)) < 0.3 * F.size(F.array_distinct("grams")))
-    sample = sample.select(F.lit(float(len(families) - 1)).alias("label"), "grams", F.lit(0.1).alias("weight"))
+    made = spark.createDataFrame(rows, "label double, grams array<string>, weight double").coalesce(1)
+    kinds, plain, single, documents = background(hits(docs) if found is None else found)
+    none = lambda n: spark.createDataFrame([([], n)], "grams array<string>, n long").where("n > 0")
+    # all documents weigh as much as so many: else the unknown class would grow with them, and the templates do not
+    weight = BACKGROUND_WEIGHT * min(1.0, BACKGROUND_DOCUMENTS / max(1, documents))
+    sample = kinds.unionByName(none(plain)).select(F.lit(float(len(families) - 1)).alias("label"), "grams", (F.col("n") * weight).alias("weight"))
     vectors = CountVectorizerModel.from_vocabulary(grams, inputCol="grams", outputCol="features", minTF=1.0)
-    data = vectors.transform(made.unionByName(sample)).select("label", "features", "weight").coalesce(2).cache()
+    data = vectors.transform(made.unionByName(sample)).select("label", "features", "weight").cache()
     fitted = LogisticRegression(family="multinomial", weightCol="weight", regParam=2e-3, elasticNetParam=0.2, standardization=False, maxIter=60).fit(data)
     data.unpersist()
     matrix = fitted.coefficientMatrix.toArray()
     weights = [(g, matrix[:, i].tolist()) for i, g in enumerate(grams)]
     intercepts = fitted.interceptVector.toArray().tolist()
-    calibration = fitted.transform(vectors.transform(background(docs, 2)))
-    calibration = calibration.where(F.size(F.array_intersect("grams", known)) < 0.3 * F.greatest(F.size(F.array_distinct("grams")), F.lit(1)))
+    calibration = fitted.transform(vectors.transform(kinds.unionByName(none(plain + single))))
     best = F.array_max(F.slice(vector_to_array("probability"), 1, len(families) - 1))
-    level = calibration.agg(F.percentile(best, F.lit(1 - PASSING)).alias("p")).first()["p"]
+    best = F.greatest(F.round(best, 6), F.lit(0.5))  # no lower threshold is taken, and so few values are counted
+    level = calibration.agg(F.percentile(best, F.lit(1 - PASSING), F.col("n")).alias("p")).first()["p"]
     return families, weights, intercepts, max(0.5, level or 0.0)
 
 
-def _hits(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Written once: _row, _id, line, n_words, pos, pair and triple of every template pair, and of each line's first place;
-    in_line says that the pair does not run over the line's end."""
+def hits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Written once: _row, _id, line, n_words, n_grams, pos, pair and triple of every template pair, and of each line's first
+    place; in_line says that the pair does not run over the line's end."""
     pairs = template_table(docs.sparkSession).select(F.col("gram").alias("pair")).distinct()
     pairs = pairs.select(F.split("pair", " ")[0].alias("first"), F.split("pair", " ")[1].alias("second"), "pair")
     keyed = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -207,15 +220,16 @@ def _hits(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         line.alias("words"), F.concat(line, F.slice(F.coalesce(after, F.array().cast("array<string>")), 1, 2)).alias("run")))
     lines = lines.select("_row", "_id", F.posexplode(following).alias("line", "_line"))
     lines = lines.select("_row", "_id", "line", F.col("_line.words").alias("_words"), F.col("_line.run").alias("_run"))
-    at = lines.select("_row", "_id", "line", "_words", "_run", F.posexplode_outer("_words").alias("pos", "_word"))
-    at = at.select("_row", "_id", "line", "pos", F.size("_words").alias("n_words"), F.col("_word").alias("a"),
+    lines = lines.withColumn("n_grams", _n_grams(F.col("_words")))
+    at = lines.select("_row", "_id", "line", "_words", "_run", "n_grams", F.posexplode_outer("_words").alias("pos", "_word"))
+    at = at.select("_row", "_id", "line", "pos", F.size("_words").alias("n_words"), "n_grams", F.col("_word").alias("a"),
                    F.get("_run", F.col("pos") + 1).alias("b"), F.get("_run", F.col("pos") + 2).alias("c"))
     at = at.withColumn("key", F.when(F.col("b").isNotNull(), F.xxhash64("a", "b")))
     pairs = F.broadcast(pairs.withColumn("key", F.xxhash64("first", "second")))
     found = at.join(pairs, (at["key"] == pairs["key"]) & (at["a"] == pairs["first"]) & (at["b"] == pairs["second"]), "left")
     first = F.coalesce("pos", F.lit(0)) == 0  # a row for each line, so for each document
     found = found.where(F.col("pair").isNotNull() | first)
-    return stored(found.select("_row", "_id", "line", "n_words", "pos", "pair", F.concat_ws(" ", "pair", "c").alias("triple"),
+    return stored(found.select("_row", "_id", "line", "n_words", "n_grams", "pos", "pair", F.concat_ws(" ", "pair", "c").alias("triple"),
                                (F.col("pos") + 1 < F.col("n_words")).alias("in_line")), "licence-hits")
 
 
@@ -225,7 +239,7 @@ def _places(found: DataFrame) -> DataFrame:
     some = found.where(F.col("pair").isNotNull()).select("_row").distinct()
     first = F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("n_words")).otherwise(0).cast("long")
     before = Window.partitionBy("_row").orderBy("line", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = found.drop("_id").join(some, "_row", "left_semi").withColumn("begin", F.sum(first).over(before) - F.col("n_words"))
+    rows = found.drop("_id", "n_grams").join(some, "_row", "left_semi").withColumn("begin", F.sum(first).over(before) - F.col("n_words"))
     return stored(rows.where(F.col("pair").isNotNull()).withColumn("pos", F.col("begin") + F.col("pos")), "licence-places")
 
 
@@ -302,16 +316,17 @@ def _probabilities(grams: DataFrame, keys: list[str], model: tuple) -> DataFrame
     return powers.select(*keys, F.transform("e", lambda x: x / F.col("total")).alias("probabilities"))
 
 
-def scan(docs: DataFrame, model: tuple, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_paragraphs, notices (array of line, family, p, confirmation; confirmed ones), families."""
+def scan(docs: DataFrame, model: tuple, doc_id: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """Per row of ``docs`` (or of their ``hits``): doc_id, n_paragraphs, notices (array of line, family, p, confirmation;
+    confirmed ones), families."""
     families, least = model[0], model[3]
-    found = _hits(docs, doc_id, text)
-    hits = _places(found)
-    windows = stored(_windows(hits), "licence-windows")
+    found = hits(docs, doc_id, text) if found is None else found
+    places = _places(found)
+    windows = stored(_windows(places), "licence-windows")
     keys = ["_row", "start", "end"]
     block = lambda place: F.floor(F.col(place) / SHORT)
     spans = windows.select(*keys).distinct().withColumn("block", F.explode(F.sequence(block("start"), block("end"))))
-    inside = hits.withColumn("block", block("pos")).join(spans, ["_row", "block"]).where(F.col("pos").between(F.col("start"), F.col("end")))
+    inside = places.withColumn("block", block("pos")).join(spans, ["_row", "block"]).where(F.col("pos").between(F.col("start"), F.col("end")))
     triple = F.when(F.col("pos") < F.col("end"), F.col("triple"))  # the last pair's ends outside
     scores = _probabilities(inside.select(*keys, F.explode(F.array("pair", triple)).alias("gram")), keys, model)
     place = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("int")

@@ -51,7 +51,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = licences.scan(docs, licences.train(docs))
+    hits = licences.hits(docs)
+    found = licences.scan(docs, licences.train(docs, hits), found=hits)
     return found.select("doc_id", "n_paragraphs", F.size("notices").cast("long").alias("n_notices"),
                         F.array_join("families", ",").alias("families"))
 

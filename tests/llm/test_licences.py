@@ -88,3 +88,23 @@ def test_windows_at_block_ends(spark, model):
     rows += [(1000 + i, "word " * (licences.BLOCK - i) + notice.replace("copy", "copy\n"), "mit") for i in (3, 12, 20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, families string")
     assert {r.doc_id: ",".join(r.families) for r in licences.scan(docs, model).collect()} == {i: f for i, _, f in rows}
+
+
+def test_background_is_every_document(spark):
+    """Each paragraph of each row counts once, by the grams that it has; notices, and only they, are left out."""
+    grams = set(licences.vocabulary())
+    kinds_of = ["in the end of the story of a man and his dog by the sea\nmore", "nothing known here\n\nsolo", "the story of the end of the sea in the end", ""]
+    rows = [(i if i % 7 else None, kinds_of[i % 4]) for i in range(1000)] + [(5, NOTICES["mit"][0]), (6, None)]
+    found = licences.hits(spark.createDataFrame(rows, "doc_id long, text string"))
+    kinds, plain, single, documents = licences.background(found)
+    want, none, one = {}, 0, 0
+    for _, text in rows:
+        for line in (text or "").split("\n"):
+            all_ = licences._grams(licences._plain(line))
+            own = tuple(sorted(g for g in all_ if g in grams))
+            one += len(licences._plain(line)) == 1
+            none += bool(all_) and not own
+            if own and len(set(own)) < 0.3 * len(set(all_)):
+                want[own] = want.get(own, 0) + 1
+    assert {tuple(sorted(r.grams)): r.n for r in kinds.collect()} == want and sum(want.values()) == 500
+    assert (plain, single, documents) == (none, one, len(rows)) == (250, 500, 1002)
